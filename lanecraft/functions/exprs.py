@@ -86,3 +86,26 @@ def search_predicate(columns, pattern: str, literal: bool = False) -> Column:
     for t in terms[1:]:
         out = out | t
     return out
+
+
+def money_total(c) -> Column:
+    """Exact decimal sum as double (unrounded, order-independent)."""
+    return F.sum(_c(c)).cast("double")
+
+
+def money_mean(c) -> Column:
+    """Unrounded mean of a decimal column from its exact sum."""
+    return F.sum(_c(c)).cast("double") / F.count(_c(c))
+
+
+def delay_mean(c="delay_flag") -> Column:
+    return F.avg(_c(c).cast("int"))
+
+
+def margin_pct(profit_sum, sales_sum, n: int = 2) -> Column:
+    """Σprofit/Σsales·100 on doubles; 0 when sales is 0 or null."""
+    return F.coalesce(rintn(F.try_divide(_c(profit_sum).cast("double"), _c(sales_sum).cast("double")) * 100.0, n),
+                      F.lit(0.0))
+
+
+__all__ += ["money_total", "money_mean", "delay_mean", "margin_pct"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["routes"]
+MODULES = ["routes", "kpis", "geos", "modes"]
 
 
 def _load():
