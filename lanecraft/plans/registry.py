@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["routes", "kpis", "geos", "modes"]
+MODULES = ["routes", "kpis", "geos", "modes", "filtering"]
 
 
 def _load():
