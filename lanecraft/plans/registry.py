@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["routes", "kpis", "geos", "modes", "filtering"]
+MODULES = ["routes", "kpis", "geos", "modes", "filtering", "reports"]
 
 
 def _load():
