@@ -65,8 +65,8 @@ def date_parse_failures(raw: DataFrame, cols=DATE_COLUMNS, fmt: str = DAY_FIRST)
 
 def cast_numeric(df: DataFrame, money_cols=MONEY_COLUMNS, int_cols=(S.UNITS,)) -> DataFrame:
     """Coerce text to numbers; anything unparsable becomes null."""
-    m = {c: F.try_cast(F.col(c).cast("string"), T.DoubleType()) for c in money_cols if c in df.columns}
-    m.update({c: F.try_cast(F.col(c).cast("string"), T.LongType()) for c in int_cols if c in df.columns})
+    m = {c: F.col(c).cast("string").try_cast(T.DoubleType()) for c in money_cols if c in df.columns}
+    m.update({c: F.col(c).cast("string").try_cast(T.LongType()) for c in int_cols if c in df.columns})
     return df.withColumns(m)
 
 
@@ -85,7 +85,7 @@ def dirty_numeric(df: DataFrame, money_cols=MONEY_COLUMNS, unit_col: str = S.UNI
     column median (0.0, and 1 for units, when a column has no value); units → int."""
     cols = [c for c in money_cols if c in df.columns]
     has_units = unit_col in df.columns
-    num = {c: F.try_cast(F.regexp_replace(F.col(c).cast("string"), r"[^0-9.\-]", ""), T.DoubleType())
+    num = {c: F.regexp_replace(F.col(c).cast("string"), r"[^0-9.\-]", "").try_cast(T.DoubleType())
            for c in cols + ([unit_col] if has_units else [])}
     d = df.withColumns(num)
     med = _medians(d, list(num))

@@ -70,8 +70,9 @@ def add_lead_days_clipped(df: DataFrame, floor: float = S.MIN_LEAD_DAYS) -> Data
     """Fractional days, floored at 0.5, rounded to 2 places (recalc dialect).
 
     A null date keeps a null lead (``greatest`` would otherwise skip it)."""
-    secs = F.unix_timestamp(F.col(S.SHIP_DATE).cast("timestamp")) - F.unix_timestamp(F.col(S.ORDER_DATE).cast("timestamp"))
-    days = secs / 86400.0
+    # time-zone free: both ends as timestamp_ntz
+    secs = F.timestamp_diff("SECOND", F.col(S.ORDER_DATE).cast("timestamp_ntz"), F.col(S.SHIP_DATE).cast("timestamp_ntz"))
+    days = secs.cast("double") / 86400.0
     clipped = F.when(days.isNull(), F.lit(None).cast("double")).otherwise(F.greatest(days, F.lit(floor)))
     return df.withColumn(S.LEAD_TIME, rintn(clipped, 2))
 

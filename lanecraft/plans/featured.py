@@ -58,6 +58,20 @@ def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _memo(spark, ("featured", sf_dir), build)
 
 
+def audit_features(fact: DataFrame, factory_dim: DataFrame, coords_dim: DataFrame) -> DataFrame:
+    """Unfiltered fact with factory, coordinates and integer lead (quality checks see every row)."""
+    f = feature.add_factory(fact, factory_dim)
+    f = feature.add_factory_coords(f, coords_dim)
+    return feature.add_lead_days(f)
+
+
+def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def build():
+        f = audit_features(base(spark, sf_dir), td.factory_dim(spark, sf_dir), td.factory_coords_dim(spark))
+        return materialize(f, "audit")
+    return _memo(spark, ("audit", sf_dir), build)
+
+
 def recalc_features(df: DataFrame, factory_dim: DataFrame, coords_dim: DataFrame, sla_dim: DataFrame,
                     policy: str = "auto", delay_weight: float = S.DELAY_WEIGHT,
                     lead_weight: float = S.LEAD_TIME_WEIGHT, factory_key: str = S.PRODUCT_ID) -> DataFrame:

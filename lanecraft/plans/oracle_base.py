@@ -143,3 +143,70 @@ def over_feat(select_sql: str, *extra_ctes: str) -> str:
 
 def over_fact(select_sql: str, *extra_ctes: str) -> str:
     return with_ctes(FACT, DIMS, *extra_ctes) + select_sql
+
+
+FACTX = FACT.replace("fact AS (", "factx AS (", 1).replace(
+    "    l.l_orderkey AS order_id,", "    l.l_suppkey AS __supp,\n    l.l_orderkey AS order_id,", 1)
+
+
+def dirty_cte(currency: bool = False) -> str:
+    sales = ("'$' || format('{:,.4f}', CAST(sales AS DOUBLE))" if currency else "CAST(sales AS VARCHAR)")
+    return f"""dirty0 AS (
+  SELECT row_id, CAST(order_id AS VARCHAR) AS order_id,
+    CASE WHEN __supp % 7 = 0 THEN strftime(order_date, '%Y-%m-%d') ELSE strftime(order_date, '%d-%m-%Y') END AS order_date,
+    CASE WHEN product_id % 97 = 0 THEN '31-02-2024' ELSE strftime(ship_date, '%d-%m-%Y') END AS ship_date,
+    ship_mode, CAST(customer_id AS VARCHAR) AS customer_id, country, '  ' || city || ' ' AS city, state, postal_code,
+    division, region, CAST(product_id AS VARCHAR) AS product_id,
+    CASE WHEN product_id % 89 = 0 THEN NULL ELSE product_name END AS product_name,
+    CASE WHEN __supp % 13 = 0 THEN NULL ELSE {sales} END AS sales,
+    CAST(units AS VARCHAR) AS units, CAST(gross_profit AS VARCHAR) AS gross_profit, CAST(cost AS VARCHAR) AS cost
+  FROM factx
+),
+dirty AS (SELECT * FROM dirty0 UNION ALL SELECT * FROM dirty0 WHERE CAST(order_id AS BIGINT) % 100 = 0)"""
+
+
+AUD = """aud AS (
+  SELECT f.*, coalesce(fd.factory, 'Unknown Factory') AS factory, c.factory_lat, c.factory_lon,
+    CAST(date_diff('day', f.order_date, f.ship_date) AS INTEGER) AS lead_time
+  FROM fact f LEFT JOIN factory_dim fd ON f.product_id = fd.product_id
+  LEFT JOIN coords c ON coalesce(fd.factory, 'Unknown Factory') = c.factory
+)"""
+
+
+def recalc_ctes(src: str = "fact", out: str = "recalc", policy: str = "auto", dw: float = 0.6, lw: float = 0.4) -> str:
+    med_flag = "coalesce(r1.lead_time > m.mode_median, false)"
+    sla_flag = "coalesce(r1.lead_time > coalesce(s.sla_days, 4.0::DOUBLE), false)"
+    if policy == "median":
+        flag = med_flag
+    elif policy == "sla":
+        flag = sla_flag
+    else:
+        flag = (f"CASE WHEN coalesce((SELECT median(lead_time) FROM {out}_r1), 0.0) > 50.0 THEN {med_flag} "
+                f"ELSE {sla_flag} END")
+    return f"""{out}_r0 AS (
+  SELECT f.*, coalesce(fd.factory, 'Unknown Factory') AS factory,
+    CASE WHEN f.ship_date IS NULL OR f.order_date IS NULL THEN NULL ELSE
+      round_even(greatest(CAST(date_diff('second', CAST(f.order_date AS TIMESTAMP), CAST(f.ship_date AS TIMESTAMP)) AS DOUBLE)
+                          / 86400.0, 0.5::DOUBLE), 2) END AS lead_time
+  FROM {src} f LEFT JOIN factory_dim fd ON f.product_id = fd.product_id
+),
+{out}_r1 AS (
+  SELECT r.*, coalesce(c.factory_lat, 39.5::DOUBLE) AS factory_lat, coalesce(c.factory_lon, -98.35::DOUBLE) AS factory_lon
+  FROM {out}_r0 r LEFT JOIN coords c ON r.factory = c.factory
+),
+{out}_med AS (SELECT ship_mode AS __mode, median(lead_time) AS mode_median FROM {out}_r1 WHERE ship_mode IS NOT NULL GROUP BY ship_mode),
+{out}_r2 AS (
+  SELECT r1.*, {flag} AS delay_flag
+  FROM {out}_r1 r1 LEFT JOIN {out}_med m ON r1.ship_mode = m.__mode LEFT JOIN sla s ON r1.ship_mode = s.ship_mode
+),
+{out}_r3 AS (
+  SELECT b.*, b.factory || ' → ' || b.state AS state_route, b.factory || ' → ' || b.region AS region_route,
+    {_slug('b.factory')} || '_to_' || {_slug('b.state')} AS route_id,
+    {temporal_sql('b', day_name=True)}
+  FROM {out}_r2 b
+),
+{score_ctes(f'{out}_r3', out, fill='0.5::DOUBLE', digits=4, dw=dw, lw=lw)}"""
+
+
+def with_ctes_recursive(*ctes: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n"

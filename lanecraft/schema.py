@@ -62,7 +62,7 @@ TYPED_SCHEMA = T.StructType([
     T.StructField(GROSS_PROFIT, MONEY), T.StructField(COST, MONEY),
 ])
 
-CATEGORICAL_COLUMNS = [SHIP_MODE, COUNTRY, CITY, STATE, POSTAL_CODE, DIVISION, REGION, PRODUCT_NAME, CUSTOMER_ID]
+CATEGORICAL_COLUMNS = [SHIP_MODE, COUNTRY, CITY, STATE, DIVISION, REGION, PRODUCT_NAME, CUSTOMER_ID]
 NUMERIC_COLUMNS = [SALES, GROSS_PROFIT, COST, UNITS]
 TRIM_COLUMNS = [SHIP_MODE, COUNTRY, CITY, STATE, DIVISION, REGION, PRODUCT_NAME]
 

@@ -38,8 +38,7 @@ def _money(c):
     return c.cast(S.MONEY)
 
 
-def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical typed shipment table (18 columns) from the test tables."""
+def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
         "l_discount", "l_shipdate")
@@ -53,8 +52,15 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
              .join(r, n.n_regionkey == r.r_regionkey)
              .select("c_custkey", "c_mktsegment", "n_name", "r_name"))
     orders = o.join(cust, o.o_custkey == cust.c_custkey)
-    j = li.join(orders, li.l_orderkey == orders.o_orderkey).join(p, li.l_partkey == p.p_partkey)
+    return li.join(orders, li.l_orderkey == orders.o_orderkey).join(p, li.l_partkey == p.p_partkey)
+
+
+def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical typed shipment table (18 columns) from the test tables."""
+    return _canonical(_joined(spark, sf_dir))
+
 
+def _canonical(j: DataFrame, extra=()) -> DataFrame:
     sales = _money(F.col("l_extendedprice") * (1 - F.col("l_discount")))
     cost = _money(F.col("l_extendedprice") * 0.65)
     row_id = F.concat_ws("-", *[F.col(c).cast("string") for c in
@@ -80,7 +86,40 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").cast("int").alias(S.UNITS),
         _money(sales - cost).alias(S.GROSS_PROFIT),
         cost.alias(S.COST),
+        *extra,
+    )
+
+
+def dirty_shipments(spark: SparkSession, sf_dir: str, currency: bool = False) -> DataFrame:
+    """All-text raw table with injected faults (for the cleaning operators).
+
+    ship date ``31-02-2024`` where part % 97 = 0; order date in ISO form where
+    supplier % 7 = 0; sales missing where supplier % 13 = 0 (and written as
+    ``$1,234.5678`` when ``currency``); city padded with blanks; product name
+    missing where part % 89 = 0; every line of orders with key % 100 = 0
+    appears twice.
+    """
+    j = _joined(spark, sf_dir)
+    c = _canonical(j, extra=(F.col("l_suppkey").alias("__supp"),))
+    supp, part = F.col("__supp"), F.col(S.PRODUCT_ID)
+    sales_txt = (F.concat(F.lit("$"), F.format_number(F.col(S.SALES), 4)) if currency
+                 else F.col(S.SALES).cast("string"))
+    d = c.select(
+        S.ROW_ID, F.col(S.ORDER_ID).cast("string").alias(S.ORDER_ID),
+        F.when(supp % 7 == 0, F.date_format(S.ORDER_DATE, "yyyy-MM-dd"))
+         .otherwise(F.date_format(S.ORDER_DATE, "dd-MM-yyyy")).alias(S.ORDER_DATE),
+        F.when(part % 97 == 0, F.lit("31-02-2024"))
+         .otherwise(F.date_format(S.SHIP_DATE, "dd-MM-yyyy")).alias(S.SHIP_DATE),
+        S.SHIP_MODE, F.col(S.CUSTOMER_ID).cast("string").alias(S.CUSTOMER_ID), S.COUNTRY,
+        F.concat(F.lit("  "), F.col(S.CITY), F.lit(" ")).alias(S.CITY), S.STATE, S.POSTAL_CODE, S.DIVISION,
+        S.REGION, F.col(S.PRODUCT_ID).cast("string").alias(S.PRODUCT_ID),
+        F.when(part % 89 == 0, F.lit(None).cast("string")).otherwise(F.col(S.PRODUCT_NAME)).alias(S.PRODUCT_NAME),
+        F.when(supp % 13 == 0, F.lit(None).cast("string")).otherwise(sales_txt).alias(S.SALES),
+        F.col(S.UNITS).cast("string").alias(S.UNITS),
+        F.col(S.GROSS_PROFIT).cast("string").alias(S.GROSS_PROFIT),
+        F.col(S.COST).cast("string").alias(S.COST),
     )
+    return d.unionByName(d.filter(F.col(S.ORDER_ID).cast("long") % 100 == 0))
 
 
 def factory_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
