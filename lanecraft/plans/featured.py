@@ -17,7 +17,7 @@ from lanecraft.operators import clean, feature
 from lanecraft.plans.materialize import materialize
 from lanecraft.sources import testdata as td
 
-_LOCK = threading.Lock()
+_LOCK = threading.RLock()
 _MEMO: dict = {}
 
 
