@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from lanecraft import schema as S
+from lanecraft.functions.quantiles import exact_median
 
 DAY_FIRST = "dd-MM-yyyy"
 ISO = "yyyy-MM-dd"
@@ -76,8 +77,21 @@ def postal_pad(df: DataFrame, col: str = S.POSTAL_CODE, width: int = 5) -> DataF
     return df.withColumn(col, F.when(F.length(t) >= width, t).otherwise(F.lpad(t, width, "0")))
 
 
+def null_columns(df: DataFrame, cols) -> list[str]:
+    """Which of ``cols`` hold a null (one narrow aggregate, one small action)."""
+    cols = list(cols)
+    if not cols:
+        return []
+    row = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
+    return [c for c in cols if row[c]]
+
+
 def _medians(df: DataFrame, cols) -> DataFrame:
-    return df.agg(*[F.median(c).alias(f"__med_{c}") for c in cols])
+    """One row of exact medians (distributed; see :mod:`lanecraft.functions.quantiles`)."""
+    out = df.sparkSession.range(1).select(F.lit(0).alias("__k"))
+    for c in cols:
+        out = out.crossJoin(exact_median(df, c, f"__med_{c}"))
+    return out.drop("__k")
 
 
 def dirty_numeric(df: DataFrame, money_cols=MONEY_COLUMNS, unit_col: str = S.UNITS) -> DataFrame:
@@ -88,12 +102,13 @@ def dirty_numeric(df: DataFrame, money_cols=MONEY_COLUMNS, unit_col: str = S.UNI
     num = {c: F.regexp_replace(F.col(c).cast("string"), r"[^0-9.\-]", "").try_cast(T.DoubleType())
            for c in cols + ([unit_col] if has_units else [])}
     d = df.withColumns(num)
-    med = _medians(d, list(num))
+    med = _medians(d, null_columns(d, list(num)))
     out = d.crossJoin(F.broadcast(med))
-    fills = {c: F.coalesce(F.col(c), F.col(f"__med_{c}"), F.lit(0.0)) for c in cols}
+    med_of = lambda c: F.col(f"__med_{c}") if f"__med_{c}" in med.columns else F.lit(None).cast("double")
+    fills = {c: F.coalesce(F.col(c), med_of(c), F.lit(0.0)) for c in cols}
     if has_units:
-        fills[unit_col] = F.coalesce(F.col(unit_col), F.col(f"__med_{unit_col}"), F.lit(1.0)).cast("int")
-    return out.withColumns(fills).drop(*[f"__med_{c}" for c in num])
+        fills[unit_col] = F.coalesce(F.col(unit_col), med_of(unit_col), F.lit(1.0)).cast("int")
+    return out.withColumns(fills).drop(*[c for c in med.columns])
 
 
 # ── missing values ───────────────────────────────────────────────────────────
@@ -120,15 +135,12 @@ def drop_null_dates(df: DataFrame, cols=DATE_COLUMNS) -> DataFrame:
 def fill_median(df: DataFrame, money_cols=MONEY_COLUMNS, unit_col: str = S.UNITS) -> DataFrame:
     """Numeric nulls → column median (units → truncated integer median)."""
     cols = [c for c in money_cols if c in df.columns] + ([unit_col] if unit_col in df.columns else [])
+    cols = null_columns(df, cols)
+    if not cols:
+        return df
     med = _medians(df, cols)
     out = df.crossJoin(F.broadcast(med))
-    fills = {}
-    for c in cols:
-        m = F.col(f"__med_{c}")
-        if c == unit_col:
-            fills[c] = F.coalesce(F.col(c), m.cast(df.schema[c].dataType))
-        else:
-            fills[c] = F.coalesce(F.col(c), m.cast(df.schema[c].dataType))
+    fills = {c: F.coalesce(F.col(c), F.col(f"__med_{c}").cast(df.schema[c].dataType)) for c in cols}
     return out.withColumns(fills).drop(*[f"__med_{c}" for c in cols])
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lanecraft import schema as S
 from lanecraft.functions.exprs import rintn
+from lanecraft.functions.quantiles import exact_quantiles
 
 CORE_COLUMNS = [S.ORDER_ID, S.ORDER_DATE, S.SHIP_DATE, S.SHIP_MODE, S.CUSTOMER_ID, S.COUNTRY, S.CITY, S.STATE,
                 S.DIVISION, S.REGION, S.PRODUCT_ID, S.PRODUCT_NAME, S.SALES, S.UNITS, S.GROSS_PROFIT, S.COST]
@@ -120,9 +121,9 @@ def hl_nonpositive_lead(df: DataFrame) -> DataFrame:
 def hl_outliers(df: DataFrame, k: float = 4.0) -> DataFrame:
     """Sales above Q3 + k·IQR (reported, no deduction)."""
     s = F.col(S.SALES).cast("double")
-    q = df.agg(F.percentile(s, [0.25, 0.75]).alias("__q"))
+    q = exact_quantiles(df, S.SALES, [0.25, 0.75], "__q")
     a = (df.crossJoin(F.broadcast(q))
-           .agg(F.count_if(s > F.col("__q")[1] + F.lit(float(k)) * (F.col("__q")[1] - F.col("__q")[0])).alias("n")))
+           .agg(F.count_if(s > F.col("__q1") + F.lit(float(k)) * (F.col("__q1") - F.col("__q0"))).alias("n")))
     n = F.col("n")
     return _row(a, "outliers", n, F.lit(0), F.when(n > 0, F.lit("Low")))
 

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from lanecraft import schema as S
 from lanecraft.functions.exprs import rintn
+from lanecraft.functions.quantiles import exact_quantiles
+from lanecraft.operators import clean as C
 from lanecraft.operators import quality as Q
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -33,11 +35,13 @@ def clean_nulls(df: DataFrame) -> DataFrame:
     Dates and booleans are left as they are."""
     num = [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC)]
     strs = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    med = df.agg(*[F.median(F.col(f"`{c}`").cast("double")).alias(f"__m{i}") for i, c in enumerate(num)])
-    out = df.crossJoin(F.broadcast(med)) if num else df
-    fills = {c: F.coalesce(F.col(f"`{c}`"), F.coalesce(F.col(f"__m{i}"), F.lit(0.0)).cast(df.schema[c].dataType))
-             for i, c in enumerate(num)}
-    out = out.withColumns(fills).drop(*[f"__m{i}" for i in range(len(num))])
+    num = C.null_columns(df, num)            # only columns that need a fill get a median
+    out = df
+    if num:
+        out = out.crossJoin(F.broadcast(C._medians(df, num)))
+        fills = {c: F.coalesce(F.col(f"`{c}`"), F.coalesce(F.col(f"__med_{c}"), F.lit(0.0)).cast(df.schema[c].dataType))
+                 for c in num}
+        out = out.withColumns(fills).drop(*[f"__med_{c}" for c in num])
     return out.fillna(S.UNKNOWN, subset=strs) if strs else out
 
 
@@ -56,7 +60,7 @@ def fix_nonpositive_lead(df: DataFrame, floor: float = S.MIN_LEAD_DAYS) -> DataF
 def cap_sales(df: DataFrame, q: float = 0.99) -> DataFrame:
     """Winsorize sales at the q-quantile (exact, linear interpolation)."""
     s = F.col(S.SALES).cast("double")
-    p = df.agg(F.percentile(s, q).alias("__p"))
+    p = exact_quantiles(df, S.SALES, [q], "__p").withColumnRenamed("__p0", "__p")
     return (df.crossJoin(F.broadcast(p))
               .withColumn(S.SALES, F.when(s.isNull(), s).otherwise(F.least(s, F.col("__p")))).drop("__p"))
 

@@ -30,8 +30,8 @@ def _memo(spark: SparkSession, key: tuple, build):
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical 18-column shipments (lazy plan)."""
-    return td.shipments(spark, sf_dir)
+    """Canonical 18-column shipments, joined once and materialized (per session)."""
+    return _memo(spark, ("base", sf_dir), lambda: materialize(td.shipments(spark, sf_dir), "base"))
 
 
 def batch_features(fact: DataFrame, factory_dim: DataFrame, coords_dim: DataFrame,
@@ -53,7 +53,8 @@ def batch_features(fact: DataFrame, factory_dim: DataFrame, coords_dim: DataFram
 def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Materialized batch-featured table for ``sf_dir`` (built once per session)."""
     def build():
-        f = batch_features(base(spark, sf_dir), td.factory_dim(spark, sf_dir), td.factory_coords_dim(spark))
+        f = batch_features(base(spark, sf_dir), td.factory_dim(spark, sf_dir), td.factory_coords_dim(spark),
+                           materialize_base=False)
         return materialize(f, "featured")
     return _memo(spark, ("featured", sf_dir), build)
 

@@ -49,3 +49,15 @@ def bounded(df: DataFrame, name: str, max_rows: int = MAX_BROADCAST_ROWS) -> Dat
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "left", name: str = "dim",
                max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     return big.join(bounded(small, name, max_rows), on, how)
+
+
+#: Row bound for broadcasting a *base* table side (dimension of the input).
+MAX_BROADCAST_BASE_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_BASE_ROWS) -> DataFrame:
+    """Broadcast an input-table side only if its row count is within the bound.
+
+    On a plain Parquet scan the count is answered from file footers (no data
+    pass); above the bound the join is left to a shuffle join."""
+    return F.broadcast(df) if df.count() <= max_rows else df

@@ -6,12 +6,10 @@ coordinates, state centroids, domestic allow-list, ship-mode speed order)
 are derived here too, so every query's work grows with the input tables.
 
 Join plan: lineitem and orders are the two large inputs and are joined on the
-order key (sort-merge, both sides shuffled once).  customer is joined to
-orders first, so only the orders-sized side carries customer columns.  nation
-and region are tiny by construction of the schema; Spark's size estimate from
-the Parquet footer puts them under the broadcast threshold without a hint.
-part is joined on the part key; at scale it is a second shuffle join, under
-the threshold (small SF) it broadcasts automatically.
+order key with a sort-merge join (both sides shuffled once; never a
+broadcast, whatever the file-size estimate says).  customer, part, nation
+and region are broadcast only when their row count — read from the Parquet
+footers — is under a bound; above it they are shuffle-joined.
 """
 
 from __future__ import annotations
@@ -19,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lanecraft import schema as S
+from lanecraft.plans.materialize import broadcast_if_small
 
 #: Fixed values of the test-data mapping: ship-mode speed order (slowest first).
 TEST_SHIP_MODES = ["5-LOW", "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH", "1-URGENT"]
@@ -48,11 +47,15 @@ def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
 
-    cust = (c.join(n, c.c_nationkey == n.n_nationkey)
-             .join(r, n.n_regionkey == r.r_regionkey)
+    geo = n.join(broadcast_if_small(r), n.n_regionkey == r.r_regionkey)
+    cust = (c.join(broadcast_if_small(geo), c.c_nationkey == geo.n_nationkey)
              .select("c_custkey", "c_mktsegment", "n_name", "r_name"))
-    orders = o.join(cust, o.o_custkey == cust.c_custkey)
-    return li.join(orders, li.l_orderkey == orders.o_orderkey).join(p, li.l_partkey == p.p_partkey)
+    orders = o.join(broadcast_if_small(cust), o.o_custkey == cust.c_custkey)
+    # lineitem and orders grow together: never broadcast either, sort-merge
+    # join on the order key (spills gracefully, and spreads a single-file
+    # input over all shuffle partitions)
+    lo = li.join(orders.hint("merge"), li.l_orderkey == orders.o_orderkey)
+    return lo.join(broadcast_if_small(p), lo.l_partkey == p.p_partkey)
 
 
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
