@@ -109,3 +109,20 @@ def margin_pct(profit_sum, sales_sum, n: int = 2) -> Column:
 
 
 __all__ += ["money_total", "money_mean", "delay_mean", "margin_pct"]
+
+
+def literal_table(spark, rows: list[tuple], names: list[str], types: list[str] | None = None):
+    """A small literal table built JVM-side (``inline`` of an array of structs),
+    so no Python worker is needed to scan it."""
+    types = types or [None] * len(names)
+
+    def lit(v, t):
+        c = F.lit(v)
+        return c.cast(t) if t else c
+    if not rows:
+        return spark.range(0).select(*[F.lit(None).cast(t or "string").alias(n) for n, t in zip(names, types)])
+    arr = F.array(*[F.struct(*[lit(v, t).alias(n) for v, n, t in zip(r, names, types)]) for r in rows])
+    return spark.range(1).select(F.inline(arr))
+
+
+__all__ += ["literal_table"]

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from lanecraft import schema as S
+from lanecraft.functions.exprs import literal_table
 from lanecraft.functions.quantiles import exact_median
 
 DAY_FIRST = "dd-MM-yyyy"
@@ -29,7 +30,7 @@ def schema_report(df: DataFrame, expected: list[str] = S.BASE_COLUMNS) -> DataFr
     have = set(df.columns)
     rows = [(c, "ok" if c in have else "missing") for c in expected]
     rows += [(c, "extra") for c in df.columns if c not in set(expected)]
-    return spark.createDataFrame(rows, "column string, status string")
+    return literal_table(spark, rows, ["column", "status"], ["string", "string"])
 
 
 def check_schema(df: DataFrame, expected: list[str] = S.BASE_COLUMNS) -> DataFrame:

@@ -12,6 +12,8 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, functions as F
 
+from lanecraft.functions.exprs import literal_table
+
 def ntz(when: dt.datetime):
     """A time-zone-free timestamp literal (parsed, not converted)."""
     return F.lit(when.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
@@ -144,7 +146,7 @@ def flatten_config(spark, cfg: dict) -> DataFrame:
         else:
             rows.append((prefix, str(v)))
     walk("", cfg)
-    return spark.createDataFrame(rows, "key string, value string")
+    return literal_table(spark, rows, ["key", "value"], ["string", "string"])
 
 
 def config_overlay(defaults: DataFrame, overrides: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lanecraft import schema as S
-from lanecraft.functions.exprs import rintn
+from lanecraft.functions.exprs import literal_table, rintn
 from lanecraft.functions.quantiles import exact_quantiles
 
 CORE_COLUMNS = [S.ORDER_ID, S.ORDER_DATE, S.SHIP_DATE, S.SHIP_MODE, S.CUSTOMER_ID, S.COUNTRY, S.CITY, S.STATE,
@@ -86,9 +86,10 @@ def _row(df: DataFrame, check: str, count, deduction, severity) -> DataFrame:
 def hl_schema(df: DataFrame, core=CORE_COLUMNS) -> DataFrame:
     missing = [c for c in core if c not in df.columns]
     spark = df.sparkSession
-    return spark.createDataFrame([("schema", len(missing), min(30, 8 * len(missing)) if missing else 0,
-                                   "High" if missing else None, ",".join(missing))],
-                                 "check string, count long, deduction int, severity string, missing_columns string")
+    return literal_table(spark, [("schema", len(missing), min(30, 8 * len(missing)) if missing else 0,
+                                  "High" if missing else None, ",".join(missing))],
+                         ["check", "count", "deduction", "severity", "missing_columns"],
+                         ["string", "long", "int", "string", "string"])
 
 
 def hl_nulls(df: DataFrame) -> DataFrame:

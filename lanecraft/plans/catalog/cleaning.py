@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lanecraft import schema as S
+from lanecraft.functions.exprs import literal_table
 from lanecraft.operators import clean as C
 from lanecraft.plans import featured as FT
 from lanecraft.plans.oracle_base import DIMS, FACT, FACTX, dirty_cte, with_ctes
@@ -16,11 +17,11 @@ ALLOWED = {S.SHIP_MODE: td.TEST_SHIP_MODES, S.REGION: ["AFRICA", "AMERICA", "ASI
 
 
 def _dirty(s, d, currency=False):
-    return td.dirty_shipments(s, d, currency)
+    return FT.dirty(s, d, currency)
 
 
 def _domains(s):
-    return {c: s.createDataFrame([(v,) for v in vals], "v string") for c, vals in ALLOWED.items()}
+    return {c: literal_table(s, [(v,) for v in vals], ["v"], ["string"]) for c, vals in ALLOWED.items()}
 
 
 MONEY = [S.ROW_ID, S.SALES, S.GROSS_PROFIT, S.COST, S.UNITS]

@@ -34,6 +34,12 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _memo(spark, ("base", sf_dir), lambda: materialize(td.shipments(spark, sf_dir), "base"))
 
 
+def dirty(spark: SparkSession, sf_dir: str, currency: bool = False) -> DataFrame:
+    """The dirtied raw table (stand-in for a raw CSV drop), written once per session."""
+    return _memo(spark, ("dirty", sf_dir, currency),
+                 lambda: materialize(td.dirty_shipments(spark, sf_dir, currency), "dirty"))
+
+
 def batch_features(fact: DataFrame, factory_dim: DataFrame, coords_dim: DataFrame,
                    materialize_base: bool = True) -> DataFrame:
     """Batch pipeline: invalid leads dropped, integer lead, median delay policy,

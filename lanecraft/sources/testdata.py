@@ -17,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lanecraft import schema as S
-from lanecraft.plans.materialize import broadcast_if_small
+from lanecraft.functions.exprs import literal_table
+from lanecraft.plans.materialize import MAX_BROADCAST_BASE_ROWS
 
 #: Fixed values of the test-data mapping: ship-mode speed order (slowest first).
 TEST_SHIP_MODES = ["5-LOW", "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH", "1-URGENT"]
@@ -47,15 +48,36 @@ def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
 
-    geo = n.join(broadcast_if_small(r), n.n_regionkey == r.r_regionkey)
-    cust = (c.join(broadcast_if_small(geo), c.c_nationkey == geo.n_nationkey)
+    small = small_tables(spark, sf_dir)
+
+    def side(df, name):
+        return F.broadcast(df) if name in small else df
+    geo = n.join(side(r, "region"), n.n_regionkey == r.r_regionkey)
+    cust = (c.join(side(geo, "nation"), c.c_nationkey == geo.n_nationkey)
              .select("c_custkey", "c_mktsegment", "n_name", "r_name"))
-    orders = o.join(broadcast_if_small(cust), o.o_custkey == cust.c_custkey)
+    orders = o.join(side(cust, "customer"), o.o_custkey == cust.c_custkey)
     # lineitem and orders grow together: never broadcast either, sort-merge
     # join on the order key (spills gracefully, and spreads a single-file
     # input over all shuffle partitions)
     lo = li.join(orders.hint("merge"), li.l_orderkey == orders.o_orderkey)
-    return lo.join(broadcast_if_small(p), lo.l_partkey == p.p_partkey)
+    return lo.join(side(p, "part"), lo.l_partkey == p.p_partkey)
+
+
+_SMALL: dict = {}
+
+
+def small_tables(spark: SparkSession, sf_dir: str, names=("region", "nation", "customer", "part"),
+                 max_rows: int = MAX_BROADCAST_BASE_ROWS) -> set[str]:
+    """Dimension tables whose row count (one job, answered from Parquet
+    footers) is within the broadcast bound; memoized per input folder."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), tuple(names), max_rows)
+    if key not in _SMALL:
+        parts = [table(spark, sf_dir, t).agg(F.lit(t).alias("t"), F.count(F.lit(1)).alias("n")) for t in names]
+        u = parts[0]
+        for q in parts[1:]:
+            u = u.unionByName(q)
+        _SMALL[key] = {r["t"] for r in u.collect() if r["n"] <= max_rows}
+    return _SMALL[key]
 
 
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,8 +169,11 @@ def factory_name_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def factory_coords_dim(spark: SparkSession) -> DataFrame:
     """factory → (lat, lon) for the five test factories (5 literal rows)."""
-    rows = [(f"Factory#{k}", 30.0 + 3.0 * k, -110.0 + 7.0 * k) for k in range(N_FACTORIES)]
-    return spark.createDataFrame(rows, f"{S.FACTORY} string, {S.FACTORY_LAT} double, {S.FACTORY_LON} double")
+    k = F.col("id")
+    return spark.range(N_FACTORIES).select(
+        F.concat(F.lit("Factory#"), k.cast("string")).alias(S.FACTORY),
+        (F.lit(30.0) + k * 3).cast("double").alias(S.FACTORY_LAT),
+        (F.lit(-110.0) + k * 7).cast("double").alias(S.FACTORY_LON))
 
 
 def state_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,10 +194,10 @@ def domestic_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ship_mode_order_dim(spark: SparkSession, modes=None) -> DataFrame:
     modes = modes or TEST_SHIP_MODES
-    return spark.createDataFrame([(m, i) for i, m in enumerate(modes)], f"{S.SHIP_MODE} string, mode_order int")
+    return literal_table(spark, [(m, i) for i, m in enumerate(modes)], [S.SHIP_MODE, "mode_order"], ["string", "int"])
 
 
 def sla_dim(spark: SparkSession, thresholds: dict | None = None) -> DataFrame:
     thresholds = thresholds or TEST_SLA_DAYS
-    return spark.createDataFrame([(k, float(v)) for k, v in thresholds.items()],
-                                 f"{S.SHIP_MODE} string, sla_days double")
+    return literal_table(spark, [(k, float(v)) for k, v in thresholds.items()], [S.SHIP_MODE, "sla_days"],
+                         ["string", "double"])
