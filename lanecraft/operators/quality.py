@@ -145,9 +145,12 @@ def hl_unmapped(df: DataFrame, name_dim: DataFrame) -> DataFrame:
 
 def health_checks(df: DataFrame, name_dim: DataFrame) -> DataFrame:
     """All checks as a long table (check order = recommendation order)."""
-    parts = [hl_schema(df).drop("missing_columns"), hl_nulls(df), hl_duplicates(df), hl_chronology(df),
-             hl_nonpositive_lead(df) if S.LEAD_TIME in df.columns else None, hl_outliers(df),
-             hl_unmapped(df, name_dim)]
+    has = set(df.columns)
+    parts = [hl_schema(df).drop("missing_columns"), hl_nulls(df), hl_duplicates(df),
+             hl_chronology(df) if {S.ORDER_DATE, S.SHIP_DATE} <= has else None,
+             hl_nonpositive_lead(df) if S.LEAD_TIME in has else None,
+             hl_outliers(df) if S.SALES in has else None,
+             hl_unmapped(df, name_dim) if S.PRODUCT_NAME in has else None]
     out = None
     for p in parts:
         if p is not None:
@@ -159,7 +162,7 @@ def hl_report(df: DataFrame, name_dim: DataFrame) -> DataFrame:
     """Summary row: score = max(5, 100 − Σ deductions); an empty table scores 0."""
     checks = health_checks(df, name_dim)
     piv = checks.groupBy().pivot("check", ["schema", "nulls", "duplicates", "chronology", "unmapped_products"]).agg(
-        F.first("count"))
+        F.first("count")).fillna(0)
     ded = checks.agg(F.sum("deduction").alias("__ded"))
     base = df.agg(F.count(F.lit(1)).alias("total_records"))
     return (base.crossJoin(ded).crossJoin(piv).select(

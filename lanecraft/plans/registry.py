@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["routes", "kpis", "geos", "modes", "filtering", "reports", "features", "cleaning", "series_q", "quality_q", "io_q", "gov_q", "ml_q"]
+MODULES = ["routes", "kpis", "geos", "modes", "filtering", "reports", "features", "cleaning", "series_q", "quality_q", "io_q", "gov_q", "stream_q", "ml_q"]
 
 
 def _load():
