@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lanecraft import schema as S
 from lanecraft.functions.exprs import rintn, slug
+from lanecraft.functions.quantiles import exact_median
 from lanecraft.plans.materialize import join_small
 
 
@@ -110,17 +111,24 @@ def add_delay_flag_sla(df: DataFrame, sla_dim: DataFrame, default_days: float =
     return out.withColumn(S.DELAY_FLAG, F.coalesce(F.col(S.LEAD_TIME) > thr, F.lit(False))).drop("__mode", "__sla")
 
 
+def choose_policy(df: DataFrame, switch_days: float = S.AUTO_POLICY_MEDIAN_DAYS) -> str:
+    """'median' when the global median lead exceeds ``switch_days``, else 'sla'.
+
+    One small action: the exact median (distributed, see
+    :mod:`lanecraft.functions.quantiles`) is a single row."""
+    m = exact_median(df, S.LEAD_TIME, "__gmed").first()["__gmed"]
+    return "median" if (m if m is not None else 0.0) > switch_days else "sla"
+
+
 def add_delay_flag_auto(df: DataFrame, sla_dim: DataFrame, switch_days: float = S.AUTO_POLICY_MEDIAN_DAYS,
                         default_days: float = S.DEFAULT_SLA_DAYS) -> DataFrame:
     """Global median lead > ``switch_days`` → median policy, else SLA policy.
 
-    Both flags are computed lazily; the global median is a 1-row aggregate
-    crossed in (broadcast), and ``when`` picks the policy per row."""
-    glob = df.agg(F.median(S.LEAD_TIME).alias("__gmed"))
-    med = add_delay_flag_median(df).withColumnRenamed(S.DELAY_FLAG, "__dm")
-    both = add_delay_flag_sla(med, sla_dim, default_days).crossJoin(F.broadcast(glob))
-    flag = F.when(F.coalesce(F.col("__gmed"), F.lit(0.0)) > switch_days, F.col("__dm")).otherwise(F.col(S.DELAY_FLAG))
-    return both.withColumn(S.DELAY_FLAG, flag).drop("__dm", "__gmed")
+    The policy is decided once on the 1-row global median, so the plan
+    carries only the chosen branch."""
+    if choose_policy(df, switch_days) == "median":
+        return add_delay_flag_median(df)
+    return add_delay_flag_sla(df, sla_dim, default_days)
 
 
 # ── routes & calendar ────────────────────────────────────────────────────────
