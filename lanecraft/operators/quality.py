@@ -144,11 +144,27 @@ def hl_unmapped(df: DataFrame, name_dim: DataFrame) -> DataFrame:
 
 
 def health_checks(df: DataFrame, name_dim: DataFrame) -> DataFrame:
-    """All checks as a long table (check order = recommendation order)."""
+    """All checks as a long table (check order = recommendation order).
+
+    The row-level counts (nulls, inverted dates, non-positive leads, rows)
+    come from one shared aggregate, so the table is scanned once for them."""
     has = set(df.columns)
-    parts = [hl_schema(df).drop("missing_columns"), hl_nulls(df), hl_duplicates(df),
-             hl_chronology(df) if {S.ORDER_DATE, S.SHIP_DATE} <= has else None,
-             hl_nonpositive_lead(df) if S.LEAD_TIME in has else None,
+    chron = {S.ORDER_DATE, S.SHIP_DATE} <= has
+    shared = df.agg(
+        F.count(F.lit(1)).alias("rows"), _nulls_total(df).alias("nulls"),
+        (F.count_if(F.col(S.SHIP_DATE) < F.col(S.ORDER_DATE)) if chron else F.lit(0)).alias("inv"),
+        (F.count_if(F.col(S.LEAD_TIME) <= 0) if S.LEAD_TIME in has else F.lit(0)).alias("nonpos"))
+    n, rows = F.col("nulls"), F.col("rows")
+    nulls = _row(shared, "nulls", n,
+                 F.when(n > 0, F.least(F.lit(20), (n / rows * 100.0).cast("int"))).otherwise(0),
+                 F.when(n > 0, F.when(n < rows * 0.05, "Medium").otherwise("High")))
+    inv = F.col("inv")
+    chronology = _row(shared, "chronology", inv, F.when(inv > 0, 15).otherwise(0), F.when(inv > 0, F.lit("High")))
+    npz = F.col("nonpos")
+    nonpos = _row(shared, "nonpositive_lead", npz, F.when(npz > 0, 10).otherwise(0), F.when(npz > 0, F.lit("High")))
+    parts = [hl_schema(df).drop("missing_columns"), nulls, hl_duplicates(df),
+             chronology if chron else None,
+             nonpos if S.LEAD_TIME in has else None,
              hl_outliers(df) if S.SALES in has else None,
              hl_unmapped(df, name_dim) if S.PRODUCT_NAME in has else None]
     out = None

@@ -70,5 +70,6 @@ FROM rs""", _RS),
 # The heat-map oracle needs the destination names as columns; DuckDB's PIVOT
 # produces them from the data with the same names.
 SQL["route_heatmap"] = over_feat(
-    """SELECT * FROM (PIVOT (SELECT factory, destination, avg_lead_time FROM rs)
-  ON destination USING avg(avg_lead_time) GROUP BY factory)""", _RS)
+    """SELECT factory, coalesce(COLUMNS(* EXCLUDE (factory)), 0.0) FROM (
+  PIVOT (SELECT factory, destination, avg_lead_time FROM rs)
+  ON destination IN (SELECT n_name FROM nation) USING avg(avg_lead_time) GROUP BY factory)""", _RS)
