@@ -80,34 +80,10 @@ UNKNOWN = "Unknown"
 ROUTE_ARROW = " → "
 MIN_LEAD_DAYS = 0.5
 
-# Fixed values (the reference data set): ship modes slowest → fastest, SLA days per mode,
-# factory coordinates, product → factory map.
+# Fixed values (the reference data set): ship modes slowest → fastest and SLA days per mode.
+# Product → factory maps and factory coordinates are configuration (user data), passed as dimension tables.
 REFERENCE_SHIP_MODES = ["Standard Class", "Second Class", "First Class", "Same Day"]
 REFERENCE_SLA_DAYS = {"Standard Class": 5.0, "Second Class": 3.0, "First Class": 2.0, "Same Day": 1.0}
-REFERENCE_FACTORY_COORDS = {
-    "Lot's O' Nuts": (32.881893, -111.768036),
-    "Wicked Choccy's": (32.076176, -81.088371),
-    "Sugar Shack": (48.119140, -96.181150),
-    "Secret Factory": (41.446333, -90.565487),
-    "The Other Factory": (35.117500, -89.971107),
-}
-REFERENCE_PRODUCT_FACTORY = {
-    "Wonka Bar - Nutty Crunch Surprise": "Lot's O' Nuts",
-    "Wonka Bar - Fudge Mallows": "Lot's O' Nuts",
-    "Wonka Bar - Scrumdiddlyumptious": "Lot's O' Nuts",
-    "Wonka Bar - Milk Chocolate": "Wicked Choccy's",
-    "Wonka Bar - Triple Dazzle Caramel": "Wicked Choccy's",
-    "Laffy Taffy": "Sugar Shack",
-    "SweeTARTS": "Sugar Shack",
-    "Nerds": "Sugar Shack",
-    "Fun Dip": "Sugar Shack",
-    "Fizzy Lifting Drinks": "Sugar Shack",
-    "Everlasting Gobstopper": "Secret Factory",
-    "Lickable Wallpaper": "Secret Factory",
-    "Wonka Gum": "Secret Factory",
-    "Hair Toffee": "The Other Factory",
-    "Kazookles": "The Other Factory",
-}
 REFERENCE_REGIONS = ["Gulf", "Interior", "Pacific", "Atlantic"]
 REFERENCE_DIVISIONS = ["Chocolate", "Sugar", "Other"]
 
