@@ -30,24 +30,25 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], prefix: str = "
     cum = running_total(vc, [F.col("v").asc()], "c", "cum")          # cum = rows with value ≤ v
     n = vc.agg(F.sum("c").alias("n"))
     ranked = cum.crossJoin(F.broadcast(n))
-    outs = []
+    # one pass over the running counts: for every probability keep the values
+    # at its lower and upper rank (each holds on exactly one distinct value)
+    at = lambda r: (F.col("cum") - F.col("c") <= r) & (r < F.col("cum"))
+    picks, aggs = [], []
     for i, p in enumerate(probs):
         pos = (F.col("n") - 1) * F.lit(float(p))
         lo, hi = F.floor(pos), F.ceil(pos)
-        # the distinct value covering 0-based rank r satisfies cum - c <= r < cum
-        at = lambda r: (F.col("cum") - F.col("c") <= r) & (r < F.col("cum"))
-        pick = ranked.select(
-            F.when(at(lo), F.col("v")).alias("__lo_v"), F.when(at(hi), F.col("v")).alias("__hi_v"),
-            pos.alias("__pos"), lo.alias("__lo"), hi.alias("__hi")).filter(
-            F.col("__lo_v").isNotNull() | F.col("__hi_v").isNotNull())
-        agg = pick.agg(F.max("__lo_v").alias("a"), F.max("__hi_v").alias("b"), F.max("__pos").alias("pos"),
-                       F.max("__lo").alias("lo"), F.max("__hi").alias("hi"))
-        val = F.when(F.col("lo") == F.col("hi"), F.col("a")).otherwise(
-            (F.col("hi") - F.col("pos")) * F.col("a") + (F.col("pos") - F.col("lo")) * F.col("b"))
-        outs.append(agg.select(val.alias(f"{prefix}{i}")))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.crossJoin(o)
+        picks += [F.when(at(lo), F.col("v")).alias(f"__a{i}"), F.when(at(hi), F.col("v")).alias(f"__b{i}"),
+                  pos.alias(f"__pos{i}")]
+        aggs += [F.max(f"__a{i}").alias(f"__a{i}"), F.max(f"__b{i}").alias(f"__b{i}"),
+                 F.max(f"__pos{i}").alias(f"__pos{i}")]
+    agg = ranked.select(*picks).agg(*aggs)
+    outs = []
+    for i in range(len(probs)):
+        pos = F.col(f"__pos{i}")
+        lo, hi = F.floor(pos), F.ceil(pos)
+        a_, b_ = F.col(f"__a{i}"), F.col(f"__b{i}")
+        outs.append(F.when(lo == hi, a_).otherwise((hi - pos) * a_ + (pos - lo) * b_).alias(f"{prefix}{i}"))
+    out = agg.select(*outs)
     # an empty input still yields one (all-null) row
     return _one_row(df, out, len(probs), prefix)
 

@@ -8,8 +8,9 @@ are derived here too, so every query's work grows with the input tables.
 Join plan: lineitem and orders are the two large inputs and are joined on the
 order key with a sort-merge join (both sides shuffled once; never a
 broadcast, whatever the file-size estimate says).  customer, part, nation
-and region are broadcast only when their row count — read from the Parquet
-footers — is under a bound; above it they are shuffle-joined.
+and region are left to Spark's size-checked join selection: broadcast under
+``spark.sql.autoBroadcastJoinThreshold`` (estimated from the files), shuffle
+join above it, re-checked at runtime by AQE.
 """
 
 from __future__ import annotations
@@ -48,19 +49,19 @@ def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
 
-    small = small_tables(spark, sf_dir)
-
-    def side(df, name):
-        return F.broadcast(df) if name in small else df
-    geo = n.join(side(r, "region"), n.n_regionkey == r.r_regionkey)
-    cust = (c.join(side(geo, "nation"), c.c_nationkey == geo.n_nationkey)
+    # dimension sides: no hint — Spark broadcasts a side whose estimated size
+    # (Parquet file size) is under spark.sql.autoBroadcastJoinThreshold and
+    # shuffle-joins it otherwise; AQE re-checks with runtime sizes.
+    # small_tables() gives an exact row-count check when a caller wants one.
+    geo = n.join(r, n.n_regionkey == r.r_regionkey)
+    cust = (c.join(geo, c.c_nationkey == geo.n_nationkey)
              .select("c_custkey", "c_mktsegment", "n_name", "r_name"))
-    orders = o.join(side(cust, "customer"), o.o_custkey == cust.c_custkey)
+    orders = o.join(cust, o.o_custkey == cust.c_custkey)
     # lineitem and orders grow together: never broadcast either, sort-merge
     # join on the order key (spills gracefully, and spreads a single-file
     # input over all shuffle partitions)
     lo = li.join(orders.hint("merge"), li.l_orderkey == orders.o_orderkey)
-    return lo.join(side(p, "part"), lo.l_partkey == p.p_partkey)
+    return lo.join(p, lo.l_partkey == p.p_partkey)
 
 
 _SMALL: dict = {}
