@@ -23,10 +23,25 @@ from pyspark.sql import DataFrame, functions as F
 from lanecraft.functions.windows import running_total
 
 
+#: Up to this many distinct values, one task computes the quantile from the
+#: (value, count) table with Spark's ``percentile(v, p, frequency)``.
+SMALL_DISTINCT = 200_000
+
+
 def exact_quantiles(df: DataFrame, col: str, probs: list[float], prefix: str = "q") -> DataFrame:
-    """One row with columns ``{prefix}0, {prefix}1, …`` (null when no values)."""
+    """One row with columns ``{prefix}0, {prefix}1, …`` (null when no values).
+
+    The (value, count) table is written once to the shared checkpoint folder;
+    its row count (the number of distinct values) picks the path: few distinct
+    values → ``percentile`` with frequencies in one small task, many →
+    the distributed running count."""
+    from lanecraft.plans.materialize import materialize
+
     v = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    vc = v.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    vc = materialize(v.groupBy("v").agg(F.count(F.lit(1)).alias("c")), "value-counts")
+    if vc.count() <= SMALL_DISTINCT:
+        out = vc.agg(*[F.percentile("v", float(p), F.col("c")).alias(f"{prefix}{i}") for i, p in enumerate(probs)])
+        return _one_row(df, out, len(probs), prefix)
     cum = running_total(vc, [F.col("v").asc()], "c", "cum")          # cum = rows with value ≤ v
     n = vc.agg(F.sum("c").alias("n"))
     ranked = cum.crossJoin(F.broadcast(n))

@@ -37,7 +37,7 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dirty(spark: SparkSession, sf_dir: str, currency: bool = False) -> DataFrame:
     """The dirtied raw table (stand-in for a raw CSV drop), written once per session."""
     return _memo(spark, ("dirty", sf_dir, currency),
-                 lambda: materialize(td.dirty_shipments(spark, sf_dir, currency), "dirty"))
+                 lambda: materialize(td.dirty_shipments(spark, sf_dir, currency, base(spark, sf_dir)), "dirty"))
 
 
 def batch_features(fact: DataFrame, factory_dim: DataFrame, coords_dim: DataFrame,

@@ -116,18 +116,18 @@ def _canonical(j: DataFrame, extra=()) -> DataFrame:
     )
 
 
-def dirty_shipments(spark: SparkSession, sf_dir: str, currency: bool = False) -> DataFrame:
+def dirty_shipments(spark: SparkSession, sf_dir: str, currency: bool = False, base: DataFrame | None = None) -> DataFrame:
     """All-text raw table with injected faults (for the cleaning operators).
 
     ship date ``31-02-2024`` where part % 97 = 0; order date in ISO form where
     supplier % 7 = 0; sales missing where supplier % 13 = 0 (and written as
     ``$1,234.5678`` when ``currency``); city padded with blanks; product name
     missing where part % 89 = 0; every line of orders with key % 100 = 0
-    appears twice.
+    appears twice.  Built from the canonical table (``base``, e.g. its
+    materialized copy); the supplier key is the 4th field of the row id.
     """
-    j = _joined(spark, sf_dir)
-    c = _canonical(j, extra=(F.col("l_suppkey").alias("__supp"),))
-    supp, part = F.col("__supp"), F.col(S.PRODUCT_ID)
+    c = base if base is not None else shipments(spark, sf_dir)
+    supp, part = F.split(F.col(S.ROW_ID), "-").getItem(3).cast("long"), F.col(S.PRODUCT_ID)
     sales_txt = (F.concat(F.lit("$"), F.format_number(F.col(S.SALES), 4)) if currency
                  else F.col(S.SALES).cast("string"))
     d = c.select(

@@ -159,3 +159,13 @@ def test_running_total_matches_window(spark):
     w = Window.orderBy(F.col("v").desc(), F.col("id")).rowsBetween(Window.unboundedPreceding, 0)
     b = {r["id"]: r["rt"] for r in df.withColumn("rt", F.sum("v").over(w)).collect()}
     assert a == b
+
+
+def test_exact_quantiles_distributed_path(spark, monkeypatch):
+    from lanecraft.functions import quantiles as QN
+    monkeypatch.setattr(QN, "SMALL_DISTINCT", 10)          # force the range-partitioned path
+    df = spark.range(2000).select((((F.col("id") * 7919) % 1013) / 3.0).alias("x"))
+    probs = [0.0, 0.25, 0.5, 0.75, 0.99, 1.0]
+    a = QN.exact_quantiles(df, "x", probs).first()
+    b = df.agg(*[F.percentile("x", p).alias(f"q{i}") for i, p in enumerate(probs)]).first()
+    assert list(a) == list(b)
