@@ -31,15 +31,14 @@ SMALL_DISTINCT = 200_000
 def exact_quantiles(df: DataFrame, col: str, probs: list[float], prefix: str = "q") -> DataFrame:
     """One row with columns ``{prefix}0, {prefix}1, …`` (null when no values).
 
-    The (value, count) table is written once to the shared checkpoint folder;
-    its row count (the number of distinct values) picks the path: few distinct
-    values → ``percentile`` with frequencies in one small task, many →
-    the distributed running count."""
-    from lanecraft.plans.materialize import materialize
-
+    An approximate distinct count (one HyperLogLog pass, no shuffle) picks the
+    path: few distinct values → ``percentile`` with frequencies over the
+    (value, count) table in one small task, many → the distributed running
+    count.  Both paths are exact; the estimate only chooses between them."""
     v = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    vc = materialize(v.groupBy("v").agg(F.count(F.lit(1)).alias("c")), "value-counts")
-    if vc.count() <= SMALL_DISTINCT:
+    vc = v.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    approx = v.agg(F.approx_count_distinct("v", 0.02).alias("d")).first()["d"]
+    if approx <= SMALL_DISTINCT * 0.9:
         out = vc.agg(*[F.percentile("v", float(p), F.col("c")).alias(f"{prefix}{i}") for i, p in enumerate(probs)])
         return _one_row(df, out, len(probs), prefix)
     cum = running_total(vc, [F.col("v").asc()], "c", "cum")          # cum = rows with value ≤ v
