@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame, functions as F
 from lanecraft.functions.windows import running_total
 
 
-#: Up to this many distinct values, one task computes the quantile from the
+#: Up to this many distinct values (a bounded map per task), one task computes the quantile from the
 #: (value, count) table with Spark's ``percentile(v, p, frequency)``.
-SMALL_DISTINCT = 200_000
+SMALL_DISTINCT = 1_000_000  # ≈ 100 MB of boxed doubles in one task at most
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: list[float], prefix: str = "q") -> DataFrame:
