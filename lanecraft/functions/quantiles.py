@@ -28,7 +28,8 @@ from lanecraft.functions.windows import running_total
 SMALL_DISTINCT = 1_000_000  # ≈ 100 MB of boxed doubles in one task at most
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: list[float], prefix: str = "q") -> DataFrame:
+def exact_quantiles(df: DataFrame, col: str, probs: list[float], prefix: str = "q",
+                    approx_distinct: int | None = None) -> DataFrame:
     """One row with columns ``{prefix}0, {prefix}1, …`` (null when no values).
 
     An approximate distinct count (one HyperLogLog pass, no shuffle) picks the
@@ -37,7 +38,8 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], prefix: str = "
     count.  Both paths are exact; the estimate only chooses between them."""
     v = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
     vc = v.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    approx = v.agg(F.approx_count_distinct("v", 0.02).alias("d")).first()["d"]
+    approx = (approx_distinct if approx_distinct is not None
+              else v.agg(F.approx_count_distinct("v", 0.02).alias("d")).first()["d"])
     if approx <= SMALL_DISTINCT * 0.9:
         out = vc.agg(*[F.percentile("v", float(p), F.col("c")).alias(f"{prefix}{i}") for i, p in enumerate(probs)])
         return _one_row(df, out, len(probs), prefix)
@@ -73,5 +75,14 @@ def _one_row(df: DataFrame, out: DataFrame, k: int, prefix: str) -> DataFrame:
     return out.unionByName(filler).agg(*[F.max(c).alias(c) for c in cols])
 
 
-def exact_median(df: DataFrame, col: str, name: str | None = None) -> DataFrame:
-    return exact_quantiles(df, col, [0.5], "__m").withColumnRenamed("__m0", name or f"median_{col}")
+def exact_median(df: DataFrame, col: str, name: str | None = None, approx_distinct: int | None = None) -> DataFrame:
+    return exact_quantiles(df, col, [0.5], "__m", approx_distinct).withColumnRenamed("__m0", name or f"median_{col}")
+
+
+def approx_distinct_counts(df: DataFrame, cols: list[str]) -> dict[str, int]:
+    """Approximate distinct counts of several columns in one pass (one small action)."""
+    if not cols:
+        return {}
+    row = df.agg(*[F.approx_count_distinct(F.col(c).cast("double"), 0.02).alias(f"d{i}")
+                   for i, c in enumerate(cols)]).first()
+    return {c: row[f"d{i}"] for i, c in enumerate(cols)}

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from lanecraft import schema as S
 from lanecraft.functions.exprs import literal_table
-from lanecraft.functions.quantiles import exact_median
+from lanecraft.functions.quantiles import approx_distinct_counts, exact_median
 
 DAY_FIRST = "dd-MM-yyyy"
 ISO = "yyyy-MM-dd"
@@ -90,8 +90,9 @@ def null_columns(df: DataFrame, cols) -> list[str]:
 def _medians(df: DataFrame, cols) -> DataFrame:
     """One row of exact medians (distributed; see :mod:`lanecraft.functions.quantiles`)."""
     out = df.sparkSession.range(1).select(F.lit(0).alias("__k"))
+    approx = approx_distinct_counts(df, list(cols))      # one pass for every column
     for c in cols:
-        out = out.crossJoin(exact_median(df, c, f"__med_{c}"))
+        out = out.crossJoin(exact_median(df, c, f"__med_{c}", approx[c]))
     return out.drop("__k")
 
 
