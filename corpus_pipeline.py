@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lanecraft.llm import lang_id, minhash, mixing, packing
-from lanecraft.llm.common import read, stage, text_batches
+from lanecraft.llm.common import read, stage, prepare
 from lanecraft.llm.queries import tokenizer
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what has no language (null text, no letters); ``lang`` becomes the predicted language."""
-    text_batches(spark)
+    prepare(spark)
     refs = lang_id.fit(docs)
     found = lang_id.predict(docs, refs, docs.columns)
     return found.where(F.col("lang_pred") != lang_id.UNKNOWN).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
@@ -23,7 +23,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one of smallest id."""
-    text_batches(spark)
+    prepare(spark)
     kept = minhash.near_duplicates(docs)
     keep = stage(kept.where("kept and doc_id is not null").select("doc_id").distinct(), "kept")
     return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lanecraft.session import ensure_checkpoint_dir
 
@@ -18,12 +23,26 @@ GROUP_BYTES = 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    text_batches(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def text_batches(spark: SparkSession) -> None:
+def prepare(spark: SparkSession) -> None:
+    """Once per context: batches sized for text, and the package sent to the Python workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    sc = spark.sparkContext
+    if getattr(sc, "_lanecraft_sent", False):
+        return
+    root = Path(__file__).resolve().parent.parent
+    # built beside the driver, which serves it to the executors as long as the session lives
+    folder = tempfile.mkdtemp(prefix="lanecraft-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "lanecraft.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._lanecraft_sent = True
 
 
 def partitions(spark: SparkSession) -> int:
@@ -80,3 +99,12 @@ def grouped(batches, column: str, target: int = GROUP_BYTES):
 
 def empty_like(schema: str, spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], schema)
+
+
+#: A staged side up to this size may be broadcast; a larger one is joined by a shuffle.
+BROADCAST_BYTES = 48 << 20
+
+
+def sized(staged: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint behind a check of the side's size (rows x bytes a row), else the side as it is."""
+    return F.broadcast(staged) if staged.count() * row_bytes <= limit else staged

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lanecraft.llm import lang_id, minhash, mixing, packing, token_count, topk
+from lanecraft.llm import lang_id, minhash, mixing, packing, suffix_dedup, token_count, topk
 from lanecraft.llm.common import read
 
 #: Folder-independent lookup of a public tokenizer file; jobs may pass another path to the operators.
@@ -43,5 +43,10 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs, keep="none", with_text=False)
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
