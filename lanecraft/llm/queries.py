@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lanecraft.llm import lang_id, minhash, mixing, packing, suffix_dedup, token_count, topk
+from lanecraft.llm import lang_id, minhash, mixing, packing, rp_forest, suffix_dedup, token_count, topk
 from lanecraft.llm.common import read
 
 #: Folder-independent lookup of a public tokenizer file; jobs may pass another path to the operators.
@@ -24,6 +24,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.predict(docs, refs, ["doc_id"]).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op2_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp_forest.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
