@@ -18,3 +18,36 @@ WITH v AS (
 )
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20
 """
+
+# turns in order, their windows and repeats (span 768, history 192), and digests of the plain texts
+SQL["op4_chat_format"] = r"""
+WITH rows_ AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), cost AS (
+  SELECT *, len(regexp_extract_all(text, '\w+|[^\w\s]')) + 1 AS cost,
+         length(regexp_replace(role, '(\\|<s>|</s>|\[INST\]|\[/INST\])', '\\\1', 'g'))
+         + length(regexp_replace(text, '(\\|<s>|</s>|\[INST\]|\[/INST\])', '\\\1', 'g')) + 23 AS chars
+  FROM rows_
+), placed AS (
+  SELECT *, (coalesce(sum(cost) OVER w, 0) // 768)::BIGINT AS win, coalesce(sum(cost) OVER w, 0)::BIGINT AS before,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS nth
+  FROM cost
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), used AS (SELECT DISTINCT conv_id, win FROM placed),
+again AS (
+  SELECT p.conv_id, p.chars FROM placed p JOIN used u ON u.conv_id IS NOT DISTINCT FROM p.conv_id AND u.win > p.win
+  WHERE p.nth = 0 AND p.role = 'system'
+  UNION ALL
+  SELECT p.conv_id, p.chars FROM placed p JOIN used u ON u.conv_id IS NOT DISTINCT FROM p.conv_id AND u.win = p.win + 1
+  WHERE NOT (p.nth = 0 AND p.role = 'system') AND p.before + 192 >= (p.win + 1) * 768
+), extra AS (SELECT conv_id, sum(chars) AS chars FROM again GROUP BY conv_id)
+SELECT p.conv_id, count(*) AS n_turns,
+       sha256(string_agg(p.role || chr(10) || p.text || chr(10), '' ORDER BY p.nth)) AS turns_sha256,
+       coalesce(sum(length(p.text)) FILTER (WHERE p.role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(p.text, '' ORDER BY p.nth) FILTER (WHERE p.role = 'assistant'), '')) AS loss_sha256,
+       (sum(p.chars) + coalesce(any_value(e.chars), 0))::BIGINT AS formatted_chars
+FROM placed p LEFT JOIN extra e ON e.conv_id IS NOT DISTINCT FROM p.conv_id
+GROUP BY p.conv_id
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lanecraft.llm import lang_id, minhash, mixing, packing, rp_forest, suffix_dedup, token_count, topk
+from lanecraft.llm import chat, lang_id, minhash, mixing, packing, rp_forest, suffix_dedup, token_count, topk
 from lanecraft.llm.common import read
 
 #: Folder-independent lookup of a public tokenizer file; jobs may pass another path to the operators.
@@ -32,6 +32,14 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                 F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    return chat.digests(chat.windows(turns.unionByName(more))).withColumnRenamed("conv", "conv_id")
+
+
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
