@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lanecraft.llm import chat, lang_id, minhash, mixing, packing, rp_forest, suffix_dedup, token_count, topk
+from lanecraft.llm import chat, lang_id, minhash, mixing, packing, rp_forest, suffix_dedup, token_count, topk, wrapper
 from lanecraft.llm.common import read
 
 #: Folder-independent lookup of a public tokenizer file; jobs may pass another path to the operators.
@@ -60,5 +60,9 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(docs, keep="none", with_text=False)
 
 
+def op9_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.main_text(read(spark, sf_dir, "pages"))
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
