@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lanecraft.llm import lang_id, minhash, mixing, packing
-from lanecraft.llm.common import read, stage, prepare
+from lanecraft.llm import lang_id, minhash, mixing, packing, suffix_dedup
+from lanecraft.llm.common import prepare, read, sized, stage
 from lanecraft.llm.queries import tokenizer
 
 
@@ -29,12 +29,40 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
 
 
-STAGES = [("language_id", language), ("minhash_dedup", near_duplicates)]
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of passages of 200 bytes or more go from the texts; texts that lose everything go."""
+    prepare(spark)
+    cut = suffix_dedup.remove_repeats(docs).where("text <> '' or n_removed = 0")
+    other = [F.col(f"row.{c}").alias(c) for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    return cut.select("doc_id", "text", *other, F.length("text").cast("long").alias("n_chars")).select(*docs.columns)
+
+
+def target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: not at all, once or twice."""
+    prepare(spark)
+    copies = stage(mixing.mix(docs).where("copies > 0").select("doc_id", "copies"), "copies")
+    taken = docs.join(sized(copies, 32), "doc_id")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the taken documents, placed in sequences of 2048 tokens."""
+    prepare(spark)
+    return packing.best_fit_pack(docs, tokenizer("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language_id", language),
+    ("minhash_dedup", near_duplicates),
+    ("suffix_dedup", repeated_passages),
+    ("source_mix", target_weights),
+    ("best_fit_packing", pack),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for name, step in STAGES:
+    for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), name)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

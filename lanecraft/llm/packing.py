@@ -48,7 +48,6 @@ def encoder(path: str):
     the faster ranks; texts that hold a special token's string or a very long run go to ``tokenizers``.
     """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    import regex
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
@@ -66,16 +65,21 @@ def encoder(path: str):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    run = regex.compile(r"\S{%d}|\s{%d}" % (LONG_RUN, LONG_RUN))
 
     def encode(text: str) -> np.ndarray:
-        if any(s in text for s in specials) or (len(text) >= LONG_RUN and run.search(text)):
+        if any(s in text for s in specials) or (len(text) >= LONG_RUN and _long_run(text)):
             return exact(text)
-        return np.array(fast.encode_ordinary(text), np.uint32)
+        return fast.encode_to_numpy(text, disallowed_special=())
 
     return encode
 
 
+def _long_run(text: str) -> bool:
+    """A run of LONG_RUN characters without, or of nothing but, white space."""
+    parts = text.split()
+    return max(map(len, parts), default=0) >= LONG_RUN or len(text) - sum(map(len, parts)) - len(parts) >= LONG_RUN
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
            seq_len: int = SEQ_LEN, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32 (of the little-endian 32-bit ids)."""
@@ -192,9 +196,7 @@ def _lookup(patterns: list[tuple[tuple[int, ...], int]]):
 
 
 def pack(cut: DataFrame, seq_len: int = SEQ_LEN) -> DataFrame:
-    """Adds sequence_id and offset to the (staged) pieces of :func:`pieces`."""
-    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(RANK_BUCKETS))
-    cut = cut.withColumn("bucket", bucket)
+    """Adds sequence_id and offset to the staged pieces (with their bucket)."""
     counts = cut.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     total = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # <= seq_len rows
     table = _lookup(plan(total, seq_len))
@@ -225,4 +227,6 @@ def pack(cut: DataFrame, seq_len: int = SEQ_LEN) -> DataFrame:
 def best_fit_pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
                   seq_len: int = SEQ_LEN, end_id: int = END_ID) -> DataFrame:
     """Tokenise, cut and pack; the pieces (numbers only, no text) are staged once and read twice."""
-    return pack(stage(pieces(docs, tokenizer_path, id_col, text_col, seq_len, end_id), "pieces"), seq_len)
+    # the bucket spreads equal lengths, even those of one repeated row; it is fixed once staged
+    bucket = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(RANK_BUCKETS))
+    return pack(stage(pieces(docs, tokenizer_path, id_col, text_col, seq_len, end_id).withColumn("bucket", bucket), "pieces"), seq_len)
