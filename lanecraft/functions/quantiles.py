@@ -3,17 +3,18 @@
 Spark's ``percentile`` keeps a map of every distinct value of a group in one
 task; on a high-cardinality column of a very large table that map does not
 fit.  ``exact_quantiles`` computes the same linear-interpolation quantile
-(position = (n − 1)·p, result = (hi − pos)·v_lo + (pos − lo)·v_hi) in a
-distributed way:
+(position = (n − 1)·p, result = (hi − pos)·v_lo + (pos − lo)·v_hi) in one
+distributed way at every size, all columns in one pass:
 
-1. ``groupBy(value).count()`` — duplicates collapse map-side, so a value that
-   holds a third of all rows costs one row;
+1. the columns are unpivoted to (column, value) and counted — duplicates
+   collapse map-side, so a value that holds a third of all rows is one row;
 2. a global running count over the distinct values, range-partitioned by
-   value (:func:`lanecraft.functions.windows.running_total`);
+   (column, value) (:func:`lanecraft.functions.windows.running_total`);
 3. the (at most two) distinct values whose cumulative-count interval contains
    the target ranks are selected by a filter and interpolated.
 
-The result is a one-row DataFrame, meant to be crossed into a plan.
+Null and NaN values are missing.  The result is a one-row DataFrame, meant to
+be crossed into a plan.
 """
 
 from __future__ import annotations
@@ -23,66 +24,44 @@ from pyspark.sql import DataFrame, functions as F
 from lanecraft.functions.windows import running_total
 
 
-#: Up to this many distinct values (a bounded map per task), one task computes the quantile from the
-#: (value, count) table with Spark's ``percentile(v, p, frequency)``.
-SMALL_DISTINCT = 1_000_000  # ≈ 100 MB of boxed doubles in one task at most
-
-
-def exact_quantiles(df: DataFrame, col: str, probs: list[float], prefix: str = "q",
-                    approx_distinct: int | None = None) -> DataFrame:
-    """One row with columns ``{prefix}0, {prefix}1, …`` (null when no values).
-
-    An approximate distinct count (one HyperLogLog pass, no shuffle) picks the
-    path: few distinct values → ``percentile`` with frequencies over the
-    (value, count) table in one small task, many → the distributed running
-    count.  Both paths are exact; the estimate only chooses between them."""
-    v = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    vc = v.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    approx = (approx_distinct if approx_distinct is not None
-              else v.agg(F.approx_count_distinct("v", 0.02).alias("d")).first()["d"])
-    if approx <= SMALL_DISTINCT * 0.9:
-        out = vc.agg(*[F.percentile("v", float(p), F.col("c")).alias(f"{prefix}{i}") for i, p in enumerate(probs)])
-        return _one_row(df, out, len(probs), prefix)
-    cum = running_total(vc, [F.col("v").asc()], "c", "cum")          # cum = rows with value ≤ v
-    n = vc.agg(F.sum("c").alias("n"))
-    ranked = cum.crossJoin(F.broadcast(n))
-    # one pass over the running counts: for every probability keep the values
-    # at its lower and upper rank (each holds on exactly one distinct value)
+def column_quantiles(df: DataFrame, probs: dict[str, list[float]], prefix: str = "q") -> DataFrame:
+    """One row with columns ``{prefix}{i}_{j}`` for the j-th probability of the i-th column (null when the
+    column has no values)."""
+    cols = list(probs)
+    pairs = F.array(*[F.struct(F.lit(i).alias("k"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)])
+    long = df.select(F.explode(pairs).alias("x")).select("x.k", "x.v").filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    counts = long.groupBy("k", "v").agg(F.count(F.lit(1)).alias("c"))
+    cum = running_total(counts, [F.col("k").asc(), F.col("v").asc()], "c", "cum")
+    # rows per column, and rows of the columns before it: one row per column
+    sizes = cum.groupBy("k").agg(F.sum("c").alias("n"), F.max("cum").alias("last"))
+    ranked = cum.join(sizes, "k").withColumn("cum", F.col("cum") - (F.col("last") - F.col("n")))
     at = lambda r: (F.col("cum") - F.col("c") <= r) & (r < F.col("cum"))
-    picks, aggs = [], []
-    for i, p in enumerate(probs):
-        pos = (F.col("n") - 1) * F.lit(float(p))
-        lo, hi = F.floor(pos), F.ceil(pos)
-        picks += [F.when(at(lo), F.col("v")).alias(f"__a{i}"), F.when(at(hi), F.col("v")).alias(f"__b{i}"),
-                  pos.alias(f"__pos{i}")]
-        aggs += [F.max(f"__a{i}").alias(f"__a{i}"), F.max(f"__b{i}").alias(f"__b{i}"),
-                 F.max(f"__pos{i}").alias(f"__pos{i}")]
-    agg = ranked.select(*picks).agg(*aggs)
-    outs = []
-    for i in range(len(probs)):
-        pos = F.col(f"__pos{i}")
-        lo, hi = F.floor(pos), F.ceil(pos)
-        a_, b_ = F.col(f"__a{i}"), F.col(f"__b{i}")
-        outs.append(F.when(lo == hi, a_).otherwise((hi - pos) * a_ + (pos - lo) * b_).alias(f"{prefix}{i}"))
-    out = agg.select(*outs)
-    # an empty input still yields one (all-null) row
-    return _one_row(df, out, len(probs), prefix)
-
-
-def _one_row(df: DataFrame, out: DataFrame, k: int, prefix: str) -> DataFrame:
-    cols = [f"{prefix}{i}" for i in range(k)]
-    filler = df.sparkSession.range(1).select(*[F.lit(None).cast("double").alias(c) for c in cols])
-    return out.unionByName(filler).agg(*[F.max(c).alias(c) for c in cols])
-
-
-def exact_median(df: DataFrame, col: str, name: str | None = None, approx_distinct: int | None = None) -> DataFrame:
-    return exact_quantiles(df, col, [0.5], "__m", approx_distinct).withColumnRenamed("__m0", name or f"median_{col}")
-
-
-def approx_distinct_counts(df: DataFrame, cols: list[str]) -> dict[str, int]:
-    """Approximate distinct counts of several columns in one pass (one small action)."""
-    if not cols:
-        return {}
-    row = df.agg(*[F.approx_count_distinct(F.col(c).cast("double"), 0.02).alias(f"d{i}")
-                   for i, c in enumerate(cols)]).first()
-    return {c: row[f"d{i}"] for i, c in enumerate(cols)}
+    aggs, outs = [], []
+    for i, c in enumerate(cols):
+        for j, p in enumerate(probs[c]):
+            own = F.col("k") == i
+            pos = (F.col("n") - 1) * F.lit(float(p))
+            t = f"{i}_{j}"
+            aggs += [F.max(F.when(own & at(F.floor(pos)), F.col("v"))).alias(f"__a{t}"),
+                     F.max(F.when(own & at(F.ceil(pos)), F.col("v"))).alias(f"__b{t}"),
+                     F.max(F.when(own, pos)).alias(f"__p{t}")]
+            pos, a, b = F.col(f"__p{t}"), F.col(f"__a{t}"), F.col(f"__b{t}")
+            lo, hi = F.floor(pos), F.ceil(pos)
+            outs.append(F.when(lo == hi, a).otherwise((hi - pos) * a + (pos - lo) * b).alias(f"{prefix}{t}"))
+    return ranked.agg(*aggs).select(*outs)  # a global aggregate: one row even without values
+
+
+def exact_quantiles(df: DataFrame, col: str, probs: list[float], prefix: str = "q") -> DataFrame:
+    """One row with columns ``{prefix}0, {prefix}1, …`` (null when no values)."""
+    out = column_quantiles(df, {col: probs}, "__x")
+    return out.select(*[F.col(f"__x0_{j}").alias(f"{prefix}{j}") for j in range(len(probs))])
+
+
+def exact_medians(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """One row of medians, all columns in one pass; ``names`` maps a column to its output name."""
+    out = column_quantiles(df, {c: [0.5] for c in names}, "__x")
+    return out.select(*[F.col(f"__x{i}_0").alias(name) for i, name in enumerate(names.values())])
+
+
+def exact_median(df: DataFrame, col: str, name: str | None = None) -> DataFrame:
+    return exact_medians(df, {col: name or f"median_{col}"})

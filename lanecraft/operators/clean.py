@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from lanecraft import schema as S
 from lanecraft.functions.exprs import literal_table
-from lanecraft.functions.quantiles import approx_distinct_counts, exact_median
+from lanecraft.functions.quantiles import exact_medians
+from lanecraft.plans.materialize import materialize
 
 DAY_FIRST = "dd-MM-yyyy"
 ISO = "yyyy-MM-dd"
@@ -66,10 +67,16 @@ def date_parse_failures(raw: DataFrame, cols=DATE_COLUMNS, fmt: str = DAY_FIRST)
 # ── numerics ─────────────────────────────────────────────────────────────────
 
 def cast_numeric(df: DataFrame, money_cols=MONEY_COLUMNS, int_cols=(S.UNITS,)) -> DataFrame:
-    """Coerce text to numbers; anything unparsable becomes null."""
-    m = {c: F.col(c).cast("string").try_cast(T.DoubleType()) for c in money_cols if c in df.columns}
-    m.update({c: F.col(c).cast("string").try_cast(T.LongType()) for c in int_cols if c in df.columns})
-    return df.withColumns(m)
+    """Coerce text to numbers; anything unparsable, ``NaN`` and infinities included, becomes null.
+
+    All columns become doubles (``3.0`` units are 3); :func:`enforce_types` makes units integers."""
+    return df.withColumns({c: number(F.col(c)) for c in [*money_cols, *int_cols] if c in df.columns})
+
+
+def number(c):
+    """Text → finite double or null."""
+    v = F.trim(c.cast("string")).try_cast(T.DoubleType())
+    return F.when(F.isnan(v) | (F.abs(v) == F.lit(float("inf"))), None).otherwise(v)
 
 
 def postal_pad(df: DataFrame, col: str = S.POSTAL_CODE, width: int = 5) -> DataFrame:
@@ -89,11 +96,7 @@ def null_columns(df: DataFrame, cols) -> list[str]:
 
 def _medians(df: DataFrame, cols) -> DataFrame:
     """One row of exact medians (distributed; see :mod:`lanecraft.functions.quantiles`)."""
-    out = df.sparkSession.range(1).select(F.lit(0).alias("__k"))
-    approx = approx_distinct_counts(df, list(cols))      # one pass for every column
-    for c in cols:
-        out = out.crossJoin(exact_median(df, c, f"__med_{c}", approx[c]))
-    return out.drop("__k")
+    return exact_medians(df, {c: f"__med_{c}" for c in cols})
 
 
 def dirty_numeric(df: DataFrame, money_cols=MONEY_COLUMNS, unit_col: str = S.UNITS) -> DataFrame:
@@ -104,13 +107,13 @@ def dirty_numeric(df: DataFrame, money_cols=MONEY_COLUMNS, unit_col: str = S.UNI
     num = {c: F.regexp_replace(F.col(c).cast("string"), r"[^0-9.\-]", "").try_cast(T.DoubleType())
            for c in cols + ([unit_col] if has_units else [])}
     d = df.withColumns(num)
-    med = _medians(d, null_columns(d, list(num)))
-    out = d.crossJoin(F.broadcast(med))
-    med_of = lambda c: F.col(f"__med_{c}") if f"__med_{c}" in med.columns else F.lit(None).cast("double")
+    med = _medians(d, list(num)) if num else None
+    out = d.crossJoin(med) if num else d
+    med_of = lambda c: F.col(f"__med_{c}")
     fills = {c: F.coalesce(F.col(c), med_of(c), F.lit(0.0)) for c in cols}
     if has_units:
         fills[unit_col] = F.coalesce(F.col(unit_col), med_of(unit_col), F.lit(1.0)).cast("int")
-    return out.withColumns(fills).drop(*[c for c in med.columns])
+    return out.withColumns(fills).drop(*[f"__med_{c}" for c in num])
 
 
 # ── missing values ───────────────────────────────────────────────────────────
@@ -135,14 +138,13 @@ def drop_null_dates(df: DataFrame, cols=DATE_COLUMNS) -> DataFrame:
 
 
 def fill_median(df: DataFrame, money_cols=MONEY_COLUMNS, unit_col: str = S.UNITS) -> DataFrame:
-    """Numeric nulls → column median (units → truncated integer median)."""
+    """Numeric nulls → column median (units → truncated median); all medians come from one pass."""
     cols = [c for c in money_cols if c in df.columns] + ([unit_col] if unit_col in df.columns else [])
-    cols = null_columns(df, cols)
     if not cols:
         return df
-    med = _medians(df, cols)
-    out = df.crossJoin(F.broadcast(med))
-    fills = {c: F.coalesce(F.col(c), F.col(f"__med_{c}").cast(df.schema[c].dataType)) for c in cols}
+    med = lambda c: F.col(f"__med_{c}").cast("long") if c == unit_col else F.col(f"__med_{c}")
+    out = df.crossJoin(_medians(df, cols))
+    fills = {c: F.coalesce(F.col(c), med(c).cast(df.schema[c].dataType)) for c in cols}
     return out.withColumns(fills).drop(*[f"__med_{c}" for c in cols])
 
 
@@ -190,9 +192,13 @@ def count_name_fixes(df: DataFrame, corrections: dict[str, str], col: str = S.PR
     return df.agg(F.count_if(F.col(col).isin(list(corrections))).alias("product_name_fixes"))
 
 
+def valid_lead():
+    """Ship date after order date (lead > 0 days)."""
+    return F.datediff(F.col(S.SHIP_DATE), F.col(S.ORDER_DATE)) > 0
+
+
 def drop_invalid_lead(df: DataFrame) -> DataFrame:
-    """Keep rows whose ship date is after the order date (lead > 0 days)."""
-    return df.filter(F.datediff(F.col(S.SHIP_DATE), F.col(S.ORDER_DATE)) > 0)
+    return df.filter(valid_lead())
 
 
 def enforce_types(df: DataFrame) -> DataFrame:
@@ -210,7 +216,7 @@ def clean_pipeline(raw: DataFrame, corrections: dict[str, str] | None = None) ->
     d = parse_dates(d)
     d = cast_numeric(d)
     d = postal_pad(d)
-    d = drop_null_dates(d)
+    d = materialize(drop_null_dates(d), "parsed")  # text is parsed once, for the medians and the rows
     d = fill_median(d)
     d = fill_unknown(d)
     d = dedup_full(d)
@@ -224,14 +230,15 @@ def clean_report(raw: DataFrame, corrections: dict[str, str] | None = None) -> D
     """One row of stage counts: raw rows, rows with bad dates dropped,
     duplicates removed, invalid leads removed, name fixes, final rows."""
     d = postal_pad(cast_numeric(parse_dates(check_schema(raw))))
-    after_dates = drop_null_dates(d)
+    after_dates = materialize(drop_null_dates(d), "parsed")
     filled = fill_unknown(fill_median(after_dates))
-    deduped = dedup_full(filled)
-    fixed = fix_names(trim(deduped), corrections or {})
-    final = drop_invalid_lead(fixed)
+    deduped = trim(dedup_full(filled))
     c = lambda x, name: x.agg(F.count(F.lit(1)).alias(name))
-    r = (c(raw, "raw_rows").crossJoin(c(after_dates, "__after_dates")).crossJoin(c(deduped, "__deduped"))
-         .crossJoin(count_name_fixes(trim(deduped), corrections or {})).crossJoin(c(final, "final_rows")))
+    # one pass over the de-duplicated rows counts them, their name fixes and their valid leads
+    tail = deduped.agg(F.count(F.lit(1)).alias("__deduped"),
+                       F.count_if(F.col(S.PRODUCT_NAME).isin(list(corrections or {}))).alias("product_name_fixes"),
+                       F.count_if(valid_lead()).alias("final_rows"))
+    r = c(raw, "raw_rows").crossJoin(c(after_dates, "__after_dates")).crossJoin(tail)
     return r.select("raw_rows",
                     (F.col("raw_rows") - F.col("__after_dates")).alias("bad_date_rows"),
                     (F.col("__after_dates") - F.col("__deduped")).alias("duplicates_removed"),

@@ -123,7 +123,7 @@ def hl_outliers(df: DataFrame, k: float = 4.0) -> DataFrame:
     """Sales above Q3 + k·IQR (reported, no deduction)."""
     s = F.col(S.SALES).cast("double")
     q = exact_quantiles(df, S.SALES, [0.25, 0.75], "__q")
-    a = (df.crossJoin(F.broadcast(q))
+    a = (df.crossJoin(q)
            .agg(F.count_if(s > F.col("__q1") + F.lit(float(k)) * (F.col("__q1") - F.col("__q0"))).alias("n")))
     n = F.col("n")
     return _row(a, "outliers", n, F.lit(0), F.when(n > 0, F.lit("Low")))

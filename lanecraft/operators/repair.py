@@ -38,7 +38,7 @@ def clean_nulls(df: DataFrame) -> DataFrame:
     num = C.null_columns(df, num)            # only columns that need a fill get a median
     out = df
     if num:
-        out = out.crossJoin(F.broadcast(C._medians(df, num)))
+        out = out.crossJoin(C._medians(df, num))
         fills = {c: F.coalesce(F.col(f"`{c}`"), F.coalesce(F.col(f"__med_{c}"), F.lit(0.0)).cast(df.schema[c].dataType))
                  for c in num}
         out = out.withColumns(fills).drop(*[f"__med_{c}" for c in num])
@@ -61,7 +61,7 @@ def cap_sales(df: DataFrame, q: float = 0.99) -> DataFrame:
     """Winsorize sales at the q-quantile (exact, linear interpolation)."""
     s = F.col(S.SALES).cast("double")
     p = exact_quantiles(df, S.SALES, [q], "__p").withColumnRenamed("__p0", "__p")
-    return (df.crossJoin(F.broadcast(p))
+    return (df.crossJoin(p)
               .withColumn(S.SALES, F.when(s.isNull(), s).otherwise(F.least(s, F.col("__p")))).drop("__p"))
 
 

@@ -27,7 +27,6 @@ def _domains(s):
 MONEY = [S.ROW_ID, S.SALES, S.GROSS_PROFIT, S.COST, S.UNITS]
 
 QUERIES = {
-    "clean_schema_check": lambda s, d: C.schema_report(_dirty(s, d)),
     "clean_parse_dates": lambda s, d: C.parse_dates(_dirty(s, d)).select(S.ROW_ID, S.ORDER_DATE, S.SHIP_DATE),
     "clean_parse_dates_multi": lambda s, d: C.parse_dates_multi(_dirty(s, d)).select(S.ROW_ID, S.ORDER_DATE,
                                                                                      S.SHIP_DATE),
@@ -71,8 +70,13 @@ def _pd_multi(c: str) -> str:
 
 
 POSTAL = "CASE WHEN length(trim(postal_code)) >= 5 THEN trim(postal_code) ELSE lpad(trim(postal_code), 5, '0') END"
-NUM = """TRY_CAST(sales AS DOUBLE) AS sales, TRY_CAST(gross_profit AS DOUBLE) AS gross_profit,
-  TRY_CAST(cost AS DOUBLE) AS cost, TRY_CAST(units AS BIGINT) AS units"""
+
+
+def _num(c: str) -> str:
+    return f"CASE WHEN isfinite(TRY_CAST({c} AS DOUBLE)) THEN TRY_CAST({c} AS DOUBLE) END AS {c}"
+
+
+NUM = ", ".join(_num(c) for c in ("sales", "gross_profit", "cost", "units"))
 COLS = ("row_id, order_id, order_date, ship_date, ship_mode, customer_id, country, city, state, postal_code, division, "
         "region, product_id, product_name, sales, units, gross_profit, cost")
 C1 = f"""c1 AS (SELECT row_id, order_id, {_pd('order_date')} AS order_date, {_pd('ship_date')} AS ship_date, ship_mode,
@@ -85,7 +89,7 @@ C3 = """c3 AS (SELECT row_id, order_id, order_date, ship_date, coalesce(ship_mod
   coalesce(division, 'Unknown') AS division, coalesce(region, 'Unknown') AS region,
   coalesce(product_id, 'Unknown') AS product_id, coalesce(product_name, 'Unknown') AS product_name,
   coalesce(sales, (SELECT median(sales) FROM c2)) AS sales,
-  coalesce(units, (SELECT CAST(trunc(median(units)) AS BIGINT) FROM c2)) AS units,
+  coalesce(units, (SELECT trunc(median(units)) FROM c2)) AS units,
   coalesce(gross_profit, (SELECT median(gross_profit) FROM c2)) AS gross_profit,
   coalesce(cost, (SELECT median(cost) FROM c2)) AS cost FROM c2)"""
 C4 = "c4 AS (SELECT DISTINCT * FROM c3)"
@@ -97,8 +101,6 @@ C5 = f"""c5 AS (SELECT row_id, order_id, order_date, ship_date, trim(ship_mode)
 C6 = "c6 AS (SELECT * FROM c5 WHERE date_diff('day', order_date, ship_date) > 0)"
 
 SQL = {
-    "clean_schema_check": "SELECT * FROM (VALUES " + ", ".join(f"('{c}', 'ok')" for c in S.BASE_COLUMNS)
-                          + ") t(\"column\", status)",
     "clean_parse_dates": over_dirty(f"SELECT row_id, {_pd('order_date')} AS order_date, {_pd('ship_date')} AS ship_date FROM dirty"),
     "clean_parse_dates_multi": over_dirty(
         f"SELECT row_id, {_pd_multi('order_date')} AS order_date, {_pd_multi('ship_date')} AS ship_date FROM dirty"),
@@ -125,7 +127,7 @@ FROM dirty WHERE {_pd('order_date')} IS NOT NULL AND {_pd('ship_date')} IS NOT N
     "clean_fill_median": over_dirty("""SELECT row_id, coalesce(sales, (SELECT median(sales) FROM n)) AS sales,
   coalesce(gross_profit, (SELECT median(gross_profit) FROM n)) AS gross_profit,
   coalesce(cost, (SELECT median(cost) FROM n)) AS cost,
-  coalesce(units, (SELECT CAST(trunc(median(units)) AS BIGINT) FROM n)) AS units FROM n""",
+  coalesce(units, (SELECT trunc(median(units)) FROM n)) AS units FROM n""",
         f"n AS (SELECT row_id, {NUM} FROM dirty)"),
     "clean_fill_unknown": over_dirty("SELECT row_id, coalesce(product_name, 'Unknown') AS product_name FROM dirty"),
     "clean_dedup_full": over_dirty("SELECT DISTINCT * FROM dirty"),
@@ -144,5 +146,5 @@ FROM dirty WHERE {_pd('order_date')} IS NOT NULL AND {_pd('ship_date')} IS NOT N
   (SELECT count(*) FROM c4) - (SELECT count(*) FROM c6) AS invalid_leads_removed,
   (SELECT count_if(trim(product_name) = 'red widget') FROM c4) AS product_name_fixes,
   (SELECT count(*) FROM c6) AS final_rows""", C1, C2, C3, C4, C5, C6),
-    "clean_chain": over_dirty(f"SELECT {COLS} FROM c6", C1, C2, C3, C4, C5, C6),
+    "clean_chain": over_dirty(f"SELECT {COLS.replace('units', 'CAST(trunc(units) AS BIGINT) AS units')} FROM c6", C1, C2, C3, C4, C5, C6),
 }

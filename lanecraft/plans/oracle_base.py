@@ -159,7 +159,9 @@ def dirty_cte(currency: bool = False) -> str:
     division, region, CAST(product_id AS VARCHAR) AS product_id,
     CASE WHEN product_id % 89 = 0 THEN NULL ELSE product_name END AS product_name,
     CASE WHEN __supp % 13 = 0 THEN NULL ELSE {sales} END AS sales,
-    CAST(units AS VARCHAR) AS units, CAST(gross_profit AS VARCHAR) AS gross_profit, CAST(cost AS VARCHAR) AS cost
+    CASE WHEN __supp % 11 = 0 THEN CAST(units AS VARCHAR) || '.0' WHEN __supp % 23 = 0 THEN '2.5' ELSE CAST(units AS VARCHAR) END AS units,
+    CASE WHEN __supp % 17 = 0 THEN 'NaN' ELSE CAST(gross_profit AS VARCHAR) END AS gross_profit,
+    CASE WHEN __supp % 19 = 0 THEN 'N/A' ELSE CAST(cost AS VARCHAR) END AS cost
   FROM factx
 ),
 dirty AS (SELECT * FROM dirty0 UNION ALL SELECT * FROM dirty0 WHERE CAST(order_id AS BIGINT) % 100 = 0)"""

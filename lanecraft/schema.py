@@ -101,3 +101,7 @@ DEFAULT_CONFIG = {
 
 def default_config() -> dict:
     return copy.deepcopy(DEFAULT_CONFIG)
+
+# ── fixed values: texts that a raw CSV read takes as missing (pandas' defaults) ──
+NA_TEXTS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+            "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]

@@ -17,13 +17,25 @@ _KEEP_BLANKS = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace":
 
 def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
                  encoding: str = "UTF-8") -> DataFrame:
-    """All columns as text; empty fields → null (pandas default NA handling)."""
+    """All columns as text; empty fields and the usual NA texts → null."""
     r = spark.read.option("header", "true").option("encoding", encoding).options(**_KEEP_BLANKS)
     if schema is None:
         r = r.option("inferSchema", "false")
     else:
         r = r.schema(schema)
-    return r.csv(path)
+    df = r.csv(path)
+    text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    return df.withColumns({c: F.when(~F.col(f"`{c}`").isin(S.NA_TEXTS), F.col(f"`{c}`")) for c in text})
+
+
+def text_encoding(spark: SparkSession, path: str) -> str:
+    """UTF-8, or Latin-1 when a line of the files isn't valid UTF-8 (one narrow pass).
+
+    Read as Latin-1 every byte is one character, so the check sees the bytes themselves."""
+    lines = spark.read.option("header", "false").option("encoding", "ISO-8859-1").option("sep", "\u0001").option("quote", "") \
+        .schema("line string").csv(path)
+    bad = lines.filter(~F.is_valid_utf8(F.encode("line", "ISO-8859-1").cast("string")))
+    return "UTF-8" if bad.isEmpty() else "ISO-8859-1"
 
 
 def read_typed_csv(spark: SparkSession, path: str, schema: T.StructType = S.TYPED_SCHEMA,
@@ -33,9 +45,10 @@ def read_typed_csv(spark: SparkSession, path: str, schema: T.StructType = S.TYPE
                  .schema(schema).csv(path))
 
 
-def read_dayfirst_csv(spark: SparkSession, path: str, date_cols=C.DATE_COLUMNS, encoding: str = "UTF-8") -> DataFrame:
-    """Raw text read, then day-first dates parsed (unparsable → null)."""
-    return C.parse_dates(read_raw_csv(spark, path, S.RAW_STRING_SCHEMA, encoding), date_cols)
+def read_dayfirst_csv(spark: SparkSession, path: str, date_cols=C.DATE_COLUMNS, encoding: str | None = None) -> DataFrame:
+    """Raw text read (UTF-8, else Latin-1), then dates parsed day-first or ISO (unparsable → null)."""
+    raw = read_raw_csv(spark, path, S.RAW_STRING_SCHEMA, encoding or text_encoding(spark, path))
+    return C.parse_dates_multi(raw, date_cols)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:

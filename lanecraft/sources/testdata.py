@@ -122,7 +122,9 @@ def dirty_shipments(spark: SparkSession, sf_dir: str, currency: bool = False, ba
     ship date ``31-02-2024`` where part % 97 = 0; order date in ISO form where
     supplier % 7 = 0; sales missing where supplier % 13 = 0 (and written as
     ``$1,234.5678`` when ``currency``); city padded with blanks; product name
-    missing where part % 89 = 0; every line of orders with key % 100 = 0
+    missing where part % 89 = 0; units written ``12.0`` where supplier % 11 = 0
+    and ``2.5`` where % 23 = 0; profit ``NaN`` where supplier % 17 = 0; cost
+    ``N/A`` where supplier % 19 = 0; every line of orders with key % 100 = 0
     appears twice.  Built from the canonical table (``base``, e.g. its
     materialized copy); the supplier key is the 4th field of the row id.
     """
@@ -141,9 +143,10 @@ def dirty_shipments(spark: SparkSession, sf_dir: str, currency: bool = False, ba
         S.REGION, F.col(S.PRODUCT_ID).cast("string").alias(S.PRODUCT_ID),
         F.when(part % 89 == 0, F.lit(None).cast("string")).otherwise(F.col(S.PRODUCT_NAME)).alias(S.PRODUCT_NAME),
         F.when(supp % 13 == 0, F.lit(None).cast("string")).otherwise(sales_txt).alias(S.SALES),
-        F.col(S.UNITS).cast("string").alias(S.UNITS),
-        F.col(S.GROSS_PROFIT).cast("string").alias(S.GROSS_PROFIT),
-        F.col(S.COST).cast("string").alias(S.COST),
+        F.when(supp % 11 == 0, F.concat(F.col(S.UNITS).cast("string"), F.lit(".0"))).when(supp % 23 == 0, F.lit("2.5"))
+         .otherwise(F.col(S.UNITS).cast("string")).alias(S.UNITS),
+        F.when(supp % 17 == 0, F.lit("NaN")).otherwise(F.col(S.GROSS_PROFIT).cast("string")).alias(S.GROSS_PROFIT),
+        F.when(supp % 19 == 0, F.lit("N/A")).otherwise(F.col(S.COST).cast("string")).alias(S.COST),
     )
     return d.unionByName(d.filter(F.col(S.ORDER_ID).cast("long") % 100 == 0))
 

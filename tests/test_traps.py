@@ -161,11 +161,68 @@ def test_running_total_matches_window(spark):
     assert a == b
 
 
-def test_exact_quantiles_distributed_path(spark, monkeypatch):
+def test_exact_quantiles_distributed_path(spark):
     from lanecraft.functions import quantiles as QN
-    monkeypatch.setattr(QN, "SMALL_DISTINCT", 10)          # force the range-partitioned path
     df = spark.range(2000).select((((F.col("id") * 7919) % 1013) / 3.0).alias("x"))
     probs = [0.0, 0.25, 0.5, 0.75, 0.99, 1.0]
     a = QN.exact_quantiles(df, "x", probs).first()
     b = df.agg(*[F.percentile("x", p).alias(f"q{i}") for i, p in enumerate(probs)]).first()
     assert list(a) == list(b)
+
+
+# ── numbers and encodings as they come in raw files ─────────────────────────
+
+def test_units_written_as_decimals_and_nan_texts(spark):
+    from lanecraft import schema as S
+    from lanecraft.operators import clean as C
+    df = spark.createDataFrame([("3.0", "NaN"), ("4", "10"), ("5", "20"), ("2.0", "inf")], f"{S.UNITS} string, {S.SALES} string")
+    cast = C.cast_numeric(df)
+    assert [tuple(r) for r in cast.collect()] == [(3.0, None), (4.0, 10.0), (5.0, 20.0), (2.0, None)]
+    filled = [tuple(r) for r in C.fill_median(cast).collect()]
+    assert sorted(filled) == [(2.0, 15.0), (3.0, 15.0), (4.0, 10.0), (5.0, 20.0)]
+
+
+def test_running_total_beyond_the_sampling_size(spark):
+    """Equal to a plain running sum with payload columns, with and without exchange reuse and AQE."""
+    from pyspark.sql import functions as F
+    from lanecraft.functions.windows import running_total
+    n = 200_000
+    df = spark.range(n).select(F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("k"), F.col("id"), (F.col("id") % 7).alias("v"),
+                               F.lit("payload").alias("p"))
+    import numpy as np
+    for reuse in ("true", "false"):
+        for aqe in ("true", "false"):
+            spark.conf.set("spark.sql.exchange.reuse", reuse)
+            spark.conf.set("spark.sql.adaptive.enabled", aqe)
+            try:
+                got = running_total(df, [F.col("k").asc(), F.col("id").asc()], "v", "cum").select("k", "id", "v", "cum").toPandas()
+            finally:
+                spark.conf.unset("spark.sql.exchange.reuse")
+                spark.conf.unset("spark.sql.adaptive.enabled")
+            got = got.sort_values(["k", "id"])
+            assert len(got) == n and (np.cumsum(got["v"].to_numpy()) == got["cum"].to_numpy()).all()
+
+
+def test_quantiles_of_many_distinct_values(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+    from lanecraft.functions.quantiles import column_quantiles
+    df = spark.range(150_000).select((F.pmod(F.xxhash64("id"), F.lit(10**9)) / 7).alias("a"), (F.col("id") % 5).cast("double").alias("b"),
+                                     F.when(F.col("id") < 0, F.lit(1.0)).alias("empty"))
+    r = column_quantiles(df, {"a": [0.25, 0.99], "b": [0.5], "empty": [0.5]}).first()
+    a = df.select("a").toPandas()["a"].to_numpy()
+    assert np.isclose(r["q0_0"], np.quantile(a, 0.25), rtol=1e-12) and np.isclose(r["q0_1"], np.quantile(a, 0.99), rtol=1e-12)
+    assert r["q1_0"] == 2.0 and r["q2_0"] is None
+
+
+def test_raw_reader_na_texts_and_latin1(spark, tmp_path):
+    from lanecraft import schema as S
+    from lanecraft.sources import files as IO
+    head = ",".join(S.BASE_COLUMNS)
+    row = {c: "x" for c in S.BASE_COLUMNS} | {S.ORDER_DATE: "2024-01-05", S.SHIP_DATE: "07-01-2024", S.CITY: "Zürich", S.COST: "N/A"}
+    text = head + "\n" + ",".join(row[c] for c in S.BASE_COLUMNS) + "\n"
+    for name, enc in (("u", "utf-8"), ("l", "latin-1")):
+        (tmp_path / f"{name}.csv").write_bytes(text.encode(enc))
+        r = IO.read_dayfirst_csv(spark, str(tmp_path / f"{name}.csv")).first()
+        assert r[S.CITY] == "Zürich" and r[S.COST] is None
+        assert str(r[S.ORDER_DATE]) == "2024-01-05" and str(r[S.SHIP_DATE]) == "2024-01-07"
