@@ -17,16 +17,23 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what has no language (null text, no letters); ``lang`` becomes the predicted language."""
     prepare(spark)
     refs = lang_id.fit(docs)
-    found = lang_id.predict(docs, refs, docs.columns)
-    return found.where(F.col("lang_pred") != lang_id.UNKNOWN).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
+    found = lang_id.predict(whole, refs, ["row"]).where(F.col("lang_pred") != lang_id.UNKNOWN)
+    return found.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col(f"row.{c}").alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one of smallest id."""
+    """One document of each group stays: the one of smallest id.  Of rows that repeat an id the least row
+    stays; rows without an id stay."""
     prepare(spark)
-    kept = minhash.near_duplicates(docs)
-    keep = stage(kept.where("kept and doc_id is not null").select("doc_id").distinct(), "kept")
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    found = minhash.near_duplicates(docs)
+    keep = stage(found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")), "kept")
+    once, again = keep.where("__n = 1").select("doc_id"), keep.where("__n > 1").select("doc_id")
+    single = docs.join(sized(once, 24), "doc_id", "left_semi")
+    rest = [c for c in docs.columns if c != "doc_id"]
+    least = docs.join(sized(again, 24), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row"))
+    least = least.select("doc_id", *[F.col(f"row.{c}").alias(c) for c in rest])
+    return single.unionByName(least).unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +47,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once or twice."""
     prepare(spark)
-    copies = stage(mixing.mix(docs).where("copies > 0").select("doc_id", "copies"), "copies")
+    copies = stage(mixing.mix(docs).where("copies > 0").select("doc_id", F.col("copies").alias("__copies")), "copies")
     taken = docs.join(sized(copies, 32), "doc_id")
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -77,7 +77,7 @@ def suffix_automaton(symbols: bytes, width: int) -> np.ndarray:
 
 
 class Parser:
-    """All languages' automata in one table: entry = 2 * (next state * width) + (a phrase ends here)."""
+    """All languages' automata in one table: entry = 2 * (next state * width) + (a phrase starts here)."""
 
     def __init__(self, refs: dict[str, bytes]):
         self.langs = sorted(refs)
@@ -89,14 +89,13 @@ class Parser:
         tables, self.roots, base = [], [], 0
         for lang in self.langs:
             t = suffix_automaton(bytes(self.code[np.frombuffer(refs[lang], np.uint8)].astype(np.uint8)), self.width)
-            root = t[0]
-            none = t < 0
-            again = np.where(root < 0, 0, root)  # the phrase ended: start the next one at this symbol
-            t = np.where(none, again[None, :], t) + base
-            tables.append((t * self.width * 2 + none).astype(np.int64).ravel())
-            # the first symbol of a lane always starts a phrase, counted with the lane
-            self.roots.append(base * self.width)
-            base += len(none)
+            fresh = len(t)  # the state before any phrase: whatever comes starts one
+            start = np.where(t[0] < 0, fresh, t[0])  # a symbol the reference lacks is a phrase of its own
+            new = np.vstack([t < 0, np.ones((1, self.width), bool)])
+            t = np.where(new, start[None, :], np.vstack([t, start[None, :]])) + base
+            tables.append((t * self.width * 2 + new).astype(np.int64).ravel())
+            self.roots.append((base + fresh) * self.width)
+            base += fresh + 1
         table = np.concatenate(tables)
         self.table = table.astype(np.int32) if base * self.width * 2 < 2**31 else table
         self.bits = np.array([math.log2(max(2, len(refs[x]))) for x in self.langs])
@@ -114,7 +113,7 @@ class Parser:
         codes = self.code[sym]
         kind = self.table.dtype
         state = np.repeat(np.array(self.roots, kind)[:, None], len(owner), 1)
-        phrases = np.ones(state.shape, kind)
+        phrases = np.zeros(state.shape, kind)
         if len(owner):
             alive = np.searchsorted(-size, -np.arange(size[0]), side="left")  # lanes longer than t
             codes = codes.astype(kind)
