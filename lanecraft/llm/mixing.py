@@ -43,12 +43,13 @@ def by_code_point(names: list[str | None]) -> list[str | None]:
     return sorted((x for x in names if x is not None)) + [None] * (None in names)
 
 
-def targets(sizes: dict[str | None, int], weights=WEIGHTS, share: float = TAKE_SHARE, most: float = MAX_REPEATS) -> dict[str | None, float]:
+def targets(sizes: dict[str | None, int], weights=WEIGHTS, share: float = TAKE_SHARE, most: float = MAX_REPEATS,
+            total: int | None = None) -> dict[str | None, float]:
     """Split share * all words by repeating weights; no source above ``most`` times its size, the excess is
-    reshared by weight among the others until none is above."""
+    reshared by weight among the others until none is above.  ``total``: all words, where sources overlap."""
     order = by_code_point(list(sizes))
     weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    left = min(share, most) * float(sum(sizes.values()))
+    left = min(share, most) * float(sum(sizes.values()) if total is None else total)
     out: dict[str | None, float] = {}
     free = list(order)
     while free:
@@ -143,7 +144,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     for p, n in supply.items():
         for s in p:
             sizes[s] = sizes.get(s, 0) + n
-    goals = targets(sizes, weights, share, repeats)
+    goals = targets(sizes, weights, share, repeats, sum(supply.values()))
     flow = min_cost_flow(supply, {s: round(t) for s, t in goals.items()}, repeats)
     taken = {p: sum(n for (q, _), n in flow.items() if q == p) for p in supply}
     base = {p: taken[p] // n if n else 0 for p, n in supply.items()}

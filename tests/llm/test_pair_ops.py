@@ -225,13 +225,12 @@ def passages(rng):
     return out + [out[10], out[11], out[12][:230]]
 
 
-@pytest.mark.parametrize("hot", [4096, 1])
-@pytest.mark.parametrize("length", [200, 40])
-def test_repeats_equal_brute_force(spark, hot, length):
+@pytest.mark.parametrize("length, hot, limit", [(200, 4096, 1 << 20), (200, 1, 0), (40, 4096, 0), (40, 1, 1 << 20)])
+def test_repeats_equal_brute_force(spark, length, hot, limit):
     texts = passages(random.Random(8))
     df = frame(spark, texts)
     for keep in ("none", "first"):
-        got = suffix_dedup.remove_repeats(df, length=length, keep=keep, hot=hot).toPandas().set_index("doc_id").loc[range(len(texts))]
+        got = suffix_dedup.remove_repeats(df, length=length, keep=keep, hot=hot, limit=limit).toPandas().set_index("doc_id").loc[range(len(texts))]
         want = repeats(texts, length, keep)
         assert got.n_bytes.tolist() == [w[0] for w in want]
         if keep == "none":
