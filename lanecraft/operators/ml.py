@@ -2,11 +2,11 @@
 
 Features: 4 categoricals label-encoded in alphabetical order (StringIndexer
 ``alphabetAsc``, unseen → extra index) plus 10 numeric columns, assembled
-into one vector.  The train/test split is a deterministic hash bucket of the
-row id, so it needs no shuffle or sort and is reproducible on any cluster
-size; as the bucket does not depend on the label, each class is split in the
-same proportion.  Metrics are one aggregate over the predictions
-(confusion counts / error sums); ROC AUC uses the built-in evaluator.
+into one vector.  The train/test split takes the rows whose row-id hash (md5)
+lies below the hash's own 20 % quantile, for the classifier per class
+(stratified): exact proportions, reproducible on any cluster size.  Metrics
+are one aggregate over the predictions (confusion counts / error sums); ROC
+AUC uses the built-in evaluator.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lanecraft import schema as S
 from lanecraft.functions.exprs import rintn
+from lanecraft.functions.quantiles import column_quantiles
 
 log = logging.getLogger(__name__)
 
@@ -33,12 +34,15 @@ FEATURES = NUMERIC_FEATURES + [f"{c}_encoded" for c in CATEGORICALS]
 SEED = 42
 TEST_FRACTION = 0.2
 
-# Reference model sizes (defaults); registered test queries pass smaller ones.
+# Model sizes.  Without the xgboost package the third model is the usual fallback: gradient boosting of
+# default depth and rate.
 SIZES = {
     "rf": {"trees": 200, "depth": 10},
     "gbt": {"trees": 200, "depth": 5, "rate": 0.05},
-    "xgb": {"trees": 200, "depth": 6, "rate": 0.05},   # boosted trees stand-in (no xgboost package)
+    "xgb": {"trees": 200, "depth": 3, "rate": 0.1},
 }
+NAMES = {"rf": "RF", "gbt": "GBM", "xgb": "XGB (fallback: GBM, default depth)"}
+ALGORITHMS = tuple(SIZES)
 
 
 def prepare(df: DataFrame, label: str, drop_nulls: bool = True) -> DataFrame:
@@ -58,16 +62,29 @@ def encoded(df: DataFrame, label: str = S.DELAY_FLAG) -> DataFrame:
     return out.dropna(subset=NUMERIC_FEATURES + ["label"])
 
 
-def split(df: DataFrame, key: str = S.ROW_ID, test_fraction: float = TEST_FRACTION, seed: int = SEED):
-    bucket = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(100))
-    is_test = bucket < int(round(test_fraction * 100))
-    return df.filter(~is_test), df.filter(is_test)
+def row_hash(key: str = S.ROW_ID):
+    """48 bits of md5 as a number: exact in a double, and the same in any engine."""
+    return F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 12), 16, 10).cast("double")
 
 
-def split_labels(df: DataFrame, key: str = S.ROW_ID, test_fraction: float = TEST_FRACTION, seed: int = SEED):
-    bucket = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(100))
-    return df.select(key, "label", F.when(bucket < int(round(test_fraction * 100)), "test").otherwise("train")
-                     .alias("split"))
+def with_split(df: DataFrame, key: str = S.ROW_ID, test_fraction: float = TEST_FRACTION, stratify: bool = True) -> DataFrame:
+    """Adds ``split`` (train / test); with ``stratify`` each label value gives the same share of test rows."""
+    h = row_hash(key)
+    strata = [0.0, 1.0] if stratify else [None]
+    own = {f"__h{i}": h if v is None else F.when(F.col("label") == v, h) for i, v in enumerate(strata)}
+    cuts = column_quantiles(df.select(*[c.alias(n) for n, c in own.items()]), {n: [test_fraction] for n in own}, "__cut")
+    limit = F.col("__cut0_0") if not stratify else F.when(F.col("label") == 0.0, F.col("__cut0_0")).otherwise(F.col("__cut1_0"))
+    marked = df.crossJoin(cuts).withColumn("split", F.when(h < limit, "test").otherwise("train"))
+    return marked.drop(*cuts.columns)
+
+
+def split(df: DataFrame, key: str = S.ROW_ID, test_fraction: float = TEST_FRACTION, stratify: bool = True):
+    marked = with_split(df, key, test_fraction, stratify)
+    return marked.filter("split = 'train'").drop("split"), marked.filter("split = 'test'").drop("split")
+
+
+def split_labels(df: DataFrame, key: str = S.ROW_ID, test_fraction: float = TEST_FRACTION, stratify: bool = True):
+    return with_split(df, key, test_fraction, stratify).select(key, "label", "split")
 
 
 def _stages(estimator):
@@ -114,7 +131,7 @@ def classification_metrics(pred: DataFrame, algorithm: str) -> DataFrame:
     prec = F.coalesce(F.try_divide(tp, tp + fp), F.lit(0.0))
     rec = F.coalesce(F.try_divide(tp, tp + fn), F.lit(0.0))
     f1 = F.coalesce(F.try_divide(2 * prec * rec, prec + rec), F.lit(0.0))
-    return c.select(F.lit(algorithm.upper()).alias("algorithm"),
+    return c.select(F.lit(NAMES.get(algorithm, algorithm)).alias("algorithm"),
                     rintn(F.try_divide(tp + tn, tp + fp + tn + fn), 4).alias("accuracy"),
                     rintn(prec, 4).alias("precision"), rintn(rec, 4).alias("recall"), rintn(f1, 4).alias("f1"),
                     rintn(F.lit(float(auc)), 4).alias("roc_auc"), "tp", "fp", "tn", "fn")
@@ -124,12 +141,12 @@ def regression_metrics(pred: DataFrame, algorithm: str) -> DataFrame:
     """MAE, RMSE, R² in one pass plus the label mean (crossed in); 4 dp."""
     m = pred.agg(F.avg("label").alias("__mu"))
     e = F.col("prediction") - F.col("label")
-    a = (pred.crossJoin(F.broadcast(m))
+    a = (pred.crossJoin(m)
              .agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
                   F.sum(e * e).alias("__ssr"), F.sum((F.col("label") - F.col("__mu")) ** 2).alias("__sst"),
                   F.count(F.lit(1)).alias("n")))
     r2 = F.lit(1.0) - F.try_divide(F.col("__ssr"), F.col("__sst"))
-    return a.select(F.lit(algorithm.upper()).alias("algorithm"), rintn("mae", 4).alias("mae"),
+    return a.select(F.lit(NAMES.get(algorithm, algorithm)).alias("algorithm"), rintn("mae", 4).alias("mae"),
                     rintn("rmse", 4).alias("rmse"), rintn(r2, 4).alias("r2"), "n")
 
 
@@ -145,30 +162,40 @@ def _fit_persisted(train: DataFrame, estimator) -> PipelineModel:
 
 def train_classifier(df: DataFrame, algorithm: str = "rf", trees: int | None = None, depth: int | None = None):
     data = prepare(df, S.DELAY_FLAG)
-    train, test = split(data)
+    train, test = split(data, stratify=True)
     model = _fit_persisted(train, classifier(algorithm, trees, depth))
     return model, classification_metrics(model.transform(test), algorithm)
 
 
 def train_regressor(df: DataFrame, algorithm: str = "rf", trees: int | None = None, depth: int | None = None):
     data = prepare(df, S.LEAD_TIME)
-    train, test = split(data)
+    train, test = split(data, stratify=False)
     model = _fit_persisted(train, regressor(algorithm, trees, depth))
     return model, regression_metrics(model.transform(test), algorithm)
 
 
-def train_all(df: DataFrame, kind: str = "classifier", algorithms=("rf", "gbt", "xgb"), **size):
-    """Train every algorithm; a failing one is logged and skipped."""
-    models, metrics = {}, None
+METRICS = {"classifier": ["accuracy", "precision", "recall", "f1", "roc_auc", "tp", "fp", "tn", "fn"], "regressor": ["mae", "rmse", "r2", "n"]}
+
+
+def train_all(df: DataFrame, kind: str = "classifier", algorithms=ALGORITHMS, train=None, **size):
+    """Train every algorithm; one that fails is logged and reported as a row with its error (and null
+    metrics).  ``train(algorithm)`` may supply already fitted (model, metrics) pairs."""
     fn = train_classifier if kind == "classifier" else train_regressor
+    train = train or (lambda a: fn(df, a, **size))
+    models, parts = {}, []
     for a in algorithms:
         try:
-            m, met = fn(df, a, **size)
-        except Exception as exc:  # noqa: BLE001 - the reference logs and continues
+            models[a], met = train(a)
+            parts.append(met.withColumn("error", F.lit(None).cast("string")))
+        except Exception as exc:  # noqa: BLE001 - reported in the result
             log.warning("training %s %s failed: %s", kind, a, exc)
-            continue
-        models[a] = m
-        metrics = met if metrics is None else metrics.unionByName(met)
+            parts.append(df.sparkSession.range(1).select(
+                F.lit(NAMES.get(a, a)).alias("algorithm"),
+                *[F.lit(None).cast("long" if m in ("tp", "fp", "tn", "fn", "n") else "double").alias(m) for m in METRICS[kind]],
+                F.lit(f"{type(exc).__name__}: {exc}"[:500]).alias("error")))
+    metrics = parts[0]
+    for p in parts[1:]:
+        metrics = metrics.unionByName(p)
     return models, metrics
 
 
@@ -213,7 +240,7 @@ def scenario_features(scen: DataFrame, coords_dim: DataFrame, default=(35.0, -90
     c = coords_dim.select(F.col(S.FACTORY).alias("__f"), F.col(S.FACTORY_LAT).alias("__lat"),
                           F.col(S.FACTORY_LON).alias("__lon"))
     m = F.col("month")
-    return (scen.join(F.broadcast(c), F.col(S.FACTORY) == F.col("__f"), "left")
+    return (scen.join(c, F.col(S.FACTORY) == F.col("__f"), "left")
                 .select("scenario_id", S.SHIP_MODE, S.FACTORY, S.REGION, S.DIVISION,
                         m.cast("double").alias("ship_month"), (F.floor((m - 1) / 3) + 1).cast("double").alias("ship_quarter"),
                         F.lit(2.0).alias("ship_dow"), F.least(m * 4, F.lit(52)).cast("double").alias("ship_week"),
