@@ -7,9 +7,10 @@ the *recalculation* features (fractional lead clipped at 0.5 days, SLA/auto
 policy, default coordinates, score rounded to 4 places with null → 0.5).
 
 Aggregate-then-join-back steps (per-mode median, per-route score) aggregate
-with map-side partial aggregation, then join the small result back through
-``bounded`` (size-checked broadcast) — never a window partitioned by a
-low-cardinality key, which would put a whole mode into one task.
+with map-side partial aggregation, then join the small written result back by
+its size — never a window partitioned by a low-cardinality key, which would
+put a whole mode into one task.  :func:`add_delay_and_score` takes medians,
+policy and scores from one (route, mode, lead) histogram, in one pass.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lanecraft import schema as S
 from lanecraft.functions.exprs import rintn, slug
 from lanecraft.functions.quantiles import exact_median
-from lanecraft.plans.materialize import join_small
+from lanecraft.plans.materialize import join_back, materialize
 
 
 # ── factory & coordinates ────────────────────────────────────────────────────
@@ -45,11 +46,11 @@ def factory_distribution(df: DataFrame) -> DataFrame:
 def add_factory_coords(df: DataFrame, coords_dim: DataFrame, default: tuple | None = None) -> DataFrame:
     """factory → (lat, lon).  ``default`` fills unknown factories (recalc dialect).
 
-    ``coords_dim`` is a literal table (one row per factory), broadcast as is.
+    ``coords_dim`` comes from configuration, one row per factory; Spark sizes the join.
     """
     dim = coords_dim.select(F.col(S.FACTORY).alias("__f"), F.col(S.FACTORY_LAT).alias("__lat"),
                             F.col(S.FACTORY_LON).alias("__lon"))
-    out = df.drop(S.FACTORY_LAT, S.FACTORY_LON).join(F.broadcast(dim), F.col(S.FACTORY) == F.col("__f"), "left")
+    out = df.drop(S.FACTORY_LAT, S.FACTORY_LON).join(dim, F.col(S.FACTORY) == F.col("__f"), "left")
     lat, lon = F.col("__lat"), F.col("__lon")
     if default is not None:
         lat, lon = F.coalesce(lat, F.lit(float(default[0]))), F.coalesce(lon, F.lit(float(default[1])))
@@ -95,7 +96,7 @@ def mode_medians(df: DataFrame) -> DataFrame:
 def add_delay_flag_median(df: DataFrame) -> DataFrame:
     """Delayed iff lead > median lead of its mode; unseen mode / null lead → False."""
     med = mode_medians(df).withColumnRenamed(S.SHIP_MODE, "__mode")
-    out = join_small(df.drop(S.DELAY_FLAG), med, F.col(S.SHIP_MODE) == F.col("__mode"), "left", "mode_medians")
+    out = join_back(df.drop(S.DELAY_FLAG), med, F.col(S.SHIP_MODE) == F.col("__mode"), "left", "mode_medians")
     flag = F.coalesce(F.col(S.LEAD_TIME) > F.col("mode_median"), F.lit(False))
     return out.withColumn(S.DELAY_FLAG, flag).drop("__mode", "mode_median")
 
@@ -103,10 +104,9 @@ def add_delay_flag_median(df: DataFrame) -> DataFrame:
 def add_delay_flag_sla(df: DataFrame, sla_dim: DataFrame, default_days: float = S.DEFAULT_SLA_DAYS) -> DataFrame:
     """Delayed iff lead > SLA days of its mode (unknown mode → ``default_days``).
 
-    ``sla_dim`` (ship_mode, sla_days) comes from configuration: one row per
-    mode, broadcast as is."""
+    ``sla_dim`` (ship_mode, sla_days) comes from configuration, one row per mode."""
     dim = sla_dim.select(F.col(S.SHIP_MODE).alias("__mode"), F.col("sla_days").alias("__sla"))
-    out = df.drop(S.DELAY_FLAG).join(F.broadcast(dim), F.col(S.SHIP_MODE) == F.col("__mode"), "left")
+    out = df.drop(S.DELAY_FLAG).join(dim, F.col(S.SHIP_MODE) == F.col("__mode"), "left")
     thr = F.coalesce(F.col("__sla"), F.lit(float(default_days)))
     return out.withColumn(S.DELAY_FLAG, F.coalesce(F.col(S.LEAD_TIME) > thr, F.lit(False))).drop("__mode", "__sla")
 
@@ -141,12 +141,6 @@ def add_route_ids(df: DataFrame) -> DataFrame:
               .withColumn(S.ROUTE_ID, F.concat(slug(S.FACTORY), F.lit("_to_"), slug(S.STATE))))
 
 
-def route_counts(df: DataFrame) -> DataFrame:
-    """Distinct state-level and region-level routes, one row."""
-    return df.agg(F.count_distinct(S.STATE_ROUTE).alias("state_routes"),
-                  F.count_distinct(S.REGION_ROUTE).alias("region_routes"))
-
-
 def add_temporal(df: DataFrame, day_name: bool = False) -> DataFrame:
     """Calendar parts of ship and order date (ISO week, Monday = 0)."""
     sd, od = F.col(S.SHIP_DATE), F.col(S.ORDER_DATE)
@@ -180,6 +174,11 @@ def route_scores(df: DataFrame, route_col: str = S.STATE_ROUTE, delay_weight=S.D
                .groupBy(route_col)
                .agg(F.avg(F.col(S.DELAY_FLAG).cast("int")).alias("delay_rate"),
                     F.avg(S.LEAD_TIME).alias("avg_lead_time")))
+    return scored(stats, delay_weight, lead_weight)
+
+
+def scored(stats: DataFrame, delay_weight=S.DELAY_WEIGHT, lead_weight=S.LEAD_TIME_WEIGHT) -> DataFrame:
+    """Adds the normalised lead and the score to per-route statistics."""
     mm = stats.agg(F.min("avg_lead_time").alias("__lo"), F.max("avg_lead_time").alias("__hi"))
     span = F.col("__hi") - F.col("__lo")
     norm = F.when(span > 0, (F.col("avg_lead_time") - F.col("__lo")) / span).otherwise(
@@ -198,10 +197,52 @@ def add_efficiency(df: DataFrame, route_col: str = S.STATE_ROUTE, delay_weight=S
     digits=4``."""
     scores = route_scores(df, route_col, delay_weight, lead_weight).select(
         F.col(route_col).alias("__route"), F.col(S.SCORE).alias("__score"))
-    out = join_small(df.drop(S.SCORE), scores, F.col(route_col) == F.col("__route"), "left", "route_scores")
-    score = F.col("__score")
+    out = join_back(df.drop(S.SCORE), scores, F.col(route_col) == F.col("__route"), "left", "route_scores")
+    return out.withColumn(S.SCORE, finished(F.col("__score"), fill, digits)).drop("__route", "__score")
+
+
+def finished(score: Column, fill: float | None, digits: int | None) -> Column:
     if fill is not None:
         score = F.coalesce(score, F.lit(float(fill)))
-    if digits is not None:
-        score = rintn(score, digits)
-    return out.withColumn(S.SCORE, score).drop("__route", "__score")
+    return rintn(score, digits) if digits is not None else score
+
+
+# ── delay flag and score in one pass over the fact ───────────────────────────
+
+def lead_histogram(df: DataFrame, route_col: str = S.STATE_ROUTE) -> DataFrame:
+    """Rows per (route, mode, lead): all that medians, policy and route scores need."""
+    return df.groupBy(route_col, S.SHIP_MODE, S.LEAD_TIME).agg(F.count(F.lit(1)).alias("n"))
+
+
+def add_delay_and_score(df: DataFrame, policy: str = "median", sla_dim: DataFrame | None = None, route_col: str = S.STATE_ROUTE,
+                        switch_days: float = S.AUTO_POLICY_MEDIAN_DAYS, default_days: float = S.DEFAULT_SLA_DAYS,
+                        delay_weight=S.DELAY_WEIGHT, lead_weight=S.LEAD_TIME_WEIGHT, fill: float | None = None,
+                        digits: int | None = None) -> DataFrame:
+    """Delay flag under ``policy`` (median, sla, auto) and route score.
+
+    Same result as the single operators above, but the fact is read once for
+    the histogram and once for the rows."""
+    if policy not in ("median", "sla", "auto"):
+        raise ValueError(f"unknown delay policy {policy!r}")
+    h = materialize(lead_histogram(df, route_col), "lead-histogram")
+    if policy == "auto":
+        # few distinct leads (days): the histogram itself is the value table
+        m = h.agg(F.percentile(S.LEAD_TIME, 0.5, F.col("n")).alias("m")).first()["m"]
+        policy = "median" if (m if m is not None else 0.0) > switch_days else "sla"
+    if policy == "median":
+        limits = h.filter(F.col(S.SHIP_MODE).isNotNull()).groupBy(F.col(S.SHIP_MODE).alias("__mode")).agg(
+            F.percentile(S.LEAD_TIME, 0.5, F.col("n")).alias("__limit"))
+        limit = F.col("__limit")
+    else:
+        limits = sla_dim.select(F.col(S.SHIP_MODE).alias("__mode"), F.col("sla_days").alias("__limit"))
+        limit = F.coalesce(F.col("__limit"), F.lit(float(default_days)))
+    limits = materialize(limits, "delay-limits")
+    flag = F.coalesce(F.col(S.LEAD_TIME) > limit, F.lit(False))
+    flagged = lambda x: x.join(limits, F.col(S.SHIP_MODE) == F.col("__mode"), "left").withColumn(S.DELAY_FLAG, flag).drop("__mode", "__limit")
+    n = F.col("n")
+    stats = flagged(h).filter(F.col(route_col).isNotNull()).groupBy(route_col).agg(
+        (F.sum(F.col(S.DELAY_FLAG).cast("int") * n) / F.sum(n)).alias("delay_rate"),
+        F.try_divide(F.sum(F.col(S.LEAD_TIME) * n), F.sum(F.when(F.col(S.LEAD_TIME).isNotNull(), n))).alias("avg_lead_time"))
+    scores = scored(stats, delay_weight, lead_weight).select(F.col(route_col).alias("__route"), F.col(S.SCORE).alias("__score"))
+    out = join_back(flagged(df.drop(S.DELAY_FLAG, S.SCORE)), scores, F.col(route_col) == F.col("__route"), "left", "route-scores")
+    return out.withColumn(S.SCORE, finished(F.col("__score"), fill, digits)).drop("__route", "__score")

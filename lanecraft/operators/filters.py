@@ -135,7 +135,7 @@ def facets(df: DataFrame, mode_order: DataFrame) -> DataFrame:
                               F.col("v").alias("__k_num") if col == "ship_year" else F.lit(None).cast("long").alias("__k_num"),
                               F.lit(None).cast("int").alias("__k_ord")))
     modes = (df.select(F.col(S.SHIP_MODE).alias("v")).filter(F.col("v").isNotNull()).distinct()
-               .join(F.broadcast(mode_order.select(F.col(S.SHIP_MODE).alias("v"), "mode_order")), "v", "left"))
+               .join(mode_order.select(F.col(S.SHIP_MODE).alias("v"), "mode_order"), "v", "left"))
     parts.append(modes.select(F.lit("ship_modes").alias("facet"), F.col("v").alias("value"),
                               F.lit(None).cast("long").alias("__k_num"),
                               F.coalesce(F.col("mode_order"), F.lit(99)).alias("__k_ord")))

@@ -76,7 +76,7 @@ def factory_coverage(df: DataFrame, coords_dim: DataFrame) -> DataFrame:
     dim = coords_dim.select(F.col(S.FACTORY).alias("__f"), F.col(S.FACTORY_LAT).alias("lat"),
                             F.col(S.FACTORY_LON).alias("lon"))
     return (agg.withColumn("delay_rate_pct", rintn(F.col("delay_rate") * 100.0, 2))
-               .join(F.broadcast(dim), F.col(S.FACTORY) == F.col("__f"), "left").drop("__f")
+               .join(dim, F.col(S.FACTORY) == F.col("__f"), "left").drop("__f")
                .orderBy(F.col("shipments").desc(), S.FACTORY))
 
 

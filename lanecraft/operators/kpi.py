@@ -83,7 +83,7 @@ def route_performance(df: DataFrame, route_col: str = S.STATE_ROUTE) -> DataFram
 def with_mode_order(agg: DataFrame, mode_order: DataFrame) -> DataFrame:
     """Attach the speed rank of each mode (unknown → 99) and sort by it."""
     dim = mode_order.select(F.col(S.SHIP_MODE).alias("__m"), F.col("mode_order").alias("__o"))
-    out = agg.join(F.broadcast(dim), F.col(S.SHIP_MODE) == F.col("__m"), "left")
+    out = agg.join(dim, F.col(S.SHIP_MODE) == F.col("__m"), "left")
     return (out.withColumn("mode_order", F.coalesce(F.col("__o"), F.lit(99))).drop("__m", "__o")
                .orderBy("mode_order", S.SHIP_MODE))
 

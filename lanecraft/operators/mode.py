@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from lanecraft import schema as S
 from lanecraft.functions.exprs import delay_mean, margin_pct, money_mean, rintn
 from lanecraft.operators.kpi import with_mode_order
-from lanecraft.plans.materialize import join_small
+from lanecraft.plans.materialize import join_back
 
 
 def mode_summary(df: DataFrame, mode_order: DataFrame) -> DataFrame:
@@ -59,7 +59,7 @@ def box_stats(df: DataFrame, group_col: str = S.SHIP_MODE, value_col: str = S.LE
           .withColumn("lower_fence", F.col("q1") - 1.5 * F.col("iqr"))
           .withColumn("upper_fence", F.col("q3") + 1.5 * F.col("iqr")))
     fences = q.select(F.col(group_col).alias("__g"), "lower_fence", "upper_fence")
-    j = join_small(d, fences, F.col(group_col) == F.col("__g"), "inner", "box_fences")
+    j = join_back(d, fences, F.col(group_col) == F.col("__g"), "inner", "box_fences")
     v = F.col(value_col)
     inside = (v >= F.col("lower_fence")) & (v <= F.col("upper_fence"))
     w = (j.groupBy(group_col)

@@ -1,9 +1,11 @@
-"""Build and materialize the featured shipment table.
-
-The featured table is the one fact every analytic reads.  It is built once
-per session and input folder and written as Parquet into the shared
-checkpoint folder (see :mod:`lanecraft.plans.materialize`); dashboards then
-scan it with pruning and pushdown instead of re-running the 6-way join.
+"""The shipment fact and its feature tables.
+
+The 6-way join runs once per session and input state and is written as
+Parquet into the shared checkpoint folder (see
+:mod:`lanecraft.plans.materialize`), with the factory that hangs on the part.
+The batch-featured table every analytic reads is written from it in one more
+pass; the other tables (quality view, recalculated, dirtied raw) are narrow
+expressions over the written fact and are not copied.
 """
 
 from __future__ import annotations
@@ -21,91 +23,93 @@ _LOCK = threading.RLock()
 _MEMO: dict = {}
 
 
+def input_state(spark: SparkSession, folder: str) -> int:
+    """Names, sizes and times of the files in a folder and its tables: another state, another fact."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    seen, todo = [], [hadoop.Path(folder)]
+    while todo:
+        for st in fs.listStatus(todo.pop()):
+            if st.isDirectory():
+                todo.append(st.getPath())
+            else:
+                seen.append((st.getPath().toString(), st.getLen(), st.getModificationTime()))
+    return hash(tuple(sorted(seen)))
+
+
 def _memo(spark: SparkSession, key: tuple, build):
-    k = (id(spark), spark.sparkContext.applicationId) + key
+    """Results are kept per session and state of the input folder (the key's second part)."""
+    k = (id(spark), spark.sparkContext.applicationId, input_state(spark, key[1])) + key
     with _LOCK:
         if k not in _MEMO:
             _MEMO[k] = build()
         return _MEMO[k]
 
 
-def base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical 18-column shipments, joined once and materialized (per session)."""
+def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical shipments with their factory, joined once and written (per session)."""
     return _memo(spark, ("base", sf_dir), lambda: materialize(td.shipments(spark, sf_dir), "base"))
 
 
+def base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical 18-column shipments."""
+    return shipments(spark, sf_dir).drop(S.FACTORY)
+
+
 def dirty(spark: SparkSession, sf_dir: str, currency: bool = False) -> DataFrame:
-    """The dirtied raw table (stand-in for a raw CSV drop), written once per session."""
-    return _memo(spark, ("dirty", sf_dir, currency),
-                 lambda: materialize(td.dirty_shipments(spark, sf_dir, currency, base(spark, sf_dir)), "dirty"))
+    """The dirtied raw table (stand-in for a raw CSV drop): text expressions over the fact."""
+    return td.dirty_shipments(spark, sf_dir, currency, base(spark, sf_dir))
 
 
-def batch_features(fact: DataFrame, factory_dim: DataFrame, coords_dim: DataFrame,
-                   materialize_base: bool = True) -> DataFrame:
+def batch_features(fact: DataFrame, factory_dim: DataFrame | None, coords_dim: DataFrame) -> DataFrame:
     """Batch pipeline: invalid leads dropped, integer lead, median delay policy,
-    null coordinates for unknown factories, unrounded route score."""
+    null coordinates for unknown factories, unrounded route score.  Without a
+    ``factory_dim`` the fact brings its factory."""
     f = clean.drop_invalid_lead(fact)
-    f = feature.add_factory(f, factory_dim)
+    if factory_dim is not None:
+        f = feature.add_factory(f, factory_dim)
     f = feature.add_factory_coords(f, coords_dim)
     f = feature.add_lead_days(f)
     f = feature.add_route_ids(f)
     f = feature.add_temporal(f)
-    if materialize_base:
-        f = materialize(f, "featured-base")
-    f = feature.add_delay_flag_median(f)
-    return feature.add_efficiency(f)
+    return feature.add_delay_and_score(f, "median")
 
 
 def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Materialized batch-featured table for ``sf_dir`` (built once per session)."""
-    def build():
-        f = batch_features(base(spark, sf_dir), td.factory_dim(spark, sf_dir), td.factory_coords_dim(spark),
-                           materialize_base=False)
-        return materialize(f, "featured")
-    return _memo(spark, ("featured", sf_dir), build)
+    return _memo(spark, ("featured", sf_dir), lambda: materialize(
+        batch_features(shipments(spark, sf_dir), None, td.factory_coords_dim(spark)), "featured"))
 
 
-def audit_features(fact: DataFrame, factory_dim: DataFrame, coords_dim: DataFrame) -> DataFrame:
+def audit_features(fact: DataFrame, factory_dim: DataFrame | None, coords_dim: DataFrame) -> DataFrame:
     """Unfiltered fact with factory, coordinates and integer lead (quality checks see every row)."""
-    f = feature.add_factory(fact, factory_dim)
+    f = feature.add_factory(fact, factory_dim) if factory_dim is not None else fact
     f = feature.add_factory_coords(f, coords_dim)
     return feature.add_lead_days(f)
 
 
 def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def build():
-        f = audit_features(base(spark, sf_dir), td.factory_dim(spark, sf_dir), td.factory_coords_dim(spark))
-        return materialize(f, "audit")
-    return _memo(spark, ("audit", sf_dir), build)
+    return audit_features(shipments(spark, sf_dir), None, td.factory_coords_dim(spark))
 
 
-def recalc_features(df: DataFrame, factory_dim: DataFrame, coords_dim: DataFrame, sla_dim: DataFrame,
+def recalc_features(df: DataFrame, factory_dim: DataFrame | None, coords_dim: DataFrame, sla_dim: DataFrame,
                     policy: str = "auto", delay_weight: float = S.DELAY_WEIGHT,
                     lead_weight: float = S.LEAD_TIME_WEIGHT, factory_key: str = S.PRODUCT_ID) -> DataFrame:
     """Recalculation dialect: every row kept, fractional lead clipped at 0.5,
     default coordinates, SLA / median / auto delay policy, score 4 dp, null → 0.5."""
     f = feature.add_lead_days_clipped(df)
-    f = feature.add_factory(f, factory_dim, key=factory_key)
+    if factory_dim is not None:
+        f = feature.add_factory(f, factory_dim, key=factory_key)
     f = feature.add_factory_coords(f, coords_dim, default=S.DEFAULT_COORDS)
-    if policy == "median":
-        f = feature.add_delay_flag_median(f)
-    elif policy == "sla":
-        f = feature.add_delay_flag_sla(f, sla_dim)
-    elif policy == "auto":
-        f = feature.add_delay_flag_auto(f, sla_dim)
-    else:
-        raise ValueError(f"unknown delay policy {policy!r}")
     f = feature.add_route_ids(f)
     f = feature.add_temporal(f, day_name=True)
-    return feature.add_efficiency(f, delay_weight=delay_weight, lead_weight=lead_weight, fill=0.5, digits=4)
+    return feature.add_delay_and_score(f, policy, sla_dim, delay_weight=delay_weight, lead_weight=lead_weight, fill=0.5, digits=4)
 
 
 def recalculated(spark: SparkSession, sf_dir: str, policy: str = "auto") -> DataFrame:
-    def build():
-        f = recalc_features(base(spark, sf_dir), td.factory_dim(spark, sf_dir), td.factory_coords_dim(spark),
-                            td.sla_dim(spark), policy=policy)
-        return materialize(f, f"recalc-{policy}")
-    return _memo(spark, ("recalc", sf_dir, policy), build)
+    """Narrow over the fact: only its limits and scores are computed (once) and written."""
+    return _memo(spark, ("recalc", sf_dir, policy), lambda: recalc_features(
+        shipments(spark, sf_dir), None, td.factory_coords_dim(spark), td.sla_dim(spark), policy=policy))
 
 
 def domestic(df: DataFrame, allow: DataFrame) -> DataFrame:

@@ -3,30 +3,30 @@
 ``materialize`` writes a DataFrame as a Parquet table under the folder named
 by ``spark.checkpoint.dir`` (shared storage on a cluster) and reads it back,
 so later stages scan a columnar table — with column pruning and predicate
-pushdown — instead of recomputing joins, and survive executor loss.
+pushdown — instead of recomputing joins, and survive executor loss.  The
+folder is removed when the session's file system closes.
 
-``bounded`` is the size check in front of every broadcast of a derived
-table: the small side is written, its row count is read from the Parquet
-footers, and only a table under the bound is broadcast.  Larger tables fall
-back to a shuffle join (AQE splits skewed partitions).
+A derived side (medians, scores) that is joined back to the fact is
+materialized too and joined without a hint: its file size is then known, so
+Spark broadcasts it under ``spark.sql.autoBroadcastJoinThreshold`` and
+shuffle-joins it beyond (AQE splits skewed partitions).
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from lanecraft.session import ensure_checkpoint_dir
 
-#: Largest derived table (rows) we broadcast; the default is far above the
-#: sizes seen (routes ≈ factories × states) and far below executor memory.
-MAX_BROADCAST_ROWS = 2_000_000
-
 
 def shared_path(spark, name: str) -> str:
     root = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{root}/lanecraft/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{root}/lanecraft/{name}-{uuid.uuid4().hex[:12]}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
 
 
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -36,28 +36,9 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-    return spark.read.parquet(path)
-
-
-def bounded(df: DataFrame, name: str, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Materialize a derived (aggregated) table and broadcast it only if small."""
-    m = materialize(df, name)
-    n = m.count()
-    return F.broadcast(m) if n <= max_rows else m
-
-
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "left", name: str = "dim",
-               max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    return big.join(bounded(small, name, max_rows), on, how)
-
-
-#: Row bound for broadcasting a *base* table side (dimension of the input).
-MAX_BROADCAST_BASE_ROWS = 1_000_000
-
+    return spark.read.schema(df.schema).parquet(path)
 
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_BASE_ROWS) -> DataFrame:
-    """Broadcast an input-table side only if its row count is within the bound.
 
-    On a plain Parquet scan the count is answered from file footers (no data
-    pass); above the bound the join is left to a shuffle join."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+def join_back(big: DataFrame, small: DataFrame, on, how: str = "left", name: str = "side") -> DataFrame:
+    """Join a derived side back to its fact, by its written size."""
+    return big.join(materialize(small, name), on, how)

@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lanecraft import schema as S
 from lanecraft.functions.exprs import literal_table
-from lanecraft.plans.materialize import MAX_BROADCAST_BASE_ROWS
 
 #: Fixed values of the test-data mapping: ship-mode speed order (slowest first).
 TEST_SHIP_MODES = ["5-LOW", "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH", "1-URGENT"]
@@ -47,12 +46,14 @@ def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    # the factory hangs on the part: attached here it costs no second shuffle of the lines
+    fd = factory_dim(spark, sf_dir).select(F.col(S.PRODUCT_ID).alias("__part"), S.FACTORY)
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
+    p = p.join(fd, p.p_partkey == fd["__part"], "left").drop("__part")
 
     # dimension sides: no hint — Spark broadcasts a side whose estimated size
     # (Parquet file size) is under spark.sql.autoBroadcastJoinThreshold and
     # shuffle-joins it otherwise; AQE re-checks with runtime sizes.
-    # small_tables() gives an exact row-count check when a caller wants one.
     geo = n.join(r, n.n_regionkey == r.r_regionkey)
     cust = (c.join(geo, c.c_nationkey == geo.n_nationkey)
              .select("c_custkey", "c_mktsegment", "n_name", "r_name"))
@@ -64,26 +65,10 @@ def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lo.join(p, lo.l_partkey == p.p_partkey)
 
 
-_SMALL: dict = {}
-
-
-def small_tables(spark: SparkSession, sf_dir: str, names=("region", "nation", "customer", "part"),
-                 max_rows: int = MAX_BROADCAST_BASE_ROWS) -> set[str]:
-    """Dimension tables whose row count (one job, answered from Parquet
-    footers) is within the broadcast bound; memoized per input folder."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), tuple(names), max_rows)
-    if key not in _SMALL:
-        parts = [table(spark, sf_dir, t).agg(F.lit(t).alias("t"), F.count(F.lit(1)).alias("n")) for t in names]
-        u = parts[0]
-        for q in parts[1:]:
-            u = u.unionByName(q)
-        _SMALL[key] = {r["t"] for r in u.collect() if r["n"] <= max_rows}
-    return _SMALL[key]
-
-
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical typed shipment table (18 columns) from the test tables."""
-    return _canonical(_joined(spark, sf_dir))
+    """Canonical typed shipment table (18 columns) from the test tables, and the part's factory."""
+    factory = F.coalesce(F.col(S.FACTORY), F.lit(S.UNKNOWN_FACTORY)).alias(S.FACTORY)
+    return _canonical(_joined(spark, sf_dir), [factory])
 
 
 def _canonical(j: DataFrame, extra=()) -> DataFrame:
