@@ -10,9 +10,10 @@ table (a 1-row aggregate crossed in, never collected).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lanecraft import schema as S
+from lanecraft.functions.windows import running_total
 from lanecraft.functions.exprs import rintn, search_predicate
 
 DIMENSIONS = {
@@ -66,16 +67,18 @@ def apply_filters(df: DataFrame, filters: dict, full: DataFrame | None = None) -
 
 
 def preset_scopes(df: DataFrame, presets: dict[str, dict]) -> DataFrame:
-    """Rows kept and sales per named preset (one scan per preset, unioned)."""
-    parts = []
-    for i, (name, flt) in enumerate(presets.items()):
-        parts.append(apply_filters(df, flt).agg(
-            F.lit(name).alias("preset"), F.lit(i).alias("preset_order"), F.count(F.lit(1)).alias("rows_kept"),
-            F.coalesce(F.sum(S.SALES).cast("double"), F.lit(0.0)).alias("sales")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Rows kept and sales per named preset: conditional aggregates in one scan."""
+    rows = df.crossJoin(lead_bounds(df))
+    default = F.col(S.LEAD_TIME).between(F.col("__lo"), F.col("__hi"))
+    aggs = []
+    for i, flt in enumerate(presets.values()):
+        keep = dimension_predicate(flt)
+        if "lead_time_range" not in flt:
+            keep = keep & default
+        aggs += [F.count_if(keep).alias(f"n{i}"), F.coalesce(F.sum(F.when(keep, F.col(S.SALES))).cast("double"), F.lit(0.0)).alias(f"s{i}")]
+    cells = F.array(*[F.struct(F.lit(name).alias("preset"), F.lit(i).alias("preset_order"), F.col(f"n{i}").alias("rows_kept"), F.col(f"s{i}").alias("sales"))
+                      for i, name in enumerate(presets)])
+    return rows.agg(*aggs).select(F.inline(cells))
 
 
 def active_filter_count(filters: dict, full: DataFrame) -> DataFrame:
@@ -125,26 +128,22 @@ def quick_stats(scope: DataFrame, full: DataFrame) -> DataFrame:
 
 def facets(df: DataFrame, mode_order: DataFrame) -> DataFrame:
     """(facet, value, position): sorted distinct non-null values per
-    dimension; ship modes in speed order.  Each facet is a distinct (small)."""
+    dimension; ship modes in speed order.
+
+    One scan unpivots the dimensions and keeps distinct values; positions come
+    from a distributed running count, as a facet may have very many values."""
     spec = [("years", "ship_year"), ("factories", S.FACTORY), ("regions", S.REGION), ("states", S.STATE),
-            ("divisions", S.DIVISION), ("products", S.PRODUCT_NAME)]
-    parts = []
-    for name, col in spec:
-        v = df.select(F.col(col).alias("v")).filter(F.col("v").isNotNull()).distinct()
-        parts.append(v.select(F.lit(name).alias("facet"), F.col("v").cast("string").alias("value"),
-                              F.col("v").alias("__k_num") if col == "ship_year" else F.lit(None).cast("long").alias("__k_num"),
-                              F.lit(None).cast("int").alias("__k_ord")))
-    modes = (df.select(F.col(S.SHIP_MODE).alias("v")).filter(F.col("v").isNotNull()).distinct()
-               .join(mode_order.select(F.col(S.SHIP_MODE).alias("v"), "mode_order"), "v", "left"))
-    parts.append(modes.select(F.lit("ship_modes").alias("facet"), F.col("v").alias("value"),
-                              F.lit(None).cast("long").alias("__k_num"),
-                              F.coalesce(F.col("mode_order"), F.lit(99)).alias("__k_ord")))
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
-    # ranking runs per facet on the small distinct table
-    w = Window.partitionBy("facet").orderBy("__k_ord", "__k_num", "value")
-    return allp.withColumn("position", F.row_number().over(w) - 1).drop("__k_num", "__k_ord")
+            ("divisions", S.DIVISION), ("products", S.PRODUCT_NAME), ("ship_modes", S.SHIP_MODE)]
+    cells = F.array(*[F.struct(F.lit(name).alias("facet"), F.col(col).cast("string").alias("value"),
+                               (F.col(col) if col == "ship_year" else F.lit(None)).cast("long").alias("__num")) for name, col in spec])
+    values = df.select(F.inline(cells)).filter(F.col("value").isNotNull()).distinct()
+    order = mode_order.select(F.lit("ship_modes").alias("facet"), F.col(S.SHIP_MODE).alias("value"), "mode_order")
+    ranked = values.join(order, ["facet", "value"], "left").select(
+        "facet", "value", F.coalesce("__num", F.lit(0)).alias("__num"),
+        F.when(F.col("facet") == "ship_modes", F.coalesce("mode_order", F.lit(99))).otherwise(0).alias("__ord"), F.lit(1).alias("__one"))
+    run = running_total(ranked, [F.col("facet").asc(), F.col("__ord").asc(), F.col("__num").asc(), F.col("value").asc()], "__one", "__n")
+    first = run.groupBy("facet").agg(F.min("__n").alias("__first"))
+    return run.join(first, "facet").select("facet", "value", (F.col("__n") - F.col("__first")).cast("int").alias("position"))
 
 
 def order_search(df: DataFrame, text: str = "", status: str = "All", year: int | None = None,

@@ -152,7 +152,3 @@ def sankey_links(df: DataFrame, source_col: str = S.FACTORY, target_col: str = S
     tgt = nodes.select(F.col("node").alias("__tn"), F.col("node_id").alias("target_id"))
     return (g.join(src, F.col("source") == F.col("__sn")).join(tgt, F.col("target") == F.col("__tn"))
              .drop("__sn", "__tn"))
-
-
-def band_class(df: DataFrame, col: str, good: float = 70.0, warn: float = 40.0) -> DataFrame:
-    return df.withColumn(f"{col}_band", band(col, good, warn))

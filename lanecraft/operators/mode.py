@@ -77,9 +77,12 @@ def monthly_mode_trend(df: DataFrame) -> DataFrame:
 
 
 def mode_pivot(df: DataFrame, row_col: str, modes: list[str]) -> DataFrame:
-    """row_col × ship-mode shipment counts; ``modes`` fixes the columns, missing → 0."""
-    return (df.filter(F.col(row_col).isNotNull()).groupBy(row_col).pivot(S.SHIP_MODE, modes)
-              .agg(F.count(S.ROW_ID)).fillna(0))
+    """row_col × ship-mode shipment counts; ``modes`` names the columns (missing → 0), any other mode is
+    counted under ``other``."""
+    mode = F.when(F.col(S.SHIP_MODE).isin(modes), F.col(S.SHIP_MODE)).otherwise("other")
+    known = df.filter(F.col(row_col).isNotNull())
+    counts = known.withColumn("__mode", F.when(F.col(S.SHIP_MODE).isNotNull(), mode)).groupBy(row_col)
+    return counts.pivot("__mode", [*modes, "other"]).agg(F.count(S.ROW_ID)).fillna(0)
 
 
 def cost_time_tradeoff(summary: DataFrame) -> DataFrame:

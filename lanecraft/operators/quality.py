@@ -92,12 +92,26 @@ def hl_schema(df: DataFrame, core=CORE_COLUMNS) -> DataFrame:
                          ["string", "long", "int", "string", "string"])
 
 
-def hl_nulls(df: DataFrame) -> DataFrame:
-    a = df.agg(_nulls_total(df).alias("n"), F.count(F.lit(1)).alias("rows"))
-    n, rows = F.col("n"), F.col("rows")
+def _nulls_row(a: DataFrame) -> DataFrame:
+    n, rows = F.col("nulls"), F.col("rows")
     ded = F.when(n > 0, F.least(F.lit(20), (n / rows * 100.0).cast("int"))).otherwise(0)
-    sev = F.when(n > 0, F.when(n < rows * 0.05, "Medium").otherwise("High"))
-    return _row(a, "nulls", n, ded, sev)
+    return _row(a, "nulls", n, ded, F.when(n > 0, F.when(n < rows * 0.05, "Medium").otherwise("High")))
+
+
+def _flat_row(a: DataFrame, check: str, n, deduction: int) -> DataFrame:
+    return _row(a, check, n, F.when(n > 0, deduction).otherwise(0), F.when(n > 0, F.lit("High")))
+
+
+def _inversions():
+    return F.count_if(F.col(S.SHIP_DATE) < F.col(S.ORDER_DATE)).alias("inv")
+
+
+def _nonpositive():
+    return F.count_if(F.col(S.LEAD_TIME) <= 0).alias("nonpos")
+
+
+def hl_nulls(df: DataFrame) -> DataFrame:
+    return _nulls_row(df.agg(_nulls_total(df).alias("nulls"), F.count(F.lit(1)).alias("rows")))
 
 
 def hl_duplicates(df: DataFrame) -> DataFrame:
@@ -108,15 +122,11 @@ def hl_duplicates(df: DataFrame) -> DataFrame:
 
 
 def hl_chronology(df: DataFrame) -> DataFrame:
-    a = df.agg(F.count_if(F.col(S.SHIP_DATE) < F.col(S.ORDER_DATE)).alias("n"))
-    n = F.col("n")
-    return _row(a, "chronology", n, F.when(n > 0, 15).otherwise(0), F.when(n > 0, F.lit("High")))
+    return _flat_row(df.agg(_inversions()), "chronology", F.col("inv"), 15)
 
 
 def hl_nonpositive_lead(df: DataFrame) -> DataFrame:
-    a = df.agg(F.count_if(F.col(S.LEAD_TIME) <= 0).alias("n"))
-    n = F.col("n")
-    return _row(a, "nonpositive_lead", n, F.when(n > 0, 10).otherwise(0), F.when(n > 0, F.lit("High")))
+    return _flat_row(df.agg(_nonpositive()), "nonpositive_lead", F.col("nonpos"), 10)
 
 
 def hl_outliers(df: DataFrame, k: float = 4.0) -> DataFrame:
@@ -152,16 +162,11 @@ def health_checks(df: DataFrame, name_dim: DataFrame) -> DataFrame:
     chron = {S.ORDER_DATE, S.SHIP_DATE} <= has
     shared = df.agg(
         F.count(F.lit(1)).alias("rows"), _nulls_total(df).alias("nulls"),
-        (F.count_if(F.col(S.SHIP_DATE) < F.col(S.ORDER_DATE)) if chron else F.lit(0)).alias("inv"),
-        (F.count_if(F.col(S.LEAD_TIME) <= 0) if S.LEAD_TIME in has else F.lit(0)).alias("nonpos"))
-    n, rows = F.col("nulls"), F.col("rows")
-    nulls = _row(shared, "nulls", n,
-                 F.when(n > 0, F.least(F.lit(20), (n / rows * 100.0).cast("int"))).otherwise(0),
-                 F.when(n > 0, F.when(n < rows * 0.05, "Medium").otherwise("High")))
-    inv = F.col("inv")
-    chronology = _row(shared, "chronology", inv, F.when(inv > 0, 15).otherwise(0), F.when(inv > 0, F.lit("High")))
-    npz = F.col("nonpos")
-    nonpos = _row(shared, "nonpositive_lead", npz, F.when(npz > 0, 10).otherwise(0), F.when(npz > 0, F.lit("High")))
+        _inversions() if chron else F.lit(0).alias("inv"),
+        _nonpositive() if S.LEAD_TIME in has else F.lit(0).alias("nonpos"))
+    nulls = _nulls_row(shared)
+    chronology = _flat_row(shared, "chronology", F.col("inv"), 15)
+    nonpos = _flat_row(shared, "nonpositive_lead", F.col("nonpos"), 10)
     parts = [hl_schema(df).drop("missing_columns"), nulls, hl_duplicates(df),
              chronology if chron else None,
              nonpos if S.LEAD_TIME in has else None,
@@ -176,18 +181,16 @@ def health_checks(df: DataFrame, name_dim: DataFrame) -> DataFrame:
 
 def hl_report(df: DataFrame, name_dim: DataFrame) -> DataFrame:
     """Summary row: score = max(5, 100 − Σ deductions); an empty table scores 0."""
-    checks = health_checks(df, name_dim)
-    piv = checks.groupBy().pivot("check", ["schema", "nulls", "duplicates", "chronology", "unmapped_products"]).agg(
-        F.first("count")).fillna(0)
-    ded = checks.agg(F.sum("deduction").alias("__ded"))
-    base = df.agg(F.count(F.lit(1)).alias("total_records"))
-    return (base.crossJoin(ded).crossJoin(piv).select(
+    of = lambda name: F.coalesce(F.max(F.when(F.col("check") == name, F.col("count"))), F.lit(0).cast("long"))
+    # one aggregate over the (≤ 7) check rows, so every check is planned once
+    a = health_checks(df, name_dim).agg(
+        F.sum("deduction").alias("__ded"), of("nulls").alias("total_nulls"), of("duplicates").alias("duplicate_count"),
+        of("chronology").alias("date_inversions"), of("schema").alias("missing_columns_count"), of("unmapped_products").alias("unmapped_products"))
+    return df.agg(F.count(F.lit(1)).alias("total_records")).crossJoin(a).select(
         F.when(F.col("total_records") == 0, F.lit(0))
          .otherwise(F.greatest(F.lit(5), F.lit(100) - F.col("__ded"))).cast("int").alias("health_score"),
-        "total_records", F.lit(len(df.columns)).alias("total_columns"),
-        F.col("nulls").alias("total_nulls"), F.col("duplicates").alias("duplicate_count"),
-        F.col("chronology").alias("date_inversions"), F.col("schema").alias("missing_columns_count"),
-        F.col("unmapped_products").alias("unmapped_products")))
+        "total_records", F.lit(len(df.columns)).alias("total_columns"), "total_nulls", "duplicate_count", "date_inversions",
+        "missing_columns_count", "unmapped_products")
 
 
 def recommendations(checks: DataFrame) -> DataFrame:

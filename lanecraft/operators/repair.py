@@ -1,12 +1,16 @@
 """Automatic repairs recommended by the health checks, and ``fix_all``.
 
 De-duplication keeps the first row per (order, product) by a stable order
-(the row id) through an aggregate — ``min_by`` partially aggregates map-side,
-so even a key holding a third of the table never lands whole in one task."""
+(the row id) with ``row_number() = 1``: Spark's window group limit keeps one
+row per key and task before the shuffle, so even a key holding a third of the
+table never lands whole in one task.
+
+What repairs fill in (default plant, default ship mode) is configuration
+(``repair_defaults`` of :data:`lanecraft.schema.DEFAULT_CONFIG`)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from lanecraft import schema as S
 from lanecraft.functions.exprs import rintn
@@ -22,12 +26,10 @@ def drop_duplicates(df: DataFrame, keys=Q.DUP_KEYS, order_col: str = S.ROW_ID) -
     keys = [k for k in keys if k in df.columns]
     if not keys:
         return df.dropDuplicates()
-    others = [c for c in df.columns if c not in keys]
-    packed = F.struct(*[F.col(f"`{c}`") for c in others])
-    order = F.struct(F.col(order_col), packed) if order_col in df.columns else packed
-    return (df.groupBy(*keys).agg(F.min_by(packed, order).alias("__r"))
-              .select(*keys, *[F.col("__r")[c].alias(c) for c in others])
-              .select(*df.columns))
+    others = [c for c in df.columns if c not in keys and c != order_col]
+    order = ([order_col] if order_col in df.columns else []) + [f"`{c}`" for c in others]  # ties: the smallest row
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("__k", F.row_number().over(w)).filter("__k = 1").drop("__k")
 
 
 def clean_nulls(df: DataFrame) -> DataFrame:
@@ -65,7 +67,7 @@ def cap_sales(df: DataFrame, q: float = 0.99) -> DataFrame:
               .withColumn(S.SALES, F.when(s.isNull(), s).otherwise(F.least(s, F.col("__p")))).drop("__p"))
 
 
-def default_factory(df: DataFrame, name_dim: DataFrame | None = None, default: str = "Factory#0") -> DataFrame:
+def default_factory(df: DataFrame, name_dim: DataFrame | None = None, default: str = S.REPAIR_FACTORY) -> DataFrame:
     """Null factory → ``default``; without a factory column, look the name up first."""
     if S.FACTORY in df.columns:
         return df.withColumn(S.FACTORY, F.coalesce(F.col(S.FACTORY), F.lit(default)))
@@ -74,7 +76,7 @@ def default_factory(df: DataFrame, name_dim: DataFrame | None = None, default: s
               .withColumn(S.FACTORY, F.coalesce(F.col("__f"), F.lit(default))).drop("__n", "__f"))
 
 
-def missing_cols(df: DataFrame, core=Q.CORE_COLUMNS, default_mode: str = "5-LOW") -> DataFrame:
+def missing_cols(df: DataFrame, core=Q.CORE_COLUMNS, default_mode: str = S.REPAIR_SHIP_MODE) -> DataFrame:
     """Add absent core columns: money 0.0, units 1, ship mode default, else 'Unassigned'."""
     add = {}
     for c in core:
@@ -92,17 +94,17 @@ def missing_cols(df: DataFrame, core=Q.CORE_COLUMNS, default_mode: str = "5-LOW"
 
 
 FIXES = {
-    "fix_missing_cols": lambda df, ctx: missing_cols(df),
+    "fix_missing_cols": lambda df, ctx: missing_cols(df, default_mode=ctx["ship_mode"]),
     "clean_nulls": lambda df, ctx: clean_nulls(df),
     "drop_duplicates": lambda df, ctx: drop_duplicates(df),
     "fix_dates": lambda df, ctx: fix_dates(df),
     "fix_negative_lead_times": lambda df, ctx: fix_nonpositive_lead(df),
     "cap_sales_outliers": lambda df, ctx: cap_sales(df),
-    "map_default_factory": lambda df, ctx: default_factory(df, ctx.get("name_dim")),
+    "map_default_factory": lambda df, ctx: default_factory(df, ctx["name_dim"], ctx["factory"]),
 }
 
 
-def fix_all(df: DataFrame, name_dim: DataFrame) -> tuple[DataFrame, list[str]]:
+def fix_all(df: DataFrame, name_dim: DataFrame, factory: str = S.REPAIR_FACTORY, ship_mode: str = S.REPAIR_SHIP_MODE) -> tuple[DataFrame, list[str]]:
     """Diagnose once, then apply the recommended fixes in check order.
 
     The diagnosis is one small action (≤ 7 rows of check results); the fixes
@@ -111,5 +113,5 @@ def fix_all(df: DataFrame, name_dim: DataFrame) -> tuple[DataFrame, list[str]]:
     recs = [f for f in FIXES if f in found]
     out = df
     for fix in recs:
-        out = FIXES[fix](out, {"name_dim": name_dim})
+        out = FIXES[fix](out, {"name_dim": name_dim, "factory": factory, "ship_mode": ship_mode})
     return out, recs

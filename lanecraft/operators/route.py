@@ -84,13 +84,13 @@ def high_volume_routes(summary: DataFrame, n: int = 10) -> DataFrame:
     return summary.orderBy(F.col("shipments").desc(), F.col("route")).limit(n)
 
 
-def route_heatmap(summary: DataFrame, destinations: list[str], metric: str = "avg_lead_time") -> DataFrame:
-    """Factory × destination pivot of the mean of ``metric`` (missing → 0).
+def route_heatmap(summary: DataFrame, metric: str = "avg_lead_time") -> DataFrame:
+    """Mean of ``metric`` for every factory × destination seen (missing → 0), one row per cell.
 
-    ``destinations`` fixes the pivot columns (pass the domain, e.g. from the
-    state dimension) so Spark does not run a distinct job to discover them."""
-    return (summary.groupBy("factory").pivot("destination", destinations)
-                   .agg(F.avg(metric)).fillna(0.0))
+    Long form: no list of destinations is collected to name columns."""
+    cells = summary.groupBy("factory", "destination").agg(F.avg(metric).alias(metric))
+    grid = summary.select("factory").distinct().crossJoin(summary.select("destination").distinct())
+    return grid.join(cells, ["factory", "destination"], "left").withColumn(metric, F.coalesce(metric, F.lit(0.0)))
 
 
 def route_delay_breakdown(df: DataFrame, level: str = "state") -> DataFrame:

@@ -36,6 +36,7 @@ QUERIES = {
                                                               S.DEFAULT_COORDS).select(
         S.ROW_ID, S.FACTORY, S.FACTORY_LAT, S.FACTORY_LON),
     "feat_lead_days": lambda s, d: FE.add_lead_days(_fact(s, d)).select(S.ROW_ID, S.LEAD_TIME),
+    "feat_lead_stats": lambda s, d: FE.lead_stats(FE.add_lead_days(C.drop_invalid_lead(_fact(s, d)))),
     "feat_lead_days_clipped": lambda s, d: FE.add_lead_days_clipped(_fact(s, d)).select(S.ROW_ID, S.LEAD_TIME),
     "feat_delay_median": lambda s, d: FE.add_delay_flag_median(
         FE.add_lead_days(C.drop_invalid_lead(_fact(s, d)))).select(S.ROW_ID, S.SHIP_MODE, S.LEAD_TIME, S.DELAY_FLAG),
@@ -64,6 +65,8 @@ CLIP = ("round_even(greatest(CAST(date_diff('second', CAST(order_date AS TIMESTA
 RECALC = recalc_ctes("fact", "recalc", "auto")
 
 SQL = {
+    "feat_lead_stats": over_fact("""SELECT min(l) AS min_lead_time, median(l) AS median_lead_time, max(l) AS max_lead_time
+FROM (SELECT CAST(date_diff('day', order_date, ship_date) AS INTEGER) AS l FROM fact) WHERE l > 0"""),
     "feat_factory": over_fact("SELECT factory, count(*) AS shipments FROM ff GROUP BY factory", FF),
     "feat_coords": over_fact("""SELECT ff.row_id, ff.factory, c.factory_lat, c.factory_lon FROM ff
   LEFT JOIN coords c ON ff.factory = c.factory""", FF),

@@ -84,6 +84,7 @@ QUERIES = {
         G.tokens(_events(s, d))),
     "gov_model_registry": lambda s, d: G.model_registry(_meta(s, d)),
     "gov_config_overlay": lambda s, d: G.config_overlay(G.flatten_config(s, S.default_config()), overrides_table(s, d)),
+    "gov_weight_pair": lambda s, d: G.weight_pair(td.table(s, d, "region").select((F.col("r_regionkey") / 10).alias("delay_weight"))),
     "gov_config_edit_check": lambda s, d: G.config_edit_check(edits_table(s, d)),
 }
 
@@ -113,6 +114,7 @@ def _flat_values() -> str:
 
 
 SQL = {
+    "gov_weight_pair": "SELECT r_regionkey / 10 AS delay_weight, 1.0 - r_regionkey / 10 AS lead_time_weight FROM region",
     "gov_audit_append": _w(AUDIT) + """SELECT log_date, count(*) AS rows FROM (
   SELECT CAST(ts AS DATE) AS log_date FROM a UNION ALL SELECT CAST(ts AS DATE) FROM a WHERE action = 'error')
 GROUP BY log_date""",

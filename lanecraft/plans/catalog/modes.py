@@ -59,6 +59,8 @@ OTD = """otd AS (
 
 def _pivot_sql(row: str) -> str:
     cols = ",\n  ".join(f"count(row_id) FILTER (WHERE ship_mode = '{m}') AS \"{m}\"" for m in td.TEST_SHIP_MODES)
+    names = ", ".join(f"'{m}'" for m in td.TEST_SHIP_MODES)
+    cols += f",\n  count(row_id) FILTER (WHERE ship_mode NOT IN ({names})) AS other"
     return over_feat(f"SELECT {row},\n  {cols}\nFROM feat WHERE {row} IS NOT NULL GROUP BY {row}")
 
 

@@ -25,7 +25,6 @@ QUERIES = {
     "dq_score": lambda s, d: Q.dq_score(Q.dq_counts(_aud(s, d))),
     "dq_rules": lambda s, d: Q.dq_rules(_aud(s, d)),
     "dq_completeness": lambda s, d: Q.dq_completeness(_aud(s, d)),
-    "hl_schema": lambda s, d: Q.hl_schema(_aud(s, d)),
     "hl_nulls": lambda s, d: Q.hl_nulls(_aud(s, d)),
     "hl_duplicates": lambda s, d: Q.hl_duplicates(_aud(s, d)),
     "hl_chronology": lambda s, d: Q.hl_chronology(_aud(s, d)),
@@ -38,9 +37,9 @@ QUERIES = {
     "fix_dates": lambda s, d: RP.fix_dates(_aud(s, d)),
     "fix_nonpositive_lead": lambda s, d: RP.fix_nonpositive_lead(_aud(s, d)),
     "fix_cap_sales": lambda s, d: RP.cap_sales(_aud(s, d)),
-    "fix_default_factory": lambda s, d: RP.default_factory(FT.base(s, d), _names(s, d)),
-    "fix_missing_cols": lambda s, d: RP.missing_cols(FT.base(s, d).drop(*DROPPED)),
-    "fix_all": lambda s, d: RP.fix_all(_aud(s, d), _names(s, d))[0],
+    "fix_default_factory": lambda s, d: RP.default_factory(FT.base(s, d), _names(s, d), "Factory#0"),
+    "fix_missing_cols": lambda s, d: RP.missing_cols(FT.base(s, d).drop(*DROPPED), default_mode="5-LOW"),
+    "fix_all": lambda s, d: RP.fix_all(_aud(s, d), _names(s, d), "Factory#0", "5-LOW")[0],
 }
 
 AUD_COLS = S.BASE_COLUMNS + [S.FACTORY, S.FACTORY_LAT, S.FACTORY_LON, S.LEAD_TIME]
@@ -124,8 +123,6 @@ SQL = {
         f"SELECT '{c}' AS \"column\", count_if({c} IS NULL) AS missing_values, "
         f"round_even((1.0 - count_if({c} IS NULL) / count(*)) * 100.0, 2) AS completeness_pct FROM aud"
         for c in AUD_COLS)),
-    "hl_schema": "SELECT 'schema' AS \"check\", CAST(0 AS BIGINT) AS count, 0 AS deduction, "
-                 "CAST(NULL AS VARCHAR) AS severity, '' AS missing_columns",
     "hl_nulls": _check("nulls"),
     "hl_duplicates": _check("duplicates"),
     "hl_chronology": _check("chronology"),

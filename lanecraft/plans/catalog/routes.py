@@ -7,18 +7,12 @@ from pyspark.sql import functions as F
 from lanecraft.operators import route as R
 from lanecraft.plans.catalog.common import feat, route_summary_sql, rs_cte
 from lanecraft.plans.oracle_base import over_feat
-from lanecraft.sources import testdata as td
 
 
 def _rs(spark, sf_dir, level="state"):
     return R.route_summary(feat(spark, sf_dir), level)
 
 
-def _heatmap(spark, sf_dir):
-    states = [r[0] for r in td.table(spark, sf_dir, "nation").select("n_name").orderBy("n_name").collect()]
-    return R.route_heatmap(_rs(spark, sf_dir), states, "avg_lead_time")
-
-
 QUERIES = {
     "route_summary_state": lambda s, d: _rs(s, d, "state"),
     "route_summary_region": lambda s, d: _rs(s, d, "region"),
@@ -27,7 +21,7 @@ QUERIES = {
     "route_most_consistent": lambda s, d: R.most_consistent_routes(_rs(s, d), 10, 5),
     "route_most_variable": lambda s, d: R.most_variable_routes(_rs(s, d), 10, 5),
     "route_high_volume": lambda s, d: R.high_volume_routes(_rs(s, d), 10),
-    "route_heatmap": _heatmap,
+    "route_heatmap": lambda s, d: R.route_heatmap(_rs(s, d), "avg_lead_time"),
     "route_delay_breakdown": lambda s, d: R.route_delay_breakdown(feat(s, d), "state"),
     "route_bottlenecks": lambda s, d: R.bottleneck_routes(_rs(s, d), 50.0, 10),
     "route_leaderboard_band": lambda s, d: R.route_leaderboard(_rs(s, d), 10),
@@ -69,7 +63,7 @@ FROM rs""", _RS),
 
 # The heat-map oracle needs the destination names as columns; DuckDB's PIVOT
 # produces them from the data with the same names.
-SQL["route_heatmap"] = over_feat(
-    """SELECT factory, coalesce(COLUMNS(* EXCLUDE (factory)), 0.0) FROM (
-  PIVOT (SELECT factory, destination, avg_lead_time FROM rs)
-  ON destination IN (SELECT n_name FROM nation) USING avg(avg_lead_time) GROUP BY factory)""", _RS)
+SQL["route_heatmap"] = over_feat("""SELECT f.factory, t.destination, coalesce(c.v, 0.0) AS avg_lead_time
+FROM (SELECT DISTINCT factory FROM rs) f CROSS JOIN (SELECT DISTINCT destination FROM rs) t
+LEFT JOIN (SELECT factory, destination, avg(avg_lead_time) AS v FROM rs GROUP BY factory, destination) c
+  ON f.factory = c.factory AND t.destination = c.destination""", _RS)

@@ -63,7 +63,6 @@ TYPED_SCHEMA = T.StructType([
 ])
 
 CATEGORICAL_COLUMNS = [SHIP_MODE, COUNTRY, CITY, STATE, DIVISION, REGION, PRODUCT_NAME, CUSTOMER_ID]
-NUMERIC_COLUMNS = [SALES, GROSS_PROFIT, COST, UNITS]
 TRIM_COLUMNS = [SHIP_MODE, COUNTRY, CITY, STATE, DIVISION, REGION, PRODUCT_NAME]
 
 # Fixed values that must equal the reference's for the same results.
@@ -80,21 +79,21 @@ UNKNOWN = "Unknown"
 ROUTE_ARROW = " → "
 MIN_LEAD_DAYS = 0.5
 
-# Fixed values (the reference data set): ship modes slowest → fastest and SLA days per mode.
+# SLA days per ship mode, and what repairs fill in (a plant for unmapped products, a mode).
 # Product → factory maps and factory coordinates are configuration (user data), passed as dimension tables.
-REFERENCE_SHIP_MODES = ["Standard Class", "Second Class", "First Class", "Same Day"]
-REFERENCE_SLA_DAYS = {"Standard Class": 5.0, "Second Class": 3.0, "First Class": 2.0, "Same Day": 1.0}
-REFERENCE_REGIONS = ["Gulf", "Interior", "Pacific", "Atlantic"]
-REFERENCE_DIVISIONS = ["Chocolate", "Sugar", "Other"]
+DEFAULT_SLA = {"Standard Class": 5.0, "Second Class": 3.0, "First Class": 2.0, "Same Day": 1.0}
+REPAIR_FACTORY = "Secret Factory"
+REPAIR_SHIP_MODE = "Standard Class"
 
 DEFAULT_CONFIG = {
-    "sla_thresholds_days": dict(REFERENCE_SLA_DAYS),
+    "sla_thresholds_days": dict(DEFAULT_SLA),
     "efficiency_weights": {"delay_weight": DELAY_WEIGHT, "lead_time_weight": LEAD_TIME_WEIGHT},
     "alert_thresholds": {"bottleneck_delay_rate_pct": 50.0, "min_shipments_for_evaluation": 5,
                          "lead_time_outlier_days": 10.0},
     "kpi_targets": {"target_delay_rate_pct": 25.0, "target_avg_lead_time_days": 3.5,
                     "target_efficiency_score": 0.75},
     "ml_settings": {"random_forest_estimators": 100, "test_size": 0.2, "random_state": 42},
+    "repair_defaults": {"factory": REPAIR_FACTORY, "ship_mode": REPAIR_SHIP_MODE},
     "forecast_settings": {"default_horizon_months": 6, "confidence_level": 0.95},
 }
 
