@@ -40,6 +40,7 @@ overlay comment comments reply replies respond disqus discussion share sharing s
 pagination pager toolbar subscribe subscription newsletter signup login search form widget widgets skip hidden toc copyright""".split())
 CONTENT_TAGS = frozenset(["article", "main"])
 _INNER_HEADER = frozenset(["header"])
+_CONTENT_WORDS = frozenset("content article post entry story".split())
 
 
 def skipped(node: Node, inside: bool = False) -> bool:
@@ -51,8 +52,9 @@ def skipped(node: Node, inside: bool = False) -> bool:
         if w in SKIP_WORDS and not (inside and w == "header"):
             return True
         parts = re.split(r"[-_#]+", w)
-        if len(parts) > 1 and (parts[0] in SKIP_WORDS or parts[-1] in SKIP_WORDS) and not {"content", "article", "post", "entry", "story"} & set(parts):
-            return True
+        for end in (parts[0], parts[-1]) if len(parts) > 1 else ():  # site-footer, comment-list
+            if end in SKIP_WORDS and not (end == "header" and _CONTENT_WORDS & set(parts)):
+                return True
     return False
 
 
