@@ -8,9 +8,10 @@ pre-aggregated table instead of expanding the fact."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from lanecraft import schema as S
+from lanecraft.functions.windows import running_total
 from lanecraft.functions.exprs import band, delay_mean, margin_pct, money_total, rintn
 
 
@@ -147,7 +148,9 @@ def sankey_links(df: DataFrame, source_col: str = S.FACTORY, target_col: str = S
     ends = (g.select(F.col("source").alias("node"), F.lit(0).alias("side"))
              .unionByName(g.select(F.col("target").alias("node"), F.lit(1).alias("side"))))
     first = ends.groupBy("node").agg(F.min("side").alias("side"))
-    nodes = first.withColumn("node_id", F.row_number().over(Window.orderBy("side", "node")) - 1)
+    # the columns may be any: ids come from a distributed running count, not from one task
+    nodes = running_total(first.withColumn("__one", F.lit(1)), [F.col("side").asc(), F.col("node").asc()], "__one", "__n") \
+        .withColumn("node_id", (F.col("__n") - 1).cast("int"))
     src = nodes.select(F.col("node").alias("__sn"), F.col("node_id").alias("source_id"))
     tgt = nodes.select(F.col("node").alias("__tn"), F.col("node_id").alias("target_id"))
     return (g.join(src, F.col("source") == F.col("__sn")).join(tgt, F.col("target") == F.col("__tn"))
