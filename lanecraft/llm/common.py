@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -19,7 +21,7 @@ from lanecraft.session import ensure_checkpoint_dir
 #: hundreds of MB into one batch.
 BATCH_ROWS = "512"
 #: Python workers regroup batches until they hold about this many bytes of text.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -95,16 +97,27 @@ def grouped(batches, column: str, target: int = GROUP_BYTES):
                 held, size = [], 0
     if held:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    release()
 
 
-def empty_like(schema: str, spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], schema)
+def release() -> None:
+    """Give freed memory back to the system: Spark keeps the Python workers for later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 #: A staged side up to this size may be broadcast; a larger one is joined by a shuffle.
 BROADCAST_BYTES = 48 << 20
 
 
-def sized(staged: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """A broadcast hint behind a check of the side's size (rows x bytes a row), else the side as it is."""
-    return F.broadcast(staged) if staged.count() * row_bytes <= limit else staged
+def sized(staged: DataFrame, row_bytes: int, column: str | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint behind a check of the side's size (rows x bytes a row, and the bytes of a binary
+    ``column``), else the side as it is."""
+    return F.broadcast(staged) if side_bytes(staged, row_bytes, column) <= limit else staged
+
+
+def side_bytes(staged: DataFrame, row_bytes: int, column: str | None = None) -> int:
+    more = F.sum(F.octet_length(column)) if column else F.lit(0)
+    n, held = staged.agg(F.count(F.lit(1)), F.coalesce(more, F.lit(0)) if column else F.max(F.lit(0))).first()
+    return n * row_bytes + (held or 0)

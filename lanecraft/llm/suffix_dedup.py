@@ -7,7 +7,7 @@ cross documents).  Suffixes are only compared where they can match:
    (the leftmost of equal ones).  Equal windows have equal anchors at equal offsets, so windows are dealt
    by anchor hash; consecutive windows with one anchor form a context (their union of bytes).
 2. *Counting.*  Contexts whose anchor occurs once in the corpus hold no repeat and go.  Contexts that equal
-   another byte for byte (128-bit digests) repeat as a whole.
+   another byte for byte (64-bit digests, compared among those of one 64-bit anchor) repeat as a whole.
 3. *Suffix order.*  One copy of every distinct context of the remaining anchors is fetched.  Tasks sort the
    suffixes at its window starts (to LENGTH bytes), take common prefixes of neighbours, and from previous
    and next smaller positions in suffix order the longest previous (and next) factors.
@@ -17,6 +17,9 @@ cross documents).  Suffixes are only compared where they can match:
 An anchor with more than ``HOT_CONTEXTS`` distinct contexts (a passage inside a large share of all
 documents) is not sorted in one task: its windows are counted as digests, with map-side combination.
 
+Texts meet their lists of wanted contexts, and later their spans, by a broadcast of the list while its
+measured size is at most ``BROADCAST_BYTES``; beyond it texts are shuffled, compressed.
+
 Documents are known by id and a digest of their text.  Null text is empty; texts shorter than LENGTH never
 match.  Repeated rows are copies of each other.  An empty table gives an empty result.
 """
@@ -28,20 +31,21 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from lanecraft.llm.common import GROUP_BYTES, grouped, partitions, sized, stage, text_bytes
+from lanecraft.llm.common import BROADCAST_BYTES, GROUP_BYTES, grouped, partitions, side_bytes, stage, text_bytes
 from lanecraft.llm.shingles import mix64
 
 LENGTH = 200
 GRAM = 64
 HOT_CONTEXTS = 4096
 #: Window starts sorted at once (LENGTH bytes each).
-SORT_ROWS = 100_000
+SORT_ROWS = 50_000
 
 U = np.uint64
 _POS = 24  # low bits of a key hold the position inside a slice of a batch
-_SLICE = 1 << 22
+_SLICE = 1 << 20
 _BYTE = np.random.Generator(np.random.PCG64(8)).integers(0, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 
 
@@ -158,50 +162,102 @@ def _anchor_rows(docs: DataFrame, kind: str, length: int) -> DataFrame:
                 part = raw[lo:hi]
                 key, first, last = contexts(part, own, length)
                 text = part.tobytes()
-                digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(text[a:b + length]) for a, b in zip(first.tolist(), last.tolist())), np.int64).reshape(-1, 2)
+                digest = np.array([xxhash.xxh3_64_intdigest(text[a:b + length]) for a, b in zip(first.tolist(), last.tolist())], U)
                 doc = i + np.searchsorted(own, first, side="right") - 1
                 at = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(at), batch.column(1).take(at), pa.array((first + lo - offsets[doc]).astype(np.int32)),
-                     pa.array((last - first + 1).astype(np.int32)), pa.array(key.view(np.int64)), pa.array(digest[:, 0]), pa.array(digest[:, 1])],
-                    names=["doc", "th", "start", "count", "key", "c1", "c2"])
+                     pa.array((last - first + 1).astype(np.int32)), pa.array(key.view(np.int64)), pa.array(digest.view(np.int64))],
+                    names=["doc", "th", "start", "count", "key", "c"])
 
     return docs.select("doc", "th", "text").mapInArrow(
-        run, f"doc {kind}, th int, start int, count int, key bigint, c1 bigint, c2 bigint")
+        run, f"doc {kind}, th int, start int, count int, key bigint, c bigint")
+
+
+_WANT = np.dtype([("key", "<i8"), ("start", "<i4"), ("count", "<i4")])
 
 
-def _fetch(docs: DataFrame, wanted: DataFrame, kind: str, length: int) -> DataFrame:
-    """The bytes of the wanted contexts (array ``ctx`` of key, start, count, copies per document)."""
+def _per_document(rows: DataFrame, kind: str, columns: list[str], pack) -> DataFrame:
+    """(doc, th, data): the rows of a document as one packed binary value (bounded by its length)."""
+    listed = rows.groupBy("doc", "th").agg(F.collect_list(F.struct(*columns)).alias("rows"))
+
     def run(batches):
+        for batch in batches:
+            col = batch.column(2)
+            fields = [col.values.field(i).to_numpy() for i in range(len(columns))]
+            at = np.asarray(col.offsets)
+            data = [pack(*(f[lo:hi] for f in fields)) for lo, hi in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], names=["doc", "th", "data"])
+
+    return stage(listed.mapInArrow(run, f"doc {kind}, th int, data binary"), "lists")
+
+
+def _pack_wants(key, start, count) -> bytes:
+    out = np.empty(len(key), _WANT)
+    out["key"], out["start"], out["count"] = key, start, count
+    return out.tobytes()
+
+
+def _pack_spans(start, end) -> bytes:
+    return np.array(merge(start.astype(np.int64), end.astype(np.int64)), "<i4").tobytes()
+
+
+def _meet(docs: DataFrame, lists: DataFrame, how: str, limit: int) -> DataFrame:
+    """``docs`` (with a ``text``) joined with the lists of :func:`_per_document`, on document and digest."""
+    same = docs["doc"].eqNullSafe(lists["doc"]) & (docs["th"] == lists["th"])
+    if side_bytes(lists, 96, "data") <= limit:
+        return docs.join(F.broadcast(lists), same, how).select(*[docs[c] for c in docs.columns], "data")
+    fields = [f for f in docs.schema.fields if f.name != "text"]
+
+    def squeeze(batches):
+        press = zstandard.ZstdCompressor(level=1)
         for batch in grouped(batches, "text"):
-            doc, th, row, key, start, count, copies, data = ([] for _ in range(8))
-            raw, offsets = text_bytes(batch.column(2))
-            for i, wants in enumerate(batch.column(3).to_pylist()):
-                text = raw[offsets[i]:offsets[i + 1]].tobytes()
-                for w in wants:
-                    row.append(i)
-                    key.append(w["key"])
-                    start.append(w["start"])
-                    count.append(w["count"])
-                    copies.append(w["copies"])
-                    data.append(text[w["start"]:w["start"] + w["count"] + length - 1])
+            raw, offsets = text_bytes(batch.column(0))
+            small = [press.compress(raw[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(small, pa.binary()), *batch.columns[1:]], names=["text", *[f.name for f in fields]])
+
+    small = docs.select("text", *[f.name for f in fields]).mapInArrow(
+        squeeze, "text binary, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields))
+    same = small["doc"].eqNullSafe(lists["doc"]) & (small["th"] == lists["th"])
+    return small.join(lists, same, how).select(*[small[c] for c in docs.columns], "data")
+
+
+def _texts(column: pa.Array) -> list[bytes]:
+    """The texts' bytes, of a text column or a compressed one."""
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        press = zstandard.ZstdDecompressor()
+        return [press.decompress(x) for x in column.to_pylist()]
+    raw, offsets = text_bytes(column)
+    return [raw[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
+
+
+def _fetch(docs: DataFrame, wanted: DataFrame, kind: str, length: int, limit: int) -> DataFrame:
+    """The bytes of the wanted contexts (doc, th, key, start, count)."""
+    def run(batches):
+        for batch in batches:
+            row, parts, data = [], [], []
+            for i, (text, wants) in enumerate(zip(_texts(batch.column(2)), batch.column(3).to_pylist())):
+                own = np.frombuffer(wants, _WANT)
+                parts.append(own)
+                row += [i] * len(own)
+                data += [text[a:a + n + length - 1] for a, n in zip(own["start"].tolist(), own["count"].tolist())]
+            own = np.concatenate(parts) if parts else np.empty(0, _WANT)
             at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(start, pa.int32()), pa.array(count, pa.int32()),
-                 pa.array(copies, pa.int64()), pa.array(key, pa.int64()), pa.array(data, pa.binary())],
-                names=["doc", "th", "start", "count", "copies", "key", "data"])
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(own["start"].copy()), pa.array(own["count"].copy()),
+                 pa.array(own["key"].copy()), pa.array(data, pa.binary())],
+                names=["doc", "th", "start", "count", "key", "data"])
 
-    listed = stage(wanted.groupBy("doc", "th").agg(F.collect_list(F.struct("key", "start", "count", "copies")).alias("ctx")), "wanted")
-    same = docs["doc"].eqNullSafe(listed["doc"]) & (docs["th"] == listed["th"])
-    rows = docs.join(sized(listed, 400), same).select(docs["doc"], docs["th"], "text", "ctx")
-    return rows.mapInArrow(run, f"doc {kind}, th int, start int, count int, copies bigint, key bigint, data binary")
+    lists = _per_document(wanted, kind, ["key", "start", "count"], _pack_wants)
+    return _meet(docs.select("doc", "th", "text"), lists, "inner", limit).mapInArrow(
+        run, f"doc {kind}, th int, start int, count int, key bigint, data binary")
 
 
 def _sort_suffixes(found: DataFrame, kind: str, length: int, keep: str) -> DataFrame:
-    """(doc, th, start, end, all) spans of windows with a factor of ``length`` among contexts of one anchor."""
+    """(doc, th, start, end) spans of windows with a factor of ``length`` among contexts of one anchor."""
     def spans(rows: pa.Table):
-        doc, th, start, count, copies, _, data = (rows.column(i) for i in range(7))
-        start, count, copies = (c.to_numpy().astype(np.int64) for c in (start, count, copies))
+        doc, th, start, count, _, data = (rows.column(i) for i in range(6))
+        start, count = (c.to_numpy().astype(np.int64) for c in (start, count))
         flat, at = text_bytes(pa.concat_arrays(data.chunks) if data.num_chunks != 1 else data.chunk(0))
         owner = np.repeat(np.arange(len(count)), count)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
@@ -221,9 +277,9 @@ def _sort_suffixes(found: DataFrame, kind: str, length: int, keep: str) -> DataF
         """Rows come sorted by key, document and start; whole anchors are sorted together."""
         held, size = [], 0
         for batch in batches:
-            key = batch.column(5).to_numpy()
+            key = batch.column(4).to_numpy()
             cuts = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
-            if held and len(key) and held[-1].column(5)[-1].as_py() != key[0] and size >= SORT_ROWS:
+            if held and len(key) and held[-1].column(4)[-1].as_py() != key[0] and size >= SORT_ROWS:
                 yield spans(pa.Table.from_batches(held))
                 held, size = [], 0
             lo = 0
@@ -267,36 +323,40 @@ def _count_windows(found: DataFrame, kind: str, length: int, keep: str) -> DataF
     return hit.select("doc", "th", "start", (F.col("start") + length).alias("end"))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "first", hot: int = HOT_CONTEXTS) -> DataFrame:
-    """(doc, th, spans) of the documents (doc, th, text) that lose bytes; spans are (start, end) pairs, some
-    of them overlapping."""
+def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "first", hot: int = HOT_CONTEXTS,
+                   limit: int = BROADCAST_BYTES) -> DataFrame:
+    """(doc, th, data) of the documents (doc, th, text) that lose bytes; data: packed (start, end) pairs."""
     kind = docs.schema["doc"].dataType.simpleString()
-    rows = stage(_anchor_rows(docs, kind, length), "anchors")
-    digest, place = F.struct("c1", "c2"), F.struct("doc", "th", "start")
-    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("c1").alias("lo"), F.max("c1").alias("hi"),
-                                   F.min("c2").alias("lo2"), F.max("c2").alias("hi2"), F.min(place).alias("first")).where("n > 1")
-    shared = stage(rows.join(keys.withColumn("one", (F.col("lo") == F.col("hi")) & (F.col("lo2") == F.col("hi2"))).select("key", "one", "first"), "key"), "shared")
+    rows = _anchor_rows(docs, kind, length)  # computed twice: cheaper than keeping every anchor on disk
+    place, first = F.struct("doc", "th", "start"), keep == "first"
+    held = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"),
+                                   *([F.min(place).alias("first")] if first else [])).where("n > 1")
+    # staged, so that both sides of the join have an exchange of their own and hot anchors can be split
+    keys = stage(held.select("key", (F.col("lo") == F.col("hi")).alias("one"), *(["first"] if first else [])), "keys")
+    later = (place != F.col("first")) if first else F.lit(True)
     end = (F.col("start") + F.col("count") + length - 1).alias("end")
-    later = lambda: (place != F.col("first")) if keep == "first" else F.lit(True)
-    whole = shared.where("one").where(later()).select("doc", "th", "start", end)
-    mixed = shared.where("not one").drop("first")
-    classes = stage(mixed.groupBy("key", "c1", "c2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc", "th", "start", "count")).alias("x"))
-                    .select("key", "c1", "c2", "copies", "x.*"), "classes")
-    copied = classes.where("copies > 1").select("key", "c1", "c2", F.struct("doc", "th", "start").alias("first"))
-    copies = mixed.join(copied, ["key", "c1", "c2"]).where(later()).select("doc", "th", "start", end)
-    found = stage(_fetch(docs, classes, kind, length).dropDuplicates(["key", "doc", "th", "start"]), "contexts")
-    size = stage(classes.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot).select("key"), "hot")
-    if size.isEmpty():
+    mixed = F.when(~F.col("one"), F.col("key")).alias("key"), F.when(~F.col("one"), F.col("c")).alias("c")
+    shared = stage(rows.join(keys, "key").where(~F.col("one") | later).select("doc", "th", "start", "count", *mixed), "shared")
+    whole = shared.where("key is null").select("doc", "th", "start", end)
+    open_ = shared.where("key is not null")
+    classes = stage(open_.groupBy("key", "c").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc", "th", "start", "count")).alias("x"))
+                    .select("key", "c", "copies", "x.*"), "classes")
+    copied = classes.where("copies > 1").select("key", "c", place.alias("first"))
+    copies = open_.join(copied, ["key", "c"]).where(later).select("doc", "th", "start", end)
+    found = _fetch(docs, classes.select("doc", "th", "key", "start", "count"), kind, length, limit) \
+        .dropDuplicates(["key", "doc", "th", "start"])  # a repeated row gives its contexts once
+    found = stage(found, "contexts")
+    large = stage(classes.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot).select("key"), "hot")
+    if large.isEmpty():
         inner = _sort_suffixes(found, kind, length, keep)
     else:
-        inner = _sort_suffixes(found.join(size, "key", "left_anti"), kind, length, keep).unionByName(
-            _count_windows(found.join(size, "key", "left_semi"), kind, length, keep))
-    spans = whole.unionByName(copies).unionByName(inner)
-    return spans.groupBy("doc", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+        inner = _sort_suffixes(found.join(large, "key", "left_anti"), kind, length, keep).unionByName(
+            _count_windows(found.join(large, "key", "left_semi"), kind, length, keep))
+    return _per_document(whole.unionByName(copies).unionByName(inner), kind, ["start", "end"], _pack_spans)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep: str = "first",
-                   hot: int = HOT_CONTEXTS, with_text: bool = True) -> DataFrame:
+                   hot: int = HOT_CONTEXTS, with_text: bool = True, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Every row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256 and, if ``with_text``, the kept
     text (characters cut in the middle are dropped from it) under ``text``, with the other columns in
     ``row``."""
@@ -305,31 +365,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = docs.select(F.col(id_col).alias("doc"), F.hash(text).alias("th"), text.alias("text"),
                         F.struct(F.lit(0).alias("_"), *[F.col(c) for c in (other if with_text else [])]).alias("row"))
     kind = known.schema["doc"].dataType.simpleString()
-    cut = stage(repeated_spans(known.select("doc", "th", "text"), length, keep, hot), "spans")
-    rows = known.join(sized(cut, 160), (known["doc"].eqNullSafe(cut["doc"])) & (known["th"] == cut["th"]), "left").select(known["doc"], "text", "row", "spans")
+    cut = repeated_spans(known.select("doc", "th", "text"), length, keep, hot, limit)
+    rows = _meet(known, cut, "left", limit).select("doc", "text", "row", "data")
 
     def run(batches):
-        for batch in grouped(batches, "text"):
-            raw, offsets = text_bytes(batch.column(1))
-            removed, runs, sha, kept = [], [], [], []
-            for i, spans in enumerate(batch.column(3)):
-                data = raw[offsets[i]:offsets[i + 1]]
-                gone = []
-                if spans.is_valid and len(spans):
-                    pairs = spans.values
-                    gone = merge(pairs.field(0).to_numpy().astype(np.int64), pairs.field(1).to_numpy().astype(np.int64))
+        for batch in batches:
+            total, removed, runs, sha, kept = [], [], [], [], []
+            for data, spans in zip(_texts(batch.column(1)), batch.column(3).to_pylist()):
+                gone = np.frombuffer(spans or b"", "<i4").reshape(-1, 2).tolist()
                 parts, at = [], 0
                 for a, b in gone:
-                    parts.append(data[at:a].tobytes())
+                    parts.append(data[at:a])
                     at = b
-                parts.append(data[at:].tobytes())
+                parts.append(data[at:])
                 left = b"".join(parts)
+                total.append(len(data))
                 removed.append(len(data) - len(left))
                 runs.append(len(gone))
                 sha.append(hashlib.sha256(left).hexdigest())
                 kept.append(left.decode("utf-8", "ignore") if with_text else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()),
+                [batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()),
                  pa.array(sha, pa.string()), pa.array(kept, pa.string()), batch.column(2)],
                 names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "row"])
 
