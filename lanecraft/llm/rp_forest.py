@@ -26,11 +26,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lanecraft.llm.common import stage
+from lanecraft.llm.common import sized, stage
 from lanecraft.llm.components import components
 
 SAMPLE = 8192
-LEAF = 512
+LEAF = 384
 BLOCK = 512
 SPILL = 0.10
 RECALL = 0.99
@@ -39,23 +39,26 @@ MIN_NODE = 32
 SEED = 2
 
 
-def parse(vectors: list) -> tuple[np.ndarray, np.ndarray]:
-    """(rows that can link, their unit vectors as doubles, padded with zeros)."""
+def parse(vectors: list, kind=np.float64) -> tuple[list[int], list[bytes]]:
+    """(rows that can link, their components as little-endian bytes without trailing zeros)."""
     ok, rows = [], []
     for i, v in enumerate(vectors):
-        if v is None or not len(v) or any(x is None for x in v):
+        if v is None or any(x is None for x in v):
             continue
-        x = np.asarray(v, np.float64)
-        if not np.isfinite(x).all() or not x.any():
-            continue
-        x = x / np.abs(x).max()  # no overflow in the norm
-        ok.append(i)
-        rows.append(x / math.sqrt(float(x @ x)))
-    width = max(map(len, rows), default=1)
-    out = np.zeros((len(rows), width))
-    for r, x in enumerate(rows):
-        out[r, :len(x)] = x
-    return np.array(ok, np.int64), out
+        x = np.asarray(v, kind)
+        if np.isfinite(x).all() and x.any():
+            ok.append(i)
+            rows.append(x[:np.flatnonzero(x)[-1] + 1].tobytes())
+    return ok, rows
+
+
+def units(data: list[bytes], kind=np.float64) -> np.ndarray:
+    """Unit vectors as doubles, padded with zeros to one width; the same bytes give the same vector
+    whatever else is in the list."""
+    width = max(map(len, data), default=0)
+    x = np.frombuffer(b"".join(d.ljust(width, b"\0") for d in data), kind).reshape(len(data), -1).astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True, initial=1e-300)  # no overflow in the norm
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def separated(threshold: float, spill: float) -> float:
@@ -153,6 +156,8 @@ def local_components(link: np.ndarray) -> np.ndarray:
 
 def _compare(code: int, ids, weights, codes, x, ids2, weights2, codes2, y, same: bool, threshold: float):
     """Link counts of both sides and edges, for one pair of blocks of leaf ``code``."""
+    width = max(x.shape[1], y.shape[1])
+    x, y = (np.pad(v, ((0, 0), (0, width - v.shape[1]))) for v in (x, y))
     near = x @ y.T >= threshold
     if same:
         np.fill_diagonal(near, False)
@@ -189,51 +194,55 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                     sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
     """One row per row of ``vectors``: id, n_links, component_id, kept.  Ids are integers."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+    single = vectors.schema[vector_col].dataType.elementType.simpleString() == "float"
+    number = np.float32 if single else np.float64
 
-    def unit(batches):
+    def encode(batches):
         for batch in batches:
-            ok, x = parse(batch.column(1).to_pylist())
-            at = pa.array(ok, pa.int64())
-            data = [r.tobytes() for r in x]
-            digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(d.rstrip(b"\0")) for d in data), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(data, pa.binary())],
+            ok, data = parse(batch.column(1).to_pylist(), number)
+            digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, data)), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ok, pa.int64())), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(data, pa.binary())],
                                              names=["id", "d1", "d2", "x"])
 
-    units = stage(rows.where("id is not null").mapInArrow(unit, "id bigint, d1 bigint, d2 bigint, x binary"), "units")
-    classes = stage(units.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"), F.first("x").alias("x")), "classes")
+    encoded = stage(rows.where("id is not null").mapInArrow(encode, "id bigint, d1 bigint, d2 bigint, x binary"), "vectors")
+    classes = stage(encoded.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"), F.first("x").alias("x")), "classes")
     total = classes.count()
     # a bounded sample by hash: the `sample` vectors of least digest
     picked = [r["x"] for r in classes.select("d1", "d2", "x").orderBy("d1", "d2").limit(sample).collect()]
     if not picked:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    forest = Forest(_stack(picked), total, threshold, seed=seed)
+    forest = Forest(units(picked, number), total, threshold, seed=seed)
 
     def route(batches):
         for batch in batches:
             data = batch.column(2).to_pylist()
-            row, code = forest.leaves(_stack(data))
+            row, code = forest.leaves(units(data, number))
             cut = np.searchsorted(row, np.arange(len(data) + 1))
             codes = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(code))
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays([pa.array(code), batch.column(0).take(at), batch.column(1).take(at), codes.take(at), batch.column(2).take(at)],
                                              names=["leaf", "id", "weight", "codes", "x"])
 
+    def leaf_codes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(forest.leaves(units(batch.column(0).to_pylist(), number))[1])], names=["leaf"])
+
+    sizes = classes.select("x").mapInArrow(leaf_codes, "leaf bigint").groupBy("leaf").agg(F.count(F.lit(1)).alias("m"))
+    people = stage(sizes.where("m > 1"), "leaves")
     dealt = classes.select("id", "weight", "x").mapInArrow(route, "leaf bigint, id bigint, weight bigint, codes array<bigint>, x binary")
-    people = classes.select("id", "weight", "x").mapInArrow(route, "leaf bigint, id bigint, weight bigint, codes array<bigint>, x binary") \
-        .groupBy("leaf").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    people = stage(people, "leaves")
-    packed = dealt.join(people, "leaf").withColumn("blk", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / BLOCK)).cast("int")) \
-        .groupBy("leaf", "blk").agg(F.collect_list(F.struct("id", "weight", "codes", "x")).alias("rows"))
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    packed = dealt.join(sized(people, 32), "leaf").select("leaf", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).alias("blk"), F.struct("id", "weight", "codes", "x").alias("row")) \
+        .groupBy("leaf", "blocks", "blk").agg(F.collect_list("row").alias("rows"))
     packed = stage(packed, "blocks")
-    pairs = packed.select("leaf", F.col("blk").alias("i"), F.col("rows").alias("a")).join(
-        packed.select("leaf", F.col("blk").alias("j"), F.col("rows").alias("b")), "leaf").where("i <= j")
 
     def compare(batches):
         for batch in batches:
-            for leaf, i, a, j, b in zip(*[c for c in (batch.column(k) for k in range(5))]):
-                left = _unpack(a.values)
-                right = left if i.as_py() == j.as_py() else _unpack(b.values)
-                found = _compare(leaf.as_py(), *left, *right, i.as_py() == j.as_py(), threshold)
+            two = batch.num_columns == 3
+            for k in range(len(batch)):
+                leaf = batch.column(0)[k].as_py()
+                left = _unpack(batch.column(1)[k].values, number)
+                right = _unpack(batch.column(2)[k].values, number) if two else left
+                found = _compare(leaf, *left, *right, not two, threshold)
                 if found is None:
                     continue
                 n_left, n_right, ends, roots = found
@@ -245,22 +254,23 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                     "b": pa.array(np.concatenate([ids[at], roots]), pa.int64()),
                     "n": pa.array(np.concatenate([links[at], np.zeros(len(ends), np.int64)]), pa.int64())})
 
-    found = stage(pairs.select("leaf", "i", "a", "j", "b").mapInArrow(compare, "a bigint, b bigint, n bigint"), "links")
+    # every block with itself, and pairs of blocks of the leaves that have several
+    schema = "a bigint, b bigint, n bigint"
+    inside = packed.select("leaf", "rows").mapInArrow(compare, schema)
+    several = packed.where("blocks > 1")
+    across = several.select("leaf", F.col("blk").alias("i"), F.col("rows").alias("x")).join(
+        several.select("leaf", F.col("blk").alias("j"), F.col("rows").alias("y")), "leaf").where("i < j").select("leaf", "x", "y").mapInArrow(compare, schema)
+    found = stage(inside.unionByName(across), "links")
     counts = found.groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "id")
     roots = components(found.select("a", "b")).withColumnRenamed("node", "id")
     named = classes.select("d1", "d2", "id", "weight").join(counts, "id", "left").join(roots, "id", "left") \
         .select("d1", "d2", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("root", "id").alias("root"))
-    good = units.select("id", "d1", "d2").join(named, ["d1", "d2"]).groupBy("id").agg(F.max("n").alias("n"), F.min("root").alias("root"))
+    good = encoded.select("id", "d1", "d2").join(named, ["d1", "d2"]).groupBy("id").agg(F.max("n").alias("n"), F.min("root").alias("root"))
     return rows.select("id").join(good, "id", "left").select(
         F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "id").alias("component_id")) \
         .withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
-def _stack(data: list[bytes]) -> np.ndarray:
-    width = max(map(len, data), default=8)
-    return np.frombuffer(b"".join(d.ljust(width, b"\0") for d in data), np.float64).reshape(len(data), -1)
-
-
-def _unpack(rows: pa.StructArray):
+def _unpack(rows: pa.StructArray, number):
     ids, weights, codes, data = (rows.field(k) for k in range(4))
-    return ids.to_numpy(), weights.to_numpy(), codes.to_pylist(), _stack(data.to_pylist())
+    return ids.to_numpy(), weights.to_numpy(), codes.to_pylist(), units(data.to_pylist(), number)
