@@ -84,6 +84,16 @@ def test_minhash_edge_rows(spark):
     assert got[got.doc_id == 8].component_id.tolist() == [8] and got[got.doc_id == 9].component_id.tolist() == [8]
 
 
+def test_intersections_of_blocks(monkeypatch):
+    rng = np.random.default_rng(12)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40)).astype(np.uint64)) for _ in range(30)]
+    want = [[len(set(a.tolist()) & set(b.tolist())) for b in sets[12:]] for a in sets[:12]]
+    for columns in (1 << 14, 7):
+        monkeypatch.setattr(minhash, "_COLUMNS", columns)
+        assert minhash.intersections(sets[:12], sets[12:]).tolist() == want
+    assert minhash.intersections([sets[0][:0]], sets[:2]).tolist() == [[0, 0]]
+
+
 def test_signature_estimate_is_unbiased():
     rng = np.random.default_rng(3)
     for share in (0.0, 0.5, 0.9, 1.0):
