@@ -226,3 +226,46 @@ def test_raw_reader_na_texts_and_latin1(spark, tmp_path):
         r = IO.read_dayfirst_csv(spark, str(tmp_path / f"{name}.csv")).first()
         assert r[S.CITY] == "Zürich" and r[S.COST] is None
         assert str(r[S.ORDER_DATE]) == "2024-01-05" and str(r[S.SHIP_DATE]) == "2024-01-07"
+
+
+def test_fix_all_applies_all_seven_repairs(spark):
+    """A frame with every fault, repaired step by step in pandas."""
+    import datetime as dt
+    import numpy as np
+    import pandas as pd
+    from lanecraft import schema as S
+    from lanecraft.operators import quality as Q, repair as RP
+    rng = np.random.default_rng(3)
+    n = 150
+    day = lambda k: dt.date(2024, 1, 1) + dt.timedelta(days=int(k))
+    df = pd.DataFrame({
+        S.ROW_ID: [f"r{i:03d}" for i in range(n)], S.ORDER_ID: rng.integers(0, 60, n), S.PRODUCT_ID: rng.integers(0, 4, n),
+        S.ORDER_DATE: [day(k) for k in rng.integers(0, 300, n)], S.CUSTOMER_ID: rng.integers(0, 9, n), S.COUNTRY: "US", S.CITY: "c",
+        S.STATE: [None if i % 17 == 0 else "s" for i in range(n)], S.DIVISION: "d", S.REGION: "r",
+        S.PRODUCT_NAME: [f"p{i % 5}" for i in range(n)], S.SALES: [None if i % 13 == 0 else float(i) for i in range(n)],
+        S.UNITS: 1, S.GROSS_PROFIT: 1.0, S.COST: 2.0, S.LEAD_TIME: [float(i % 5) - 1 for i in range(n)],
+        S.FACTORY: ["f" if i % 3 else None for i in range(n)]})
+    df[S.SHIP_DATE] = [d + dt.timedelta(days=(i % 4) - 1) for i, d in enumerate(df[S.ORDER_DATE])]
+    df.loc[7, S.SALES] = 1e6
+    schema = (f"{S.ROW_ID} string, {S.ORDER_ID} long, {S.PRODUCT_ID} long, {S.ORDER_DATE} date, {S.CUSTOMER_ID} long, {S.COUNTRY} string, {S.CITY} string, "
+              f"{S.STATE} string, {S.DIVISION} string, {S.REGION} string, {S.PRODUCT_NAME} string, {S.SALES} double, {S.UNITS} int, {S.GROSS_PROFIT} double, "
+              f"{S.COST} double, {S.LEAD_TIME} double, {S.FACTORY} string, {S.SHIP_DATE} date")
+    raw = spark.createDataFrame([tuple(None if isinstance(v, float) and v != v else v for v in r) for r in df.itertuples(index=False, name=None)], schema)
+    names = spark.createDataFrame([("p0", "f"), ("p1", "f")], f"{S.PRODUCT_NAME} string, {S.FACTORY} string")
+    fixed, applied = RP.fix_all(raw, names, "Plant", "Road")
+    assert applied == list(RP.FIXES) and len(applied) == 7
+    want = df.copy()
+    want[S.SHIP_MODE] = "Road"
+    want[S.SALES] = want[S.SALES].fillna(want[S.SALES].median())
+    want[[S.STATE, S.FACTORY]] = want[[S.STATE, S.FACTORY]].fillna("Unknown")
+    want = want.sort_values(S.ROW_ID).drop_duplicates([S.ORDER_ID, S.PRODUCT_ID], keep="first")
+    swap = want[S.SHIP_DATE] < want[S.ORDER_DATE]
+    want.loc[swap, [S.ORDER_DATE, S.SHIP_DATE]] = want.loc[swap, [S.SHIP_DATE, S.ORDER_DATE]].to_numpy()
+    want[S.LEAD_TIME] = want[S.LEAD_TIME].clip(lower=0.5)
+    want[S.SALES] = want[S.SALES].clip(upper=want[S.SALES].quantile(0.99))
+    got = fixed.toPandas().sort_values(S.ROW_ID).reset_index(drop=True)[list(want.columns)]
+    want = want.reset_index(drop=True)
+    assert len(got) == len(want)
+    for c in want.columns:
+        assert got[c].tolist() == want[c].tolist() or np.allclose(got[c].astype(float), want[c].astype(float)), c
+    assert Q.health_checks(fixed, names).where("check in ('schema', 'nulls', 'duplicates', 'chronology', 'nonpositive_lead') and count > 0").count() == 0
