@@ -40,7 +40,8 @@ overlay comment comments reply replies respond disqus discussion share sharing s
 pagination pager toolbar subscribe subscription newsletter signup login search form widget widgets skip hidden toc copyright""".split())
 CONTENT_TAGS = frozenset(["article", "main"])
 _INNER_HEADER = frozenset(["header"])
-_CONTENT_WORDS = frozenset("content article post entry story".split())
+_OWN_HEADER = frozenset("content article post entry story".split())
+_CONTENT_WORDS = _OWN_HEADER | {"articlebody", "main"}
 
 
 def skipped(node: Node, inside: bool = False) -> bool:
@@ -53,7 +54,7 @@ def skipped(node: Node, inside: bool = False) -> bool:
             return True
         parts = re.split(r"[-_#]+", w)
         for end in (parts[0], parts[-1]) if len(parts) > 1 else ():  # site-footer, comment-list
-            if end in SKIP_WORDS and not (end == "header" and _CONTENT_WORDS & set(parts)):
+            if end in SKIP_WORDS and not (end == "header" and _OWN_HEADER & set(parts)):
                 return True
     return False
 
@@ -207,11 +208,12 @@ def _content(wrapper: Shape, pages: int) -> dict:
             if not skipped(k.node, inside) and not k.many and k.kids + [x for x in k.texts if x]:
                 yield k, nth
 
-    def marked(s: Shape, depth: int = 0):  # an <article> or <main> with most of the varying text
+    def marked(s: Shape):  # named as content, with most of the varying text
         for k, nth in steps(s):
-            if k.node.tag in CONTENT_TAGS and 2 * memo.get(id(k), 0) >= whole > 0:
+            named = k.node.tag in CONTENT_TAGS or any(_CONTENT_WORDS & set(re.split(r"[-_#]+", w)) for w in k.node.words)
+            if named and 2 * memo.get(id(k), 0) >= whole > 0:
                 return [(k, nth)]
-            below = marked(k, depth + 1)
+            below = marked(k)
             if below:
                 return [(k, nth), *below]
         return None
@@ -220,7 +222,8 @@ def _content(wrapper: Shape, pages: int) -> dict:
         jump = marked(at)
         if jump:
             path += [[k.sig, nth] for k, nth in jump]
-            at, inside = jump[-1][0], True
+            at = jump[-1][0]
+            inside = inside or at.node.tag in CONTENT_TAGS
             continue
         if inside:
             break

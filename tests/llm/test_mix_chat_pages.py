@@ -166,6 +166,19 @@ def test_wrapper_extracts_main_text(spark):
     assert wrapper.main_text(df.limit(0)).count() == 0
 
 
+def test_wrapper_with_long_comments_and_no_article(spark):
+    """Unmarked long replies beside the content: the named container wins."""
+    prepare(spark)
+    rows = []
+    for i in range(6):
+        talk = "".join(f"<div class='x'><p>reply {i} {j} " + "blah " * 20 + "</p></div>" for j in range(3))
+        rows.append((i, "https://c.example/", f"<html><body class='post'><div id='top'>Menu</div><div class='post-content'><h2>T{i}</h2><p>" + f"word{i} " * 120
+                     + f"</p></div><div id='talk'>{talk}</div><div class='site-footer'>F{i}</div></body></html>"))
+    got = wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).toPandas().set_index("page_id")
+    for i in range(6):
+        assert got.text[i] == f"T{i}\n" + " ".join([f"word{i}"] * 120)
+
+
 def test_wrapper_of_copies_keeps_content(spark):
     """A host whose pages carry the same article several times: content must not be taken for template."""
     prepare(spark)
