@@ -21,7 +21,7 @@ from lanecraft.session import ensure_checkpoint_dir
 #: hundreds of MB into one batch.
 BATCH_ROWS = "512"
 #: Python workers regroup batches until they hold about this many bytes of text.
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -36,6 +36,8 @@ BLOCK_ROWS, BLOCK_BYTES = 128, 1 << 21
 #: A staged id list up to this size is broadcast, a larger one is shuffled.
 BROADCAST_BYTES = 32 << 20
 _SLICE = 1 << 16
+#: Columns of an incidence matrix at once.
+_COLUMNS = 1 << 14
 
 _rng = np.random.Generator(np.random.PCG64(10))
 _MUL = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -154,6 +156,65 @@ def _stars(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, kin
     return maybe.join(one(sets, "set", "a"), "a").join(one(sets, "set", "b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(confirm, schema)
 
 
+def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of two blocks, as products of incidence matrices."""
+    rows = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (a, b)]
+    items = [np.concatenate(x) for x in (a, b)]
+    both = np.intersect1d(*[np.unique(x) for x in items], assume_unique=True)
+    out = np.zeros((len(a), len(b)), np.float32)
+    for lo in range(0, len(both), _COLUMNS):
+        part = both[lo:lo + _COLUMNS]
+        sides = []
+        for n, row, item in zip((len(a), len(b)), rows, items):
+            at = np.minimum(np.searchsorted(part, item), len(part) - 1)
+            hit = part[at] == item
+            m = np.zeros((n, len(part)), np.float32)
+            m[row[hit], at[hit]] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
+def _unpack(rows: pa.StructArray):
+    """ids, roots, bands, signatures, sets of a block."""
+    ids, roots, bands, sig, sets = (rows.field(i) for i in range(5))
+    return (ids.to_numpy(zero_copy_only=False), roots.to_numpy(zero_copy_only=False), bands.flatten().to_numpy().reshape(-1, BANDS),
+            np.frombuffer(b"".join(sig.to_pylist()), np.uint8).reshape(len(rows), -1), [np.frombuffer(s, np.uint64) for s in sets.to_pylist()])
+
+
+def _cross_links(band: int, pivot, x, y, same: bool, percent: int):
+    """Spanning links between members of different components; pairs with the pivot, and pairs that an
+    earlier common band compares, are left out."""
+    ids, roots, bands, sig, sets = x
+    ids2, roots2, bands2, sig2, sets2 = y
+    open_ = roots[:, None] != roots2[None, :]
+    open_ &= (ids != pivot)[:, None] & (ids2 != pivot)[None, :]
+    if same:
+        open_ &= np.triu(np.ones(open_.shape, bool), 1)
+    for k in range(band):
+        open_ &= bands[:, None, k] != bands2[None, :, k]
+    if open_.any():
+        open_ &= estimate(sig[:, None, :], sig2[None, :, :]) >= percent / 100 - MARGIN
+    p, q = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
+    if not len(p):
+        return
+    inter = intersections([sets[i] for i in p], [sets2[j] for j in q])
+    size, size2 = (np.array([len(s[i]) for i in at]) for s, at in ((sets, p), (sets2, q)))
+    link = open_[np.ix_(p, q)] & (100 * inter >= percent * (size[:, None] + size2[None, :] - inter))
+    merged: dict = {}
+
+    def find(r):
+        while r in merged:
+            r = merged[r]
+        return r
+
+    for i, j in np.argwhere(link):
+        r, s = find(roots[p[i]]), find(roots2[q[j]])
+        if r != s:
+            merged[max(r, s)] = min(r, s)
+            yield ids[p[i]], ids2[q[j]]
+
+
 def _blocks(members: DataFrame, percent: int, kind: str) -> DataFrame:
     """Links between members (band, key, pivot, id, root, bands, sig, set, blk) of one bucket that lie in
     different components, block with block."""
@@ -163,35 +224,15 @@ def _blocks(members: DataFrame, percent: int, kind: str) -> DataFrame:
     right = packed.select("band", "key", F.col("blk").alias("j"), F.col("rows").alias("y"))
     both = left.join(right, ["band", "key"]).where("i <= j").select("band", "pivot", "i", "j", "x", "y")
 
-    def unpack(rows):
-        return ([r["id"] for r in rows], [r["root"] for r in rows], np.array([r["bands"] for r in rows], np.int64),
-                np.array([np.frombuffer(r["sig"], np.uint8) for r in rows]), [np.frombuffer(r["set"], np.uint64) for r in rows])
-
     def run(batches):
         for batch in batches:
-            out_a, out_b = [], []
-            for band, pivot, i, j, x, y in zip(*[c.to_pylist() for c in batch.columns]):
-                ids, roots, bands, sig, sets = unpack(x)
-                ids2, roots2, bands2, sig2, sets2 = (ids, roots, bands, sig, sets) if i == j else unpack(y)
-                merged: dict = {}
-
-                def find(r):
-                    while r in merged:
-                        r = merged[r]
-                    return r
-
-                near = estimate(sig[:, None, :], sig2[None, :, :]) >= percent / 100 - MARGIN
-                if i == j:
-                    near &= np.triu(np.ones(near.shape, bool), 1)
-                for p, q in np.argwhere(near):
-                    if pivot in (ids[p], ids2[q]) or (bands[p, :band] == bands2[q, :band]).any():
-                        continue  # compared with the pivot already, or by an earlier band
-                    r, s = find(roots[p]), find(roots2[q])
-                    if r != s and similar(common(sets[p], sets2[q]), len(sets[p]), len(sets2[q]), percent):
-                        merged[max(r, s)] = min(r, s)
-                        out_a.append(ids[p])
-                        out_b.append(ids2[q])
-            yield pa.RecordBatch.from_pydict({"a": pa.array(out_a, batch.schema.field("pivot").type), "b": pa.array(out_b, batch.schema.field("pivot").type)})
+            found = []
+            for n in range(len(batch)):
+                band, pivot, i, j = (batch.column(c)[n].as_py() for c in range(4))
+                x = _unpack(batch.column(4)[n].values)
+                found += _cross_links(band, pivot, x, x if i == j else _unpack(batch.column(5)[n].values), i == j, percent)
+            kind_ = batch.schema.field("pivot").type
+            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], kind_), "b": pa.array([b for _, b in found], kind_)})
 
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 

@@ -20,7 +20,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _STEP = U(0x9E3779B97F4A7C15)  # odd: invertible modulo 2^64
 _BACK = U(pow(int(_STEP), -1, 2**64))
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

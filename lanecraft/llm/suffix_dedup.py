@@ -41,11 +41,11 @@ LENGTH = 200
 GRAM = 64
 HOT_CONTEXTS = 4096
 #: Window starts sorted at once (LENGTH bytes each).
-SORT_ROWS = 50_000
+SORT_ROWS = 25_000
 
 U = np.uint64
 _POS = 24  # low bits of a key hold the position inside a slice of a batch
-_SLICE = 1 << 20
+_SLICE = 1 << 19
 _BYTE = np.random.Generator(np.random.PCG64(8)).integers(0, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 
 
