@@ -19,7 +19,9 @@ from lanecraft.session import ensure_checkpoint_dir
 
 #: Rows of one Arrow batch sent to Python.  Text rows are long, so the Spark default (10,000) would put
 #: hundreds of MB into one batch.
-BATCH_ROWS = "512"
+BATCH_ROWS = "256"
+#: Bytes of one Arrow batch (rows of packed blocks are large): batches live outside the executor's heap.
+BATCH_BYTES = "8m"
 #: Python workers regroup batches until they hold about this many bytes of text.
 GROUP_BYTES = 1 << 20
 
@@ -32,6 +34,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def prepare(spark: SparkSession) -> None:
     """Once per context: batches sized for text, and the package sent to the Python workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     sc = spark.sparkContext
     if getattr(sc, "_lanecraft_sent", False):
         return

@@ -148,8 +148,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     flow = min_cost_flow(supply, {s: round(t) for s, t in goals.items()}, repeats)
     taken = {p: sum(n for (q, _), n in flow.items() if q == p) for p in supply}
     base = {p: taken[p] // n if n else 0 for p, n in supply.items()}
-    goal = spark.createDataFrame([(_key(p), base[p], taken[p] - base[p] * n, [(s, sizes[s], goals[s], flow[p, s]) for s in p])
-                                  for p, n in supply.items()], f"pattern string, base int, goal bigint, sources {MEMBERSHIP}")
+    plan = [{"pattern": _key(p), "base": base[p], "goal": taken[p] - base[p] * n,
+             "sources": [{"source": s, "source_size": sizes[s], "target": goals[s], "quota": flow[p, s]} for s in p]} for p, n in supply.items()]
+    goal = spark.range(1).select(F.inline(F.from_json(  # built by the JVM: no Python workers for one row per pattern
+        F.lit(json.dumps(plan)), f"array<struct<pattern:string,base:int,goal:bigint,sources:{MEMBERSHIP}>>")))
     c1 = stage(_cells(rows, goal, "c1"), "cells")
     inner = rows.join(c1, "pattern").where("c1 = c1_at")
     c2 = _cells(inner, goal.join(c1, "pattern").select("pattern", (F.col("goal") - F.col("before")).alias("goal")), "c2")

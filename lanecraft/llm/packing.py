@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import os
 import zlib
 from collections import defaultdict
@@ -48,13 +49,16 @@ def encoder(path: str):
     the faster ranks; texts that hold a special token's string or a very long run go to ``tokenizers``.
     """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    specials = [t.content for t in tok.get_added_tokens_decoder().values()]
+    with open(path, encoding="utf-8") as f:
+        specials = [t["content"] for t in json.load(f)["added_tokens"]]
+    library: list = []  # loaded when a text needs it
 
     def exact(text: str) -> np.ndarray:
-        return np.array(tok.encode(text, add_special_tokens=False).ids, np.uint32)
+        if not library:
+            from tokenizers import Tokenizer
+
+            library.append(Tokenizer.from_file(path))
+        return np.array(library[0].encode(text, add_special_tokens=False).ids, np.uint32)
 
     ranks_path = path.removesuffix(".json") + ".tiktoken"
     if not os.path.exists(ranks_path):
