@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lanecraft.llm.common import grouped, stage
+from lanecraft.llm.common import grouped, sized, stage
 from lanecraft.llm.components import components
 from lanecraft.llm.shingles import mix64, shingle_sets
 
@@ -33,8 +33,6 @@ PERCENT = 80
 MARGIN = 0.2
 #: Members and bytes of sets of a block of one bucket.
 BLOCK_ROWS, BLOCK_BYTES = 128, 1 << 21
-#: A staged id list up to this size is broadcast, a larger one is shuffled.
-BROADCAST_BYTES = 32 << 20
 _SLICE = 1 << 16
 #: Columns of an incidence matrix at once.
 _COLUMNS = 1 << 14
@@ -118,8 +116,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, wanted: DataFrame
     """(id, set) of the wanted ids; the set as sorted 64-bit hashes in a binary value."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    small = wanted.count() * 16 <= BROADCAST_BYTES
-    rows = rows.join(F.broadcast(wanted) if small else wanted, "id", "left_semi")
+    rows = rows.join(sized(wanted, 64), "id", "left_semi")
 
     def run(batches):
         for batch in grouped(batches, "text"):
@@ -247,16 +244,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = reps.select("id", "n", F.posexplode("bands").alias("band", "key"))
     shared = stage(keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("pivot"), F.sum("n").alias("total"))
                    .where("m > 1"), "buckets")
-    members = stage(keyed.select("id", "band", "key").join(shared, ["band", "key"]), "members")
+    members = stage(keyed.select("id", "band", "key").join(sized(shared, 64), ["band", "key"]), "members")
     wanted = stage(members.select("id").distinct(), "wanted")
     sets = stage(_sets(docs, id_col, text_col, k, wanted).dropDuplicates(["id", "set"]), "sets")
     pairs = members.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
     first = stage(_stars(pairs, reps, sets, percent, kind), "links")
     roots = stage(components(first), "roots")
     named = members.where("m > 2 and id <> pivot").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    split = named.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band", "key")
+    split = stage(named.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band", "key"), "split")
     blocks = F.ceil(F.greatest(F.col("m") / BLOCK_ROWS, F.col("total") * 8 / BLOCK_BYTES)).cast("int")
-    open_ = named.join(split, ["band", "key"]).join(reps.select("id", "bands", "sig"), "id").join(sets, "id") \
+    open_ = named.join(sized(split, 48), ["band", "key"]).join(reps.select("id", "bands", "sig"), "id").join(sets, "id") \
         .withColumn("blk", F.pmod(F.xxhash64("id"), blocks))
     more = _blocks(open_.select("band", "key", "pivot", "id", "root", "bands", "sig", "set", "blk"), percent, kind)
     final = components(stage(first.unionByName(more), "links"))

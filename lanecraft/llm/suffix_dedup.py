@@ -34,7 +34,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from lanecraft.llm.common import BROADCAST_BYTES, GROUP_BYTES, grouped, partitions, side_bytes, stage, text_bytes
+from lanecraft.llm.common import BROADCAST_BYTES, GROUP_BYTES, grouped, partitions, side_bytes, sized, stage, text_bytes
 from lanecraft.llm.shingles import mix64
 
 LENGTH = 200
@@ -341,8 +341,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "first", h
     open_ = shared.where("key is not null")
     classes = stage(open_.groupBy("key", "c").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc", "th", "start", "count")).alias("x"))
                     .select("key", "c", "copies", "x.*"), "classes")
-    copied = classes.where("copies > 1").select("key", "c", place.alias("first"))
-    copies = open_.join(copied, ["key", "c"]).where(later).select("doc", "th", "start", end)
+    copied = stage(classes.where("copies > 1").select("key", "c", place.alias("first")), "copied")
+    copies = open_.join(sized(copied, 96), ["key", "c"]).where(later).select("doc", "th", "start", end)
     found = _fetch(docs, classes.select("doc", "th", "key", "start", "count"), kind, length, limit) \
         .dropDuplicates(["key", "doc", "th", "start"])  # a repeated row gives its contexts once
     found = stage(found, "contexts")
