@@ -3,8 +3,10 @@
 Per host a bounded sample of pages (``PAGES``) is aligned: DOM trees are merged one by one into a wrapper
 tree by simple tree matching (the largest order-preserving match of equal tags, children by dynamic
 programming).  A wrapper node whose text is the same on all pages is template; one that varies is a slot.
-The content is the node that holds the bulk of the varying text outside of navigation, headers, footers,
-asides, forms, adverts, notices and comments; inside it, single nodes of constant text are template too.
+The content is the smallest node that holds all varying text outside of navigation, headers, footers,
+asides, forms, adverts, notices and comments (an <article> or <main> is taken whole; blocks beside it and
+lists of entries beside a container named as content are not article text); inside the content, single
+nodes of constant text are template too.
 
 A page is extracted by its host's wrapper: the content node is found by its path, and its blocks are read
 in page order without the parts named above.  Hosts with a single page, and pages that the path does not
@@ -42,6 +44,8 @@ CONTENT_TAGS = frozenset(["article", "main"])
 _INNER_HEADER = frozenset(["header"])
 _OWN_HEADER = frozenset("content article post entry story".split())
 _CONTENT_WORDS = _OWN_HEADER | {"articlebody", "main"}
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+_ENTRIES = frozenset("div section article dl table".split())
 
 
 def skipped(node: Node, inside: bool = False) -> bool:
@@ -59,8 +63,19 @@ def skipped(node: Node, inside: bool = False) -> bool:
     return False
 
 
+def named(node: Node) -> bool:
+    """An element of content by its tag or the words of its class, id or role."""
+    return node.tag in CONTENT_TAGS or any(_CONTENT_WORDS & set(re.split(r"[-_#]+", w)) for w in node.words)
+
+
+def holds(node: Node) -> bool:
+    """What lies under it is inside an article: a <header> there is the article's own."""
+    return node.tag not in ("#root", "html", "body") and named(node)
+
+
 def plain(node: Node, inside: bool = True, dropped=None, path: str = "") -> list[str]:
-    """Blocks of text under a node in page order, white space folded, references decoded."""
+    """Blocks of text under a node in page order, white space folded, references decoded.  ``inside``: the
+    node lies in an article."""
     blocks: list[str] = []
     run: list[str] = []
 
@@ -71,14 +86,14 @@ def plain(node: Node, inside: bool = True, dropped=None, path: str = "") -> list
                 blocks.append(text)
             run.clear()
 
-    todo: list = [(node, path, True)]
+    todo: list = [(node, path, True, inside)]
     while todo:
-        item, at, first = todo.pop()
+        item, at, first, inner = todo.pop()
         if item is None:
             close()
         elif isinstance(item, str):
             run.append(item)
-        elif not first and (skipped(item, inside) or item.tag in RAW):
+        elif not first and (skipped(item, inner) or item.tag in RAW):
             run.append(" ")
         elif item.tag in ("br", "wbr"):
             run.append(" " if item.tag == "br" else "")
@@ -89,8 +104,9 @@ def plain(node: Node, inside: bool = True, dropped=None, path: str = "") -> list
                 continue
             if block:
                 close()
-                todo.append((None, "", False))
-            todo += [(k, at + "/" + k.sig if isinstance(k, Node) else "", False) for k in reversed(item.kids)]
+                todo.append((None, "", False, inner))
+            inner = inner or holds(item)
+            todo += [(k, at + "/" + k.sig if isinstance(k, Node) else "", False, inner) for k in reversed(item.kids)]
     close()
     return blocks
 
@@ -108,7 +124,10 @@ class Shape:
 
 def shape(node: Node, depth: int = 0) -> Shape:
     """The shape of one page: runs of equal siblings become one child without children."""
-    own = " ".join(_html.unescape("".join(k if isinstance(k, str) else " " for k in node.kids)).split())
+    if depth < DEPTH:
+        own = " ".join(_html.unescape("".join(k if isinstance(k, str) else " " for k in node.kids)).split())
+    else:  # children are not looked at
+        own = "\n".join(plain(node))
     s = Shape(node, 1, own, len(own))
     kids = [k for k in node.kids if isinstance(k, Node)]
     i = 0
@@ -173,11 +192,33 @@ def _varying(s: Shape, pages: int, memo: dict, inside: bool) -> int:
     """Characters of varying text at or under a node, boilerplate parts left out."""
     if id(s) not in memo:
         constant = pages > 1 and s.seen == pages and len(s.texts) == 1
+        inner = inside or holds(s.node)
         memo[id(s)] = (0 if constant else s.mass) + sum(
-            _varying(k, pages, memo, inside or s.node.tag in CONTENT_TAGS) for k in s.kids if not skipped(k.node, inside))
+            _varying(k, pages, memo, inner) for k in s.kids if not skipped(k.node, inner))
     return memo[id(s)]
 
 
+def _entries(s: Shape, memo: dict) -> bool:
+    """All varying text lies in runs of equal containers: replies, teasers."""
+    runs = sum(memo.get(id(k), 0) for k in s.kids if k.many and k.node.tag in _ENTRIES)
+    return not s.many and not named(s.node) and runs == memo.get(id(s), 0)
+
+
+def _alone(s: Shape, k: Shape, target: Shape, memo: dict) -> bool:
+    """No varying text of ``s`` outside its child ``k`` belongs to the content ``target`` (at or under k)."""
+    rest = [x for x in s.kids if x is not k and memo.get(id(x), 0)]
+    if memo.get(id(s), 0) > memo.get(id(k), 0) + sum(memo[id(x)] for x in rest):  # text of its own
+        return False
+    if target.node.tag in CONTENT_TAGS:
+        return not any(named(x.node) or _heading(x) for x in rest)
+    return named(target.node) and all(_entries(x, memo) for x in rest) or not rest
+
+
+def _heading(s: Shape) -> bool:
+    """A heading, or a block with the page's first one."""
+    return s.node.tag in _HEADINGS or any(k.node.tag == "h1" or k.node.tag not in _HEADINGS and _heading(k) for k in s.kids)
+
+
 def induce(pages: list[str]) -> dict:
     """{"path": [[signature, nth], ...] of the content node, "constant": {path below it: text}}"""
     trees, seen = [], set()
@@ -208,32 +249,30 @@ def _content(wrapper: Shape, pages: int) -> dict:
             if not skipped(k.node, inside) and not k.many and k.kids + [x for x in k.texts if x]:
                 yield k, nth
 
-    def marked(s: Shape):  # named as content, with most of the varying text
+    def marked(s: Shape):  # named as content, with most of the varying text and none of it beside
         for k, nth in steps(s):
-            named = k.node.tag in CONTENT_TAGS or any(_CONTENT_WORDS & set(re.split(r"[-_#]+", w)) for w in k.node.words)
-            if named and 2 * memo.get(id(k), 0) >= whole > 0:
+            if named(k.node) and 2 * memo.get(id(k), 0) >= whole > 0 and _alone(s, k, k, memo):
                 return [(k, nth)]
             below = marked(k)
-            if below:
+            if below and _alone(s, k, below[-1][0], memo):
                 return [(k, nth), *below]
         return None
 
-    while True:
+    while at.node.tag not in CONTENT_TAGS:
         jump = marked(at)
         if jump:
             path += [[k.sig, nth] for k, nth in jump]
+            inside = inside or any(holds(k.node) for k, _ in jump)
             at = jump[-1][0]
-            inside = inside or at.node.tag in CONTENT_TAGS
             continue
-        if inside:
-            break
         total = memo.get(id(at), 0)
         step = next(((k, nth) for k, nth in steps(at) if k.node.tag not in ("p", "pre", "table", "ul", "ol") and k.node.tag in BLOCK
-                     and 4 * memo.get(id(k), 0) >= 3 * total > 0), None)
+                     and memo.get(id(k), 0) == total > 0), None)
         if step is None:
             break
         path.append([step[0].sig, step[1]])
         at = step[0]
+        inside = inside or holds(at.node)
     constant: dict[str, str] = {}
 
     def collect(s: Shape, below: str):
@@ -254,7 +293,18 @@ def extract(page: str, wrapper: dict) -> str:
     if node is None:
         own = _content(shape(tree), 1)
         node, wrapper = _find(tree, own["path"]) or tree, {"constant": {}}
-    return "\n".join(plain(node, True, wrapper["constant"], ""))
+    return "\n".join(plain(node, _within(tree, node), wrapper["constant"], ""))
+
+
+def _within(tree: Node, node: Node) -> bool:
+    """The node or one above it holds an article."""
+    todo = [(tree, holds(tree))]
+    while todo:
+        at, inside = todo.pop()
+        if at is node:
+            return inside
+        todo += [(k, inside or holds(k)) for k in at.kids if isinstance(k, Node)]
+    return False
 
 
 def _find(tree: Node, path: list) -> Node | None:

@@ -188,6 +188,32 @@ def test_wrapper_of_copies_keeps_content(spark):
     assert (got[got.page_id < 10].text.str.contains("Text that all copies share")).all()
 
 
+def read_pages(bodies):
+    """Texts of pages of one host."""
+    found = wrapper.induce(pages := [f"<html><body><header>Site</header><nav>Home</nav>{b}<footer>F{i}</footer></body></html>" for i, b in enumerate(bodies)])
+    return [wrapper.extract(p, found) for p in pages]
+
+
+def test_wrapper_keeps_headline_beside_the_body():
+    text = [f"<p>Body {i} " + f"w{i} " * 50 + "</p>" for i in range(6)]
+    want = [f"Title {i}\nBody {i} " + " ".join([f"w{i}"] * 50) for i in range(6)]
+    for outer in ("<article>{}</article>", "<main>{}</main>", "<div class='post'>{}</div>", "<div>{}</div>"):
+        for head in ("<h1>Title {}</h1>", "<header><h1>Title {}</h1></header>"):
+            if outer == "<div>{}</div>" and "header" in head:  # a header outside of any article is the site's
+                continue
+            got = read_pages([outer.format(head.format(i) + f"<div class='entry-content'>{x}</div>") for i, x in enumerate(text)])
+            assert got == want, (outer, head, got[0])
+    got = read_pages([f"<h1>Title {i}</h1><article>{x}</article><div>Not this {i}</div>" for i, x in enumerate(text)])
+    assert all(g.startswith(w) for g, w in zip(got, want))
+
+
+def test_wrapper_keeps_bodies_in_two_parts():
+    for outer in ("<article>{}</article>", "<div class='wrap'>{}</div>", "{}"):
+        for a, b in (("class='post-body'", "class='post-extra'"), ("class='post-body'", "class='more'"), ("class='x'", "class='y'"), ("", "id='y'")):
+            got = read_pages([outer.format(f"<div {a}><p>first {i} {'one ' * 55}</p></div><div {b}><p>second {i} {'two ' * 12}</p></div>") for i in range(6)])
+            assert got == [f"first {i} {('one ' * 55).strip()}\nsecond {i} {('two ' * 12).strip()}" for i in range(6)], (outer, a, got[0])
+
+
 def reference_text(html):
     """The given pages' article, read by their fixed layout."""
     import html as H
