@@ -6,13 +6,16 @@ their sources); a flow network routes word capacity
     start -> pattern (one arc per repetition, dearer with each) -> source (its quota) -> end
 
 so quotas are met with the fewest repetitions.  Each pattern's flow is then turned into documents: all
-documents are taken floor(flow / size) times, and for the remainder a seeded hash picks documents.  The
-cut in hash order comes from two levels of hash histograms (no ordered pass over a source), and the words
-still missing there are filled with the largest documents that fit.
+documents are taken floor(flow / size) times, and for the remainder a seeded hash picks documents.
+Documents of over 1 / ``LONG`` of a pattern's words (fewer than ``LONG``) are settled first, so that the
+others can fill what is left.  These are taken in hash order; one that overshoots is skipped and the order
+goes on behind it with those that still fit, until none does.  Each cut in hash order comes from two levels
+of hash histograms (no ordered pass over a source).
 
 The network has one node per pattern and source, not per document.  Null text has size 0 and is never
-taken; a null source is a source of its own, last in order.  Repeated rows share a hash and count each;
-an empty table gives an empty result.  Reruns agree: the choice depends on ids, sizes and the seed alone.
+taken; a null source is a source of its own, last in order.  Rows of one id and text are taken together and
+count each; rows without an id are told apart by their text; an empty table gives an empty result.  Reruns
+agree: the choice depends on ids, texts and the seed alone.
 """
 
 from __future__ import annotations
@@ -29,8 +32,9 @@ WEIGHTS = (3, 1, 2)
 TAKE_SHARE = 1.5
 MAX_REPEATS = 2
 SEED = 20_240_607
-FILL_ROUNDS = 3
+LONG = 1024
 CELLS = 4096
+KEY = "struct<h:bigint,t:bigint,size:bigint>"
 MEMBERSHIP = "array<struct<source:string,source_size:bigint,target:double,quota:bigint>>"
 
 
@@ -114,13 +118,73 @@ def min_cost_flow(supply: dict[tuple, int], quota: dict[str | None, int], repeat
             cap[e ^ 1] += push
 
 
-def _cells(rows: DataFrame, goal: DataFrame, cell: str) -> DataFrame:
-    """Per pattern the hash cell in which the running size reaches the goal, and the words before it."""
+def choose_long(units: list[tuple], goal: int, rest: int) -> list[tuple]:
+    """Units (h, t, size, words) of at most ``goal`` words in all, as many that ``rest`` words of shorter documents can
+    fill what is left, if some order gives them; beyond that in proportion to the pattern."""
+    total = sum(u[3] for u in units)
+    share = goal * total / max(1, total + rest)
+    best: tuple[int, list] = (-1, [])
+    for order in (sorted(units), sorted(units, key=lambda u: (-u[3], u))):
+        n, out = 0, []
+        for u in order:
+            if n + u[3] <= goal and (n < goal - rest or n + u[3] / 2 <= share):
+                n += u[3]
+                out.append(u)
+        if n > best[0]:
+            best = n, out
+        if n >= goal - rest:
+            break
+    return best[1]
+
+
+def _table(rows: list[dict], schema: str, spark) -> DataFrame:
+    """A few rows, built by the JVM: no Python workers."""
+    return F.broadcast(spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>"))))
+
+
+def _cells(rows: DataFrame, goal: DataFrame, cell: str) -> dict:
+    """Per pattern the hash cell in which the running size reaches the goal, the words before it, and all words."""
     sums = rows.groupBy("pattern", cell).agg(F.sum("size").alias("n"))
     w = Window.partitionBy("pattern").orderBy(cell)
     run = sums.withColumn("end", F.sum("n").over(w)).withColumn("begin", F.col("end") - F.col("n"))
-    return run.join(goal, "pattern").where(F.col("begin") <= F.col("goal")).groupBy("pattern").agg(
-        F.max(F.struct("begin", cell)).alias("x")).select("pattern", F.col(f"x.{cell}").alias(f"{cell}_at"), F.col("x.begin").alias("before"))
+    found = run.join(goal.select("pattern", "missing"), "pattern").groupBy("pattern").agg(
+        F.max(F.when(F.col("begin") <= F.col("missing"), F.struct("begin", cell))).alias("x"), F.max("end").alias("all"))
+    return {r["pattern"]: (r["x"][cell], r["x"]["begin"], r["all"]) for r in found.collect()}
+
+
+def _cut(rows: DataFrame, open_: list[dict], spark) -> None:
+    """One cut in hash order for every open pattern: adds the stretch taken to its ``cuts``, up to the first document
+    that overshoots; the next cut goes on behind that one with documents of at most the words still missing."""
+    plan = {p["pattern"]: p for p in open_}
+    schema = f"pattern:string,missing:bigint,long:bigint,behind:{KEY}"
+    goal = _table([{"pattern": k, "missing": p["missing"], "long": p["long_from"], "behind": p["behind"]} for k, p in plan.items()], schema, spark)
+    fit = rows.join(goal, "pattern").where((F.col("size") > 0) & (F.col("size") <= F.col("missing")) & (F.col("size") < F.col("long"))
+                                           & (F.col("behind").isNull() | (F.struct("h", "t", "size") > F.col("behind")))).select(*rows.columns)
+    c1 = _cells(fit, goal, "c1")
+    for k, p in plan.items():
+        if k not in c1 or c1[k][2] <= p["missing"]:  # nothing left, or all of it
+            p["cuts"].append({"behind": p["behind"], "upto": None, "most": p["missing"]})
+            p["missing"], p["done"] = p["missing"] - (c1[k][2] if k in c1 else 0), True
+    at = [{"pattern": k, "c1": c1[k][0], "missing": p["missing"] - c1[k][1]} for k, p in plan.items() if not p.get("done")]
+    if not at:
+        return
+    goal1 = _table(at, "pattern:string,c1:int,missing:bigint", spark)
+    inner = fit.join(goal1.drop("missing"), ["pattern", "c1"])
+    c2 = _cells(inner, goal1, "c2")
+    last = _table([x | {"c2": c2[x["pattern"]][0], "missing": x["missing"] - c2[x["pattern"]][1]} for x in at],
+                  "pattern:string,c1:int,c2:int,missing:bigint", spark)
+    # documents of the last cell (one in CELLS^2 of a pattern) are ordered one by one, equal rows as one
+    units = fit.join(last.drop("missing"), ["pattern", "c1", "c2"]).groupBy("pattern", "h", "t", "size").agg(F.sum("size").alias("words"))
+    w = Window.partitionBy("pattern").orderBy("h", "t", "size")
+    over = units.withColumn("begin", F.sum("words").over(w) - F.col("words")).join(last.select("pattern", "missing"), "pattern") \
+        .where(F.col("begin") + F.col("words") > F.col("missing"))
+    first = over.groupBy("pattern").agg(F.min(F.struct("h", "t", "size", "begin")).alias("x"))
+    for r in first.collect():
+        p, x = plan[r["pattern"]], r["x"]
+        upto = {"h": x["h"], "t": x["t"], "size": x["size"]}
+        p["cuts"].append({"behind": p["behind"], "upto": upto, "most": p["missing"]})
+        p["missing"] -= c1[r["pattern"]][1] + c2[r["pattern"]][1] + x["begin"]
+        p["behind"] = upto
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS,
@@ -133,9 +197,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     many = isinstance(docs.schema[source_col].dataType, T.ArrayType)
     pattern = F.coalesce(F.sort_array(F.array_distinct(source_col)), F.array().cast("array<string>")) if many else F.array(F.col(source_col))
     pattern = F.when(F.size(pattern) == 0, F.array(F.lit(None).cast("string"))).otherwise(pattern)
-    h = F.xxhash64(F.col(id_col).cast("string"), F.lit(seed))
-    rows = stage(docs.select(F.col(id_col).alias("id"), F.to_json(pattern).alias("pattern"), word_count(F.col(text_col)).alias("size"), h.alias("h"))
-                 .withColumn("c1", F.shiftrightunsigned("h", 52).cast("int")).withColumn("c2", F.shiftrightunsigned("h", 40).bitwiseAND(CELLS - 1).cast("int")), "sizes")
+    name = F.col(id_col).cast("string")
+    h = F.shiftrightunsigned(F.xxhash64(F.coalesce(name, F.col(text_col)), F.lit(seed)), 1)
+
+    def measured(*first: Column) -> DataFrame:
+        return docs.select(*first, F.to_json(pattern).alias("pattern"), word_count(F.col(text_col)).alias("size"), h.alias("h"),
+                           F.xxhash64(name, F.col(text_col)).alias("t"))
+
+    rows = stage(measured(F.col(id_col).alias("id")), "sizes")
     spark = docs.sparkSession
     supply = {tuple(json.loads(r["pattern"])): r["n"] for r in rows.groupBy("pattern").agg(F.sum("size").alias("n")).collect()}
     if not supply:
@@ -148,30 +217,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     flow = min_cost_flow(supply, {s: round(t) for s, t in goals.items()}, repeats)
     taken = {p: sum(n for (q, _), n in flow.items() if q == p) for p in supply}
     base = {p: taken[p] // n if n else 0 for p, n in supply.items()}
-    plan = [{"pattern": _key(p), "base": base[p], "goal": taken[p] - base[p] * n,
-             "sources": [{"source": s, "source_size": sizes[s], "target": goals[s], "quota": flow[p, s]} for s in p]} for p, n in supply.items()]
-    goal = spark.range(1).select(F.inline(F.from_json(  # built by the JVM: no Python workers for one row per pattern
-        F.lit(json.dumps(plan)), f"array<struct<pattern:string,base:int,goal:bigint,sources:{MEMBERSHIP}>>")))
-    c1 = stage(_cells(rows, goal, "c1"), "cells")
-    inner = rows.join(c1, "pattern").where("c1 = c1_at")
-    c2 = _cells(inner, goal.join(c1, "pattern").select("pattern", (F.col("goal") - F.col("before")).alias("goal")), "c2")
-    edge = stage(goal.join(c1.withColumnRenamed("before", "before1"), "pattern", "left").join(
-        c2.withColumnRenamed("before", "before2"), "pattern", "left"), "edges")
-    # documents of the last cell (one in CELLS^2 of a pattern) are ordered one by one
-    last = rows.join(edge, "pattern").where("c1 = c1_at and c2 = c2_at")
-    run = last.withColumn("end", F.sum("size").over(Window.partitionBy("pattern").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, 0)))
-    run = run.where(F.col("end") <= F.col("goal") - F.col("before1") - F.col("before2"))
-    tail = run.groupBy("pattern").agg(F.sum("size").alias("got"), F.max(F.struct("h", "id", "size")).alias("upto"))
-    # fill what is missing with the largest documents that fit
-    state = stage(edge.join(tail, "pattern", "left").withColumn("missing", F.col("goal") - F.coalesce("before1", F.lit(0)) - F.coalesce(
-        "before2", F.lit(0)) - F.coalesce("got", F.lit(0))).withColumn("extra", F.array().cast(f"array<struct<size:bigint,h:bigint,id:{rows.schema['id'].dataType.simpleString()}>>")), "state")
-    for _ in range(FILL_ROUNDS):
-        fit = rows.join(state, "pattern").where(~_in_order() & (F.col("size") > 0) & (F.col("size") <= F.col("missing"))
-                                               & ~F.array_contains("extra", F.struct("size", "h", "id")))
-        best = fit.groupBy("pattern").agg(F.max(F.struct("size", "h", "id")).alias("best"))
-        state = stage(state.join(best, "pattern", "left").withColumn("missing", F.col("missing") - F.coalesce("best.size", F.lit(0)))
-                      .withColumn("extra", F.when(F.col("best").isNotNull(), F.concat("extra", F.array("best"))).otherwise(F.col("extra"))).drop("best"), "state")
-    copies = F.col("base") + (_in_order() | F.array_contains("extra", F.struct("size", "h", "id"))).cast("int")
+    plan = {_key(p): {"pattern": _key(p), "base": base[p], "missing": taken[p] - base[p] * n, "long_from": n // LONG + 1, "behind": None, "cuts": [], "long": [],
+                      "sources": [{"source": s, "source_size": sizes[s], "target": goals[s], "quota": flow[p, s]} for s in p]} for p, n in supply.items()}
+    edge = _table([{"pattern": k, "long": p["long_from"]} for k, p in plan.items()], "pattern:string,long:bigint", spark)
+    long: dict[str, list] = {k: [] for k in plan}
+    for r in rows.join(edge, "pattern").where("size >= long").groupBy("pattern", "h", "t", "size").agg(F.sum("size").alias("words")).collect():
+        long[r["pattern"]].append((r["h"], r["t"], r["size"], r["words"]))
+    for p, n in supply.items():
+        own = plan[_key(p)]
+        picked = choose_long(long[_key(p)], own["missing"], n - sum(u[3] for u in long[_key(p)]))
+        own["long"] = [{"h": u[0], "t": u[1], "size": u[2]} for u in picked]
+        own["missing"] -= sum(u[3] for u in picked)
+    cells = rows.withColumn("c1", F.shiftright("h", 51).cast("int")).withColumn("c2", F.shiftright("h", 39).bitwiseAND(CELLS - 1).cast("int"))
+    while open_ := [p for p in plan.values() if p["missing"] > 0 and not p.get("done")]:
+        _cut(cells, open_, spark)
+    fields = f"pattern:string,base:int,long_from:bigint,long:array<{KEY}>,cuts:array<struct<behind:{KEY},upto:{KEY},most:bigint>>,sources:{MEMBERSHIP}"
+    state = _table(list(plan.values()), fields, spark)
+    copies = F.col("base") + _taken().cast("int")
     return rows.join(state, "pattern").select(
         F.col("id").alias(id_col), "size", F.when(F.col("size") > 0, copies).otherwise(0).alias("copies"), "sources")
 
@@ -180,9 +242,8 @@ def _key(pattern: tuple) -> str:
     return json.dumps(pattern, ensure_ascii=False, separators=(",", ":"))
 
 
-def _in_order() -> Column:
-    """Taken by hash order: before the cut's cell, or in it up to the last that fits."""
-    here = F.col("upto").isNotNull() & (F.struct("h", "id", "size") <= F.col("upto"))
-    before = (F.col("c1") < F.col("c1_at")) | ((F.col("c1") == F.col("c1_at")) & (F.col("c2") < F.col("c2_at")))
-    cell = (F.col("c1") == F.col("c1_at")) & (F.col("c2") == F.col("c2_at"))
-    return F.coalesce((F.col("goal") > 0) & (before | (cell & here)), F.lit(False))
+def _taken() -> Column:
+    """Taken for the remainder: a long document that was chosen, or one in a stretch of hash order that fits there."""
+    key = F.struct("h", "t", "size")
+    cut = F.exists("cuts", lambda c: (F.col("size") <= c["most"]) & (c["behind"].isNull() | (key > c["behind"])) & (c["upto"].isNull() | (key < c["upto"])))
+    return F.when(F.col("size") >= F.col("long_from"), F.array_contains("long", key)).otherwise(cut)

@@ -81,6 +81,33 @@ def test_mix_edge_rows_and_overlapping_sources(spark):
     assert abs((both["size"] * both.copies).sum() - sum(quota.values())) <= 10
 
 
+def shortfall(spark, sizes, share):
+    """Words missing at the one source's target, and the sizes of the documents not taken."""
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "doc_id long, n int").selectExpr("doc_id", "repeat('w ', n) as text", "'s' as source")
+    got = mixing.mix(df, share=share, repeats=1).toPandas()
+    left = got.sources[0][0].target - (got["size"] * got.copies).sum()
+    assert left >= -0.5 and len(got) == len(sizes)
+    return left, got["size"][got.copies == 0]
+
+
+def test_mix_skips_what_overshoots(spark):
+    """A very long document, or many of one size at the cut, leaves no quota open that other documents can fill."""
+    prepare(spark)
+    for sizes, share in (([100_000, *[100] * 1000], 0.75), ([100_000, *[100] * 1000], 0.4), ([900] * 40 + [400] * 40 + [7] * 3000, 0.5),
+                         ([2000 - 50 * i for i in range(30)] + [1] * 2000, 0.6), ([3] * 10 + [10_000], 0.5)):
+        left, others = shortfall(spark, sizes, share)
+        assert left < others[others > 0].min() and (left <= 100 or max(sizes) == 10_000), (share, left)
+
+
+def test_mix_cut_goes_on_behind_long_documents(spark):
+    """First fit in hash order: also documents short of the long ones are skipped when they overshoot."""
+    prepare(spark)
+    left, others = shortfall(spark, [90 + i % 11 for i in range(3000)] + [1 + i % 5 for i in range(300)], 0.5)
+    assert left < others.min() <= 5
+    assert mixing.choose_long([(1, 0, 10, 10), (2, 0, 90, 90)], 95, 5) == [(2, 0, 90, 90)]
+    assert mixing.choose_long([(1, 0, 500, 500)], 400, 1000) == []
+
+
 # ── chat formatting ──────────────────────────────────────────────────────────
 
 def brute_chat(rows):
