@@ -23,17 +23,30 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one of smallest id.  Of rows that repeat an id the least row
-    stays; rows without an id stay."""
+    """One document of each group stays: the one of smallest id.  Of rows that repeat an id and its text the
+    least row stays; rows of one id with different texts are documents of their own; rows without an id stay."""
     prepare(spark)
-    found = minhash.near_duplicates(docs)
-    keep = stage(found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")), "kept")
-    once, again = keep.where("__n = 1").select("doc_id"), keep.where("__n > 1").select("doc_id")
-    single = docs.join(sized(once, 24), "doc_id", "left_semi")
-    rest = [c for c in docs.columns if c != "doc_id"]
-    least = docs.join(sized(again, 24), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row"))
-    least = least.select("doc_id", *[F.col(f"row.{c}").alias(c) for c in rest])
-    return single.unionByName(least).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    kind = docs.schema["doc_id"].dataType
+    keyed = docs.withColumn("__key", F.col("doc_id"))
+    texts = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("__t"))
+    variants = stage(texts.groupBy("doc_id").agg(F.min("__t").alias("lo"), F.max("__t").alias("hi")).where("lo < hi").select("doc_id"), "variants")
+    mixed = not variants.isEmpty()
+    if mixed:
+        own = F.when(F.col("__many"), F.xxhash64("doc_id", "text").cast(kind)).otherwise(F.col("doc_id"))
+        keyed = docs.join(sized(variants.withColumn("__many", F.lit(True)), 24), "doc_id", "left").withColumn("__key", own).drop("__many")
+    found = minhash.near_duplicates(keyed.select("__key", "text"), "__key").where("__key is not null")
+    if mixed:  # the smallest document of a group, not its smallest key
+        ids = keyed.where("__key is not null").groupBy("__key").agg(F.min("doc_id").alias("doc_id"))
+        groups = stage(found.join(ids, "__key").groupBy("component_id", "doc_id", "__key").agg(F.count(F.lit(1)).alias("__n")), "groups")
+        least = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "__key", "__n")).alias("x"))
+        keep = stage(least.select("x.__key", "x.__n"), "kept")
+    else:
+        keep = stage(found.where("kept").groupBy("__key").agg(F.count(F.lit(1)).alias("__n")), "kept")
+    once, again = keep.where("__n = 1").select("__key"), keep.where("__n > 1").select("__key")
+    single = keyed.join(sized(once, 24), "__key", "left_semi")
+    repeated = keyed.join(sized(again, 24), "__key", "left_semi").groupBy("__key").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    repeated = repeated.select(*[F.col(f"row.{c}").alias(c) for c in docs.columns])
+    return single.select(*docs.columns).unionByName(repeated).unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +60,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once or twice."""
     prepare(spark)
-    copies = stage(mixing.mix(docs).where("copies > 0").select("doc_id", F.col("copies").alias("__copies")), "copies")
-    taken = docs.join(sized(copies, 32), "doc_id")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    taken = mixing.mix(docs, whole=True).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return taken.select(*[F.col(f"row.{c}").alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

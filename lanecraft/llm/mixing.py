@@ -188,11 +188,12 @@ def _cut(rows: DataFrame, open_: list[dict], spark) -> None:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS,
-        share: float = TAKE_SHARE, repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
+        share: float = TAKE_SHARE, repeats: int = MAX_REPEATS, seed: int = SEED, whole: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, size, copies (0..repeats) and its sources, each with the source's
     size and target and the words that the document's pattern gives it.
 
-    ``source_col`` holds one source (string) or several (array of strings).
+    ``source_col`` holds one source (string) or several (array of strings).  ``whole``: with the row itself
+    as struct ``row``.
     """
     many = isinstance(docs.schema[source_col].dataType, T.ArrayType)
     pattern = F.coalesce(F.sort_array(F.array_distinct(source_col)), F.array().cast("array<string>")) if many else F.array(F.col(source_col))
@@ -207,8 +208,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = stage(measured(F.col(id_col).alias("id")), "sizes")
     spark = docs.sparkSession
     supply = {tuple(json.loads(r["pattern"])): r["n"] for r in rows.groupBy("pattern").agg(F.sum("size").alias("n")).collect()}
+    # whole rows are measured again: cheaper than keeping their texts on disk
+    every = measured(F.col(id_col).alias("id"), F.struct(*docs.columns).alias("row")) if whole else rows
+    row = ["row"] if whole else []
     if not supply:
-        return rows.select(F.col("id").alias(id_col), "size", F.lit(0).alias("copies"), F.lit(None).cast(MEMBERSHIP).alias("sources"))
+        return every.select(F.col("id").alias(id_col), "size", F.lit(0).alias("copies"), F.lit(None).cast(MEMBERSHIP).alias("sources"), *row)
     sizes: dict[str | None, int] = {}
     for p, n in supply.items():
         for s in p:
@@ -234,8 +238,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     fields = f"pattern:string,base:int,long_from:bigint,long:array<{KEY}>,cuts:array<struct<behind:{KEY},upto:{KEY},most:bigint>>,sources:{MEMBERSHIP}"
     state = _table(list(plan.values()), fields, spark)
     copies = F.col("base") + _taken().cast("int")
-    return rows.join(state, "pattern").select(
-        F.col("id").alias(id_col), "size", F.when(F.col("size") > 0, copies).otherwise(0).alias("copies"), "sources")
+    return every.join(state, "pattern").select(
+        F.col("id").alias(id_col), "size", F.when(F.col("size") > 0, copies).otherwise(0).alias("copies"), "sources", *row)
 
 
 def _key(pattern: tuple) -> str:

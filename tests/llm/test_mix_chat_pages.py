@@ -304,6 +304,34 @@ def test_pipeline_against_brute_force(spark):
     assert (three.n_chars == three.text.str.len()).all()
 
 
+def test_pipeline_keeps_rows_without_or_with_repeated_ids(spark):
+    """Null and repeated ids through dedup, mix and packing: copies belong to rows."""
+    prepare(spark)
+    say = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    rows = [(i, say(i), "en", f"s{i % 2}", 0) for i in range(1, 20)] + [(None, say(100 + i), "en", f"s{i % 2}", 0) for i in range(4)]
+    rows += [(7, say(200), "en", "s1", 0), (7, say(201), "en", "s0", 0), (7, say(200), "en", "s1", 0),  # id 7: three texts, one of them twice
+             (3, say(202), "en", "s0", 0), (50, say(202), "en", "s1", 0), (9, say(1), "en", "s1", 0)]  # 3 keeps its second text, 9 loses its copy of 1
+    docs = spark.createDataFrame(rows, DOCS)
+    two = corpus_pipeline.near_duplicates(spark, docs, SF)
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in two.collect())
+    want = {(i or 0, t) for i, t, *_ in rows} - {(50, say(202)), (9, say(1))}
+    assert got == sorted(want)
+    three = corpus_pipeline.repeated_passages(spark, spark.createDataFrame(two.collect(), DOCS), SF)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in three.collect()) == got
+    two = spark.createDataFrame(two.collect() + [(11, say(11), "en", "s1", 0)], DOCS)  # and a row that repeats wholly
+    taken = corpus_pipeline.target_weights(spark, two, SF)
+    four = taken.toPandas()
+    copies = mixing.mix(two, whole=True).toPandas()
+    assert len(four) == copies.copies.sum() and (copies.copies > 0).any()
+    assert four.groupby("text").size().to_dict() == copies[copies.copies > 0].assign(text=lambda x: x.row.map(lambda r: r["text"])).groupby("text").copies.sum().to_dict()
+    for source, own in copies.groupby(copies.sources.map(lambda x: x[0]["source"])):
+        assert abs((own["size"] * own.copies).sum() - own.sources.iloc[0][0]["target"]) <= 40
+        assert four[four.source == source].text.str.split().str.len().sum() == (own["size"] * own.copies).sum()
+    assert {r.row["text"] for r in copies.itertuples() if pd.isna(r.doc_id) and r.copies} == set(four[four.doc_id.isna()].text) != set()
+    packed = corpus_pipeline.pack(spark, taken, SF).toPandas()
+    assert len(packed) == len(four) and packed.doc_id.isna().sum() == four.doc_id.isna().sum()
+
+
 def test_entry_without_the_subpackage(tmp_path):
     """The entry point imports, and keeps its other queries, when the training-data parts are gone."""
     import pathlib
