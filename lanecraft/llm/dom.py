@@ -20,26 +20,28 @@ FENCE = frozenset("ul ol dl table article section div main nav aside header foot
 
 
 class Node:
-    """``sig``: tag with its class, id and role words (digits folded); ``kids``: nodes and texts in order."""
+    """``sig``: tag with its class, id and role words (digits folded); ``marks``: those of its words that don't come
+    from the id; ``kids``: nodes and texts in order."""
 
-    __slots__ = ("tag", "sig", "words", "kids")
+    __slots__ = ("tag", "sig", "words", "marks", "kids")
 
-    def __init__(self, tag: str, words: tuple[str, ...] = ()):
-        self.tag, self.words, self.kids = tag, words, []
+    def __init__(self, tag: str, words: tuple[str, ...] = (), marks: tuple[str, ...] | None = None):
+        self.tag, self.words, self.marks, self.kids = tag, words, words if marks is None else marks, []
         self.sig = tag + "".join("." + w for w in words)
 
 
-def _words(attributes: str) -> tuple[str, ...]:
+def _words(attributes: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """All words, and those of other attributes than the id; the attribute hidden is ``[hidden]``."""
     if "=" not in attributes and "hidden" not in attributes.lower():
-        return ()
-    found = []
+        return (), ()
+    found, ids = [], []
     for name, *values in _ATTR.findall(attributes):
         value = next((v for v in values if v), "")
         if name.lower() in ("hidden", "aria-hidden"):
-            found += ["hidden"] if name.lower() == "hidden" or value.lower() == "true" else []
+            found += ["[hidden]"] if name.lower() == "hidden" or value.lower() == "true" else []
         else:
-            found += [_DIGITS.sub("#", w.lower()) for w in value.split()]
-    return tuple(sorted(set(found)))
+            (ids if name.lower() == "id" else found).extend(_DIGITS.sub("#", w.lower()) for w in value.split())
+    return tuple(sorted({*found, *ids})), tuple(sorted(set(found)))
 
 
 def parse(html: str) -> Node:
@@ -82,7 +84,7 @@ def parse(html: str) -> Node:
                     break
                 if stack[k].tag in FENCE:
                     break
-        node = Node(tag, _words(m[3]) if m[3] else ())
+        node = Node(tag, *(_words(m[3]) if m[3] else ()))
         stack[-1].kids.append(node)
         if tag in RAW:
             end = RAW[tag].search(html, at)

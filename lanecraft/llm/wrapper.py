@@ -41,6 +41,8 @@ adverts advertisement advertising sponsor sponsored promo promotion cookie cooki
 overlay comment comments reply replies respond disqus discussion share sharing social related recommended breadcrumb breadcrumbs
 pagination pager toolbar subscribe subscription newsletter signup login search form widget widgets skip hidden toc copyright""".split())
 CONTENT_TAGS = frozenset(["article", "main"])
+_CONTAINERS = frozenset("div section ul ol dl table nav aside form figure fieldset details center".split())
+_TEXTS = frozenset("h1 h2 h3 h4 h5 h6 hgroup p pre blockquote".split())
 _INNER_HEADER = frozenset(["header"])
 _OWN_HEADER = frozenset("content article post entry story".split())
 _CONTENT_WORDS = _OWN_HEADER | {"articlebody", "main"}
@@ -50,13 +52,17 @@ _ENTRIES = frozenset("div section article dl table".split())
 
 def skipped(node: Node, inside: bool = False) -> bool:
     """Not article text by its element or the words of its class, id or role.  An article's own <header>
-    holds its heading."""
-    if node.tag in SKIP_TAGS and not (inside and node.tag in _INNER_HEADER):
+    holds its heading.  Inside an article only containers go by a word, and only by a whole one; the ids of
+    sections there, and of headings and paragraphs anywhere, are anchors."""
+    if node.tag in SKIP_TAGS and not (inside and node.tag in _INNER_HEADER) or "[hidden]" in node.words:
         return True
-    for w in node.words:
-        if w in SKIP_WORDS and not (inside and w == "header"):
+    if inside:
+        words = node.marks if node.tag == "section" or "section" in node.marks else node.words
+        return node.tag in _CONTAINERS and any(w in SKIP_WORDS and w != "header" for w in words)
+    for w in node.marks if node.tag in _TEXTS else node.words:
+        if w in SKIP_WORDS:
             return True
-        parts = re.split(r"[-_#]+", w)
+        parts = re.split(r"[-_#]+", w) if node.tag not in _TEXTS else []
         for end in (parts[0], parts[-1]) if len(parts) > 1 else ():  # site-footer, comment-list
             if end in SKIP_WORDS and not (end == "header" and _OWN_HEADER & set(parts)):
                 return True

@@ -234,6 +234,19 @@ def test_wrapper_keeps_headline_beside_the_body():
     assert all(g.startswith(w) for g, w in zip(got, want))
 
 
+def test_wrapper_keeps_sections_with_generated_anchors():
+    parts = ("<h2 id='related-work'>Related {0}</h2>", "<h2 id='discussion'>Discuss {0}</h2>", "<section id='search'><p>Search {0}</p></section>",
+             "<p class='form-text'>Form {0}</p>", "<div class='section' id='notice'><p>Notice {0}</p></div>", "<p id='share'>Share {0}</p>",
+             "<blockquote class='comment'>Quote {0}</blockquote>", "<div class='menu-card'>Dish {0}</div>")
+    gone = "<div class='ad'>Buy {0}</div><ul class='related'><li>Other {0}</li></ul><div id='comments'>Nice {0}</div><p hidden>Secret {0}</p><form>Ask {0}</form>"
+    want = ["Related {0}", "Discuss {0}", "Search {0}", "Form {0}", "Notice {0}", "Share {0}", "Quote {0}", "Dish {0}"]
+    for outer in ("<article>{}</article>", "<main><div>{}</div></main>", "<div class='post-body'>{}</div>"):
+        got = read_pages([outer.format("".join(parts) + gone).format(i) for i in range(6)])
+        assert got == ["\n".join(want).format(i) for i in range(6)], (outer, got[0])
+    got = read_pages([f"<h2 id='related-work'>Related {i}</h2><p class='form-text'>Form {i}</p><div class='comment-list'>Nice {i}</div>" for i in range(6)])
+    assert got == [f"Related {i}\nForm {i}" for i in range(6)]
+
+
 def test_wrapper_keeps_bodies_in_two_parts():
     for outer in ("<article>{}</article>", "<div class='wrap'>{}</div>", "{}"):
         for a, b in (("class='post-body'", "class='post-extra'"), ("class='post-body'", "class='more'"), ("class='x'", "class='y'"), ("", "id='y'")):
