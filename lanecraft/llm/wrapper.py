@@ -1,6 +1,7 @@
 """Main text of web pages by wrapper induction.
 
-Per host a bounded sample of pages (``PAGES``) is aligned: DOM trees are merged one by one into a wrapper
+Per host and page layout (the containers around and in the content) a bounded sample of pages (``PAGES``) is
+aligned: DOM trees are merged one by one into a wrapper
 tree by simple tree matching (the largest order-preserving match of equal tags, children by dynamic
 programming).  A wrapper node whose text is the same on all pages is template; one that varies is a slot.
 The content is the smallest node that holds all varying text outside of navigation, headers, footers,
@@ -8,9 +9,9 @@ asides, forms, adverts, notices and comments (an <article> or <main> is taken wh
 lists of entries beside a container named as content are not article text); inside the content, single
 nodes of constant text are template too.
 
-A page is extracted by its host's wrapper: the content node is found by its path, and its blocks are read
-in page order without the parts named above.  Hosts with a single page, and pages that the path does not
-fit, are read by the same rule on the page alone.
+A page is extracted by its layout's wrapper: the content node is found by its path, and its blocks are read
+in page order without the parts named above.  Pages that the path does not fit, or that hold other text
+beside that node than the wrapper's template, are read by the same rule on the page alone.
 
 White space inside a block becomes one space, blocks are trimmed and joined by one line feed; character
 references are decoded.  Null and empty html give the empty text.  A null or odd url is a host of its own
@@ -19,6 +20,7 @@ name (empty).  Rows are independent given the sample, which hashes page ids; rep
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import json
 import re
@@ -47,6 +49,7 @@ _INNER_HEADER = frozenset(["header"])
 _OWN_HEADER = frozenset("content article post entry story".split())
 _CONTENT_WORDS = _OWN_HEADER | {"articlebody", "main"}
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+_FRAME = frozenset("html body div section article main center".split())
 _ENTRIES = frozenset("div section article dl table".split())
 
 
@@ -194,13 +197,33 @@ def merge(a: Shape, b: Shape, memo: dict) -> None:
     a.kids = out[::-1]
 
 
-def _varying(s: Shape, pages: int, memo: dict, inside: bool) -> int:
-    """Characters of varying text at or under a node, boilerplate parts left out."""
+def layout(tree: Node) -> str:
+    """Digest of the paths of a page's containers, boilerplate parts and the inside of articles left out."""
+    paths = set()
+    todo = [(tree, "", False, 0)]
+    while todo:
+        node, path, inside, depth = todo.pop()
+        inner = inside or holds(node)
+        for k in node.kids:
+            if isinstance(k, Node) and k.tag in _FRAME and not skipped(k, inner):
+                paths.add(at := path + "/" + k.sig)
+                if k.tag not in CONTENT_TAGS and depth < DEPTH:
+                    todo.append((k, at, inner, depth + 1))
+    return hashlib.blake2b("\n".join(sorted(paths)).encode("utf-8", "replace"), digest_size=12).hexdigest()
+
+
+def _constant(s: Shape, pages: int) -> bool:
+    return pages > 1 and s.seen == pages and len(s.texts) == 1
+
+
+def _varying(s: Shape, pages: int, memo: dict, inside: bool, template: dict | None = None, path: str = "") -> int:
+    """Characters of varying text at or under a node, boilerplate parts and the texts of ``template`` (by path)
+    left out."""
     if id(s) not in memo:
-        constant = pages > 1 and s.seen == pages and len(s.texts) == 1
+        known = template and not s.texts.isdisjoint(template.get(path, ()))
         inner = inside or holds(s.node)
-        memo[id(s)] = (0 if constant else s.mass) + sum(
-            _varying(k, pages, memo, inner) for k in s.kids if not skipped(k.node, inner))
+        memo[id(s)] = (0 if known or _constant(s, pages) else s.mass) + sum(
+            _varying(k, pages, memo, inner, template, path + "/" + k.sig if template else "") for k in s.kids if not skipped(k.node, inner))
     return memo[id(s)]
 
 
@@ -226,7 +249,8 @@ def _heading(s: Shape) -> bool:
 
 
 def induce(pages: list[str]) -> dict:
-    """{"path": [[signature, nth], ...] of the content node, "constant": {path below it: text}}"""
+    """{"path": [[signature, nth], ...] of the content node, "constant": {path: text} of single template nodes,
+    "template": {path: texts} of what is the same on all pages outside of the content node}"""
     trees, seen = [], set()
     for page in pages:
         tree = parse(page)
@@ -235,17 +259,17 @@ def induce(pages: list[str]) -> dict:
             seen.add(text)
             trees.append(shape(tree))
     if not trees:
-        return {"path": [], "constant": {}}
+        return {"path": [], "constant": {}, "template": {}}
     wrapper = trees[0]
     for t in trees[1:]:
         merge(wrapper, t, {})
     return _content(wrapper, len(trees))
 
 
-def _content(wrapper: Shape, pages: int) -> dict:
+def _content(wrapper: Shape, pages: int, known: dict | None = None) -> dict:
     memo: dict = {}
     at, path, inside = wrapper, [], False
-    whole = _varying(wrapper, pages, memo, False)
+    whole = _varying(wrapper, pages, memo, False, known)
 
     def steps(s: Shape):
         count: dict[str, int] = {}
@@ -280,26 +304,47 @@ def _content(wrapper: Shape, pages: int) -> dict:
         at = step[0]
         inside = inside or holds(at.node)
     constant: dict[str, str] = {}
+    template: dict[str, list[str]] = {}
 
-    def collect(s: Shape, below: str):
+    def collect(s: Shape, here: str, outside: bool, inner: bool):
+        outside = outside and s is not at
+        if outside and _constant(s, pages) and any(s.texts):
+            template.setdefault(here, []).extend(s.texts)
         for k in s.kids:
-            here = below + "/" + k.sig
-            if not k.many and not k.kids and k.seen == pages >= MIN_CONSTANT and len(k.texts) == 1 and any(k.texts):
-                constant[here] = next(iter(k.texts))
-            elif not k.many:
-                collect(k, here)
+            below = here + "/" + k.sig
+            if not k.many and not k.kids and _constant(k, pages) and pages >= MIN_CONSTANT and any(k.texts):
+                constant[below] = next(iter(k.texts))
+            if not k.many or outside:
+                deeper = inner or holds(k.node)
+                collect(k, below, outside and not skipped(k.node, inner), deeper)
 
-    collect(at, "")
-    return {"path": path, "constant": constant}
+    collect(wrapper, "", True, holds(wrapper.node))
+    return {"path": path, "constant": constant, "template": template}
 
 
 def extract(page: str, wrapper: dict) -> str:
     tree = parse(page)
-    node = _find(tree, wrapper["path"]) if wrapper["path"] else None
+    whole = shape(tree)
+    path, template = wrapper["path"], wrapper.get("template") or {}
+    if not path or not _fits(whole, path, template):
+        path = _content(whole, 1, template)["path"]
+    node = _find(tree, path)
     if node is None:
-        own = _content(shape(tree), 1)
-        node, wrapper = _find(tree, own["path"]) or tree, {"constant": {}}
-    return "\n".join(plain(node, _within(tree, node), wrapper["constant"], ""))
+        node, path = tree, []
+    return "\n".join(plain(node, _within(tree, node), wrapper["constant"], "".join("/" + sig for sig, _ in path)))
+
+
+def _fits(page: Shape, path: list, template: dict) -> bool:
+    """The page has the path's node, no text of the article lies beside it, and it holds most of the page's own text."""
+    memo: dict = {}
+    whole = _varying(page, 1, memo, False, template)
+    chain = [page]
+    for sig, nth in path:
+        same = [k for k in chain[-1].kids if k.sig == sig]
+        if nth >= len(same) or same[nth].many:
+            return False
+        chain.append(same[nth])
+    return 2 * memo.get(id(chain[-1]), 0) >= whole and all(_alone(s, k, chain[-1], memo) for s, k in zip(chain, chain[1:]))
 
 
 def _within(tree: Node, node: Node) -> bool:
@@ -332,20 +377,28 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """One row per row of ``pages``: id, url, text, n_chars."""
     host = F.coalesce(F.regexp_extract(F.lower(F.coalesce(F.col(url_col), F.lit(""))), r"^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)", 1), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    w = Window.partitionBy("host").orderBy(F.xxhash64("id"), "id")
-    picked = stage(rows.select("id", "host").withColumn("k", F.row_number().over(w)).where(F.col("k") <= sample).select("id", "host").distinct(), "sampled")
-    # (id, host) of every host's sample: broadcast if its checked size allows
-    chosen = rows.where("html <> ''").join(sized(picked, 80), ["id", "host"], "left_semi").select("host", "html")
-    grouped_ = chosen.groupBy("host").agg(F.collect_list("html").alias("pages"))  # at most `sample` pages a host
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def place(batches):
+        for batch in grouped(batches, "html"):
+            found = pa.array([layout(parse(page)) for page in batch.column(3).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=["id", "url", "host", "html", "layout"])
+
+    framed = rows.mapInArrow(place, f"id {kind}, url string, host string, html string, layout string")
+    w = Window.partitionBy("host", "layout").orderBy(F.xxhash64("id"), "id")
+    picked = stage(framed.where("html <> ''").select("id", "host", "layout").withColumn("k", F.row_number().over(w)).where(F.col("k") <= sample).select("id", "host").distinct(), "sampled")
+    # (id, host) of every layout's sample: broadcast if its checked size allows
+    chosen = rows.where("html <> ''").join(sized(picked, 80), ["id", "host"], "left_semi").select("id", "url", "host", "html")
+    chosen = chosen.mapInArrow(place, f"id {kind}, url string, host string, html string, layout string")
+    grouped_ = chosen.groupBy("host", "layout").agg(F.collect_list("html").alias("pages"))  # at most `sample` pages a layout
 
     def learn(batches):
         for batch in batches:
-            found = [json.dumps(induce(sorted(p)[:2 * sample])) for p in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["host", "wrapper"])
+            found = [json.dumps(induce(sorted(p)[:2 * sample])) for p in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string())], names=["host", "layout", "wrapper"])
 
-    wrappers = stage(grouped_.mapInArrow(learn, "host string, wrapper string"), "wrappers")
-    joined = rows.join(sized(wrappers, 2048), "host", "left").select("id", "url", "wrapper", "html")
-    kind = rows.schema["id"].dataType.simpleString()
+    wrappers = stage(grouped_.mapInArrow(learn, "host string, layout string, wrapper string"), "wrappers")
+    joined = framed.join(sized(wrappers, 96, "wrapper"), ["host", "layout"], "left").select("id", "url", "wrapper", "html")
 
     def read(batches):
         known: dict = {}

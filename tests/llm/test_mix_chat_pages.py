@@ -234,6 +234,32 @@ def test_wrapper_keeps_headline_beside_the_body():
     assert all(g.startswith(w) for g, w in zip(got, want))
 
 
+def test_wrapper_of_a_host_with_several_layouts(spark):
+    """A rare layout that the majority's path fits, but whose article lies elsewhere."""
+    prepare(spark)
+    rows = [(i, "https://l.example/", f"<html><body><div><p>Major {i} {f'a{i} ' * 30}</p></div><div><p>Same on all</p></div></body></html>") for i in range(60)]
+    rows += [(100 + i, "https://l.example/", f"<html><body><div><p>Lead {i}</p></div><section><h1>Minor {i}</h1><p>{f'b{i} ' * 30}</p></section></body></html>") for i in range(5)]
+    rows += [(200 + i, "https://l.example/", f"<html><body><div><p>Lead {i}</p></div><div class='x'><p>Rare {i}</p><p>{f'c{i} ' * 30}</p></div></body></html>") for i in range(2)]
+    got = wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).toPandas().set_index("page_id").text
+    for i in range(60):
+        assert f"Major {i} " in got[i]
+    for i in range(5):
+        assert got[100 + i] == f"Lead {i}\nMinor {i}\n" + " ".join([f"b{i}"] * 30), got[100 + i]
+    for i in range(2):
+        assert got[200 + i] == f"Lead {i}\nRare {i}\n" + " ".join([f"c{i}"] * 30), got[200 + i]
+
+
+def test_wrapper_checks_every_page():
+    """The sample says one node; a page of the same layout has more beside it, or most of its text elsewhere."""
+    usual = "<html><body><div class='intro'><p>Welcome to us</p></div><div class='box'><p>Text {0} " + "w{0} " * 30 + "</p></div></body></html>"
+    found = wrapper.induce([usual.format(i) for i in range(8)])
+    assert wrapper.extract(usual.format(9), found) == "Text 9 " + " ".join(["w9"] * 30)
+    for lead, text in (("A lead of its own", "Text"), ("An article " + "of many words " * 9, "short")):
+        odd = f"<html><body><div class='intro'><p>{lead}</p></div><div class='box'><p>{text}</p></div></body></html>"
+        assert wrapper.layout(dom.parse(odd)) == wrapper.layout(dom.parse(usual))
+        assert wrapper.extract(odd, found) == f"{lead.strip()}\n{text}"
+
+
 def test_wrapper_keeps_sections_with_generated_anchors():
     parts = ("<h2 id='related-work'>Related {0}</h2>", "<h2 id='discussion'>Discuss {0}</h2>", "<section id='search'><p>Search {0}</p></section>",
              "<p class='form-text'>Form {0}</p>", "<div class='section' id='notice'><p>Notice {0}</p></div>", "<p id='share'>Share {0}</p>",
