@@ -4,7 +4,7 @@
 2. Trees are fitted on a bounded sample (``SAMPLE`` vectors): a node splits at the median of a random
    projection; vectors within the middle ``SPILL`` share of projections go to both sides.  Splitting ends
    when a node's share of all vectors is at most ``LEAF``.  Nodes the sample can't resolve further are
-   split by random signs.  The number of trees follows from the depth, so that a pair at the threshold
+   split by random signs.  The number of trees follows from the levels of both kinds, so that a pair at the threshold
    shares a leaf of some tree with probability ``RECALL`` by the model below.
 3. Every vector is routed through every tree.  Leaves are compared block with block (``BLOCK`` vectors); a
    leaf of any size is spread over many tasks.  Cosines are exact doubles.
@@ -77,7 +77,12 @@ class Forest:
         self.width = sample.shape[1]
         self.spill = spill
         depth = max(0, math.ceil(math.log2(max(1.0, total / leaf)) / (1 - math.log2(1 + spill))))
-        stay = (1 - separated(threshold, spill)) ** depth
+        share, half = total / max(1, len(sample)), (1 + spill) / 2
+        fitted = max(0, math.floor(math.log(max(1.0, len(sample) / MIN_NODE)) / -math.log(half)) + 1) if len(sample) >= MIN_NODE else 0
+        blind = 0  # levels of random signs below the fitted ones, without spill
+        if fitted < depth and min(MIN_NODE - 1, len(sample)) * share > leaf:
+            depth, blind = fitted, min(24, math.ceil(math.log2(min(MIN_NODE - 1, len(sample)) * share / leaf)))
+        stay = (1 - separated(threshold, spill)) ** depth * (1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi) ** blind
         self.count = 1 if stay >= 1 else max(2, math.ceil(math.log(1 - recall) / math.log(1 - stay)))
         rng = np.random.Generator(np.random.PCG64(seed))
         self.blind = rng.standard_normal((self.count, 24, self.width))
@@ -124,7 +129,7 @@ class Forest:
                     continue
                 if len(node) == 2:
                     number, bits = node
-                    code = np.full(len(idx), (t << 56) | (number << 24), np.int64)
+                    code = np.full(len(idx), (t << 44) | (number << 24), np.int64)
                     for b in range(bits):
                         code |= (x[idx] @ self.blind[t, b] > 0).astype(np.int64) << b
                     rows.append(idx)

@@ -280,3 +280,17 @@ def test_repeats_edge_rows(spark):
     assert got[got.doc_id == 1].n_removed.tolist() == [300_000, 300_000]
     assert sorted(got[got.doc_id == 3].n_removed) == [0, 400]
     assert {r["start"] for r in got.row} == {"s", "t", "u", "v", "w"}
+
+
+def test_forest_recall_with_blind_splits():
+    """A sample so small that most levels are random signs: pairs at the threshold still share a leaf."""
+    rng = np.random.default_rng(5)
+    for sample, total in ((256, 10**6), (20, 10**5), (2048, 10**7)):
+        forest = rp_forest.Forest(rp_forest.units([v.tobytes() for v in rng.standard_normal((sample, 32))]), total)
+        assert any(len(n) == 2 and n[1] > 0 for n in forest.trees[0])
+        x, z = rng.standard_normal((2, 3000, 32))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        z -= (z * x).sum(1)[:, None] * x
+        y = 0.9 * x + np.sqrt(1 - 0.81) * z / np.linalg.norm(z, axis=1)[:, None]
+        a, b = (set(zip(*(v.tolist() for v in forest.leaves(m)))) for m in (x, y))
+        assert len({row for row, _ in a & b}) >= 0.985 * 3000, (sample, total, forest.count)
