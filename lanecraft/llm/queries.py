@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lanecraft.llm import chat, lang_id, minhash, mixing, packing, rp_forest, suffix_dedup, token_count, topk, wrapper
+from lanecraft.llm import (chat, lang_id, merkle, minhash, mixing, packing, periodic, pii, rp_forest, suffix_dedup,
+                           token_count, topk, wrapper)
 from lanecraft.llm.common import read
 
 #: Folder-independent lookup of a public tokenizer file; jobs may pass another path to the operators.
@@ -66,3 +67,17 @@ def op9_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
+
+
+def op11_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(read(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = periodic.periodic_runs(docs, extra=periodic.checksum(), rule=periodic.folded)
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read(spark, sf_dir, "documents"), merkle.third())
