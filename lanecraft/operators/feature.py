@@ -217,14 +217,15 @@ def lead_histogram(df: DataFrame, route_col: str = S.STATE_ROUTE) -> DataFrame:
 def add_delay_and_score(df: DataFrame, policy: str = "median", sla_dim: DataFrame | None = None, route_col: str = S.STATE_ROUTE,
                         switch_days: float = S.AUTO_POLICY_MEDIAN_DAYS, default_days: float = S.DEFAULT_SLA_DAYS,
                         delay_weight=S.DELAY_WEIGHT, lead_weight=S.LEAD_TIME_WEIGHT, fill: float | None = None,
-                        digits: int | None = None) -> DataFrame:
+                        digits: int | None = None, histogram: DataFrame | None = None) -> DataFrame:
     """Delay flag under ``policy`` (median, sla, auto) and route score.
 
     Same result as the single operators above, but the fact is read once for
-    the histogram and once for the rows."""
+    the histogram and once for the rows; with a written ``histogram`` (see
+    ``lead_histogram``) only for the rows."""
     if policy not in ("median", "sla", "auto"):
         raise ValueError(f"unknown delay policy {policy!r}")
-    h = materialize(lead_histogram(df, route_col), "lead-histogram")
+    h = histogram if histogram is not None else materialize(lead_histogram(df, route_col), "lead-histogram")
     if policy == "auto":
         # few distinct leads (days): the histogram itself is the value table
         m = h.agg(F.percentile(S.LEAD_TIME, 0.5, F.col("n")).alias("m")).first()["m"]

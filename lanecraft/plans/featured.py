@@ -16,36 +16,31 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lanecraft import schema as S
 from lanecraft.operators import clean, feature
-from lanecraft.plans.materialize import materialize
+from lanecraft.plans.materialize import materialize, shared_path
 from lanecraft.sources import testdata as td
+from lanecraft.sources.ledger import Ledger
+from lanecraft.sources.versions import VersionStore
 
 _LOCK = threading.RLock()
 _MEMO: dict = {}
 
 
-def input_state(spark: SparkSession, folder: str) -> int:
-    """Names, sizes and times of the files in a folder and its tables: another state, another fact."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    fs = hadoop.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    seen, todo = [], [hadoop.Path(folder)]
-    while todo:
-        for st in fs.listStatus(todo.pop()):
-            if st.isDirectory():
-                todo.append(st.getPath())
-            else:
-                seen.append((st.getPath().toString(), st.getLen(), st.getModificationTime()))
-    return hash(tuple(sorted(seen)))
-
-
 def _memo(spark: SparkSession, key: tuple, build):
-    """Results are kept per session and state of the input folder (the key's second part)."""
-    k = (id(spark), spark.sparkContext.applicationId, input_state(spark, key[1])) + key
+    """Results are kept per session and input folder (the key's second part) until ``refresh``."""
+    k = (id(spark), spark.sparkContext.applicationId) + key
     with _LOCK:
         if k not in _MEMO:
             _MEMO[k] = build()
         return _MEMO[k]
 
 
+def refresh(sf_dir: str) -> None:
+    """Forget what was derived from a folder whose files changed; no query looks at its files by itself."""
+    with _LOCK:
+        for k in [k for k in _MEMO if sf_dir in k]:
+            del _MEMO[k]
+
+
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical shipments with their factory, joined once and written (per session)."""
     return _memo(spark, ("base", sf_dir), lambda: materialize(td.shipments(spark, sf_dir), "base"))
@@ -76,9 +71,13 @@ def batch_features(fact: DataFrame, factory_dim: DataFrame | None, coords_dim: D
 
 
 def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Materialized batch-featured table for ``sf_dir`` (built once per session)."""
+    """Materialized batch-featured table for ``sf_dir`` (built once per session).
+
+    Partitioned by ship year and ordered by month, state and factory, so filters on years prune partitions and
+    filters on months, states or factories prune files and row groups."""
     return _memo(spark, ("featured", sf_dir), lambda: materialize(
-        batch_features(shipments(spark, sf_dir), None, td.factory_coords_dim(spark)), "featured"))
+        batch_features(shipments(spark, sf_dir), None, td.factory_coords_dim(spark)), "featured",
+        partition_by=["ship_year"], cluster_by=["ship_month", S.STATE, S.FACTORY, S.ROW_ID]))
 
 
 def audit_features(fact: DataFrame, factory_dim: DataFrame | None, coords_dim: DataFrame) -> DataFrame:
@@ -92,18 +91,43 @@ def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_features(shipments(spark, sf_dir), None, td.factory_coords_dim(spark))
 
 
-def recalc_features(df: DataFrame, factory_dim: DataFrame | None, coords_dim: DataFrame, sla_dim: DataFrame,
-                    policy: str = "auto", delay_weight: float = S.DELAY_WEIGHT,
-                    lead_weight: float = S.LEAD_TIME_WEIGHT, factory_key: str = S.PRODUCT_ID) -> DataFrame:
-    """Recalculation dialect: every row kept, fractional lead clipped at 0.5,
-    default coordinates, SLA / median / auto delay policy, score 4 dp, null → 0.5."""
+def recalc_narrow(df: DataFrame, factory_dim: DataFrame | None, coords_dim: DataFrame, factory_key: str = S.PRODUCT_ID) -> DataFrame:
+    """The part of the recalculation that looks at one row at a time: fractional lead clipped at 0.5, factory,
+    default coordinates, routes, calendar."""
     f = feature.add_lead_days_clipped(df)
     if factory_dim is not None:
         f = feature.add_factory(f, factory_dim, key=factory_key)
     f = feature.add_factory_coords(f, coords_dim, default=S.DEFAULT_COORDS)
     f = feature.add_route_ids(f)
-    f = feature.add_temporal(f, day_name=True)
-    return feature.add_delay_and_score(f, policy, sla_dim, delay_weight=delay_weight, lead_weight=lead_weight, fill=0.5, digits=4)
+    return feature.add_temporal(f, day_name=True)
+
+
+def recalc_features(df: DataFrame, factory_dim: DataFrame | None, coords_dim: DataFrame, sla_dim: DataFrame,
+                    policy: str = "auto", delay_weight: float = S.DELAY_WEIGHT,
+                    lead_weight: float = S.LEAD_TIME_WEIGHT, factory_key: str = S.PRODUCT_ID,
+                    histogram: DataFrame | None = None) -> DataFrame:
+    """Recalculation dialect: every row kept, SLA / median / auto delay policy, score 4 dp, null → 0.5."""
+    f = recalc_narrow(df, factory_dim, coords_dim, factory_key)
+    return feature.add_delay_and_score(f, policy, sla_dim, delay_weight=delay_weight, lead_weight=lead_weight, fill=0.5, digits=4,
+                                       histogram=histogram)
+
+
+def ledger(spark: SparkSession, sf_dir: str) -> Ledger:
+    """The base table of ``sf_dir`` as a versioned table (loaded once per session); clone it before changing it."""
+
+    def build() -> Ledger:
+        dims = td.factory_dim(spark, sf_dir), td.factory_coords_dim(spark)
+        out = Ledger(VersionStore(spark, shared_path(spark, "ledger")), lambda df: recalc_narrow(df, *dims))
+        out.load(base(spark, sf_dir))
+        return out
+
+    return _memo(spark, ("ledger", sf_dir), build)
+
+
+def ledger_features(spark: SparkSession, sf_dir: str, book: Ledger, policy: str = "auto") -> DataFrame:
+    """The recalculated table of a ledger's current version, from its own histogram."""
+    return recalc_features(book.rows(), td.factory_dim(spark, sf_dir), td.factory_coords_dim(spark), td.sla_dim(spark), policy,
+                           histogram=book.histogram())
 
 
 def recalculated(spark: SparkSession, sf_dir: str, policy: str = "auto") -> DataFrame:

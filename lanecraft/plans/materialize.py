@@ -29,14 +29,20 @@ def shared_path(spark, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None, cluster_by: list[str] | None = None) -> DataFrame:
+    """``cluster_by``: rows are range-partitioned and sorted by ``partition_by`` and these columns (evenly, however hot a
+    value is, if they end in a unique one), so a partition has few files and each file a narrow range."""
     spark = df.sparkSession
     path = shared_path(spark, name)
+    if cluster_by:
+        order = [*(partition_by or []), *cluster_by]
+        n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        df = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def join_back(big: DataFrame, small: DataFrame, on, how: str = "left", name: str = "side") -> DataFrame:
