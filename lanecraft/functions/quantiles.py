@@ -15,13 +15,22 @@ distributed way at every size, all columns in one pass:
 
 Null and NaN values are missing.  The result is a one-row DataFrame, meant to
 be crossed into a plan.
+
+``group_quantiles`` does the same per group, with the groups spread over the
+same range partitions: a group that holds half of all rows (and values) is
+many partitions, not one buffer.  ``group_median`` picks the way by the type
+of the column: whole numbers (days, units) repeat, so their ``median`` buffer
+is as small as their range; fractional ones take the distributed way.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from lanecraft.functions.windows import running_total
+from lanecraft.plans.materialize import materialize
 
 
 def column_quantiles(df: DataFrame, probs: dict[str, list[float]], prefix: str = "q") -> DataFrame:
@@ -65,3 +74,56 @@ def exact_medians(df: DataFrame, names: dict[str, str]) -> DataFrame:
 
 def exact_median(df: DataFrame, col: str, name: str | None = None) -> DataFrame:
     return exact_medians(df, {col: name or f"median_{col}"})
+
+
+def group_quantiles(df: DataFrame, keys: list[str], col: str, probs: dict[str, float]) -> DataFrame:
+    """One row per group (rows with a null key are left out): the keys and a column per name of ``probs``, null for
+    a group without values."""
+    known = df
+    for k in keys:
+        known = known.filter(F.col(k).isNotNull())
+    value = F.col(col).cast("double")
+    rows = known.select(*keys, F.when(~F.isnan(value), value).alias("__v"))
+    counts = rows.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    part = counts.repartitionByRange(n, *keys, "__v").withColumn("__pid", F.spark_partition_id())
+    part = materialize(part, "ranged-groups")
+    held = F.when(F.col("__v").isNotNull(), F.col("__c")).otherwise(F.lit(0))
+    sizes = part.groupBy(*keys, "__pid").agg(F.sum(held).alias("__own"))
+    before = Window.partitionBy(*keys).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*keys, "__pid", F.coalesce(F.sum("__own").over(before), F.lit(0)).alias("__before"),
+                         F.sum("__own").over(Window.partitionBy(*keys)).alias("__n"))
+    inside = Window.partitionBy(*keys, "__pid").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = part.withColumn("__cum", F.sum(held).over(inside)).join(sizes, [*keys, "__pid"])
+    cum = F.col("__cum") + F.col("__before")
+    at = lambda r: F.max(F.when(F.col("__v").isNotNull() & (cum - F.col("__c") <= r) & (r < cum), F.col("__v")))
+    aggs, outs = [], []
+    for i, (name, p) in enumerate(probs.items()):
+        pos = (F.col("__n") - 1) * F.lit(float(p))
+        aggs += [at(F.floor(pos)).alias(f"__a{i}"), at(F.ceil(pos)).alias(f"__b{i}"), F.max(pos).alias(f"__p{i}")]
+        pos, a, b = F.col(f"__p{i}"), F.col(f"__a{i}"), F.col(f"__b{i}")
+        lo, hi = F.floor(pos), F.ceil(pos)
+        outs.append(F.when(lo == hi, a).otherwise((hi - pos) * a + (pos - lo) * b).alias(name))
+    return ranked.groupBy(*keys).agg(*aggs).select(*keys, *outs)
+
+
+def whole(df: DataFrame, col: str) -> bool:
+    """True for a column of whole numbers."""
+    return isinstance(df.schema[col].dataType, T.IntegralType)
+
+
+def group_median(df: DataFrame, keys: dict[str, str] | list[str], col: str, name: str) -> tuple[list[Column], Callable]:
+    """(columns to aggregate by the keys, a function that completes the aggregated table) for a median per group.
+
+    ``keys``: key columns of ``df``, mapped to their names in the aggregated table if these differ."""
+    keys = keys if isinstance(keys, dict) else {k: k for k in keys}
+    if whole(df, col):
+        return [F.median(col).alias(name)], lambda out: out
+
+    def complete(out: DataFrame) -> DataFrame:
+        side = group_quantiles(df, list(keys), col, {name: 0.5})
+        side = side.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], name)
+        on = [F.col(k) == F.col(f"__k{i}") for i, k in enumerate(keys.values())]
+        return out.join(side, on, "left").drop(*[f"__k{i}" for i in range(len(keys))])
+
+    return [], complete

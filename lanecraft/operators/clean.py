@@ -10,7 +10,7 @@ under ANSI mode.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, functions as F, types as T
 
 from lanecraft import schema as S
 from lanecraft.functions.exprs import literal_table
@@ -210,37 +210,32 @@ def enforce_types(df: DataFrame) -> DataFrame:
 
 # ── pipeline ─────────────────────────────────────────────────────────────────
 
+def clean_with_report(raw: DataFrame, corrections: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(cleaned rows, one row of stage counts): load → schema → dates → numerics → missing → dedup → trim → names →
+    lead → types, and what each stage dropped or changed.
+
+    The counts are observed while the stages run (``Observation``); the pass that writes the cleaned rows yields
+    the report, nothing is counted again."""
+    seen, parsed, single, final = (Observation(n) for n in ("raw", "parsed", "single", "final"))
+    rows = lambda name: F.count(F.lit(1)).alias(name)
+    d = check_schema(raw).observe(seen, rows("raw_rows"))
+    d = postal_pad(cast_numeric(parse_dates(d)))
+    # text is parsed once, for the medians and the rows
+    d = materialize(drop_null_dates(d).observe(parsed, rows("n")), "parsed")
+    d = trim(dedup_full(fill_unknown(fill_median(d))))
+    d = d.observe(single, rows("n"), F.count_if(F.col(S.PRODUCT_NAME).isin(list(corrections or {}))).alias("product_name_fixes"))
+    d = drop_invalid_lead(fix_names(d, corrections or {})).observe(final, rows("final_rows"))
+    d = materialize(enforce_types(d), "cleaned")
+    raw_rows, dated, once, kept = seen.get["raw_rows"], parsed.get["n"], single.get, final.get["final_rows"]
+    counts = {"raw_rows": raw_rows, "bad_date_rows": raw_rows - dated, "duplicates_removed": dated - once["n"],
+              "invalid_leads_removed": once["n"] - kept, "product_name_fixes": once["product_name_fixes"], "final_rows": kept}
+    report = raw.sparkSession.range(1).select(*[F.lit(v).cast("long").alias(k) for k, v in counts.items()])
+    return d, report
+
+
 def clean_pipeline(raw: DataFrame, corrections: dict[str, str] | None = None) -> DataFrame:
-    """load → schema → dates → numerics → missing → dedup → trim → names → lead → types."""
-    d = check_schema(raw)
-    d = parse_dates(d)
-    d = cast_numeric(d)
-    d = postal_pad(d)
-    d = materialize(drop_null_dates(d), "parsed")  # text is parsed once, for the medians and the rows
-    d = fill_median(d)
-    d = fill_unknown(d)
-    d = dedup_full(d)
-    d = trim(d)
-    d = fix_names(d, corrections or {})
-    d = drop_invalid_lead(d)
-    return enforce_types(d)
+    return clean_with_report(raw, corrections)[0]
 
 
 def clean_report(raw: DataFrame, corrections: dict[str, str] | None = None) -> DataFrame:
-    """One row of stage counts: raw rows, rows with bad dates dropped,
-    duplicates removed, invalid leads removed, name fixes, final rows."""
-    d = postal_pad(cast_numeric(parse_dates(check_schema(raw))))
-    after_dates = materialize(drop_null_dates(d), "parsed")
-    filled = fill_unknown(fill_median(after_dates))
-    deduped = trim(dedup_full(filled))
-    c = lambda x, name: x.agg(F.count(F.lit(1)).alias(name))
-    # one pass over the de-duplicated rows counts them, their name fixes and their valid leads
-    tail = deduped.agg(F.count(F.lit(1)).alias("__deduped"),
-                       F.count_if(F.col(S.PRODUCT_NAME).isin(list(corrections or {}))).alias("product_name_fixes"),
-                       F.count_if(valid_lead()).alias("final_rows"))
-    r = c(raw, "raw_rows").crossJoin(c(after_dates, "__after_dates")).crossJoin(tail)
-    return r.select("raw_rows",
-                    (F.col("raw_rows") - F.col("__after_dates")).alias("bad_date_rows"),
-                    (F.col("__after_dates") - F.col("__deduped")).alias("duplicates_removed"),
-                    (F.col("__deduped") - F.col("final_rows")).alias("invalid_leads_removed"),
-                    "product_name_fixes", "final_rows")
+    return clean_with_report(raw, corrections)[1]

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from lanecraft import schema as S
 from lanecraft.functions.windows import running_total
 from lanecraft.functions.exprs import band, delay_mean, margin_pct, money_total, rintn
+from lanecraft.functions.quantiles import group_median
 
 
 def us_scope(df: DataFrame, allow: DataFrame) -> DataFrame:
@@ -24,19 +25,20 @@ def us_scope(df: DataFrame, allow: DataFrame) -> DataFrame:
 
 def state_performance(df: DataFrame, state_dim: DataFrame) -> DataFrame:
     lead = F.col(S.LEAD_TIME)
+    median, complete = group_median(df, {S.STATE: "state"}, S.LEAD_TIME, "median_lead_time")
     agg = (df.filter(F.col(S.STATE).isNotNull()).groupBy(F.col(S.STATE).alias("state"))
              .agg(F.count(S.ROW_ID).alias("shipments"),
                   money_total(S.SALES).alias("total_sales"),
                   money_total(S.GROSS_PROFIT).alias("total_profit"),
                   F.sum(S.UNITS).cast("long").alias("total_units"),
                   rintn(F.avg(lead), 2).alias("avg_lead_time"),
-                  F.median(lead).alias("median_lead_time"),
+                  *median,
                   delay_mean(S.DELAY_FLAG).alias("delay_rate"),
                   rintn(F.avg(S.SCORE), 4).alias("avg_efficiency_score"),
                   margin_pct(F.sum(S.GROSS_PROFIT), F.sum(S.SALES)).alias("profit_margin_pct")))
     dim = state_dim.select(F.col(S.STATE).alias("__s"), "state_abbrev", F.col("state_lat").alias("lat"),
                            F.col("state_lon").alias("lon"))
-    return (agg.withColumn("delay_rate_pct", rintn(F.col("delay_rate") * 100.0, 2))
+    return (complete(agg).withColumn("delay_rate_pct", rintn(F.col("delay_rate") * 100.0, 2))
                .join(dim, F.col("state") == F.col("__s"), "left").drop("__s")
                .orderBy(F.col("shipments").desc(), "state"))
 
@@ -49,7 +51,9 @@ def region_performance(df: DataFrame) -> DataFrame:
                   F.sum(S.UNITS).alias("u"), F.sum(lead).alias("ls"), F.count(lead).alias("lc"),
                   F.count_if(F.col(S.DELAY_FLAG)).alias("dl"), F.count(S.DELAY_FLAG).alias("dc"),
                   F.sum(S.SCORE).alias("ss"), F.count(S.SCORE).alias("sc")))
-    med = (df.filter(F.col(S.REGION).isNotNull()).groupBy(S.REGION).agg(F.median(lead).alias("median_lead_time")))
+    known = df.filter(F.col(S.REGION).isNotNull())
+    median, complete = group_median(known, [S.REGION], S.LEAD_TIME, "median_lead_time")
+    med = complete(known.groupBy(S.REGION).agg(F.count(F.lit(1)).alias("__rows"), *median)).drop("__rows")
     agg = (pre.groupBy(S.REGION)
               .agg(F.sum("n").alias("shipments"), F.sum("s").cast("double").alias("total_sales"),
                    F.sum("p").cast("double").alias("total_profit"), F.sum("u").cast("long").alias("total_units"),
@@ -76,7 +80,7 @@ def factory_coverage(df: DataFrame, coords_dim: DataFrame) -> DataFrame:
                    (F.sum("dl") / F.sum("dc")).alias("delay_rate")))
     dim = coords_dim.select(F.col(S.FACTORY).alias("__f"), F.col(S.FACTORY_LAT).alias("lat"),
                             F.col(S.FACTORY_LON).alias("lon"))
-    return (agg.withColumn("delay_rate_pct", rintn(F.col("delay_rate") * 100.0, 2))
+    return (complete(agg).withColumn("delay_rate_pct", rintn(F.col("delay_rate") * 100.0, 2))
                .join(dim, F.col(S.FACTORY) == F.col("__f"), "left").drop("__f")
                .orderBy(F.col("shipments").desc(), S.FACTORY))
 

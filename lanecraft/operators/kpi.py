@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from lanecraft import schema as S
 from lanecraft.functions.exprs import (delay_mean, margin_pct, money_avg, money_mean, money_sum, money_total,
                                        rintn)
+from lanecraft.functions.quantiles import exact_median, group_median, whole
 
 
 def summary(df: DataFrame) -> DataFrame:
@@ -29,7 +30,7 @@ def summary(df: DataFrame) -> DataFrame:
         money_avg(S.COST).alias("avg_cost"),
         margin_pct(F.sum(S.GROSS_PROFIT), F.sum(S.SALES)).alias("profit_margin_pct"),
         rintn(F.avg(lead), 2).alias("avg_lead_time"),
-        rintn(F.median(lead), 2).alias("median_lead_time"),
+        *([rintn(F.median(lead), 2).alias("median_lead_time")] if whole(df, S.LEAD_TIME) else []),
         F.min(lead).alias("min_lead_time"),
         F.max(lead).alias("max_lead_time"),
         F.coalesce(rintn(delay_mean(S.DELAY_FLAG) * 100.0, 2), F.lit(0.0)).alias("delay_rate_pct"),
@@ -37,6 +38,8 @@ def summary(df: DataFrame) -> DataFrame:
     ).withColumn("on_time_rate_pct", rintn(F.lit(100.0) - F.col("delay_rate_pct"), 2))
     orders = df.agg(F.count_distinct(S.ORDER_ID).alias("total_orders"))
     states = df.agg(F.count_distinct(S.STATE).alias("unique_states"))
+    if not whole(df, S.LEAD_TIME):
+        main = main.crossJoin(exact_median(df, S.LEAD_TIME, "__med")).withColumn("median_lead_time", rintn("__med", 2)).drop("__med")
     route = S.STATE_ROUTE if S.STATE_ROUTE in df.columns else None
     route_expr = F.col(route) if route else F.concat(F.col(S.FACTORY), F.lit(S.ROUTE_ARROW), F.col(S.STATE))
     routes = df.agg(F.count_distinct(route_expr).alias("unique_routes"))
@@ -45,32 +48,35 @@ def summary(df: DataFrame) -> DataFrame:
 
 def factory_performance(df: DataFrame) -> DataFrame:
     lead = F.col(S.LEAD_TIME)
+    median, complete = group_median(df, [S.FACTORY], S.LEAD_TIME, "__med")
     agg = (df.filter(F.col(S.FACTORY).isNotNull()).groupBy(S.FACTORY)
              .agg(F.count(S.ROW_ID).alias("shipments"),
                   money_total(S.SALES).alias("total_sales"),
                   money_total(S.GROSS_PROFIT).alias("total_profit"),
                   F.sum(S.UNITS).cast("long").alias("total_units"),
                   rintn(F.avg(lead), 2).alias("avg_lead_time"),
-                  rintn(F.median(lead), 2).alias("median_lead_time"),
+                  *median,
                   delay_mean(S.DELAY_FLAG).alias("delay_rate"),
                   rintn(F.avg(S.SCORE), 4).alias("avg_efficiency_score"),
                   margin_pct(F.sum(S.GROSS_PROFIT), F.sum(S.SALES)).alias("profit_margin_pct")))
-    return (agg.withColumn("delay_rate_pct", rintn(F.col("delay_rate") * 100.0, 2))
+    return (complete(agg).withColumn("median_lead_time", rintn("__med", 2)).drop("__med")
+               .withColumn("delay_rate_pct", rintn(F.col("delay_rate") * 100.0, 2))
                .orderBy(F.col("shipments").desc(), F.col(S.FACTORY)))
 
 
 def route_performance(df: DataFrame, route_col: str = S.STATE_ROUTE) -> DataFrame:
     lead = F.col(S.LEAD_TIME)
+    median, complete = group_median(df, {route_col: "route"}, S.LEAD_TIME, "__med")
     agg = (df.filter(F.col(route_col).isNotNull()).groupBy(F.col(route_col).alias("route"))
              .agg(F.count(S.ROW_ID).alias("shipments"),
                   money_total(S.SALES).alias("total_sales"),
                   money_total(S.GROSS_PROFIT).alias("total_profit"),
-                  F.avg(lead).alias("__avg"), F.median(lead).alias("__med"), F.stddev_samp(lead).alias("__std"),
+                  F.avg(lead).alias("__avg"), *median, F.stddev_samp(lead).alias("__std"),
                   F.min(lead).alias("min_lead_time"), F.max(lead).alias("max_lead_time"),
                   delay_mean(S.DELAY_FLAG).alias("delay_rate"),
                   F.avg(S.SCORE).alias("__score")))
     cv = F.coalesce(F.try_divide(F.col("__std"), F.col("__avg")), F.lit(0.0))
-    out = agg.select("route", "shipments", "total_sales", "total_profit",
+    out = complete(agg).select("route", "shipments", "total_sales", "total_profit",
                      rintn("__avg", 2).alias("avg_lead_time"), rintn("__med", 2).alias("median_lead_time"),
                      rintn("__std", 2).alias("std_lead_time"), "min_lead_time", "max_lead_time", "delay_rate",
                      rintn(F.col("delay_rate") * 100.0, 2).alias("delay_rate_pct"),
@@ -90,16 +96,17 @@ def with_mode_order(agg: DataFrame, mode_order: DataFrame) -> DataFrame:
 
 def ship_mode_performance(df: DataFrame, mode_order: DataFrame) -> DataFrame:
     lead = F.col(S.LEAD_TIME)
+    median, complete = group_median(df, [S.SHIP_MODE], S.LEAD_TIME, "median_lead_time")
     agg = (df.filter(F.col(S.SHIP_MODE).isNotNull()).groupBy(S.SHIP_MODE)
              .agg(F.count(S.ROW_ID).alias("shipments"),
                   money_total(S.SALES).alias("total_sales"),
                   money_total(S.GROSS_PROFIT).alias("total_profit"),
                   F.sum(S.UNITS).cast("long").alias("total_units"),
                   rintn(F.avg(lead), 2).alias("avg_lead_time"),
-                  F.median(lead).alias("median_lead_time"),
+                  *median,
                   delay_mean(S.DELAY_FLAG).alias("delay_rate"),
                   money_mean(S.COST).alias("avg_cost")))
-    agg = (agg.withColumn("delay_rate_pct", rintn(F.col("delay_rate") * 100.0, 2))
+    agg = (complete(agg).withColumn("delay_rate_pct", rintn(F.col("delay_rate") * 100.0, 2))
               .withColumn("profit_per_shipment", rintn(F.col("total_profit") / F.col("shipments"), 2)))
     return with_mode_order(agg, mode_order)
 

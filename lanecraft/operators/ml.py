@@ -4,9 +4,10 @@ Features: 4 categoricals label-encoded in alphabetical order (StringIndexer
 ``alphabetAsc``, unseen → extra index) plus 10 numeric columns, assembled
 into one vector.  The train/test split takes the rows whose row-id hash (md5)
 lies below the hash's own 20 % quantile, for the classifier per class
-(stratified): exact proportions, reproducible on any cluster size.  Metrics
-are one aggregate over the predictions (confusion counts / error sums); ROC
-AUC uses the built-in evaluator.
+(stratified): exact proportions, reproducible on any cluster size.  The test
+rows are scored once into a written prediction table (row id, label,
+prediction, score); metrics are plain aggregates over that table: confusion
+counts, error sums and the exact rank-sum ROC AUC.
 """
 
 from __future__ import annotations
@@ -15,15 +16,17 @@ import logging
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from lanecraft import schema as S
 from lanecraft.functions.exprs import rintn
-from lanecraft.functions.quantiles import column_quantiles
+from lanecraft.functions.quantiles import column_quantiles, group_median
+from lanecraft.functions.windows import running_total
+from lanecraft.plans.materialize import materialize
 
 log = logging.getLogger(__name__)
 
@@ -36,6 +39,9 @@ TEST_FRACTION = 0.2
 
 # Model sizes.  Without the xgboost package the third model is the usual fallback: gradient boosting of
 # default depth and rate.
+#: MB a task may use for the histograms of one pass of a forest: with Spark's default (256) a level of deep trees takes
+#: several passes over the rows.  The trees depend on it only through the order in which nodes draw their features.
+FOREST_MB = 1024
 SIZES = {
     "rf": {"trees": 200, "depth": 10},
     "gbt": {"trees": 200, "depth": 5, "rate": 0.05},
@@ -101,7 +107,7 @@ def classifier(algorithm: str, trees: int | None = None, depth: int | None = Non
     if depth:
         p["depth"] = depth
     if algorithm == "rf":
-        return RandomForestClassifier(numTrees=p["trees"], maxDepth=p["depth"], seed=SEED)
+        return RandomForestClassifier(numTrees=p["trees"], maxDepth=p["depth"], seed=SEED, maxMemoryInMB=FOREST_MB)
     return GBTClassifier(maxIter=p["trees"], maxDepth=p["depth"], stepSize=p["rate"], seed=SEED)
 
 
@@ -112,7 +118,7 @@ def regressor(algorithm: str, trees: int | None = None, depth: int | None = None
     if depth:
         p["depth"] = depth
     if algorithm == "rf":
-        return RandomForestRegressor(numTrees=p["trees"], maxDepth=p["depth"], seed=SEED)
+        return RandomForestRegressor(numTrees=p["trees"], maxDepth=p["depth"], seed=SEED, maxMemoryInMB=FOREST_MB)
     return GBTRegressor(maxIter=p["trees"], maxDepth=p["depth"], stepSize=p["rate"], seed=SEED)
 
 
@@ -120,21 +126,41 @@ def fit(df: DataFrame, estimator) -> PipelineModel:
     return Pipeline(stages=_stages(estimator)).fit(df)
 
 
+def predictions(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """The written prediction table of some rows: row_id, label, prediction and, of a classifier, ``score`` (the
+    probability of the positive class)."""
+    scored = model.transform(rows)
+    cols = [S.ROW_ID, "label", "prediction"]
+    if "probability" in scored.columns:
+        return materialize(scored.select(*cols, F.get(vector_to_array("probability"), 1).alias("score")), "predictions")
+    return materialize(scored.select(*cols), "predictions")
+
+
+def roc_auc(pred: DataFrame) -> DataFrame:
+    """One row ``roc_auc``: the share of (positive, negative) pairs that the score ranks rightly, ties counting half.
+
+    From counts per distinct score and a distributed running count of the negatives below it (rank-sum form); null
+    if one class is missing."""
+    by = pred.groupBy("score").agg(F.count_if(F.col("label") == 1.0).alias("pos"), F.count_if(F.col("label") != 1.0).alias("neg"))
+    ranked = running_total(by, [F.col("score").asc()], "neg", "below")
+    right = F.sum(F.col("pos").cast("double") * (F.col("below") - F.col("neg") + F.col("neg") / 2))
+    return ranked.agg(F.try_divide(right, F.sum("pos").cast("double") * F.sum("neg")).alias("roc_auc"))
+
+
 def classification_metrics(pred: DataFrame, algorithm: str) -> DataFrame:
     """accuracy, precision, recall, F1 (positive class, 0 on zero division), ROC AUC; 4 dp."""
     y, p = F.col("label") == 1.0, F.col("prediction") == 1.0
     c = pred.agg(F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"),
                  F.count_if(~y & ~p).alias("tn"), F.count_if(y & ~p).alias("fn"))
-    auc = BinaryClassificationEvaluator(rawPredictionCol="probability", labelCol="label",
-                                        metricName="areaUnderROC").evaluate(pred)
     tp, fp, tn, fn = (F.col(x) for x in ("tp", "fp", "tn", "fn"))
     prec = F.coalesce(F.try_divide(tp, tp + fp), F.lit(0.0))
     rec = F.coalesce(F.try_divide(tp, tp + fn), F.lit(0.0))
     f1 = F.coalesce(F.try_divide(2 * prec * rec, prec + rec), F.lit(0.0))
-    return c.select(F.lit(NAMES.get(algorithm, algorithm)).alias("algorithm"),
-                    rintn(F.try_divide(tp + tn, tp + fp + tn + fn), 4).alias("accuracy"),
-                    rintn(prec, 4).alias("precision"), rintn(rec, 4).alias("recall"), rintn(f1, 4).alias("f1"),
-                    rintn(F.lit(float(auc)), 4).alias("roc_auc"), "tp", "fp", "tn", "fn")
+    return c.crossJoin(roc_auc(pred)).select(
+        F.lit(NAMES.get(algorithm, algorithm)).alias("algorithm"),
+        rintn(F.try_divide(tp + tn, tp + fp + tn + fn), 4).alias("accuracy"),
+        rintn(prec, 4).alias("precision"), rintn(rec, 4).alias("recall"), rintn(f1, 4).alias("f1"),
+        rintn("roc_auc", 4).alias("roc_auc"), "tp", "fp", "tn", "fn")
 
 
 def regression_metrics(pred: DataFrame, algorithm: str) -> DataFrame:
@@ -164,14 +190,14 @@ def train_classifier(df: DataFrame, algorithm: str = "rf", trees: int | None = N
     data = prepare(df, S.DELAY_FLAG)
     train, test = split(data, stratify=True)
     model = _fit_persisted(train, classifier(algorithm, trees, depth))
-    return model, classification_metrics(model.transform(test), algorithm)
+    return model, classification_metrics(predictions(model, test), algorithm)
 
 
 def train_regressor(df: DataFrame, algorithm: str = "rf", trees: int | None = None, depth: int | None = None):
     data = prepare(df, S.LEAD_TIME)
     train, test = split(data, stratify=False)
     model = _fit_persisted(train, regressor(algorithm, trees, depth))
-    return model, regression_metrics(model.transform(test), algorithm)
+    return model, regression_metrics(predictions(model, test), algorithm)
 
 
 METRICS = {"classifier": ["accuracy", "precision", "recall", "f1", "roc_auc", "tp", "fp", "tn", "fn"], "regressor": ["mae", "rmse", "r2", "n"]}
@@ -253,7 +279,6 @@ def scenario_features(scen: DataFrame, coords_dim: DataFrame, default=(35.0, -90
 
 def score_scenarios(clf: PipelineModel, reg: PipelineModel, features: DataFrame) -> DataFrame:
     """Delay probability (flag at ≥ 0.5) and predicted lead for each scenario."""
-    from pyspark.ml.functions import vector_to_array
     p = clf.transform(features).select("scenario_id", F.get(vector_to_array("probability"), 1).alias("delay_probability"))
     r = reg.transform(features).select(F.col("scenario_id").alias("__sid"), F.col("prediction").alias("predicted_lead"))
     return (p.join(r, F.col("scenario_id") == F.col("__sid")).drop("__sid")
@@ -263,8 +288,9 @@ def score_scenarios(clf: PipelineModel, reg: PipelineModel, features: DataFrame)
 def scenario_fallback(scen: DataFrame, df: DataFrame) -> DataFrame:
     """Model-free estimate: median lead of the mode, mean delay of the state
     (0.44 when that mean is 0), cost 35 % of sales, risk band 35 / 60."""
-    med = df.filter(F.col(S.SHIP_MODE).isNotNull()).groupBy(F.col(S.SHIP_MODE).alias("__m")).agg(
-        F.median(S.LEAD_TIME).alias("predicted_lead"))
+    median, complete = group_median(df, {S.SHIP_MODE: "__m"}, S.LEAD_TIME, "predicted_lead")
+    med = complete(df.filter(F.col(S.SHIP_MODE).isNotNull()).groupBy(F.col(S.SHIP_MODE).alias("__m")).agg(
+        F.count(F.lit(1)).alias("__rows"), *median)).drop("__rows")
     st = df.filter(F.col(S.STATE).isNotNull()).groupBy(F.col(S.STATE).alias("__s")).agg(
         F.avg(F.col(S.DELAY_FLAG).cast("int")).alias("__d"))
     j = (scen.join(med, F.col(S.SHIP_MODE) == F.col("__m"), "left")

@@ -8,18 +8,20 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from lanecraft import schema as S
 from lanecraft.functions.exprs import delay_mean, margin_pct, money_mean, rintn
+from lanecraft.functions.quantiles import group_median, group_quantiles, whole
 from lanecraft.operators.kpi import with_mode_order
 from lanecraft.plans.materialize import join_back
 
 
 def mode_summary(df: DataFrame, mode_order: DataFrame) -> DataFrame:
     lead = F.col(S.LEAD_TIME)
+    median, complete = group_median(df, [S.SHIP_MODE], S.LEAD_TIME, "__med")
     agg = (df.filter(F.col(S.SHIP_MODE).isNotNull()).groupBy(S.SHIP_MODE)
              .agg(F.count(S.ROW_ID).alias("shipments"),
                   F.sum(S.SALES).alias("__sales"), F.sum(S.GROSS_PROFIT).alias("__profit"),
                   F.sum(S.UNITS).cast("long").alias("total_units"),
                   rintn(F.avg(lead), 2).alias("avg_lead_time"),
-                  rintn(F.median(lead), 2).alias("median_lead_time"),
+                  *median,
                   rintn(F.stddev_samp(lead), 2).alias("std_lead_time"),
                   F.min(lead).alias("min_lead_time"), F.max(lead).alias("max_lead_time"),
                   delay_mean(S.DELAY_FLAG).alias("delay_rate"),
@@ -27,7 +29,8 @@ def mode_summary(df: DataFrame, mode_order: DataFrame) -> DataFrame:
                   F.round(F.sum(S.COST), 2).cast("double").alias("total_cost")))
     # shares: window over the aggregated (one row per mode) table
     w = Window.partitionBy()
-    out = (agg.withColumn("total_sales", F.col("__sales").cast("double"))
+    out = (complete(agg).withColumn("median_lead_time", rintn("__med", 2))
+              .withColumn("total_sales", F.col("__sales").cast("double"))
               .withColumn("total_profit", F.col("__profit").cast("double"))
               .withColumn("delay_rate_pct", rintn(F.col("delay_rate") * 100.0, 2))
               .withColumn("profit_per_shipment", rintn(F.col("total_profit") / F.col("shipments"), 2))
@@ -37,7 +40,7 @@ def mode_summary(df: DataFrame, mode_order: DataFrame) -> DataFrame:
                           rintn(F.col("shipments") / F.sum("shipments").over(w) * 100.0, 2))
               .withColumn("sales_share_pct",
                           rintn(F.col("total_sales") / F.sum("__sales").over(w).cast("double") * 100.0, 2))
-              .drop("__sales", "__profit"))
+              .drop("__sales", "__profit", "__med"))
     return with_mode_order(out, mode_order)
 
 
@@ -48,14 +51,20 @@ def lead_distribution(df: DataFrame) -> DataFrame:
 def box_stats(df: DataFrame, group_col: str = S.SHIP_MODE, value_col: str = S.LEAD_TIME) -> DataFrame:
     """Quartiles (linear), 1.5·IQR whiskers clamped to the data, outlier count.
 
-    Quartiles are one aggregate per group; the fences are joined back (small,
-    size-checked) to find whisker ends and count outliers in a second pass."""
+    Quartiles of whole numbers are one aggregate per group, those of fractional
+    values are found by a distributed running count; the fences are joined back
+    (small, size-checked) to find whisker ends and count outliers in a second
+    pass.  NaN is missing, like null."""
     d = df.filter(F.col(group_col).isNotNull() & F.col(value_col).isNotNull())
-    q = (d.groupBy(group_col)
-          .agg(F.percentile(value_col, [0.25, 0.5, 0.75]).alias("__q"), F.count(value_col).alias("n"))
-          .select(group_col, "n", F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"),
-                  F.col("__q")[2].alias("q3"))
-          .withColumn("iqr", F.col("q3") - F.col("q1"))
+    if whole(df, value_col):
+        q = (d.groupBy(group_col)
+              .agg(F.percentile(value_col, [0.25, 0.5, 0.75]).alias("__q"), F.count(value_col).alias("n"))
+              .select(group_col, "n", F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"), F.col("__q")[2].alias("q3")))
+    else:
+        d = d.filter(~F.isnan(F.col(value_col).cast("double")))
+        q = group_quantiles(d, [group_col], value_col, {"q1": 0.25, "median": 0.5, "q3": 0.75}).join(
+            d.groupBy(group_col).agg(F.count(value_col).alias("n")), group_col)
+    q = (q.withColumn("iqr", F.col("q3") - F.col("q1"))
           .withColumn("lower_fence", F.col("q1") - 1.5 * F.col("iqr"))
           .withColumn("upper_fence", F.col("q3") + 1.5 * F.col("iqr")))
     fences = q.select(F.col(group_col).alias("__g"), "lower_fence", "upper_fence")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from lanecraft import schema as S
 from lanecraft.functions.exprs import band, money_sum, rintn
+from lanecraft.functions.quantiles import group_median
 
 
 def _route_cols(level: str):
@@ -29,6 +30,7 @@ def route_summary(df: DataFrame, level: str = "state") -> DataFrame:
     keys = [F.col(route_col), F.col(S.FACTORY), F.col(dest)]
     d = df.filter(keys[0].isNotNull() & keys[1].isNotNull() & keys[2].isNotNull())
     lead = F.col(S.LEAD_TIME)
+    median, complete = group_median(d, {route_col: "route", S.FACTORY: "factory", dest: "destination"}, S.LEAD_TIME, "__med")
     agg = (d.groupBy(F.col(route_col).alias("route"), F.col(S.FACTORY).alias("factory"),
                      F.col(dest).alias("destination"))
              .agg(F.count(S.ROW_ID).alias("shipments"),
@@ -36,14 +38,14 @@ def route_summary(df: DataFrame, level: str = "state") -> DataFrame:
                   money_sum(S.GROSS_PROFIT).alias("total_profit"),
                   F.sum(S.UNITS).alias("total_units"),
                   F.avg(lead).alias("__avg"),
-                  F.median(lead).alias("__med"),
+                  *median,
                   F.stddev_samp(lead).alias("__std"),
                   F.min(lead).alias("min_lead_time"),
                   F.max(lead).alias("max_lead_time"),
                   F.avg(F.col(S.DELAY_FLAG).cast("int")).alias("delay_rate"),
                   F.avg(S.SCORE).alias("__score")))
     cv = F.coalesce(F.try_divide(F.col("__std"), F.col("__avg")), F.lit(0.0))
-    out = agg.select(
+    out = complete(agg).select(
         "route", "factory", "destination", "shipments", "total_sales", "total_profit", "total_units",
         rintn("__avg", 2).alias("avg_lead_time"), rintn("__med", 2).alias("median_lead_time"),
         rintn("__std", 2).alias("std_lead_time"), "min_lead_time", "max_lead_time", "delay_rate",

@@ -12,7 +12,7 @@ def _stream(s, d):
     root = shared_path(s, "audit-stream")
     q = AS.start(s, d.rstrip("/"), f"{root}/table", f"{root}/_checkpoint", file_glob="events*.parquet")
     q.awaitTermination()
-    return (AS.read_table(s, f"{root}/table").groupBy("log_date", "status")
+    return (AS.read_table(s, f"{root}/table").groupBy(F.to_date("ts").alias("log_date"), "status")
               .agg(F.count(F.lit(1)).alias("rows")))
 
 

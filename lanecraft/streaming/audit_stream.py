@@ -6,11 +6,11 @@ schema), maps them to audit rows with the same projection as
 :func:`lanecraft.operators.governance.audit_log`, and appends each
 micro-batch to the date-partitioned audit table.
 
-Exactly-once on retries: every micro-batch is written under its own
-``batch_id`` folder with ``overwrite`` mode (a re-run of the same batch
-replaces its own output), and progress lives in the checkpoint location
-under the shared checkpoint folder, so a restarted or executor-lost job
-resumes where it stopped.
+Exactly-once on retries: a micro-batch is one entry of the table's commit log
+that carries its batch id (a re-run of the same batch finds itself in and
+adds nothing), and progress lives in the checkpoint location under the shared
+checkpoint folder, so a restarted or executor-lost job resumes where it
+stopped.  Every ``compact_every`` pieces the small ones are folded.
 """
 
 from __future__ import annotations
@@ -18,20 +18,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lanecraft.operators import governance as G
+from lanecraft.streaming.audit_table import AuditTable
 
 EVENTS_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def start(spark: SparkSession, source_dir: str, table_path: str, checkpoint: str, available_now: bool = True,
-          max_files_per_trigger: int = 1000, file_glob: str = "*.parquet"):
+          max_files_per_trigger: int = 1000, file_glob: str = "*.parquet", compact_every: int = 100):
     """Start the ingest over the files of ``source_dir`` matching ``file_glob``; returns the StreamingQuery."""
     events = (spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
                    .option("pathGlobFilter", file_glob).parquet(source_dir))
     rows = G.audit_log(events)
+    table = AuditTable(spark, table_path)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("log_date", batch["ts"].cast("date"))
-              .write.mode("overwrite").partitionBy("log_date").parquet(f"{table_path}/batch={batch_id}"))
+        table.add(batch, batch_id)
+        if len(table.pieces()) >= compact_every:
+            table.compact()
 
     w = rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
@@ -39,4 +42,4 @@ def start(spark: SparkSession, source_dir: str, table_path: str, checkpoint: str
 
 
 def read_table(spark: SparkSession, table_path: str) -> DataFrame:
-    return spark.read.option("basePath", table_path).parquet(f"{table_path}/batch=*")
+    return AuditTable(spark, table_path).rows()
