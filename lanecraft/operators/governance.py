@@ -114,9 +114,13 @@ def key_listing(keys: DataFrame, owners: DataFrame, now: dt.datetime) -> DataFra
              .orderBy("key_id"))
 
 
-def table_counts(tables: dict[str, DataFrame], tok: DataFrame) -> DataFrame:
-    """Row count per table plus active / used token counts (one row each)."""
-    parts = [df.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows")) for name, df in tables.items()]
+def table_counts(tables: dict[str, DataFrame | int], tok: DataFrame) -> DataFrame:
+    """Row count per table plus active / used token counts (one row each).
+
+    A table may come as its number of rows, if that is known already (see ``files.footer_stats``)."""
+    one = tok.sparkSession.range(1)
+    parts = [one.select(F.lit(name).alias("table"), F.lit(t).cast("long").alias("rows")) if isinstance(t, int)
+             else t.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows")) for name, t in tables.items()]
     parts.append(tok.agg(F.lit("active_tokens").alias("table"), F.count_if(F.col("status") == "ACTIVE").alias("rows")))
     parts.append(tok.agg(F.lit("used_tokens").alias("table"), F.count_if(F.col("status") == "USED").alias("rows")))
     out = parts[0]

@@ -220,3 +220,17 @@ def test_retention_keeps_the_newest(spark, sf):
     assert table.rows().count() == 200 and table.latest(200).collect() == G.latest(rows, 200).collect()
     with pytest.raises(FileNotFoundError):
         AuditTable(spark, shared_path(spark, "test-audit")).rows()
+
+
+# ── footers ──────────────────────────────────────────────────────────────────
+
+def test_counts_and_bounds_come_from_footers(spark, sf):
+    from lanecraft.sources.files import footer_stats
+
+    plans = []
+    got = footer_stats(spark, f"{sf}/lineitem.parquet", ("l_orderkey", "l_quantity"), plans)
+    df = spark.read.parquet(f"{sf}/lineitem.parquet")
+    want = df.agg(F.count("*"), F.min("l_orderkey"), F.max("l_orderkey"), F.min("l_quantity"), F.max("l_quantity")).first()
+    assert tuple(got.values()) == tuple(want)
+    assert "PushedAggregation: [COUNT(*)" in plans[0]
+    assert "parquet" in spark.conf.get("spark.sql.sources.useV1SourceList")
