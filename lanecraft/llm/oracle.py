@@ -83,3 +83,50 @@ root AS (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x)
 SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.x = e.vec_id) AS n_links, root.component_id, e.vec_id = root.component_id AS kept
 FROM embeddings e JOIN root ON root.vec_id = e.vec_id
 """
+
+
+def _manifest_sql(levels: int = 9, top: int = 4) -> str:
+    """Trees of up to 8 ** levels rows a language and 8 ** top languages, level by level; a tree of one node keeps it.
+
+    ``n{k}``: nodes of level k; ``r{k}``: their runs, each the list of its digests; ``p{k}``: per leaf its place, the
+    siblings so far and the digest folded so far."""
+    field = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    # CRC-32 of the decimal id: its table, then a fold over the bytes
+    table = "list_transform(range(256), lambda i: list_reduce(list_concat([i::UBIGINT], list_transform(range(8), lambda z: 0::UBIGINT)), " \
+        "lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END))"
+    crc = "xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::UBIGINT)), " \
+        "lambda c, b: xor(c >> 8, t[((xor(c, b) & 255) + 1)::BIGINT])), 4294967295::UBIGINT)"
+    ctes = [f"crc AS (SELECT {table} AS t)",
+            "langs AS (SELECT own, row_number() OVER (ORDER BY encode(own) NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT lang AS own FROM documents))",
+            f"""leaves AS (SELECT l.tree, doc_id, {leaf('text')} AS leaf,
+  CASE WHEN coalesce({crc} % 3 = 0, false) THEN {leaf(lower)} ELSE {leaf('text')} END AS now
+FROM documents d JOIN langs l ON l.own IS NOT DISTINCT FROM d.lang, crc)""",
+            "n0 AS (SELECT tree, doc_id, leaf, now, leaf AS digest, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM leaves)",
+            "p0 AS (SELECT tree, doc_id, leaf, now, idx, '' AS proof FROM n0)"]
+
+    def level(k: int, tree: str, nodes: str, path: str) -> None:
+        ctes.append(f"r{k} AS (SELECT {tree} AS tree, idx // 8 AS idx, list(digest ORDER BY idx) AS run, any_value(n) AS n FROM "
+                    f"(SELECT *, count(*) OVER (PARTITION BY {tree}) AS n FROM {nodes}) GROUP BY 1, 2)")
+        ctes.append(f"n{k} AS (SELECT tree, idx, CASE WHEN n = 1 THEN run[1] ELSE sha256(array_to_string(run, '')) END AS digest FROM r{k})")
+        own = "list_transform(run, lambda x, i: CASE WHEN i - 1 = p.idx % 8 THEN now ELSE x END)"
+        ctes.append(f"""p{k} AS (SELECT p.tree, p.doc_id, p.leaf, p.idx // 8 AS idx, {', p.subroot' if 'subroot' in path else 'NULL AS subroot'}
+  , CASE WHEN n = 1 THEN now ELSE sha256(array_to_string({own}, '')) END AS now
+  , proof || array_to_string(list_filter(run, lambda x, i: i - 1 <> p.idx % 8), '') AS proof
+FROM {path.split()[0]} p JOIN r{k} r ON r.tree = {'-1' if 'subroot' in path else 'p.tree'} AND r.idx = p.idx // 8)""".replace("idx, , p.subroot", "idx, p.subroot"))
+
+    for k in range(1, levels + 1):
+        level(k, "tree", f"n{k - 1}", f"p{k - 1}")
+    ctes.append(f"top AS (SELECT -1 AS tree, tree AS idx, digest FROM n{levels})")
+    ctes.append(f"ptop AS (SELECT p.tree, p.doc_id, p.leaf, p.tree AS idx, n.digest AS subroot, now, proof FROM p{levels} p JOIN n{levels} n USING (tree))")
+    for k in range(levels + 1, levels + top + 1):
+        first = k == levels + 1
+        level(k, "tree", "top" if first else f"n{k - 1}", ("ptop" if first else f"p{k - 1}") + " subroot")
+    last = levels + top
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT p.doc_id, p.leaf, p.subroot, n.digest AS root, sha256(p.proof) AS proof_sha256, p.now AS folded_root, p.now = n.digest AS verified
+FROM p{last} p, n{last} n"""
+
+
+SQL["op13_merkle_manifest"] = _manifest_sql()
