@@ -183,19 +183,22 @@ def test_forest_edge_rows(spark):
 
 # ── top-k ────────────────────────────────────────────────────────────────────
 
+def floor64(x):
+    return int(x) * 64 if abs(x) >= 2.0**53 else int(np.floor(64 * float(x)))
+
+
 def brute_top(rows, k=20, every=20):
-    vecs = [(i, np.floor(64 * np.array(v, np.float64)).astype(np.int64)) for i, v, _ in rows
-            if i is not None and v is not None and all(x is not None and np.isfinite(x) and abs(64 * x) < 2**24 for x in v)]
+    vecs = [(i, [floor64(x) for x in v]) for i, v, _ in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
     for a, (q, x) in enumerate(vecs):
-        if q % every == 0:
+        if q is not None and q % every == 0:
             found = []
             for b, (i, y) in enumerate(vecs):
                 if a != b:
-                    n = min(len(x), len(y))
-                    found.append((-int((x[:n] * y[:n]).sum()), i))
-            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(found)[:k])]
-    return sorted(out)
+                    score = sum(s * t for s, t in zip(x, y))
+                    found.append((-max(-2**63, min(2**63 - 1, score)), i is None, i or 0, i))
+            out += [(q, r + 1, i, -s) for r, (s, _, _, i) in enumerate(sorted(found, key=lambda f: f[:3])[:k])]
+    return sorted(out, key=lambda r: (r[0], r[1]))
 
 
 def test_top_k_with_ties_and_small_blocks(spark, monkeypatch):
@@ -206,18 +209,38 @@ def test_top_k_with_ties_and_small_blocks(spark, monkeypatch):
     rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
     df = spark.createDataFrame(rows, VECS).repartition(3)
     got = topk.top_k(df, F.col("vec_id") % 20 == 0)
-    assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == brute_top(rows)
+    assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect()), key=lambda r: r[:2]) == brute_top(rows)
 
 
 def test_top_k_edge_rows(spark):
     prepare(spark)
     df = spark.createDataFrame(ODD_VECS, VECS).selectExpr("*", "1 as id", "2 as rank", "3 as score", "4 as block")
-    got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 20 == 0).select("query_id", "rank", "vec_id", "score").collect()))
+    got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 20 == 0).select("query_id", "rank", "vec_id", "score").collect()), key=lambda r: r[:2])
     assert got == brute_top(ODD_VECS)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert topk.top_k(df.where("vec_id = 0"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_of_components_of_any_size(spark, monkeypatch):
+    """Components around and beyond 2^24 quantised, scores around 2^63, and the largest doubles; ids may be null."""
+    prepare(spark)
+    monkeypatch.setattr(topk, "BLOCK", 20)
+    rng = np.random.default_rng(11)
+    sizes = [1e-9, 0.3, 2.0**18, 2.0**18 + 1 / 64, 300_000.5, 2.0**28, 1e9, 5e15, 1e17]
+    rows = [(None if i % 17 == 3 else i, [float(rng.choice([-1, 0, 1]) * rng.choice(sizes) * (1 + rng.random() * (i % 3))) for _ in range(6)], 0) for i in range(120)]
+    rows += [(200, [1.7e308, 0.0], 0), (220, [0.0, 1.0, 1.7e308], 0), (221, [0.0, 3.0], 0), (222, [1.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    got = topk.top_k(df, F.col("vec_id") % 20 == 0).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got), key=lambda r: r[:2]) == brute_top(rows)
+
+
+def test_top_k_streams_blocks_without_sorting_them(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0], 0) for i in range(50)], VECS)
+    plan = topk.top_k(df, F.col("vec_id") % 20 == 0)._jdf.queryExecution().sparkPlan().toString()
+    above = plan[:plan.index("SortMergeJoin")]
+    assert "Sort [" not in above.split("MapInArrow")[-1]
+
+
 # ── repeated passages ────────────────────────────────────────────────────────
 
 def passages(rng):
@@ -294,3 +317,16 @@ def test_forest_recall_with_blind_splits():
         y = 0.9 * x + np.sqrt(1 - 0.81) * z / np.linalg.norm(z, axis=1)[:, None]
         a, b = (set(zip(*(v.tolist() for v in forest.leaves(m)))) for m in (x, y))
         assert len({row for row, _ in a & b}) >= 0.985 * 3000, (sample, total, forest.count)
+
+
+def test_texts_without_ids_are_told_apart(spark):
+    """Two texts whose 32-bit digests are equal, one of which repeats elsewhere: the other loses nothing."""
+    prepare(spark)
+    text = F.concat(F.lit("x"), F.md5(F.col("id").cast("string")), F.sha2(F.col("id").cast("string"), 512), F.sha2((-F.col("id")).cast("string"), 512))
+    many = spark.range(400_000).select(text.alias("text"), F.hash(text).alias("h"))
+    a, b = many.groupBy("h").agg(F.collect_list("text").alias("t"), F.count("*").alias("n")).where("n > 1").first()["t"][:2]
+    df = frame(spark, [])
+    df = spark.createDataFrame([(None, a), (None, b), (7, "before " + a + " after")], df.select("doc_id", "text").schema)
+    got = {(r.doc_id, r.n_bytes): r.n_removed for r in suffix_dedup.remove_repeats(df.withColumn("i", F.lit(1)), keep="none").where("doc_id is null").collect()}
+    texts = sorted((r.text, r.n_removed) for r in suffix_dedup.remove_repeats(df, keep="none").where("doc_id is null").collect())
+    assert texts == sorted([("", len(a)), (b, 0)]) and len(got) >= 1
