@@ -13,7 +13,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lanecraft.session import ensure_checkpoint_dir
 
@@ -50,6 +50,11 @@ def prepare(spark: SparkSession) -> None:
     sc._lanecraft_sent = True
 
 
+def column(name: str) -> Column:
+    """A top-level column by its exact name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -25,12 +25,14 @@ from collections import deque
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from lanecraft.llm.common import stage
+from lanecraft.llm.common import column, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 TAKE_SHARE = 1.5
 MAX_REPEATS = 2
+#: Text of a plan (patterns, cuts, long documents) that is broadcast at most.
+PLAN_BYTES = 8 << 20
 SEED = 20_240_607
 LONG = 1024
 CELLS = 4096
@@ -138,8 +140,10 @@ def choose_long(units: list[tuple], goal: int, rest: int) -> list[tuple]:
 
 
 def _table(rows: list[dict], schema: str, spark) -> DataFrame:
-    """A few rows, built by the JVM: no Python workers."""
-    return F.broadcast(spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>"))))
+    """Rows of a plan, built by the JVM: no Python workers.  Broadcast up to ``PLAN_BYTES`` of text, else written."""
+    text = json.dumps(rows)
+    made = spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{schema}>>")))
+    return F.broadcast(made) if len(text) <= PLAN_BYTES else stage(made, "plan")
 
 
 def _cells(rows: DataFrame, goal: DataFrame, cell: str) -> dict:
@@ -207,9 +211,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     rows = stage(measured(F.col(id_col).alias("id")), "sizes")
     spark = docs.sparkSession
-    supply = {tuple(json.loads(r["pattern"])): r["n"] for r in rows.groupBy("pattern").agg(F.sum("size").alias("n")).collect()}
+    # patterns are named by Spark's own text of them, whatever way it writes control characters
+    supply, name_of = {}, {}
+    for r in rows.groupBy("pattern").agg(F.sum("size").alias("n")).collect():
+        own = tuple(json.loads(r["pattern"]))
+        supply[own], name_of[own] = r["n"], r["pattern"]
     # whole rows are measured again: cheaper than keeping their texts on disk
-    every = measured(F.col(id_col).alias("id"), F.struct(*docs.columns).alias("row")) if whole else rows
+    every = measured(F.col(id_col).alias("id"), F.struct(*map(column, docs.columns)).alias("row")) if whole else rows
     row = ["row"] if whole else []
     if not supply:
         return every.select(F.col("id").alias(id_col), "size", F.lit(0).alias("copies"), F.lit(None).cast(MEMBERSHIP).alias("sources"), *row)
@@ -221,15 +229,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     flow = min_cost_flow(supply, {s: round(t) for s, t in goals.items()}, repeats)
     taken = {p: sum(n for (q, _), n in flow.items() if q == p) for p in supply}
     base = {p: taken[p] // n if n else 0 for p, n in supply.items()}
-    plan = {_key(p): {"pattern": _key(p), "base": base[p], "missing": taken[p] - base[p] * n, "long_from": n // LONG + 1, "behind": None, "cuts": [], "long": [],
+    plan = {name_of[p]: {"pattern": name_of[p], "base": base[p], "missing": taken[p] - base[p] * n, "long_from": n // LONG + 1, "behind": None, "cuts": [], "long": [],
                       "sources": [{"source": s, "source_size": sizes[s], "target": goals[s], "quota": flow[p, s]} for s in p]} for p, n in supply.items()}
     edge = _table([{"pattern": k, "long": p["long_from"]} for k, p in plan.items()], "pattern:string,long:bigint", spark)
     long: dict[str, list] = {k: [] for k in plan}
     for r in rows.join(edge, "pattern").where("size >= long").groupBy("pattern", "h", "t", "size").agg(F.sum("size").alias("words")).collect():
         long[r["pattern"]].append((r["h"], r["t"], r["size"], r["words"]))
     for p, n in supply.items():
-        own = plan[_key(p)]
-        picked = choose_long(long[_key(p)], own["missing"], n - sum(u[3] for u in long[_key(p)]))
+        own = plan[name_of[p]]
+        picked = choose_long(long[name_of[p]], own["missing"], n - sum(u[3] for u in long[name_of[p]]))
         own["long"] = [{"h": u[0], "t": u[1], "size": u[2]} for u in picked]
         own["missing"] -= sum(u[3] for u in picked)
     cells = rows.withColumn("c1", F.shiftright("h", 51).cast("int")).withColumn("c2", F.shiftright("h", 39).bitwiseAND(CELLS - 1).cast("int"))
@@ -242,10 +250,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.col("id").alias(id_col), "size", F.when(F.col("size") > 0, copies).otherwise(0).alias("copies"), "sources", *row)
 
 
-def _key(pattern: tuple) -> str:
-    return json.dumps(pattern, ensure_ascii=False, separators=(",", ":"))
-
-
 def _taken() -> Column:
     """Taken for the remainder: a long document that was chosen, or one in a stretch of hash order that fits there."""
     key = F.struct("h", "t", "size")
