@@ -32,9 +32,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from lanecraft.llm.common import BROADCAST_BYTES, GROUP_BYTES, grouped, partitions, side_bytes, sized, stage, text_bytes
+from lanecraft.llm.common import BROADCAST_BYTES, GROUP_BYTES, column, grouped, partitions, side_bytes, sized, stage, text_bytes
 from lanecraft.llm.shingles import mix64
 
 LENGTH = 200
@@ -171,7 +171,7 @@ def _anchor_rows(docs: DataFrame, kind: str, length: int) -> DataFrame:
                     names=["doc", "th", "start", "count", "key", "c"])
 
     return docs.select("doc", "th", "text").mapInArrow(
-        run, f"doc {kind}, th int, start int, count int, key bigint, c bigint")
+        run, f"doc {kind}, th binary, start int, count int, key bigint, c bigint")
 
 
 _WANT = np.dtype([("key", "<i8"), ("start", "<i4"), ("count", "<i4")])
@@ -189,7 +189,7 @@ def _per_document(rows: DataFrame, kind: str, columns: list[str], pack) -> DataF
             data = [pack(*(f[lo:hi] for f in fields)) for lo, hi in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], names=["doc", "th", "data"])
 
-    return stage(listed.mapInArrow(run, f"doc {kind}, th int, data binary"), "lists")
+    return stage(listed.mapInArrow(run, f"doc {kind}, th binary, data binary"), "lists")
 
 
 def _pack_wants(key, start, count) -> bytes:
@@ -216,8 +216,7 @@ def _meet(docs: DataFrame, lists: DataFrame, how: str, limit: int) -> DataFrame:
             small = [press.compress(raw[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(small, pa.binary()), *batch.columns[1:]], names=["text", *[f.name for f in fields]])
 
-    small = docs.select("text", *[f.name for f in fields]).mapInArrow(
-        squeeze, "text binary, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields))
+    small = docs.select("text", *[f.name for f in fields]).mapInArrow(squeeze, T.StructType([T.StructField("text", T.BinaryType()), *fields]))
     same = small["doc"].eqNullSafe(lists["doc"]) & (small["th"] == lists["th"])
     return small.join(lists, same, how).select(*[small[c] for c in docs.columns], "data")
 
@@ -250,7 +249,7 @@ def _fetch(docs: DataFrame, wanted: DataFrame, kind: str, length: int, limit: in
 
     lists = _per_document(wanted, kind, ["key", "start", "count"], _pack_wants)
     return _meet(docs.select("doc", "th", "text"), lists, "inner", limit).mapInArrow(
-        run, f"doc {kind}, th int, start int, count int, key bigint, data binary")
+        run, f"doc {kind}, th binary, start int, count int, key bigint, data binary")
 
 
 def _sort_suffixes(found: DataFrame, kind: str, length: int, keep: str) -> DataFrame:
@@ -297,7 +296,7 @@ def _sort_suffixes(found: DataFrame, kind: str, length: int, keep: str) -> DataF
 
     n = partitions(found.sparkSession)
     return found.repartition(n, "key").sortWithinPartitions("key", "doc", "th", "start") \
-        .mapInArrow(run, f"doc {kind}, th int, start int, end int")
+        .mapInArrow(run, f"doc {kind}, th binary, start int, end int")
 
 
 def _count_windows(found: DataFrame, kind: str, length: int, keep: str) -> DataFrame:
@@ -314,7 +313,7 @@ def _count_windows(found: DataFrame, kind: str, length: int, keep: str) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(start, pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1])],
                                              names=["doc", "th", "start", "d1", "d2"])
 
-    windows = found.select("doc", "th", "start", "count", "data").mapInArrow(run, f"doc {kind}, th int, start int, d1 bigint, d2 bigint")
+    windows = found.select("doc", "th", "start", "count", "data").mapInArrow(run, f"doc {kind}, th binary, start int, d1 bigint, d2 bigint")
     first = F.min(F.struct("doc", "th", "start")).alias("first")
     many = windows.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), first).where("n > 1")
     hit = windows.join(many, ["d1", "d2"])
@@ -355,6 +354,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "first", h
     return _per_document(whole.unionByName(copies).unionByName(inner), kind, ["start", "end"], _pack_spans)
 
 
+def text_digest(doc: Column, text: Column) -> Column:
+    """Tells the texts of one id apart: 64 bits, 128 among the rows without an id (they are all one id)."""
+    return F.when(doc.isNull(), F.unhex(F.md5(text))).otherwise(F.unhex(F.hex(F.xxhash64(text))))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep: str = "first",
                    hot: int = HOT_CONTEXTS, with_text: bool = True, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Every row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256 and, if ``with_text``, the kept
@@ -362,8 +366,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``row``."""
     other = [c for c in docs.columns if c not in (id_col, text_col)]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    known = docs.select(F.col(id_col).alias("doc"), F.hash(text).alias("th"), text.alias("text"),
-                        F.struct(F.lit(0).alias("_"), *[F.col(c) for c in (other if with_text else [])]).alias("row"))
+    known = docs.select(F.col(id_col).alias("doc"), text_digest(F.col(id_col), text).alias("th"), text.alias("text"),
+                        F.struct(F.lit(0).alias("_"), *[column(c) for c in (other if with_text else [])]).alias("row"))
     kind = known.schema["doc"].dataType.simpleString()
     cut = repeated_spans(known.select("doc", "th", "text"), length, keep, hot, limit)
     rows = _meet(known, cut, "left", limit).select("doc", "text", "row", "data")
@@ -389,5 +393,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                  pa.array(sha, pa.string()), pa.array(kept, pa.string()), batch.column(2)],
                 names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "row"])
 
-    out = rows.mapInArrow(run, f"doc {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, text string, row {known.schema['row'].dataType.simpleString()}")
+    fields = T.StructType([known.schema["doc"], *[T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")],
+                           *[T.StructField(n, T.StringType()) for n in ("kept_sha256", "text")], T.StructField("row", known.schema["row"].dataType)])
+    out = rows.mapInArrow(run, fields)
     return out.select(F.col("doc").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["text", "row"] if with_text else []))
