@@ -61,12 +61,16 @@ def count_tokens(text: str, model, inner: frozenset[str], chunk: int = CHUNK_CHA
     total, start = 0, 0  # `start` is 0 or a stable boundary
     while start < len(text):
         end, wide = start + chunk, overlap
-        cut = None
+        cut, low = None, end  # no boundary from `low` to `end`; every place is looked at once
         while end < len(text) and cut is None:
-            cut = boundary(text, max(start + 1, end - wide), end, inner)
-            if cut is None and end - wide <= start:  # nothing in the whole chunk: a longer chunk
-                end = min(len(text), end + chunk)
-            wide *= 2
+            if low > start + 1:
+                lo = max(start + 1, low - wide)
+                cut = boundary(text, lo, low, inner)
+                low, wide = lo, wide * 2
+            else:  # nothing in the whole chunk: a longer chunk
+                further = min(len(text), end + chunk)
+                cut = boundary(text, end, further, inner) if further < len(text) else None
+                end = further
         stop = len(text) if cut is None else cut
         # the chunk runs past the splice point, into the next chunk, and starts before its own
         lead = max(0, start - overlap) if start else 0
