@@ -22,9 +22,9 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from lanecraft.llm.common import grouped, text_bytes
+from lanecraft.llm.common import column, grouped, text_bytes
 
 ROWS_PER_LANG = 96
 REF_BYTES = 16_384
@@ -138,15 +138,18 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         rows_per_lang: int = ROWS_PER_LANG, ref_bytes: int = REF_BYTES) -> tuple[tuple[str, bytes], ...]:
     """Reference texts from a bounded sample: per language the ``rows_per_lang`` rows of least id hash, each
     giving an equal share of ``ref_bytes`` normalised bytes (short rows leave their rest to the others)."""
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")) \
+    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("th")) \
         .where("id is not null and text is not null and lang is not null")
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = [r["id"] for r in rows.select("id", "lang").withColumn("k", F.row_number().over(w))
-           .where(F.col("k") <= rows_per_lang).select("id").distinct().collect()]
-    if not ids:
+    w = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "th")
+    keys = {(r["lang"], r["id"], r["th"]) for r in rows.select("id", "lang", "th").withColumn("k", F.row_number().over(w))
+            .where(F.col("k") <= rows_per_lang).select("lang", "id", "th").distinct().collect()}
+    if not keys:
         return ()
     picked: dict[str, list[bytes]] = {}
-    for r in sorted(set(map(tuple, rows.where(F.col("id").isin(ids)).collect()))):
+    # of a sampled row no more comes to the driver than the longest share it can give (normalising never makes four of one)
+    sampled = rows.where(F.col("id").isin([k[1] for k in keys]) & F.col("th").isin([k[2] for k in keys]))
+    cut = sampled.groupBy("lang", "id", "th").agg(F.min(F.substring("text", 1, 4 * ref_bytes)).alias("text"))
+    for r in sorted({(r["id"], r["text"], r["lang"]) for r in cut.collect() if (r["lang"], r["id"], r["th"]) in keys}):
         sym, _ = normalise(pa.array([r[1]], pa.string()))
         if (sym != 0).any():
             picked.setdefault(r[2], []).append(sym.tobytes())
@@ -164,7 +167,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 def predict(docs: DataFrame, refs: tuple[tuple[str, bytes], ...], id_cols: list[str], text_col: str = "text") -> DataFrame:
     """``id_cols`` + lang_pred, score, bits (entropy under the winner), one row per row of ``docs``."""
-    rows = docs.select(F.struct(*[F.col(c) for c in id_cols]).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.struct(*[column(c) for c in id_cols]).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches):
         parser = _parser(refs) if refs else None
@@ -189,5 +192,6 @@ def predict(docs: DataFrame, refs: tuple[tuple[str, bytes], ...], id_cols: list[
                 [batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(bits, from_pandas=True)],
                 names=["id", "lang_pred", "score", "bits"])
 
-    out = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double, bits double")
-    return out.select(*[F.col(f"id.{c}").alias(c) for c in id_cols], "lang_pred", "score", "bits")
+    out = rows.mapInArrow(run, T.StructType([rows.schema["id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
+                                             T.StructField("bits", T.DoubleType())]))
+    return out.select(*[F.col("id").getField(c).alias(c) for c in id_cols], "lang_pred", "score", "bits")

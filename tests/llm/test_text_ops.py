@@ -1,6 +1,7 @@
 """Language ID, token counts, packing: against the libraries themselves and held-out labels."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -198,3 +199,27 @@ def test_grouping_batches_keeps_rows():
     for target in (1, 10, 100, 1000):
         got = [r for b in grouped([batch.slice(0, 3), batch.slice(3)], "text", target) for r in b.to_pylist()]
         assert got == batch.to_pylist()
+
+
+def test_a_text_without_boundaries_is_counted_in_linear_time():
+    model, inner = token_count._model(Q.tokenizer("piece_bpe_32k.model"))
+    times = []
+    for n in (100_000, 400_000):
+        text, began = "=" * n, time.time()
+        assert token_count.count_tokens(text, model, inner) == len(model.encode(text))
+        times.append(time.time() - began)
+    assert times[1] < 12 * times[0] + 2
+    mixed = "=" * 90_000 + " word é" * 3000 + "=" * 50_000
+    assert token_count.count_tokens(mixed, model, inner) == len(model.encode(mixed))
+
+
+def test_language_samples_rows_and_not_ids(spark):
+    """One id on many rows, and a text of 4 MB: the reference stays bounded and every row counts for itself."""
+    prepare(spark)
+    rows = [(1, f"the house {i} and the river " * 20, "en") for i in range(300)] + [(1, f"das haus {i} und der fluss " * 20, "de") for i in range(300)]
+    rows += [(2, "the " * 1_000_000, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    refs = dict(lang_id.fit(df))
+    assert set(refs) == {"de", "en"} and all(0 < len(r) <= lang_id.REF_BYTES + lang_id.ROWS_PER_LANG for r in refs.values())
+    got = lang_id.predict(df.where("doc_id = 1"), tuple(sorted(refs.items())), ["lang"]).collect()
+    assert all(r.lang == r.lang_pred for r in got)
