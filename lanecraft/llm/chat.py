@@ -3,8 +3,8 @@
 Turns are rows (conversation, turn, role, text).  Prefix sums of the turns' token costs place every turn in
 the window ``floor(sum before / SPAN)`` of its conversation: windows are aligned to turns and take SPAN
 tokens, plus what is left of the last turn (a longer turn is never cut).  Every window after the first
-repeats the conversation's leading system turn at its start and as history those turns of the window before
-that begin within its last ``HISTORY`` tokens.  Assistant texts are targets once, where they are new: repeated
+repeats the conversation's leading system turn at its start and as history the last turn of the conversation's
+window before, and those of its turns that begin within its last ``HISTORY`` tokens.  Assistant texts are targets once, where they are new: repeated
 history and system turns are masked.
 
 The template marks a turn as
@@ -93,14 +93,17 @@ def windows(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str =
     turns = conversations.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"),
                                  cost(text).cast("long").alias("cost"))
     placed = positions(turns).withColumn("window", F.floor(F.col("before") / span)).withColumn("repeat", F.lit(False))
+    # where a window ends the conversation's next one begins, however long its last turn was
+    end = F.max(F.col("before") + F.col("cost")).over(Window.partitionBy("conv", "window"))
+    placed = placed.withColumn("next", F.floor(end / span)).withColumn("last", F.col("before") + F.col("cost") == end)
     placed = placed.withColumn("body", F.concat(F.lit("<s>[INST] "), escape(F.col("role")), F.lit(" [/INST] "), escape(F.col("text")), F.lit("</s>"))) \
         .withColumn("skip", F.length(F.concat(F.lit("<s>[INST] "), escape(F.col("role")), F.lit(" [/INST] ")))) \
-        .select("conv", "window", "nth", "before", "role", "repeat", "body", "skip")
+        .select("conv", "window", "next", "last", "nth", "before", "role", "repeat", "body", "skip")
     placed = stage(placed, "placed")
     used = placed.select("conv", "window").distinct()
     leading = (F.col("nth") == 0) & (F.col("role") == SYSTEM)
-    kept = placed.where((F.col("before") + history >= (F.col("window") + 1) * span) & ~leading) \
-        .withColumn("window", F.col("window") + 1).withColumn("repeat", F.lit(True))
+    kept = placed.where((F.col("last") | (F.col("before") + history >= (F.col("window") + 1) * span)) & ~leading & (F.col("next") > F.col("window"))) \
+        .withColumn("window", F.col("next")).withColumn("repeat", F.lit(True))
     system = placed.where(leading).withColumnRenamed("window", "own").withColumnRenamed("conv", "c")
     later = used.where("window > 0")
     again = later.join(system, F.col("conv").eqNullSafe(F.col("c")) & (F.col("own") < F.col("window"))).withColumn("repeat", F.lit(True)).select(*placed.columns)

@@ -35,13 +35,14 @@ WITH rows_ AS (
          row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS nth
   FROM cost
   WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
-), used AS (SELECT DISTINCT conv_id, win FROM placed),
+), used AS (SELECT conv_id, win, max(before + cost) AS fin, max(before + cost) // 768 AS nxt FROM placed GROUP BY conv_id, win),
 again AS (
   SELECT p.conv_id, p.chars FROM placed p JOIN used u ON u.conv_id IS NOT DISTINCT FROM p.conv_id AND u.win > p.win
   WHERE p.nth = 0 AND p.role = 'system'
   UNION ALL
-  SELECT p.conv_id, p.chars FROM placed p JOIN used u ON u.conv_id IS NOT DISTINCT FROM p.conv_id AND u.win = p.win + 1
-  WHERE NOT (p.nth = 0 AND p.role = 'system') AND p.before + 192 >= (p.win + 1) * 768
+  SELECT p.conv_id, p.chars FROM placed p JOIN used o ON o.conv_id IS NOT DISTINCT FROM p.conv_id AND o.win = p.win
+    JOIN used u ON u.conv_id IS NOT DISTINCT FROM p.conv_id AND u.win = o.nxt AND u.win > p.win
+  WHERE NOT (p.nth = 0 AND p.role = 'system') AND (p.before + p.cost = o.fin OR p.before + 192 >= (p.win + 1) * 768)
 ), extra AS (SELECT conv_id, sum(chars) AS chars FROM again GROUP BY conv_id)
 SELECT p.conv_id, count(*) AS n_turns,
        sha256(string_agg(p.role || chr(10) || p.text || chr(10), '' ORDER BY p.nth)) AS turns_sha256,
