@@ -23,10 +23,11 @@ class Node:
     """``sig``: tag with its class, id and role words (digits folded); ``marks``: those of its words that don't come
     from the id; ``kids``: nodes and texts in order."""
 
-    __slots__ = ("tag", "sig", "words", "marks", "kids")
+    __slots__ = ("tag", "sig", "words", "marks", "kids", "around")
 
     def __init__(self, tag: str, words: tuple[str, ...] = (), marks: tuple[str, ...] | None = None):
         self.tag, self.words, self.marks, self.kids = tag, words, words if marks is None else marks, []
+        self.around: bool | None = None
         self.sig = tag + "".join("." + w for w in words)
 
 

@@ -7,7 +7,7 @@ programming).  A wrapper node whose text is the same on all pages is template; o
 The content is the smallest node that holds all varying text outside of navigation, headers, footers,
 asides, forms, adverts, notices and comments (an <article> or <main> is taken whole; blocks beside it and
 lists of entries beside a container named as content are not article text); inside the content, single
-nodes of constant text are template too.
+nodes of constant text that are no running text are template too.
 
 A page is extracted by its layout's wrapper: the content node is found by its path, and its blocks are read
 in page order without the parts named above.  Pages that the path does not fit, or that hold other text
@@ -15,15 +15,18 @@ beside that node than the wrapper's template, are read by the same rule on the p
 
 White space inside a block becomes one space, blocks are trimmed and joined by one line feed; character
 references are decoded.  Null and empty html give the empty text.  A null or odd url is a host of its own
-name (empty).  Rows are independent given the sample, which hashes page ids; repeated rows agree.
+name (empty).  Rows are independent given the sample, which goes by the pages' contents: ids may repeat or be
+missing; copies of a page are one.  Trees may have any depth.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import html as _html
 import json
 import re
+import sys
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -33,7 +36,8 @@ from lanecraft.llm.dom import BLOCK, RAW, Node, parse
 
 PAGES = 12
 MIN_CONSTANT = 4
-DEPTH = 40
+#: Trees of any depth are walked by plain recursion, which takes no C stack.
+DEEP = 1 << 24
 
 # fixed values: elements that never hold article text, and words of class, id and role that mark such parts
 SKIP_TAGS = frozenset("""head nav header footer aside form script style noscript template iframe button select input textarea menu dialog
@@ -48,28 +52,59 @@ _TEXTS = frozenset("h1 h2 h3 h4 h5 h6 hgroup p pre blockquote".split())
 _INNER_HEADER = frozenset(["header"])
 _OWN_HEADER = frozenset("content article post entry story".split())
 _CONTENT_WORDS = _OWN_HEADER | {"articlebody", "main"}
+#: Elements of running text: what they hold is part of the article, on however many pages it stands.
+_READ = _TEXTS | frozenset("li dt dd td th caption figcaption em strong b i u mark q cite code span sub sup time address".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+_PAGE = frozenset(["#root", "html", "body"])
 _FRAME = frozenset("html body div section article main center".split())
 _ENTRIES = frozenset("div section article dl table".split())
+# fixed values: first parts of words that tell what a page has or lacks, not what an element is
+_STATES = frozenset("has have with without no not is".split())
+
+
+def encloses(node: Node) -> bool:
+    """The element lies around an article, whatever its words say: it holds a <main>, the one <article> in it that no
+    word marks as another part, or the page's headline with paragraphs."""
+    if node.around is None:
+        articles = headlines = paragraphs = 0
+        todo = [k for k in node.kids if isinstance(k, Node)]
+        main = False
+        while todo:
+            k = todo.pop()
+            main = main or k.tag == "main"
+            articles += k.tag == "article" and not _word_marks(k, k.words)
+            headlines += k.tag == "h1"
+            paragraphs += k.tag == "p"
+            todo += [x for x in k.kids if isinstance(x, Node)]
+        node.around = main or articles == 1 or headlines > 0 and paragraphs > 1
+    return node.around
+
+
+def _word_marks(node: Node, words) -> bool:
+    """A listed word, or one at the end of a compound (site-footer, comment-list), is among the words."""
+    for w in words:
+        if w in SKIP_WORDS:
+            return True
+        parts = re.split(r"[-_#]+", w) if node.tag not in _TEXTS else []
+        for end in (parts[0], parts[-1]) if len(parts) > 1 and parts[0] not in _STATES else ():
+            if end in SKIP_WORDS and not (end == "header" and _OWN_HEADER & set(parts)):
+                return True
+    return False
 
 
 def skipped(node: Node, inside: bool = False) -> bool:
-    """Not article text by its element or the words of its class, id or role.  An article's own <header>
+    """Not article text by its element or the words of its class, id or role.  The words of the page and of an
+    element around an article describe the layout and drop nothing.  An article's own <header>
     holds its heading.  Inside an article only containers go by a word, and only by a whole one; the ids of
     sections there, and of headings and paragraphs anywhere, are anchors."""
+    if node.tag in _PAGE:
+        return False
     if node.tag in SKIP_TAGS and not (inside and node.tag in _INNER_HEADER) or "[hidden]" in node.words:
         return True
     if inside:
         words = node.marks if node.tag == "section" or "section" in node.marks else node.words
         return node.tag in _CONTAINERS and any(w in SKIP_WORDS and w != "header" for w in words)
-    for w in node.marks if node.tag in _TEXTS else node.words:
-        if w in SKIP_WORDS:
-            return True
-        parts = re.split(r"[-_#]+", w) if node.tag not in _TEXTS else []
-        for end in (parts[0], parts[-1]) if len(parts) > 1 else ():  # site-footer, comment-list
-            if end in SKIP_WORDS and not (end == "header" and _OWN_HEADER & set(parts)):
-                return True
-    return False
+    return _word_marks(node, node.marks if node.tag in _TEXTS else node.words) and not encloses(node)
 
 
 def named(node: Node) -> bool:
@@ -115,7 +150,7 @@ def plain(node: Node, inside: bool = True, dropped=None, path: str = "") -> list
                 close()
                 todo.append((None, "", False, inner))
             inner = inner or holds(item)
-            todo += [(k, at + "/" + k.sig if isinstance(k, Node) else "", False, inner) for k in reversed(item.kids)]
+            todo += [(k, below(at, k.sig) if dropped and isinstance(k, Node) else "", False, inner) for k in reversed(item.kids)]
     close()
     return blocks
 
@@ -131,16 +166,13 @@ class Shape:
         self.kids: list[Shape] = []
 
 
-def shape(node: Node, depth: int = 0) -> Shape:
+def shape(node: Node) -> Shape:
     """The shape of one page: runs of equal siblings become one child without children."""
-    if depth < DEPTH:
-        own = " ".join(_html.unescape("".join(k if isinstance(k, str) else " " for k in node.kids)).split())
-    else:  # children are not looked at
-        own = "\n".join(plain(node))
+    own = " ".join(_html.unescape("".join([k if isinstance(k, str) else " " for k in node.kids])).split())
     s = Shape(node, 1, own, len(own))
     kids = [k for k in node.kids if isinstance(k, Node)]
     i = 0
-    while i < len(kids) and depth < DEPTH:
+    while i < len(kids):
         j = i
         while j < len(kids) and kids[j].sig == kids[i].sig:
             j += 1
@@ -148,7 +180,7 @@ def shape(node: Node, depth: int = 0) -> Shape:
             text = "\n".join(t for k in kids[i:j] for t in plain(k))
             s.kids.append(Shape(kids[i], j - i, text, len(text)))
         else:
-            s.kids.append(shape(kids[i], depth + 1))
+            s.kids.append(shape(kids[i]))
         i = j
     return s
 
@@ -185,7 +217,7 @@ def merge(a: Shape, b: Shape, memo: dict) -> None:
     while i or j:
         w = match(a.kids[i - 1], b.kids[j - 1], memo) if i and j else 0
         if w and best[i][j] == best[i - 1][j - 1] + w:
-            merge(a.kids[i - 1], b.kids[j - 1], {})
+            merge(a.kids[i - 1], b.kids[j - 1], memo)
             out.append(a.kids[i - 1])
             i, j = i - 1, j - 1
         elif j and (not i or best[i][j] == best[i][j - 1]):
@@ -197,18 +229,23 @@ def merge(a: Shape, b: Shape, memo: dict) -> None:
     a.kids = out[::-1]
 
 
+def below(path: str, sig: str) -> str:
+    """The name of a child's path: of one length at any depth."""
+    return hashlib.blake2b(f"{path}/{sig}".encode("utf-8", "replace"), digest_size=12).hexdigest()
+
+
 def layout(tree: Node) -> str:
     """Digest of the paths of a page's containers, boilerplate parts and the inside of articles left out."""
     paths = set()
-    todo = [(tree, "", False, 0)]
+    todo = [(tree, "", False)]
     while todo:
-        node, path, inside, depth = todo.pop()
+        node, path, inside = todo.pop()
         inner = inside or holds(node)
         for k in node.kids:
             if isinstance(k, Node) and k.tag in _FRAME and not skipped(k, inner):
-                paths.add(at := path + "/" + k.sig)
-                if k.tag not in CONTENT_TAGS and depth < DEPTH:
-                    todo.append((k, at, inner, depth + 1))
+                paths.add(at := below(path, k.sig))
+                if k.tag not in CONTENT_TAGS:
+                    todo.append((k, at, inner))
     return hashlib.blake2b("\n".join(sorted(paths)).encode("utf-8", "replace"), digest_size=12).hexdigest()
 
 
@@ -222,8 +259,11 @@ def _varying(s: Shape, pages: int, memo: dict, inside: bool, template: dict | No
     if id(s) not in memo:
         known = template and not s.texts.isdisjoint(template.get(path, ()))
         inner = inside or holds(s.node)
-        memo[id(s)] = (0 if known or _constant(s, pages) else s.mass) + sum(
-            _varying(k, pages, memo, inner, template, path + "/" + k.sig if template else "") for k in s.kids if not skipped(k.node, inner))
+        n = 0 if known or _constant(s, pages) else s.mass
+        for k in s.kids:
+            if not skipped(k.node, inner):
+                n += _varying(k, pages, memo, inner, template, below(path, k.sig) if template else "")
+        memo[id(s)] = n
     return memo[id(s)]
 
 
@@ -243,9 +283,20 @@ def _alone(s: Shape, k: Shape, target: Shape, memo: dict) -> bool:
     return named(target.node) and all(_entries(x, memo) for x in rest) or not rest
 
 
+def _under_article(path: list) -> bool:
+    """The path leads through an <article> or <main>."""
+    return any(sig.split(".")[0] in CONTENT_TAGS for sig, _ in path)
+
+
 def _heading(s: Shape) -> bool:
     """A heading, or a block with the page's first one."""
-    return s.node.tag in _HEADINGS or any(k.node.tag == "h1" or k.node.tag not in _HEADINGS and _heading(k) for k in s.kids)
+    todo = [s]
+    while todo:
+        x = todo.pop()
+        if x.node.tag == "h1" or x is s and x.node.tag in _HEADINGS:
+            return True
+        todo += [k for k in x.kids if k.node.tag == "h1" or k.node.tag not in _HEADINGS]
+    return False
 
 
 def induce(pages: list[str]) -> dict:
@@ -266,6 +317,11 @@ def induce(pages: list[str]) -> dict:
     return _content(wrapper, len(trees))
 
 
+def _beside(node: Node, before: bool) -> bool:
+    """Structure of template text inside the content: an element of no running text, or one ``before`` the headline."""
+    return node.tag not in _READ or before and node.tag not in _HEADINGS
+
+
 def _content(wrapper: Shape, pages: int, known: dict | None = None) -> dict:
     memo: dict = {}
     at, path, inside = wrapper, [], False
@@ -283,9 +339,9 @@ def _content(wrapper: Shape, pages: int, known: dict | None = None) -> dict:
         for k, nth in steps(s):
             if named(k.node) and 2 * memo.get(id(k), 0) >= whole > 0 and _alone(s, k, k, memo):
                 return [(k, nth)]
-            below = marked(k)
-            if below and _alone(s, k, below[-1][0], memo):
-                return [(k, nth), *below]
+            deeper = marked(k)
+            if deeper and _alone(s, k, deeper[-1][0], memo):
+                return [(k, nth), *deeper]
         return None
 
     while at.node.tag not in CONTENT_TAGS:
@@ -305,18 +361,22 @@ def _content(wrapper: Shape, pages: int, known: dict | None = None) -> dict:
         inside = inside or holds(at.node)
     constant: dict[str, str] = {}
     template: dict[str, list[str]] = {}
+    # outside of <article> and <main> a line of every page before the headline is the site's
+    before = at.node.tag not in CONTENT_TAGS and not _under_article(path) and _heading(at)
 
     def collect(s: Shape, here: str, outside: bool, inner: bool):
+        nonlocal before
         outside = outside and s is not at
+        before = before and (outside or s.node.tag not in _HEADINGS)
         if outside and _constant(s, pages) and any(s.texts):
             template.setdefault(here, []).extend(s.texts)
         for k in s.kids:
-            below = here + "/" + k.sig
-            if not k.many and not k.kids and _constant(k, pages) and pages >= MIN_CONSTANT and any(k.texts):
-                constant[below] = next(iter(k.texts))
+            there = below(here, k.sig)
+            if not k.many and not k.kids and _constant(k, pages) and pages >= MIN_CONSTANT and any(k.texts) and _beside(k.node, before and not outside):
+                constant[there] = next(iter(k.texts))
             if not k.many or outside:
                 deeper = inner or holds(k.node)
-                collect(k, below, outside and not skipped(k.node, inner), deeper)
+                collect(k, there, outside and not skipped(k.node, inner), deeper)
 
     collect(wrapper, "", True, holds(wrapper.node))
     return {"path": path, "constant": constant, "template": template}
@@ -331,7 +391,7 @@ def extract(page: str, wrapper: dict) -> str:
     node = _find(tree, path)
     if node is None:
         node, path = tree, []
-    return "\n".join(plain(node, _within(tree, node), wrapper["constant"], "".join("/" + sig for sig, _ in path)))
+    return "\n".join(plain(node, _within(tree, node), wrapper["constant"], functools.reduce(below, (sig for sig, _ in path), "")))
 
 
 def _fits(page: Shape, path: list, template: dict) -> bool:
@@ -379,28 +439,37 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     kind = rows.schema["id"].dataType.simpleString()
 
+    rows = rows.withColumn("digest", F.unhex(F.md5("html")))
+
     def place(batches):
+        sys.setrecursionlimit(DEEP)
         for batch in grouped(batches, "html"):
-            found = pa.array([layout(parse(page)) for page in batch.column(3).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=["id", "url", "host", "html", "layout"])
-
-    framed = rows.mapInArrow(place, f"id {kind}, url string, host string, html string, layout string")
-    w = Window.partitionBy("host", "layout").orderBy(F.xxhash64("id"), "id")
-    picked = stage(framed.where("html <> ''").select("id", "host", "layout").withColumn("k", F.row_number().over(w)).where(F.col("k") <= sample).select("id", "host").distinct(), "sampled")
-    # (id, host) of every layout's sample: broadcast if its checked size allows
-    chosen = rows.where("html <> ''").join(sized(picked, 80), ["id", "host"], "left_semi").select("id", "url", "host", "html")
-    chosen = chosen.mapInArrow(place, f"id {kind}, url string, host string, html string, layout string")
+            found = pa.array([layout(parse(page)) for page in batch.column(2).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], names=["host", "digest", "layout"])
+
+    # the layout of every page, by its host and content: copies of a page (and repeated ids) are one
+    framed = stage(rows.select("host", "digest", "html").mapInArrow(place, "host string, digest binary, layout string").distinct(), "layouts")
+    w = Window.partitionBy("host", "layout").orderBy("digest")
+    picked = stage(framed.withColumn("k", F.row_number().over(w)).where(F.col("k") <= sample).select("host", "digest", "layout"), "sampled")
+    # broadcast if its checked size allows
+    chosen = rows.where("html <> ''").join(sized(picked, 96), ["host", "digest"]).groupBy("host", "layout", "digest").agg(F.min("html").alias("html"))
     grouped_ = chosen.groupBy("host", "layout").agg(F.collect_list("html").alias("pages"))  # at most `sample` pages a layout
 
     def learn(batches):
+        sys.setrecursionlimit(DEEP)
         for batch in batches:
             found = [json.dumps(induce(sorted(p)[:2 * sample])) for p in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string())], names=["host", "layout", "wrapper"])
 
     wrappers = stage(grouped_.mapInArrow(learn, "host string, layout string, wrapper string"), "wrappers")
-    joined = framed.join(sized(wrappers, 96, "wrapper"), ["host", "layout"], "left").select("id", "url", "wrapper", "html")
+    # hosts and layouts have few wrappers; pages find theirs by content, without being parsed for it again
+    known_ = framed.join(sized(wrappers.select("host", "layout", F.xxhash64("host", "layout").alias("which")), 64), ["host", "layout"]).select("host", "digest", "which")
+    joined = rows.join(sized(stage(known_, "known"), 64), ["host", "digest"], "left") \
+        .join(sized(wrappers.select(F.xxhash64("host", "layout").alias("which"), "wrapper"), 96, "wrapper"), ["which"], "left")
+    joined = joined.select("id", "url", "wrapper", "html")
 
     def read(batches):
+        sys.setrecursionlimit(DEEP)
         known: dict = {}
         for batch in grouped(batches, "html"):
             text = []

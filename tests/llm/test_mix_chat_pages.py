@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import sys
 
 import pandas as pd
 import pytest
@@ -331,6 +332,100 @@ def test_wrapper_on_the_table(spark):
     assert len(got) == 250 and (got.text == got.html.map(reference_text)).all()
 
 
+ARTICLE = "<article><h1>Title {k}</h1><p>First text {k} here</p><p>Second one {k}</p></article>"
+
+
+def plain_page(k, cls="", depth=0, box=None):
+    body = "<div>" * depth + ARTICLE.format(k=k) + "</div>" * depth
+    body = f"<div class='{box}'>{body}</div>" if box else body
+    return f"<html><body class='{cls}'><div class='menu'>Menu</div>{body}<div class='site-footer'>Foot</div></body></html>"
+
+
+def read_all(pages):
+    made = wrapper.induce(pages)
+    return [wrapper.extract(p, made) for p in pages]
+
+
+@pytest.mark.parametrize("cls", ["has-sidebar", "right-sidebar page", "no-cookie", "search-results", "with-sidebar", "site has-footer", "share-page", "search"])
+def test_layout_words_around_an_article_drop_nothing(cls):
+    want = [f"Title {k}\nFirst text {k} here\nSecond one {k}" for k in range(8)]
+    assert read_all([plain_page(k, cls) for k in range(8)]) == want
+    if cls != "search":
+        assert read_all([plain_page(k, box=cls) for k in range(8)]) == want
+    assert wrapper.extract(plain_page(3, cls), wrapper.induce([])) == want[3]
+
+
+def test_words_still_drop_other_parts():
+    page = "<body><main><h1>T</h1><p>a</p></main><div class='comment-list'><article class='comment-body'><p>Nice</p></article></div>" \
+        "<div class='related-posts'><article><p>x</p></article><article><p>y</p></article></div><div class='site-footer'>f</div></body>"
+    assert wrapper.extract(page, wrapper.induce([])) == "T\na"
+
+
+@pytest.mark.parametrize("depth", [5, 45, 1500])
+def test_articles_lie_at_any_depth(depth):
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(wrapper.DEEP)
+    try:
+        assert read_all([plain_page(k, depth=depth) for k in range(6)]) == read_all([plain_page(k) for k in range(6)])
+    finally:
+        sys.setrecursionlimit(limit)
+
+
+def test_constant_sentences_inside_an_article_stay():
+    pages = [f"<body><article><h1>T {k}</h1><p>Same lead sentence</p><p>Own {k}</p><ul><li>Same point</li><li>Own {k}</li></ul></article></body>" for k in range(8)]
+    assert read_all(pages) == [f"T {k}\nSame lead sentence\nOwn {k}\nSame point\nOwn {k}" for k in range(8)]
+
+
+def test_the_table_with_layout_words_on_every_body(spark):
+    pages = spark.createDataFrame(table(SF, "pages"))
+    marked = pages.withColumn("html", F.regexp_replace("html", "<body([^>]*)>", '<body class="post has-sidebar">'))
+    prepare(spark)
+    want = {r.page_id: r.text for r in wrapper.main_text(pages).collect()}
+    assert {r.page_id: r.text for r in wrapper.main_text(marked).collect()} == want and any(want.values())
+
+
+def test_pages_with_one_id_or_none(spark):
+    prepare(spark)
+    rows = [(i, f"http://h.example/{i}", plain_page(i)) for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(r.text for r in wrapper.main_text(df).collect())
+    for ids in (F.lit(7).cast("long"), F.lit(None).cast("long")):
+        got = wrapper.main_text(df.withColumn("page_id", ids).unionByName(df.limit(3).withColumn("page_id", ids)))
+        assert sorted(set(r.text for r in got.collect())) == want and got.count() == 33
+
+
+def random_tree(rng, depth):
+    node = dom.Node(rng.choice("abc"))
+    node.kids = [random_tree(rng, depth - 1) for _ in range(rng.randrange(4))] if depth else []
+    return node
+
+
+def plain_match(a, b):
+    """The largest match of equal roots that keeps order and parents, by trying all sub-sequences."""
+    if a.sig != b.sig:
+        return 0
+    best = 0
+    for n in range(min(len(a.kids), len(b.kids)) + 1):
+        for x in itertools.combinations(a.kids, n):
+            for y in itertools.combinations(b.kids, n):
+                parts = [plain_match(p, q) for p, q in zip(x, y)]
+                best = max(best, sum(parts)) if all(parts) else best
+    return 1 + best
+
+
+def test_tree_matching_equals_brute_force():
+    rng = random.Random(6)
+
+    def whole(node):  # a shape without folded runs
+        s = wrapper.Shape(node, 1, "", 0)
+        s.kids = [whole(k) for k in node.kids]
+        return s
+
+    for _ in range(150):
+        a, b = whole(random_tree(rng, 2)), whole(random_tree(rng, 2))
+        assert wrapper.match(a, b, {}) == plain_match(a, b)
+
+
 def test_tree_matching_aligns_children():
     a, b = (wrapper.shape(dom.parse(h)) for h in ("<div><h1>a</h1><p>x</p><ul></ul></div>", "<div><h1>b</h1><em>e</em><ul></ul></div>"))
     assert wrapper.match(a, b, {}) == 4  # root, div, h1, ul
