@@ -364,19 +364,19 @@ def _content(wrapper: Shape, pages: int, known: dict | None = None) -> dict:
     # outside of <article> and <main> a line of every page before the headline is the site's
     before = at.node.tag not in CONTENT_TAGS and not _under_article(path) and _heading(at)
 
-    def collect(s: Shape, here: str, outside: bool, inner: bool):
+    def collect(s: Shape, here: str, outside: bool, inner: bool, within: bool = False):
         nonlocal before
-        outside = outside and s is not at
-        before = before and (outside or s.node.tag not in _HEADINGS)
+        outside, within = outside and s is not at, within or s is at
+        before = before and not (within and s.node.tag in _HEADINGS)
         if outside and _constant(s, pages) and any(s.texts):
             template.setdefault(here, []).extend(s.texts)
         for k in s.kids:
             there = below(here, k.sig)
-            if not k.many and not k.kids and _constant(k, pages) and pages >= MIN_CONSTANT and any(k.texts) and _beside(k.node, before and not outside):
+            if not k.many and not k.kids and _constant(k, pages) and pages >= MIN_CONSTANT and any(k.texts) and _beside(k.node, before and within):
                 constant[there] = next(iter(k.texts))
             if not k.many or outside:
                 deeper = inner or holds(k.node)
-                collect(k, there, outside and not skipped(k.node, inner), deeper)
+                collect(k, there, outside and not skipped(k.node, inner), deeper, within)
 
     collect(wrapper, "", True, holds(wrapper.node))
     return {"path": path, "constant": constant, "template": template}
