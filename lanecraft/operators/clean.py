@@ -38,7 +38,7 @@ def check_schema(df: DataFrame, expected: list[str] = S.BASE_COLUMNS) -> DataFra
     """Raise on missing expected columns; extra columns are kept."""
     missing = [c for c in expected if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing required columns: {missing}")
+        raise ValueError(f"the table lacks {len(missing)} expected column(s): {', '.join(missing)}")
     return df
 
 
