@@ -125,6 +125,17 @@ def sized(staged: DataFrame, row_bytes: int, column: str | None = None, limit: i
     return F.broadcast(staged) if side_bytes(staged, row_bytes, column) <= limit else staged
 
 
+def block_pairs(blocks: DataFrame, key: list[str], i: str, n: str, x: str) -> DataFrame:
+    """Every pair i <= j of the blocks (key, i, n: blocks of the key, x) of one key: key, i, j, x, y.
+
+    A key's left blocks are dealt over ``min(n, shuffle partitions)`` lanes and its right blocks copied to each, so that
+    the pairs of one hot key spread over all tasks; a key of one block is moved once."""
+    lanes = F.least(F.col(n), F.lit(partitions(blocks.sparkSession))).cast("int")
+    left = blocks.select(*key, F.pmod(F.col(i), lanes).alias("lane"), F.col(i).alias("i"), F.col(x).alias("x"))
+    right = blocks.select(*key, F.explode(F.sequence(F.lit(0), lanes - 1)).alias("lane"), F.col(i).alias("j"), F.col(x).alias("y"))
+    return left.join(right, [*key, "lane"]).where("i <= j").drop("lane")
+
+
 def side_bytes(staged: DataFrame, row_bytes: int, column: str | None = None) -> int:
     more = F.sum(F.octet_length(column)) if column else F.lit(0)
     n, held = staged.agg(F.count(F.lit(1)), F.coalesce(more, F.lit(0)) if column else F.max(F.lit(0))).first()

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lanecraft.llm.common import grouped, sized, stage
+from lanecraft.llm.common import block_pairs, grouped, sized, stage
 from lanecraft.llm.components import components
 from lanecraft.llm.shingles import mix64, shingle_sets
 
@@ -213,13 +213,11 @@ def _cross_links(band: int, pivot, x, y, same: bool, percent: int):
 
 
 def _blocks(members: DataFrame, percent: int, kind: str) -> DataFrame:
-    """Links between members (band, key, pivot, id, root, bands, sig, set, blk) of one bucket that lie in
+    """Links between members (band, key, pivot, id, root, bands, sig, set, blk, blocks) of one bucket that lie in
     different components, block with block."""
-    packed = members.groupBy("band", "key", "pivot", "blk").agg(
+    packed = members.groupBy("band", "key", "pivot", "blocks", "blk").agg(
         F.collect_list(F.struct("id", "root", "bands", "sig", "set")).alias("rows"))
-    left = packed.select("band", "key", "pivot", F.col("blk").alias("i"), F.col("rows").alias("x"))
-    right = packed.select("band", "key", F.col("blk").alias("j"), F.col("rows").alias("y"))
-    both = left.join(right, ["band", "key"]).where("i <= j").select("band", "pivot", "i", "j", "x", "y")
+    both = block_pairs(packed, ["band", "key", "pivot"], "blk", "blocks", "rows").select("band", "pivot", "i", "j", "x", "y")
 
     def run(batches):
         for batch in batches:
@@ -254,8 +252,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     split = stage(named.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band", "key"), "split")
     blocks = F.ceil(F.greatest(F.col("m") / BLOCK_ROWS, F.col("total") * 8 / BLOCK_BYTES)).cast("int")
     open_ = named.join(sized(split, 48), ["band", "key"]).join(reps.select("id", "bands", "sig"), "id").join(sets, "id") \
-        .withColumn("blk", F.pmod(F.xxhash64("id"), blocks))
-    more = _blocks(open_.select("band", "key", "pivot", "id", "root", "bands", "sig", "set", "blk"), percent, kind)
+        .withColumn("blocks", blocks).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    more = _blocks(open_.select("band", "key", "pivot", "id", "root", "bands", "sig", "set", "blk", "blocks"), percent, kind)
     final = components(stage(first.unionByName(more), "links"))
     classes = reps.select("fp1", "fp2", "n", "id").join(final.withColumnRenamed("node", "id"), "id", "left") \
         .select("fp1", "fp2", "n", F.coalesce("root", "id").alias("root"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lanecraft.llm import components, minhash, rp_forest, suffix_dedup, topk
 from lanecraft.llm import queries as Q
-from lanecraft.llm.common import prepare
+from lanecraft.llm.common import block_pairs, prepare
 from tests.llm.util import DOCS, near_pairs, repeats, roots, shingles, table
 
 SF = "/root/testdata/sf0.01"
@@ -73,6 +73,27 @@ def test_minhash_families_with_few_links_to_one_member(spark, monkeypatch):
         check_minhash(got, list(range(10, 10 + len(texts))), texts, percent)
 
 
+def test_pairs_of_a_hot_key_spread_over_tasks(spark):
+    """200 blocks under one key, a few under others: every pair once, no task with more than its share."""
+    wide = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        number = {1: 200, 2: 1, 3: 2, 4: 17}
+        df = spark.createDataFrame([(k, i, n, f"{k}/{i}") for k, n in number.items() for i in range(n)], "k long, i int, n int, x string")
+        got = block_pairs(df, ["k"], "i", "n", "x").withColumn("task", F.spark_partition_id()).toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", wide)
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = {(k, i, j) for k, n in number.items() for i in range(n) for j in range(i, n)}
+    assert len(got) == len(want) and set(zip(got.k, got.i, got.j)) == want
+    assert (got.x == got.k.astype(str) + "/" + got.i.astype(str)).all() and (got.y == got.k.astype(str) + "/" + got.j.astype(str)).all()
+    hot = got[got.k == 1].groupby("task").size()
+    assert len(hot) >= 8 and hot.max() <= len(got) * 0.4
+
+
 def test_minhash_edge_rows(spark):
     assert minhash.near_duplicates(frame(spark, []).limit(0)).count() == 0
     only_empty = minhash.near_duplicates(frame(spark, ["", None])).toPandas()
