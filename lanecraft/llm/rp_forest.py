@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lanecraft.llm.common import sized, stage
+from lanecraft.llm.common import block_pairs, sized, stage
 from lanecraft.llm.components import components
 
 SAMPLE = 8192
@@ -236,7 +236,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     people = stage(sizes.where("m > 1"), "leaves")
     dealt = classes.select("id", "weight", "x").mapInArrow(route, "leaf bigint, id bigint, weight bigint, codes array<bigint>, x binary")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    packed = dealt.join(sized(people, 32), "leaf").select("leaf", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).alias("blk"), F.struct("id", "weight", "codes", "x").alias("row")) \
+    packed = dealt.join(sized(people, 32), "leaf").select("leaf", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("blk"), F.struct("id", "weight", "codes", "x").alias("row")) \
         .groupBy("leaf", "blocks", "blk").agg(F.collect_list("row").alias("rows"))
     packed = stage(packed, "blocks")
 
@@ -263,8 +263,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     schema = "a bigint, b bigint, n bigint"
     inside = packed.select("leaf", "rows").mapInArrow(compare, schema)
     several = packed.where("blocks > 1")
-    across = several.select("leaf", F.col("blk").alias("i"), F.col("rows").alias("x")).join(
-        several.select("leaf", F.col("blk").alias("j"), F.col("rows").alias("y")), "leaf").where("i < j").select("leaf", "x", "y").mapInArrow(compare, schema)
+    across = block_pairs(several, ["leaf"], "blk", "blocks", "rows").where("i < j").select("leaf", "x", "y").mapInArrow(compare, schema)
     found = stage(inside.unionByName(across), "links")
     counts = found.groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "id")
     roots = components(found.select("a", "b")).withColumnRenamed("node", "id")
