@@ -75,7 +75,32 @@ def min_cost_flow(supply: dict[tuple, int], quota: dict[str | None, int], repeat
     """Words routed from each pattern to each of its sources (successive shortest paths, integer).
 
     A pattern offers its size once per repetition; repetition k costs k a word (convex, so the first
-    copies of all patterns are used before any second one)."""
+    copies of all patterns are used before any second one).  Patterns that share no source, not even by way
+    of others, are networks of their own."""
+    group = {s: s for s in quota}
+
+    def root(s):
+        while group[s] != s:
+            group[s] = s = group[group[s]]
+        return s
+
+    for p in supply:
+        known = [root(s) for s in p if s in quota]
+        for s in known[1:]:
+            group[root(s)] = root(known[0])
+    networks: dict = {root(s): ({}, {}) for s in quota}
+    for s, n in quota.items():
+        networks[root(s)][1][s] = n
+    for p, n in supply.items():
+        if known := [s for s in p if s in quota]:
+            networks[root(known[0])][0][p] = n
+    out: dict = {}
+    for part, goals in networks.values():
+        out |= _cheapest(part, goals, repeats)
+    return out
+
+
+def _cheapest(supply: dict[tuple, int], quota: dict[str | None, int], repeats: int) -> dict[tuple[tuple, str | None], int]:
     patterns, sources = list(supply), list(quota)
     nodes = {"start": 0, "end": 1} | {("p", p): i + 2 for i, p in enumerate(patterns)}
     nodes |= {("s", s): len(nodes) + i for i, s in enumerate(sources)}
@@ -227,7 +252,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             sizes[s] = sizes.get(s, 0) + n
     goals = targets(sizes, weights, share, repeats, sum(supply.values()))
     flow = min_cost_flow(supply, {s: round(t) for s, t in goals.items()}, repeats)
-    taken = {p: sum(n for (q, _), n in flow.items() if q == p) for p in supply}
+    taken = dict.fromkeys(supply, 0)
+    for (p, _), n in flow.items():
+        taken[p] += n
     base = {p: taken[p] // n if n else 0 for p, n in supply.items()}
     plan = {name_of[p]: {"pattern": name_of[p], "base": base[p], "missing": taken[p] - base[p] * n, "long_from": n // LONG + 1, "behind": None, "cuts": [], "long": [],
                       "sources": [{"source": s, "source_size": sizes[s], "target": goals[s], "quota": flow[p, s]} for s in p]} for p, n in supply.items()}

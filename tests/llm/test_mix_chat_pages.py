@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import sys
+import time
 
 import pandas as pd
 import pytest
@@ -49,6 +50,23 @@ def test_flow_is_a_cheapest_full_flow():
         assert value(got) == best
 
 
+def test_flow_of_many_sources():
+    """20,000 sources in 10,000 networks of their own, each like the flow of that network alone, in seconds."""
+    rng = random.Random(2)
+    supply, quota = {}, {}
+    for k in range(10_000):
+        a, b = f"a{k}", f"b{k}"
+        supply |= {(a,): rng.randrange(50), (a, b): rng.randrange(50)}
+        quota |= {a: rng.randrange(120), b: rng.randrange(80)}
+    begin = time.time()
+    got = mixing.min_cost_flow(supply, quota)
+    assert time.time() - begin < 30 and len(got) == 30_000
+    for k in range(0, 10_000, 997):
+        a, b = f"a{k}", f"b{k}"
+        alone = mixing._cheapest({p: supply[p] for p in ((a,), (a, b))}, {s: quota[s] for s in (a, b)}, 2)
+        assert alone == {key: got[key] for key in alone}
+
+
 def test_mix_meets_its_targets(spark):
     got = Q.op7_source_mix(spark, SF).toPandas().merge(table(SF, "documents"), on="doc_id")
     assert (got["size"] == [len(WORD.findall(t)) for t in got.text]).all() and len(got) == 1000
