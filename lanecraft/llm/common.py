@@ -128,12 +128,13 @@ def sized(staged: DataFrame, row_bytes: int, column: str | None = None, limit: i
 def block_pairs(blocks: DataFrame, key: list[str], i: str, n: str, x: str) -> DataFrame:
     """Every pair i <= j of the blocks (key, i, n: blocks of the key, x) of one key: key, i, j, x, y.
 
-    A key's left blocks are dealt over ``min(n, shuffle partitions)`` lanes and its right blocks copied to each, so that
-    the pairs of one hot key spread over all tasks; a key of one block is moved once."""
-    lanes = F.least(F.col(n), F.lit(partitions(blocks.sparkSession))).cast("int")
-    left = blocks.select(*key, F.pmod(F.col(i), lanes).alias("lane"), F.col(i).alias("i"), F.col(x).alias("x"))
-    right = blocks.select(*key, F.explode(F.sequence(F.lit(0), lanes - 1)).alias("lane"), F.col(i).alias("j"), F.col(x).alias("y"))
-    return left.join(right, [*key, "lane"]).where("i <= j").drop("lane")
+    The blocks of a key form ``g`` ranges and every pair of ranges is a cell, so the pairs of one hot key spread over all
+    tasks; a block is copied ``g + 1`` times, ``g`` being at most about the root of twice the shuffle partitions."""
+    g = F.least(F.col(n), F.ceil(F.sqrt(F.lit(2.0 * partitions(blocks.sparkSession))))).cast("int")
+    own = F.floor(F.col(i) * g / F.col(n)).cast("int")
+    left = blocks.select(*key, own.alias("lo"), F.explode(F.sequence(own, g - 1)).alias("hi"), F.col(i).alias("i"), F.col(x).alias("x"))
+    right = blocks.select(*key, F.explode(F.sequence(F.lit(0), own)).alias("lo"), own.alias("hi"), F.col(i).alias("j"), F.col(x).alias("y"))
+    return left.join(right, [*key, "lo", "hi"]).where("i <= j").drop("lo", "hi")
 
 
 def side_bytes(staged: DataFrame, row_bytes: int, column: str | None = None) -> int:
