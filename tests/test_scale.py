@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lanecraft import schema as S
 from lanecraft.plans import featured as FT
 from lanecraft.plans.materialize import materialize, partitions_for, shared_path, shuffle_partitions
-from lanecraft.sources import testdata as td
+from lanecraft.sources import files as IO, testdata as td
 
 
 def test_shuffle_partitions_follow_the_input(spark):
@@ -48,3 +48,10 @@ def test_featured_files_hold_ranges(spark, sf):
     rows = sorted((r.ship_year, r.lo, r.hi) for r in per.collect())
     assert all(a[0] != b[0] or a[2] <= b[1] for a, b in zip(rows, rows[1:]))
     assert set(S.BASE_COLUMNS) < set(f.columns)
+
+
+def test_scratch_csv_is_compressed_and_reads_back(spark):
+    rows = spark.range(2000).selectExpr("id AS a", "concat(' order, \"', id, '\"') AS b")
+    path = IO.scratch_csv(rows, "test-csv")
+    assert glob.glob(path.replace("file:", "") + "/*.csv.gz")
+    assert sorted(IO.read_raw_csv(spark, path, rows.schema).collect()) == sorted(rows.collect())
