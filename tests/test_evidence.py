@@ -1,6 +1,7 @@
 """Quantiles per group, model metrics, scoring, reports and the audit table against plain versions."""
 
 import random
+import threading
 
 import numpy as np
 import pandas as pd
@@ -169,6 +170,33 @@ def test_a_failing_model_is_a_row_and_the_others_stay(spark, trained):
     assert len(long) == 8 and long["classifier", "roc_auc"] == fitted[1].first().roc_auc and long["regressor", "mae"] == trained[2][1].first().mae
 
 
+def test_models_learn_side_by_side(spark, trained):
+    f, fitted, _ = trained
+    meet = threading.Barrier(3)
+
+    def train(algorithm):
+        meet.wait(30)
+        return fitted
+
+    assert [r.error for r in ML.train_all(f, "classifier", train=train)[1].collect()] == [None] * 3
+    meet.reset()
+
+    def build():
+        meet.wait(30)
+        return 1
+
+    def failing():
+        FT._memo(spark, ("meet", "here", "failing"), build)
+        raise ValueError("after the others met it")
+
+    calls = [lambda n=n: FT._memo(spark, ("meet", "here", n), build) for n in range(2)] + [failing]
+    got = ML.together(spark, calls, keep_errors=True)
+    assert got[:2] == [1, 1] and isinstance(got[2], ValueError)
+    with pytest.raises(ValueError, match="after"):
+        ML.together(spark, [lambda: 1, lambda e=got[2]: (_ for _ in ()).throw(e)])
+    FT.refresh("here")
+
+
 # ── cleaning report ──────────────────────────────────────────────────────────
 
 def test_the_report_comes_from_the_pass_that_cleans(spark, sf):
