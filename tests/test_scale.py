@@ -41,6 +41,20 @@ def test_a_part_table_too_large_to_broadcast_gives_the_same_fact(spark, sf):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_the_written_lines_are_the_tables_own_columns(spark, sf, monkeypatch):
+    from lanecraft.plans import materialize as M
+    made, where = [], M.shared_path
+    monkeypatch.setattr(M, "shared_path", lambda s, n: made.append(where(s, n)) or made[-1])
+    FT.refresh(sf)
+    fact = FT.shipments(spark, sf)
+    assert len(made) == 1
+    file = glob.glob(made[0].replace("file:", "") + "/*.parquet")[0]
+    assert pq.read_schema(file).names == td.JOINED and S.ROW_ID not in td.JOINED
+    assert fact.columns == td.shipments(spark, sf).columns
+    want = td.shipments(spark, sf)
+    assert fact.exceptAll(want).isEmpty() and want.exceptAll(fact).isEmpty()
+
+
 def test_featured_files_hold_ranges(spark, sf):
     f = FT.featured(spark, sf).withColumn("__file", F.input_file_name())
     per = f.groupBy("ship_year", "__file").agg(F.min("ship_month").alias("lo"), F.max("ship_month").alias("hi"))
