@@ -295,6 +295,7 @@ def _sort_suffixes(found: DataFrame, kind: str, length: int, keep: str) -> DataF
             yield spans(pa.Table.from_batches(held))
 
     n = partitions(found.sparkSession)
+    found = found.select("doc", "th", "start", "count", "key", "data")  # read by place; a join by name puts the key first
     return found.repartition(n, "key").sortWithinPartitions("key", "doc", "th", "start") \
         .mapInArrow(run, f"doc {kind}, th binary, start int, end int")
 

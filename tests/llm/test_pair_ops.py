@@ -295,6 +295,14 @@ def test_repeats_equal_brute_force(spark, length, hot, limit):
             assert got.n_removed.tolist() == [w[1] for w in want]
 
 
+def test_repeats_with_some_hot_anchors(spark):
+    """Anchors beyond the bound and others in one table: each way gets its own."""
+    texts = passages(random.Random(8))
+    for keep in ("none", "first"):
+        got = suffix_dedup.remove_repeats(frame(spark, texts), hot=3, keep=keep).toPandas().set_index("doc_id").loc[range(len(texts))]
+        assert got.n_removed.tolist() == [w[1] for w in repeats(texts, 200, keep)]
+
+
 def test_repeats_on_the_table(spark):
     docs = table("/root/testdata/sf0.001", "documents")
     got = Q.op8_suffix_dedup(spark, "/root/testdata/sf0.001").toPandas().set_index("doc_id").loc[docs.doc_id]
