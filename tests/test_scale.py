@@ -6,6 +6,8 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from lanecraft import schema as S
+from lanecraft.functions import repeats
+from lanecraft.operators import clean as C
 from lanecraft.plans import featured as FT
 from lanecraft.plans.materialize import materialize, partitions_for, shared_path, shuffle_partitions
 from lanecraft.sources import files as IO, testdata as td
@@ -69,3 +71,27 @@ def test_scratch_csv_is_compressed_and_reads_back(spark):
     path = IO.scratch_csv(rows, "test-csv")
     assert glob.glob(path.replace("file:", "") + "/*.csv.gz")
     assert sorted(IO.read_raw_csv(spark, path, rows.schema).collect()) == sorted(rows.collect())
+
+
+# ── copies dropped without shuffling the others ──────────────────────────────
+
+ROWS = [(1, "a", 0.0), (1, "a", -0.0), (2, None, None), (2, None, None), (None, "a", 1.0), (None, "a", float("nan")), (None, "a", float("nan")),
+        (3, "b", 2.0), (4, "", 5.0), (4, None, 5.0)]
+
+
+def test_full_dedup_shuffles_only_rows_that_may_have_a_copy(spark):
+    df = spark.createDataFrame(ROWS, "id long, text string, x double")
+    got = C.dedup_full(df)
+    assert sorted(map(str, got.collect())) == sorted(map(str, df.distinct().collect()))
+    assert len(got.collect()) == 7
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    once, again = plan.split("LeftSemi")[0], plan.split("LeftSemi")[1]
+    assert "LeftAnti" in once and "Exchange hashpartitioning" not in once.split("HashAggregate")[0] and again
+
+
+def test_many_repeated_keys_go_the_plain_way(spark):
+    df = spark.range(20).union(spark.range(20))
+    assert repeats.parted(df, ["id"], most=19) is None
+    once, again = repeats.parted(df.union(spark.range(30, 35)), ["id"], most=20)
+    assert sorted(r[0] for r in once.collect()) == list(range(30, 35)) and again.count() == 40
+    assert repeats.parted(df.selectExpr("array(id) AS a"), ["a"]) is None
