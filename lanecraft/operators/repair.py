@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from lanecraft import schema as S
 from lanecraft.functions.exprs import rintn
 from lanecraft.functions.quantiles import exact_quantiles
+from lanecraft.functions.repeats import parted
 from lanecraft.operators import clean as C
 from lanecraft.operators import quality as Q
 
@@ -25,7 +26,14 @@ def drop_duplicates(df: DataFrame, keys=Q.DUP_KEYS, order_col: str = S.ROW_ID) -
     """Keep one row per key: the one with the smallest ``order_col``."""
     keys = [k for k in keys if k in df.columns]
     if not keys:
-        return df.dropDuplicates()
+        return C.dedup_full(df)
+    parts = parted(df, keys)  # a key's only row stays where it is
+    if parts:
+        return parts[0].unionByName(_first_rows(parts[1], keys, order_col))
+    return _first_rows(df, keys, order_col)
+
+
+def _first_rows(df: DataFrame, keys: list[str], order_col: str) -> DataFrame:
     others = [c for c in df.columns if c not in keys and c != order_col]
     order = ([order_col] if order_col in df.columns else []) + [f"`{c}`" for c in others]  # ties: the smallest row
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lanecraft import schema as S
 from lanecraft.functions import repeats
-from lanecraft.operators import clean as C
+from lanecraft.operators import clean as C, repair as RP
 from lanecraft.plans import featured as FT
 from lanecraft.plans.materialize import materialize, partitions_for, shared_path, shuffle_partitions
 from lanecraft.sources import files as IO, testdata as td
@@ -89,6 +89,16 @@ def test_full_dedup_shuffles_only_rows_that_may_have_a_copy(spark):
     assert "LeftAnti" in once and "Exchange hashpartitioning" not in once.split("HashAggregate")[0] and again
 
 
+def test_first_row_a_key_equals_the_plain_way(spark):
+    df = spark.createDataFrame([(1, 7, "b"), (1, 7, "a"), (1, 8, "c"), (None, 7, "e"), (None, 7, "d"), (None, None, "f"), (2, None, "g")],
+                               f"`{S.ORDER_ID}` long, `{S.PRODUCT_ID}` long, `{S.ROW_ID}` string")
+    plain = RP._first_rows(df, [S.ORDER_ID, S.PRODUCT_ID], S.ROW_ID)
+    got = RP.drop_duplicates(df)
+    assert sorted(r[2] for r in got.collect()) == sorted(r[2] for r in plain.collect()) == ["a", "c", "d", "f", "g"]
+    assert got.schema == df.schema
+    assert "LeftAnti" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_many_repeated_keys_go_the_plain_way(spark):
     df = spark.range(20).union(spark.range(20))
     assert repeats.parted(df, ["id"], most=19) is None
